@@ -26,6 +26,24 @@ def word_bpe_spec() -> str:
         return Path(TOKENIZERS, "word_bpe_49k.json").read_text()
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lagfold.llm import quality
+    from lagfold.llm.text import crc_rest
+
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", (crc_rest("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lagfold.llm import toxicity
+    from lagfold.llm.text import crc_rest
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", (crc_rest("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lagfold.llm.bpe import encode
 
@@ -33,7 +51,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_bpe": op9_bpe}
+    return {"op7_quality": op7_quality, "op10_toxicity": op10_toxicity, "op9_bpe": op9_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
