@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Where the public tokenizer files lie; a parameter, never copied.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
@@ -44,6 +45,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (crc_rest("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lagfold.llm.neardup import classes
+
+    return classes(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", F.col("n").alias("n_shingles"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lagfold.llm.bpe import encode
 
@@ -51,7 +58,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_quality": op7_quality, "op10_toxicity": op10_toxicity, "op9_bpe": op9_bpe}
+    return {"op5_bagminhash": op5_bagminhash, "op7_quality": op7_quality, "op10_toxicity": op10_toxicity, "op9_bpe": op9_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
