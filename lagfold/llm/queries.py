@@ -13,6 +13,20 @@ from pyspark.sql import functions as F
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 
 
+#: Exact containment of each item's different 5-word shingles (all its words, if fewer) in each document.
+CONTAINMENT_SQL = """
+  dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x09-\\x0D\\x20]+'), lambda x: x <> '') AS w FROM {documents} WHERE doc_id IS NOT NULL),
+  iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x09-\\x0D\\x20]+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
+  ig AS (SELECT DISTINCT item_id, least(len(w), 5) AS n, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM iw WHERE len(w) > 0),
+  q AS (SELECT item_id, count(*) AS q FROM ig GROUP BY item_id),
+  lengths AS (SELECT DISTINCT n FROM ig),
+  dg AS (SELECT DISTINCT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS s FROM dw, lengths WHERE len(w) >= n),
+  hit AS (SELECT doc_id, item_id, count(*) AS common FROM dg JOIN ig USING (n, s) GROUP BY ALL),
+  contained AS (SELECT doc_id, item_id, common, q AS item_shingles, common / q AS containment FROM hit JOIN q USING (item_id) WHERE common >= 0.8 * q - 1e-9)
+"""
+OP2_SQL = "WITH" + CONTAINMENT_SQL.format(documents="documents") + "SELECT * FROM contained"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -45,6 +59,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (crc_rest("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op2_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lagfold.llm.decontaminate import contained
+
+    return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lagfold.llm.neardup import classes
 
@@ -58,8 +78,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_bagminhash": op5_bagminhash, "op7_quality": op7_quality, "op10_toxicity": op10_toxicity, "op9_bpe": op9_bpe}
+    return {"op2_containment": op2_containment, "op5_bagminhash": op5_bagminhash, "op7_quality": op7_quality, "op10_toxicity": op10_toxicity, "op9_bpe": op9_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_containment": OP2_SQL}
