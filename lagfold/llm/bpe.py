@@ -15,12 +15,14 @@ import hashlib
 import heapq
 import json
 import re
-import struct
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lagfold.llm.text import Words, buffers
+
 
 
 def _latin_split() -> re.Pattern:
@@ -50,7 +52,7 @@ def byte_alphabet() -> list[str]:
 class WordBPE:
     """A word-end BPE tokenizer read from the text of its JSON file."""
 
-    def __init__(self, spec: str, cache_words: int = 400_000, group: int = 20_000):
+    def __init__(self, spec: str, cache_words: int = 1_500_000, group: int = 20_000):
         self.spec = spec
         spec = json.loads(spec)
         model = spec["model"]
@@ -68,25 +70,30 @@ class WordBPE:
             self.right.append(y)
             self.made.append(self.vocab[a + b])
         alphabet = byte_alphabet()
-        self.symbol = [self.vocab[c] for c in alphabet]
-        self.last = [self.vocab[c + self.end] for c in alphabet]
+        self.symbol = np.array([self.vocab[c] for c in alphabet], np.int64)
+        self.last = np.array([self.vocab[c + self.end] for c in alphabet], np.int64)
+        self.pairs = np.array(sorted(self.rank), np.int64)
+        self.pair_ranks = np.array([self.rank[int(p)] for p in self.pairs], np.int64)
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.byte = {c: b for b, c in enumerate(alphabet)}
         self.library = None
-        self.cache: dict[str, tuple[bytes, str, int]] = {}
+        self.known, self.cached = np.zeros(0, np.uint64), Pieces(np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        names = [(i, t.encode() + b" ") for i, t in sorted(self.tokens.items())]
+        self.row_of = np.zeros(max(self.tokens) + 1, np.int64)
+        self.row_of[[i for i, _ in names]] = np.arange(len(names))
+        self.spelt = Pieces(np.frombuffer(b"".join(t for _, t in names), np.uint8), np.array([len(t) for _, t in names]))
         self.cache_words, self.group = cache_words, group
 
-    def merge(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each word, all words together."""
-        sym: list[int] = []
-        begins = []
-        word_of: list[int] = []
-        for k, w in enumerate(words):
-            begins.append(len(sym))
-            sym.extend(self.symbol[b] for b in w[:-1])
-            sym.append(self.last[w[-1]])
-            word_of.extend([k] * len(w))
-        n = len(sym)
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and how many each word has."""
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        size = np.array([len(w) for w in words], np.int64)
+        ends = np.cumsum(size)
+        begins = (ends - size).tolist()
+        laid = self.symbol[raw]
+        laid[ends - 1] = self.last[raw[ends - 1]]
+        n = len(raw)
+        word_of: list[int] = np.repeat(np.arange(len(words)), size).tolist()
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
         for k in range(len(words)):
@@ -94,9 +101,18 @@ class WordBPE:
             after[(begins[k + 1] if k + 1 < len(words) else n) - 1] = -1
         index: dict[int, list[int]] = {}
         rank, left, right, made = self.rank, self.left, self.right, self.made
-        for i in range(n):
-            if after[i] >= 0 and (r := rank.get(sym[i] << 32 | sym[i + 1])) is not None:
-                index.setdefault(r, []).append(i)
+        if n > 1:  # all pairs at once: rank by binary search, places by rank
+            pair = laid[:-1] << 32 | laid[1:]
+            at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+            found = self.pairs[at] == pair
+            found[ends[:-1] - 1] = False
+            place = np.flatnonzero(found)
+            ranks = self.pair_ranks[at[place]]
+            order = np.argsort(ranks, kind="stable")
+            place, ranks = place[order], ranks[order]
+            cuts = np.flatnonzero(np.concatenate([[True], ranks[1:] != ranks[:-1]])) if len(ranks) else ranks
+            index = {r: p.tolist() for r, p in zip(ranks[cuts].tolist(), np.split(place, cuts[1:]))} if len(ranks) else {}
+        sym: list[int] = laid.tolist()
         active = list(index)
         heapq.heapify(active)
         while active:
@@ -134,14 +150,9 @@ class WordBPE:
                         held.add(word_of[i])
             if r in index:
                 heapq.heappush(active, r)
-        out = []
-        for k in range(len(words)):
-            ids, i = [], begins[k]
-            while i >= 0:
-                ids.append(sym[i])
-                i = after[i]
-            out.append(ids)
-        return out
+        done = np.array(sym, np.int64)
+        alive = done >= 0
+        return done[alive].astype(np.uint32), np.bincount(np.repeat(np.arange(len(words)), size)[alive], minlength=len(words))
 
     def pieces(self, raw: str) -> list[bytes]:
         """The pre-tokens of a stretch without white space."""
@@ -162,41 +173,71 @@ class WordBPE:
         found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(raw))
         return [bytes(map(self.byte.__getitem__, p)) for p, _ in found]
 
-    def learn(self, missing: list[str]) -> None:
-        for at in range(0, len(missing), self.group):
-            part = missing[at : at + self.group]
-            pieces = [self.pieces(x) for x in part]
-            flat = list(dict.fromkeys(p for ps in pieces for p in ps))
-            ids = dict(zip(flat, self.merge(flat)))
-            for raw, ps in zip(part, pieces):
-                own = [i for p in ps for i in ids[p]]
-                self.cache[raw] = (struct.pack(f"<{len(own)}I", *own), " ".join(self.tokens[i] for i in own), len(own))
-
-    def _stretches(self, text: str) -> list[str]:
-        return [x for x in _WHITE.split(text) if x] if _NOT_WHITE.search(text) else text.split()
-
-    def _runs(self, text: str) -> list:
-        """Stretches without white space; a special token is its id."""
-        if self.specials is None or "<|" not in text:
-            return self._stretches(text)
-        out: list = []
+    def learn(self, raw: list[bytes]) -> "Pieces":
+        """The ids of stretches of text without ASCII white space."""
+        parts = []
+        for at in range(0, len(raw), self.group):
+            pieces = [self.pieces(x.decode()) for x in raw[at : at + self.group]]
+            number: dict[bytes, int] = {}
+            order = np.array([number.setdefault(p, len(number)) for ps in pieces for p in ps], np.int64)
+            ids, count = self.merge(list(number)) if number else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+            each = Pieces(ids, count).take(order)
+            own = np.concatenate([[0], np.cumsum([len(ps) for ps in pieces])])
+            parts.append(Pieces(each.values, np.diff(each.offsets[own])))
+        return Pieces.joined(parts)
+
+    def slow(self, text: str) -> list[int]:
+        """The ids of a text that may hold special tokens."""
+        out: list[int] = []
         for k, part in enumerate(self.specials.split(text)):
-            out += [self.special[part]] if k % 2 else self._stretches(part)
+            out += [self.special[part]] if k % 2 else self.learn([x.encode() for x in _WHITE.split(part) if x]).values.tolist()
         return out
 
-    def encode(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
-        """(ids as little-endian unsigned 32-bit integers, decoded text) of each text."""
-        if len(self.cache) > self.cache_words:
-            self.cache.clear()
-        runs = [self._runs(t or "") for t in texts]
-        missing = {x for r in runs for x in r if type(x) is str and x not in self.cache}
-        if missing:
-            self.learn(sorted(missing))
-        out, cache = [], self.cache
-        for r in runs:
-            got = [cache[x] if type(x) is str else (struct.pack("<I", x), self.tokens[x], 1) for x in r]
-            out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[2]])))
-        return out
+    def encode(self, column) -> tuple["Pieces", "Pieces"]:
+        """The ids of each text of a string column, and the bytes of each decoded text."""
+        data, offsets = buffers(column)
+        words = Words(data, offsets)
+        own, first, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.known, own), max(len(self.known) - 1, 0))
+        new = np.flatnonzero(self.known[at] != own) if len(self.known) else np.arange(len(own))
+        if len(new):
+            whole = data.tobytes()
+            got = self.learn([whole[words.starts[i] : words.ends[i]] for i in first[new]])
+            if len(self.known) + len(new) > self.cache_words:
+                kept = np.delete(np.arange(len(own)), new)
+                self.known, self.cached = own[kept], self.cached.take(at[kept])
+            known, cached = np.concatenate([self.known, own[new]]), Pieces.joined([self.cached, got])
+            order = np.argsort(known)
+            self.known, self.cached = known[order], cached.take(order)
+            at = np.searchsorted(self.known, own)
+        each = self.cached.take(at[back])
+        ids = Pieces(each.values, np.diff(each.offsets[words.of]))
+        if self.specials is not None and len(mark := np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))):
+            rows = np.split(ids.values, ids.offsets[1:-1])
+            for k in np.unique(np.searchsorted(offsets, mark, "right") - 1):
+                rows[k] = np.array(self.slow(data[offsets[k] : offsets[k + 1]].tobytes().decode()), np.uint32)
+            ids = Pieces(np.concatenate(rows), np.array([len(r) for r in rows]))
+        text = self.spelt.take(self.row_of[ids.values])
+        size = np.diff(text.offsets[ids.offsets])
+        some = size > 0
+        values = np.delete(text.values, np.cumsum(size)[some] - 1)  # no space after a text's last token
+        return ids, Pieces(values, size - some)
+
+
+class Pieces:
+    """Many short arrays laid out as one."""
+
+    def __init__(self, values: np.ndarray, counts: np.ndarray):
+        self.values, self.offsets = values, np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+
+    def take(self, rows: np.ndarray) -> "Pieces":
+        count = np.diff(self.offsets)[rows]
+        end = np.cumsum(count)
+        return Pieces(self.values[np.repeat(self.offsets[rows] - end + count, count) + np.arange(end[-1] if len(end) else 0)], count)
+
+    @staticmethod
+    def joined(parts: list["Pieces"]) -> "Pieces":
+        return Pieces(np.concatenate([p.values for p in parts]), np.concatenate([np.diff(p.offsets) for p in parts])) if parts else Pieces(np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
 
 _LOADED: dict[str, WordBPE] = {}
@@ -230,24 +271,24 @@ def encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "
         schema.add(c, docs.schema[c].dataType)
 
     def run(batches):
-        import numpy as np
-
         bpe = tokenizer(spec)
         for whole in batches:
             at = 0
             sizes = pa.compute.binary_length(whole.column("_text")).fill_null(0).to_numpy(zero_copy_only=False).cumsum()
-            while at < whole.num_rows:  # about 8 MB of text at a time
-                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + 8_000_000)))
+            while at < whole.num_rows:  # about 4 MB of text at a time
+                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + 4_000_000)))
                 batch = whole.slice(at, end - at)
                 at = end
-                got = bpe.encode(batch.column("_text").to_pylist())
-                cols = [batch.column("_id"), pa.array([len(a) // 4 for a, _ in got], pa.int64()), pa.array([hashlib.sha256(a).hexdigest() for a, _ in got]), pa.array([hashlib.sha256(b.encode()).hexdigest() for _, b in got])]
+                got, text = bpe.encode(batch.column("_text"))
+                raw, low = got.values.astype("<u4").tobytes(), text.values.tobytes()
+                digest = lambda x, of, w: pa.array([hashlib.sha256(x[a * w : b * w]).hexdigest() for a, b in zip(of.tolist(), of[1:].tolist())], pa.string())
+                cols = [batch.column("_id"), pa.array(np.diff(got.offsets)), digest(raw, got.offsets, 4), digest(low, text.offsets, 1)]
                 names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
                 if ids:
-                    cols.append(pa.array([np.frombuffer(a, "<u4").astype(np.int32) for a, _ in got], pa.list_(pa.int32())))
+                    cols.append(pa.ListArray.from_arrays(pa.array(got.offsets.astype(np.int32)), pa.array(got.values.astype(np.int32))))
                     names.append("ids")
                 if decoded:
-                    cols.append(pa.array([b for _, b in got], pa.string()))
+                    cols.append(pa.array([low[a:b].decode() for a, b in zip(text.offsets.tolist(), text.offsets[1:].tolist())], pa.string()))
                     names.append("decoded")
                 for n, c in enumerate(keep):
                     cols.append(batch.column(f"_k{n}"))

@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
@@ -12,7 +13,8 @@ OWN, THEIRS = WordBPE(SPEC), Tokenizer.from_str(SPEC)
 
 
 def same(text):
-    ids, decoded = OWN.encode([text])[0]
+    got, spelt = OWN.encode(pa.array([text], pa.string()))
+    ids, decoded = got.values.astype("<u4").tobytes(), spelt.values.tobytes().decode()
     want = THEIRS.encode(text or "", add_special_tokens=False).ids
     assert np.frombuffer(ids, "<u4").tolist() == want, text
     assert decoded == THEIRS.decode(want, skip_special_tokens=False), text
@@ -35,6 +37,17 @@ def test_dense_merges(text):
     same(text)
 
 
+def test_texts_together_and_a_small_cache():
+    texts = ["Ab cd ab", None, "x<|endoftext|> Y", "ab \u00a0 q\x1cr", "zz " * 50, "", "É é e\u0301"] * 3
+    own = WordBPE(SPEC, cache_words=4, group=3)
+    for part in (texts[:9], texts[9:]):
+        got, spelt = own.encode(pa.array(part, pa.string()))
+        for k, t in enumerate(part):
+            want = THEIRS.encode(t or "", add_special_tokens=False).ids
+            assert got.values[got.offsets[k] : got.offsets[k + 1]].tolist() == want
+            assert spelt.values[spelt.offsets[k] : spelt.offsets[k + 1]].tobytes().decode() == THEIRS.decode(want, skip_special_tokens=False)
+
+
 def test_frame(spark):
     df = spark.createDataFrame([(1, "Ab cd", "x"), (2, None, "y"), (3, "", "z"), (1, "Ab cd", "x")], "doc_id long, text string, n_tokens string")
     rows = encode(df, SPEC, ids=True, decoded=True).orderBy("doc_id").collect()
