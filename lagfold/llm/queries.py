@@ -71,6 +71,12 @@ def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", F.col("n").alias("n_shingles"))
 
 
+def op8_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lagfold.llm.sharding import shard
+
+    return shard(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lagfold.llm.bpe import encode
 
@@ -78,7 +84,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_containment": op2_containment, "op5_bagminhash": op5_bagminhash, "op7_quality": op7_quality, "op10_toxicity": op10_toxicity, "op9_bpe": op9_bpe}
+    return {"op2_containment": op2_containment, "op5_bagminhash": op5_bagminhash, "op7_quality": op7_quality, "op8_propagation": op8_propagation, "op10_toxicity": op10_toxicity, "op9_bpe": op9_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
