@@ -26,6 +26,13 @@ CONTAINMENT_SQL = """
 """
 OP2_SQL = "WITH" + CONTAINMENT_SQL.format(documents="documents") + "SELECT * FROM contained"
 
+OP4_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -65,6 +72,23 @@ def op2_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lagfold.llm import warc
+    from lagfold.llm.spark import shared_folder
+
+    folder = shared_folder(spark, "warc")
+    warc.write(warc.plan(table(spark, sf_dir, "pages")), folder)
+    return warc.read(spark, folder).select(
+        warc.id_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), warc.id_of(F.col("refers_to")).alias("refers_to"), "intact"
+    )
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lagfold.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lagfold.llm.neardup import classes
 
@@ -84,8 +108,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_containment": op2_containment, "op5_bagminhash": op5_bagminhash, "op7_quality": op7_quality, "op8_propagation": op8_propagation, "op10_toxicity": op10_toxicity, "op9_bpe": op9_bpe}
+    return {"op2_containment": op2_containment, "op3_warc": op3_warc, "op4_topk": op4_topk, "op5_bagminhash": op5_bagminhash, "op7_quality": op7_quality, "op8_propagation": op8_propagation, "op10_toxicity": op10_toxicity, "op9_bpe": op9_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_containment": OP2_SQL}
+    return {"op2_containment": OP2_SQL, "op4_topk": OP4_SQL}
