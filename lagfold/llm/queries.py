@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lagfold.shipping import ship
+
 #: Where the public tokenizer files lie; a parameter, never copied.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 
@@ -35,6 +37,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -66,6 +69,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (crc_rest("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op1_trie_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lagfold.llm import lm
+    from lagfold.llm.text import crc_rest
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm.score(docs, crc_rest("doc_id", 5) != 1)
+    return scored.select("doc_id", (crc_rest("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lagfold.llm.decontaminate import contained
 
@@ -108,8 +120,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_containment": op2_containment, "op3_warc": op3_warc, "op4_topk": op4_topk, "op5_bagminhash": op5_bagminhash, "op7_quality": op7_quality, "op8_propagation": op8_propagation, "op10_toxicity": op10_toxicity, "op9_bpe": op9_bpe}
+    return {"op1_trie_lm": op1_trie_lm, "op2_containment": op2_containment, "op3_warc": op3_warc, "op4_topk": op4_topk, "op5_bagminhash": op5_bagminhash, "op7_quality": op7_quality, "op8_propagation": op8_propagation, "op10_toxicity": op10_toxicity, "op9_bpe": op9_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_containment": OP2_SQL, "op4_topk": OP4_SQL}
+    return {"op1_trie_lm": op1_trie_lm, "op2_containment": OP2_SQL, "op4_topk": OP4_SQL}
