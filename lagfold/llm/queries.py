@@ -51,6 +51,12 @@ def word_bpe_spec() -> str:
         return Path(TOKENIZERS, "word_bpe_49k.json").read_text()
 
 
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lagfold.llm.suffix import repeats
+
+    return repeats(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), F.col("n").alias("n_words"), "copy", "spans", "removable")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lagfold.llm import quality
     from lagfold.llm.text import crc_rest
@@ -120,7 +126,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_trie_lm": op1_trie_lm, "op2_containment": op2_containment, "op3_warc": op3_warc, "op4_topk": op4_topk, "op5_bagminhash": op5_bagminhash, "op7_quality": op7_quality, "op8_propagation": op8_propagation, "op10_toxicity": op10_toxicity, "op9_bpe": op9_bpe}
+    return {"op1_trie_lm": op1_trie_lm, "op2_containment": op2_containment, "op3_warc": op3_warc, "op4_topk": op4_topk, "op5_bagminhash": op5_bagminhash, "op6_suffix": op6_suffix, "op7_quality": op7_quality, "op8_propagation": op8_propagation, "op10_toxicity": op10_toxicity, "op9_bpe": op9_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
