@@ -10,8 +10,8 @@ repeated passage.  Each is also compared with the first occurrence in its run, s
 occurrence stays and the later ones are removable.  Runs that cross partitions are settled
 by their partitions' first occurrences.
 
-Anchors are compared by 64-bit hashes, the words around them by 16 bits each (an extension
-is too long by a word with a chance of 2^-16).  Documents with equal word sequences count
+Anchors are compared by 64-bit hashes, the words around them by 32 bits each (an extension
+is too long by a word with a chance of 2^-32).  Documents with equal word sequences count
 as one text; every copy but the first is removable as a whole if it has ``least`` words.
 
 Defined cases: texts of fewer than ``least`` words, null and empty ones have no passage;
@@ -99,7 +99,7 @@ def _suffixes(docs: DataFrame, id_col: str, text_col: str, least: int, anchor: i
 
 
 def _contexts(texts: DataFrame, least: int, anchor: int) -> DataFrame:
-    """``(key, right, left, id, d, pos)`` of ``(id, d, _text, places)``: 16-bit hashes of the words around each anchor."""
+    """``(key, right, left, id, d, pos)`` of ``(id, d, _text, places)``: 32-bit hashes of the words around each anchor."""
     reach = least - anchor
 
     def run(batches):
@@ -108,15 +108,15 @@ def _contexts(texts: DataFrame, least: int, anchor: int) -> DataFrame:
                 data, offsets = buffers(b.column("_text").slice(row, 1))
                 w = Words(data, offsets)
                 h = w.hashes()
-                small = (h >> U(48)).astype(np.uint16)
+                small = (h >> U(32)).astype(np.uint32)
                 small[small == 0] = 1  # 0 stands for no word
-                padded = np.concatenate([np.zeros(reach, np.uint16), small, np.zeros(reach, np.uint16)])
+                padded = np.concatenate([np.zeros(reach, np.uint32), small, np.zeros(reach, np.uint32)])
                 places = np.unique(np.array(b.column("places")[row].as_py(), np.int64))
                 keys = rolling(h, anchor)[places].view(np.int64)
                 right = padded[(places + reach + anchor)[:, None] + np.arange(reach)]
                 left = padded[(places + reach - 1)[:, None] - np.arange(reach)]
                 n = len(places)
-                fixed = lambda a: pa.array([x.tobytes() for x in a.astype(">u2")], pa.binary())
+                fixed = lambda a: pa.array([x.tobytes() for x in a.astype(">u4")], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(keys), fixed(right), fixed(left), pa.array(np.full(n, b.column("id")[row].as_py())), pa.array(np.full(n, b.column("d")[row].as_py())), pa.array(places.astype(np.int32))], ["key", "right", "left", "id", "d", "pos"])
 
     return texts.mapInArrow(run, "key long, right binary, left binary, id long, d long, pos int")
@@ -131,7 +131,7 @@ def _matched(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray)
 def _compare(pdf: pd.DataFrame, least: int, anchor: int, near: int = 4) -> pd.DataFrame:
     """Spans of the rows of sorted suffixes: against neighbours, and against the first occurrence of the run."""
     n, reach = len(pdf), least - anchor
-    left, right = (np.frombuffer(b"".join(pdf[c]), ">u2").reshape(n, reach) for c in ("left", "right"))
+    left, right = (np.frombuffer(b"".join(pdf[c]), ">u4").reshape(n, reach) for c in ("left", "right"))
     key, ident, pos, d = (pdf[c].to_numpy() for c in ("key", "id", "pos", "d"))
     run = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) if n else np.zeros(0, np.int64)
     pairs = [(np.arange(n - s), np.arange(s, n)) for s in range(1, min(near, n - 1) + 1)]
