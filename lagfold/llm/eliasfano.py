@@ -15,6 +15,7 @@ import tempfile
 import numpy as np
 
 U = np.uint64
+_EACH, _TOPS = U(0x0101010101010101), U(0x8080808080808080)
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 #: position of the k-th set bit of a byte: a table built by rule
 _SELECT = np.zeros((256, 8), np.uint8)
@@ -39,10 +40,10 @@ class EliasFano:
         if l and n:
             part = values & U((1 << l) - 1)
             bit = np.arange(n, dtype=np.int64) * l
-            word, shift = bit >> 6, (bit & 63).astype(U)
-            np.bitwise_or.at(low, word, part << shift)
-            over = (bit & 63) + l > 64
-            np.bitwise_or.at(low, word[over] + 1, part[over] >> (U(64) - shift[over]))
+            word, shift, over = bit >> 6, (bit & 63).astype(U), (bit & 63) + l > 64
+            for own, bits in ((word, part << shift), (word[over] + 1, part[over] >> (U(64) - shift[over]))):
+                new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else own
+                low[own[new]] |= np.bitwise_or.reduceat(bits, new) if len(new) else bits
         place = (values >> U(l)).astype(np.int64) + np.arange(n)
         length = (int(universe) >> l) + n + 2
         bits = np.zeros((length + 63) // 64 * 64, np.uint8)
@@ -59,14 +60,17 @@ class EliasFano:
         return EliasFano(int(parts[0][0]), int(parts[0][1]), *parts[1:])
 
     def _select(self, directory: np.ndarray, k: np.ndarray, flip: bool) -> np.ndarray:
+        """Place of the k-th one (or zero): the word by the directory, within it by sums of its bytes side by side."""
         word = np.searchsorted(directory, k, "right") - 1
-        left = k - directory[word]
+        left = (k - directory[word]).astype(U)
         x = self.high[word]
-        raw = (~x if flip else x).view(np.uint8).reshape(-1, 8)
-        upto = np.cumsum(_POP[raw], axis=1, dtype=np.int64)
-        byte = (upto <= left[:, None]).sum(1)
-        left = left - np.where(byte > 0, np.take_along_axis(upto, np.maximum(byte - 1, 0)[:, None], 1)[:, 0], 0)
-        return word * 64 + byte * 8 + _SELECT[np.take_along_axis(raw, byte[:, None], 1)[:, 0], left]
+        x = ~x if flip else x
+        s = x - ((x >> U(1)) & U(0x5555555555555555))
+        s = (s & U(0x3333333333333333)) + ((s >> U(2)) & U(0x3333333333333333))
+        s = ((s + (s >> U(4))) & U(0x0F0F0F0F0F0F0F0F)) * _EACH  # byte i: set bits of bytes 0 to i
+        place = (((((left * _EACH | _TOPS) - s) & _TOPS) >> U(7)) * _EACH >> U(56)) << U(3)
+        left -= (s << U(8)) >> place & U(0xFF)
+        return word * 64 + place.astype(np.int64) + _SELECT[(x >> place & U(0xFF)).astype(np.int64), left.astype(np.int64)]
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.l:
@@ -94,14 +98,19 @@ class EliasFano:
         if begin is not None:
             at, stop = np.maximum(at, begin), np.minimum(stop, end)
         want = x & U((1 << self.l) - 1)
-        out = np.full(len(x), -1)
+        stop, at = np.maximum(stop, at), at.copy()
+        last = stop.copy()
         live = np.flatnonzero(at < stop)
-        while len(live):
-            got = self.lows(at[live])
-            out[live[got == want[live]]] = at[live[got == want[live]]]
-            live = live[got < want[live]]
-            at[live] += 1
+        while len(live):  # all successor searches halve their ranges together
+            mid = (at[live] + stop[live]) >> 1
+            less = self.lows(mid) < want[live]
+            at[live[less]] = mid[less] + 1
+            stop[live[~less]] = mid[~less]
             live = live[at[live] < stop[live]]
+        out = np.full(len(x), -1)
+        some = np.flatnonzero(at < last)
+        some = some[self.lows(at[some]) == want[some]]
+        out[some] = at[some]
         return out
 
 
