@@ -551,3 +551,166 @@ def whitening_2d(spark, d):
     c = frames.events(spark, d).agg(F.var_samp("value").alias("a"), F.covar_samp("value", "k").alias("b"), F.var_samp("k").alias("c"))
     root = F.sqrt(F.pow((F.col("a") - F.col("c")) / 2, 2) + F.pow("b", 2))
     return c.select(r6((F.col("a") + F.col("c")) / 2 + root).alias("first"), r6((F.col("a") + F.col("c")) / 2 - root).alias("second"))
+
+
+# --- kernels on the driver, Arrow groups, learned cells ----------------------------------------------------------
+
+
+def event_counts(spark, d, lag: int = 1):
+    from lagfold.functions import kinetics
+
+    return kinetics.dense_counts(counts.transition_counts(frames.events(spark, d), lag).collect(), 5)  # 25 rows
+
+
+@query("range_coder_roundtrip", f"WITH {EV} SELECT run_id, count(*) AS n, true AS ok FROM ev GROUP BY 1")
+def range_coder_roundtrip(spark, d):
+    from lagfold.operators import coding
+    from lagfold.shipping import ship
+
+    ship(spark)
+    ev = frames.events(spark, d)
+    t, pi = coding.markov_model(ev, 5)
+    back = coding.decode_runs(coding.encode_runs(ev, t, pi), t, pi).select("run_id", "t", F.col("state").alias("got"))
+    both = ev.select("run_id", "t", "state").join(back, ["run_id", "t"], "full")
+    return both.groupBy("run_id").agg(F.count("*").alias("n"), F.bool_and(F.col("state").eqNullSafe(F.col("got"))).alias("ok"))
+
+
+@query("iid_coder_roundtrip", f"WITH {EV} SELECT run_id, count(*) AS n, true AS ok FROM ev GROUP BY 1")
+def iid_coder_roundtrip(spark, d):
+    from lagfold.operators import coding
+    from lagfold.shipping import ship
+
+    ship(spark)
+    q = frames.events(spark, d).select("run_id", "t", stats.quantise(F.expr(Z), 64, 3.0).alias("level"))
+    back = coding.decode_levels(coding.encode_levels(q, 64, 3.0), 64, 3.0).select("run_id", "t", F.col("level").alias("got"))
+    return q.join(back, ["run_id", "t"], "full").groupBy("run_id").agg(F.count("*").alias("n"), F.bool_and(F.col("level").eqNullSafe(F.col("got"))).alias("ok"))
+
+
+@query("predictive_roundtrip", f"WITH {EV} SELECT run_id, count(*) AS n, true AS ok FROM ev GROUP BY 1")
+def predictive_roundtrip(spark, d):
+    """Closed-loop coding keeps every value within one step."""
+    from lagfold.operators import coding
+    from lagfold.shipping import ship
+
+    ship(spark)
+    z = frames.events(spark, d).select("run_id", "t", F.expr(Z).alias("z"))
+    back = coding.predictive_levels(z, 0.1, 8.0, 13)
+    ok = F.abs(F.col("back") - F.col("z")) <= 8 * 16.0 / 8192
+    return z.join(back, ["run_id", "t"]).groupBy("run_id").agg(F.count("*").alias("n"), F.bool_and(ok).alias("ok"))
+
+
+@query("kabsch_rmsd")
+def kabsch_rmsd(spark, d):
+    from lagfold.operators import geometry
+    from lagfold.shipping import ship
+
+    ship(spark)
+    return geometry.kabsch(frames.coordinates(spark, d)).select("t", r6(F.col("rmsd")).alias("rmsd"))
+
+
+@query("kmeans_msm")
+def kmeans_msm(spark, d):
+    """Contacts, slow modes, k-means and the counts of the cells."""
+    from lagfold.operators import geometry
+    from lagfold.shipping import ship
+
+    ship(spark)
+    x = geometry.contacts(frames.coordinates(spark, d), 12)
+    cv = geometry.Tica(1, 2).fit(x).transform(x).select("run_id", "t", "cv")
+    cells, _ = geometry.discretise(cv, 8)
+    return counts.transition_counts(cells)
+
+
+@query("reversible_mle")
+def reversible_mle(spark, d):
+    from lagfold.functions import kinetics
+
+    t, act = kinetics.reversible_mle(event_counts(spark, d))
+    return spark.createDataFrame([(int(act[i]), int(act[j]), round(float(t[i, j]), 6)) for i in range(len(act)) for j in range(len(act))], "i int, j int, p double")
+
+
+@query("lag_scan")
+def lag_scan(spark, d):
+    """Timescales by lag from one pass over the runs; a lag that fails has nulls."""
+    from lagfold.functions import kinetics
+
+    lags, rows = [1, 2, 5, 10], []
+    got = counts.counts_by_lag(frames.events(spark, d), lags).collect()  # 25 rows a lag
+    for lag in lags:
+        c = kinetics.dense_counts([(r.i, r.j, r.c) for r in got if r.lag == lag], 5)
+        try:
+            its = kinetics.implied_timescales(kinetics.reversible_mle(c)[0], lag, 3)
+            rows += [(lag, k + 1, round(float(v), 6)) for k, v in enumerate(its)]
+        except ValueError:
+            rows += [(lag, k + 1, None) for k in range(3)]
+    return spark.createDataFrame(rows, "lag int, k int, timescale double")
+
+
+@query("mfpt_two_state")
+def mfpt_two_state(spark, d):
+    from lagfold.functions import kinetics
+
+    t, pi = kinetics.transition_matrix(event_counts(spark, d))
+    _, pops, m = kinetics.metastable_mfpt(t, pi, 2)
+    return spark.createDataFrame([(a, b, round(float(pops[a]), 6), round(float(m[a, b]), 6)) for a in range(2) for b in range(2) if a != b], "a int, b int, population double, steps double")
+
+
+@query("ck_deviation")
+def ck_deviation(spark, d):
+    from lagfold.functions import kinetics
+
+    factors = (1, 2, 3, 4, 6)
+    got = counts.counts_by_lag(frames.events(spark, d), list(factors)).collect()
+    t = {k: kinetics.transition_matrix(kinetics.dense_counts([(r.i, r.j, r.c) for r in got if r.lag == k], 5)) for k in factors}
+    sets = kinetics.metastable_sets(t[1][0], t[1][1], 2)
+    dev = kinetics.ck_deviation({k: v[0] for k, v in t.items()}, sets, t[1][1], factors)
+    return spark.createDataFrame([(k, round(v, 6)) for k, v in dev.items()], "factor int, deviation double")
+
+
+@query("kinetic_resolution")
+def kinetic_resolution(spark, d):
+    from lagfold.functions import kinetics
+
+    c = event_counts(spark, d)
+    out = kinetics.kinetic_resolution(kinetics.posterior_timescales(c, 1, 3, 50), float(c.sum()))
+    return spark.createDataFrame([(k + 1, *(round(float(x), 6) for x in (r.timescale, r.std, r.low, r.high, r.relative, r.events)), r.resolved) for k, r in enumerate(out)], "k int, timescale double, std double, low double, high double, relative double, events double, resolved boolean")
+
+
+@query("connected_set")
+def connected_set(spark, d):
+    from lagfold.functions import kinetics
+
+    return spark.createDataFrame([(int(s),) for s in kinetics.largest_connected_set(event_counts(spark, d))], "state int")
+
+
+@query("ideal_gaussian_rate")
+def ideal_gaussian_rate(spark, d):
+    """Mean code length of the levels under the static normal table; the table is 64 rows."""
+    import numpy as np
+
+    from lagfold.functions import coders
+
+    f = np.diff(coders.gaussian_table(64, 3.0))
+    table = spark.createDataFrame([(k, float(-np.log2(v / coders.TOTAL))) for k, v in enumerate(f)], "level int, bits double")
+    q = frames.events(spark, d).select(stats.quantise(F.expr(Z), 64, 3.0).alias("level"))
+    return q.join(F.broadcast(table), "level").agg(r6(F.avg("bits")).alias("bits_per_value"))
+
+
+@query("stream_counts", f"WITH {COUNTS} SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, c FROM c")
+def stream_counts(spark, d):
+    """Counts from a stream of the events, run to the end of what is there."""
+    import tempfile
+    import uuid
+
+    from lagfold.shipping import ship
+    from lagfold.streaming.counts import stream_counts as increments
+
+    ship(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream")
+    folder = f"{base}/stream-{uuid.uuid4().hex}"
+    schema = frames.table(spark, d, "events").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    keyed = source.select(F.col("user_id").alias("run_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "event_id", frames.state_of(F.col("event_type"), frames.EVENT_STATES).alias("state"))
+    q = increments(keyed, order=("ts", "event_id")).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema("run_id long, i int, j int, c long").parquet(f"{folder}/out").groupBy("i", "j").agg(F.sum("c").alias("c"))
