@@ -22,6 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +30,8 @@ from lagfold.llm.spark import components, cut, sized
 from lagfold.llm.text import Words, buffers, mix64, shingles
 
 U = np.uint64
+#: Cells of the histograms that bound overlaps.
+CELLS = 128
 _TWO_64 = float(1 << 64)
 
 
@@ -141,8 +144,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: in
 
 
 def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
-    """``(k, codes)`` of ``(k, _text)``: a 32-bit code of each shingle and its occurrence number."""
-    schema = T.StructType([T.StructField("k", T.BinaryType()), T.StructField("codes", T.ArrayType(T.IntegerType()))])
+    """``(k, codes, cells)`` of ``(k, _text)``: a 32-bit code of each shingle and its occurrence number, and how many codes fall into each of CELLS cells."""
+    schema = T.StructType([T.StructField("k", T.BinaryType()), T.StructField("codes", T.ArrayType(T.IntegerType())), T.StructField("cells", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         for b in batches:
@@ -156,7 +159,9 @@ def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
                 start = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
                 codes = (mix64(s + (np.arange(len(s)) - start).astype(U)) >> U(32)).astype(np.uint32).view(np.int32)
                 of = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=end - at))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column("k").slice(at, end - at), pa.ListArray.from_arrays(pa.array(of), pa.array(codes))], ["k", "codes"])
+                cells = np.bincount(text * CELLS + (codes & (CELLS - 1)), minlength=(end - at) * CELLS).astype(np.int32)
+                steps = np.arange(0, (end - at + 1) * CELLS, CELLS, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([b.column("k").slice(at, end - at), pa.ListArray.from_arrays(pa.array(of), pa.array(codes)), pa.ListArray.from_arrays(pa.array(steps), pa.array(cells))], ["k", "codes", "cells"])
 
     return texts.select("k", "_text").mapInArrow(run, schema)
 
@@ -168,58 +173,104 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", (common / (F.size("ca") + F.size("cb") - common)).alias("sim"))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 24, rows: int = 4, size: int = 5, all_pairs_up_to: int = 8) -> DataFrame:
+def _private(sets: DataFrame) -> DataFrame:
+    """``(k, n, r)``: the number of shingles, and of those that no other text of ``sets`` has."""
+    own = F.xxhash64("k").alias("kk")
+    codes = sets.select(own, F.explode("codes").alias("code"))
+    alone = codes.groupBy("code").agg(F.count("*").alias("c"), F.min("kk").alias("kk")).where("c = 1").groupBy("kk").agg(F.count("*").alias("r"))
+    return sets.select("k", own, F.size("codes").alias("n")).join(alone, "kk", "left").select("k", F.col("n").cast("long").alias("n"), F.coalesce("r", F.lit(0)).alias("r"))
+
+
+def _cells_allow(x: str, y: str, n: str, m: str, threshold: float):
+    """Whether the cells' common counts, which no overlap exceeds, leave room for ``threshold``."""
+    common = F.aggregate(F.zip_with(x, y, lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
+    return common >= (F.col(n) + F.col(m)) * (threshold / (1 + threshold)) - 1e-6
+
+
+def _most(n: str, r: str, m: str, q: str):
+    """The largest similarity of texts with n and m shingles of which r and q are private."""
+    x, y = F.col(n) - F.col(r), F.col(m) - F.col(q)
+    return F.least(x, y) / (F.col(r) + F.col(q) + F.greatest(x, y))
+
+
+def _rooted(df: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return df.withColumn("root", F.col("k"))
+    return df.drop("root").join(roots.select(F.col("node").alias("k"), "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 24, rows: int = 4, size: int = 5, leaders: int = 32) -> DataFrame:
     """``(id, k, n, class_id)`` of each row: the smallest id of its class.
 
     The chance that a pair at 0.8 shares no band is (1 - 0.8^4)^24 = 3e-6 with the defaults.
-    A bucket that still has at most ``all_pairs_up_to`` members after two leaders is finished
-    pair by pair; larger ones take further leaders until none is left.
+    What the first leader leaves over in a bucket takes ``leaders`` at a time, until none is left.
     """
     base = cut(signatures(docs, id_col, text_col, bands, rows, size))
     texts = base.where("n > 0").groupBy("k").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
-    active = texts.select("k", F.explode("bands").alias("bucket"))
-    several = active.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    active = cut(active.join(several, "bucket"))
+    placed = texts.select("k", F.posexplode("bands").alias("band", "bucket"))
+    several = placed.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
+    placed = cut(placed.join(several, "bucket"))
 
-    needed = active.select("k").distinct()
+    needed = placed.select("k").distinct()
     reps = cut(texts.select("k", "rep").join(needed, "k"))
     source = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"))
     found = source.join(sized(reps.select(F.col("rep").alias("_id"), "k")), "_id")
     sets = cut(shingle_sets(found, size).join(needed, "k", "left_semi").dropDuplicates(["k"])) if _repeated_ids(base) else cut(shingle_sets(found, size))
-
-    edges, scored, turn = None, [], 0
-    while True:
-        turn += 1
-        n = F.count("*").alias("c")
-        heads = active.groupBy("bucket").agg(F.min("k").alias("head"), n).where("c > 1")
-        tagged = active.join(heads, "bucket").where("k != head")
-        small = (F.col("c") <= all_pairs_up_to) & F.lit(turn > 2)
-        star = tagged.where(~small).select(F.col("k").alias("a"), F.col("head").alias("b"))
-        rest = active.join(heads.where(small), "bucket").select("bucket", "k")
-        few = rest.alias("p").join(rest.alias("q"), F.expr("p.bucket = q.bucket and p.k > q.k")).select(F.col("p.k").alias("a"), F.col("q.k").alias("b"))
-        sims = cut(_verify((star.union(few) if turn > 2 else star).distinct(), sets))
-        linked = sims.where(F.col("sim") >= threshold).select("a", "b")
-        edges = linked if edges is None else edges.union(linked)
-        near = cut(tagged.where(~small).join(sims, (F.col("k") == F.col("a")) & (F.col("head") == F.col("b"))).select("bucket", "head", "k", "sim"))
-        scored.append(near)
-        active = near.where(F.col("sim") < threshold).select("bucket", "k")
-        if not active.limit(1).count():
-            break
-
-    roots = components(edges)
-    # Across components of a bucket: d(u, a) >= d(u, head) - d(a, head), so only close distances need a look.
-    cross = None
-    for near in scored:
-        if near.where((F.col("sim") < threshold) & (F.col("sim") >= 2 * threshold - 1)).limit(1).count():
-            tagged = near.join(roots.select(F.col("node").alias("k"), "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-            u = tagged.where((F.col("sim") < threshold) & (F.col("sim") >= 2 * threshold - 1)).select("bucket", "head", F.col("k").alias("a"), F.col("sim").alias("su"), F.col("root").alias("ru"))
-            v = tagged.where(F.col("sim") >= threshold).select("bucket", "head", F.col("k").alias("b"), F.col("sim").alias("sv"), F.col("root").alias("rv"))
-            pairs = u.join(v, ["bucket", "head"]).where((F.col("sv") <= F.col("su") + (1 - threshold) + 1e-9) & (F.col("ru") != F.col("rv"))).select("a", "b")
-            cross = pairs if cross is None else cross.union(pairs)
+    members = cut(placed.join(_private(sets), "k"))
+
+    edges, near, roots = None, [], None
+    for lo, hi in ((0, 4), (4, bands)):  # what the first bands link needs no second look
+        active = members.where((F.col("band") >= lo) & (F.col("band") < hi)).drop("band")
+        active = _rooted(active, roots)
+        mixed = active.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
+        active = cut(active.join(mixed, "bucket"))
+        turn = 0
+        while active.limit(1).count():
+            turn += 1
+            many = 1 if turn == 1 else leaders
+            mine = F.struct("k", "n", "r", "root")
+            if many == 1:
+                heads = active.groupBy("bucket").agg(F.min(mine).alias("h"))
+            else:
+                place = F.row_number().over(W.partitionBy("bucket").orderBy("k"))
+                heads = active.withColumn("place", place).where(F.col("place") <= many).select("bucket", mine.alias("h"))
+            tagged = active.join(heads.select("bucket", *[F.col(f"h.{c}").alias(f"h{c}") for c in ("k", "n", "r", "root")]), "bucket").where("k > hk")
+            tagged = tagged.withColumn("most", _most("n", "r", "hn", "hr"))
+            same = tagged.where("root = hroot").select("bucket", "k")
+            apart = tagged.where("root != hroot")
+            asked = apart.where(F.col("most") >= threshold).select(F.col("k").alias("a"), F.col("hk").alias("b")).distinct()
+            sims = cut(_verify(asked, sets))
+            linked = sims.where(F.col("sim") >= threshold).select("a", "b")
+            edges = linked if edges is None else edges.union(linked)
+            # of pairs that weren't looked at, the bound stands for the similarity
+            seen = apart.join(sims, (F.col("k") == F.col("a")) & (F.col("hk") == F.col("b")), "left")
+            seen = cut(seen.select("bucket", "k", "n", "r", "root", "hk", F.coalesce("sim", "most").alias("sim")))
+            near.append(seen)
+            if many == 1:
+                active = cut(seen.where(F.col("sim") < threshold).select("bucket", "k", "n", "r", "root"))
+            else:
+                done = seen.where(F.col("sim") >= threshold).select("bucket", "k").union(same).union(heads.select("bucket", "h.k")).distinct()
+                active = cut(seen.select("bucket", "k", "n", "r", "root").distinct().join(done, ["bucket", "k"], "left_anti"))
+        if edges is not None:
+            roots = components(edges)
+
+    # A text that a bucket's leader didn't link may still be linked to one that it did.  With sim(u, leader) known,
+    # the triangle inequality leaves texts up to 1 - threshold nearer; different roots and private shingles leave few.
+    cross, cells = None, sets.select("k", "cells")
+    for part in near:
+        u = part.where((F.col("sim") < threshold) & (F.col("sim") >= 2 * threshold - 1)).select("bucket", "k", "n", "r").distinct()
+        u = _rooted(u, roots).join(cells, "k").select("bucket", F.col("k").alias("a"), F.col("n").alias("an"), F.col("r").alias("ar"), F.col("root").alias("ru"), F.col("cells").alias("ca"))
+        v = _rooted(members.join(u.select("bucket").distinct(), "bucket", "left_semi").drop("band"), roots).join(cells, "k")
+        v = v.select("bucket", F.col("k").alias("b"), F.col("n").alias("bn"), F.col("r").alias("br"), F.col("root").alias("rv"), F.col("cells").alias("cb"))
+        near_enough = (F.col("ru") != F.col("rv")) & (_most("an", "ar", "bn", "br") >= threshold) & _cells_allow("ca", "cb", "an", "bn", threshold)
+        pairs = u.join(v, (u["bucket"] == v["bucket"]) & near_enough).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        cross = pairs if cross is None else cross.union(pairs)
     if cross is not None:
-        more = cut(_verify(cross.distinct(), sets).where(F.col("sim") >= threshold).select("a", "b"))
+        more = cut(_verify(cut(cross.distinct()), sets).where(F.col("sim") >= threshold).select("a", "b"))
         if more.limit(1).count():
             roots = components(edges.union(more))
+    if roots is None:
+        roots = texts.select(F.col("k").alias("node"), F.col("k").alias("root")).limit(0)
 
     ids = texts.select("k", "rep").join(roots.select(F.col("node").alias("k"), "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     least = ids.groupBy("root").agg(F.min("rep").alias("class_id"))
@@ -227,5 +278,29 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     return base.select("id", "k", "n").join(of_k, "k", "left").select("id", "k", "n", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """``docs`` with one row of each class (that with the smallest id); rows without words all stay."""
+    found = cut(classes(docs, id_col, text_col, **parameters).where("n > 0"))
+    own = F.col("id").eqNullSafe(F.col("class_id"))
+    drops = cut(found.where(~own).select(F.col("id").alias("_id"), F.col("k").alias("_drop")).distinct())
+    again = cut(found.where(own).groupBy("class_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("class_id").alias("_id")))
+    at = docs.columns.index(text_col)
+
+    def tag(batches):
+        for b in batches:
+            data, offsets = buffers(b.column(at))
+            for i, e in _chunks(offsets, 2 << 20):
+                w = Words(data[offsets[i] : offsets[e]], offsets[i : e + 1] - offsets[i])
+                yield pa.RecordBatch.from_arrays([*[c.slice(i, e - i) for c in b.columns], pa.array([x.tobytes() for x in content_keys(w.hashes(), w.of)], pa.binary())], [*b.schema.names, "_k"])
+
+    tagged = docs.mapInArrow(tag, T.StructType([*docs.schema.fields, T.StructField("_k", T.BinaryType())]))
+    left = tagged.join(sized(drops), (F.col("_k") == F.col("_drop")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+    if again.limit(1).count():  # rows equal in id within a class: one of them
+        hit, empty = sized(again), F.col("_k") == F.lit(bytes(16))
+        once = left.where(~empty).join(hit, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi").dropDuplicates([id_col])
+        left = left.where(empty).union(left.where(~empty).join(hit, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")).union(once)
+    return left.drop("_k")
+
+
 def _repeated_ids(base: DataFrame) -> bool:
     return bool(base.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count())
