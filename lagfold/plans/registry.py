@@ -714,3 +714,58 @@ def stream_counts(spark, d):
     q = increments(keyed, order=("ts", "event_id")).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema("run_id long, i int, j int, c long").parquet(f"{folder}/out").groupBy("i", "j").agg(F.sum("c").alias("c"))
+
+
+# --- rate, distortion and prediction -----------------------------------------------------------------------------
+
+
+@query("rate_distortion", f"""WITH {EV}, z AS (SELECT {Z} AS z FROM ev), q AS (SELECT b, z, least(floor((greatest(least(z, 3), -3) + 3) / 6 * pow(2, b)), pow(2, b) - 1) AS q FROM z, (SELECT unnest([2, 4, 6, 8]) AS b)),
+m AS (SELECT b, avg(pow(z - ((q + 0.5) * (6.0 / pow(2, b)) - 3), 2)) AS mse FROM q GROUP BY b), c AS (SELECT b, q, count(*) AS c FROM q GROUP BY ALL), h AS (SELECT b, -sum(p * log2(p)) AS bits FROM (SELECT b, c / sum(c) OVER (PARTITION BY b) AS p FROM c) GROUP BY b)
+SELECT CAST(b AS INTEGER) AS bits, round(h.bits, 6) AS rate, round(mse, 8) AS mse FROM m JOIN h USING (b)""")
+def rate_distortion(spark, d):
+    """Entropy of the levels and squared error by word length, all lengths in one pass."""
+    z = frames.events(spark, d).select(F.expr(Z).alias("z"))
+    rows = z.withColumn("b", F.explode(F.array(*map(F.lit, (2, 4, 6, 8)))))
+    n = F.pow(F.lit(2.0), "b")
+    level = F.least(F.floor((F.greatest(F.least("z", F.lit(3.0)), F.lit(-3.0)) + 3) / 6 * n).cast("double"), n - 1)
+    q = rows.withColumn("q", level).withColumn("e", F.pow(F.col("z") - ((F.col("q") + 0.5) * (6.0 / n) - 3), 2))
+    cells = q.groupBy("b", "q").agg(F.count("*").alias("c"), F.sum("e").alias("e"))
+    p = F.col("c") / F.sum("c").over(W.partitionBy("b"))
+    out = cells.withColumn("p", p).groupBy("b").agg((-F.sum(F.col("p") * F.log2("p"))).alias("rate"), (F.sum("e") / F.sum("c")).alias("mse"))
+    return out.select(F.col("b").alias("bits"), r6(F.col("rate")).alias("rate"), r6(F.col("mse"), 8).alias("mse"))
+
+
+@query("linear_decoder", f"WITH {EV} SELECT round(regr_slope(k, value), 8) AS slope, round(regr_intercept(k, value), 6) AS intercept, round(sqrt(avg(pow(k - (SELECT regr_intercept(k, value) FROM ev) - (SELECT regr_slope(k, value) FROM ev) * value, 2))), 6) AS rmsd FROM ev")
+def linear_decoder(spark, d):
+    """Least squares from the feature back to a coordinate, by its normal equations, and what it leaves."""
+    ev = frames.events(spark, d)
+    fit = ev.agg((F.covar_pop("value", "k") / F.var_pop("value")).alias("slope"), F.avg("value").alias("mv"), F.avg("k").alias("mk"))
+    fit = fit.select("slope", (F.col("mk") - F.col("slope") * F.col("mv")).alias("intercept"))
+    left = ev.join(F.broadcast(fit)).groupBy("slope", "intercept").agg(F.sqrt(F.avg(F.pow(F.col("k") - F.col("intercept") - F.col("slope") * F.col("value"), 2))).alias("rmsd"))
+    return left.select(r6(F.col("slope"), 8).alias("slope"), r6(F.col("intercept")).alias("intercept"), r6(F.col("rmsd")).alias("rmsd"))
+
+
+@query("conditional_nll", f"""WITH {EV}, p AS (SELECT {Z} AS z, lead({Z}) OVER (PARTITION BY run_id ORDER BY t) AS y FROM ev), f AS (SELECT * FROM p WHERE y IS NOT NULL),
+a AS (SELECT regr_slope(y, z) AS s, regr_intercept(y, z) AS i FROM f), v AS (SELECT avg(pow(y - i - s * z, 2)) AS v FROM f, a)
+SELECT round(0.5 * ln(2 * pi() * v) + 0.5, 6) AS nats, round(s, 6) AS slope FROM v, a""")
+def conditional_nll(spark, d):
+    """Mean negative log likelihood of the next value under the fitted linear predictor with normal errors."""
+    z = frames.events(spark, d).select("run_id", "t", F.expr(Z).alias("z"))
+    p = counts.lag_pairs(z, 1, columns=("z",))
+    m = p.agg(F.var_pop("z").alias("a"), F.covar_pop("z", "next_z").alias("b"), F.var_pop("next_z").alias("c"))
+    left = F.col("c") - F.col("b") * F.col("b") / F.col("a")
+    return m.select(r6(0.5 * F.ln(2 * math.pi * left) + 0.5).alias("nats"), r6(F.col("b") / F.col("a")).alias("slope"))
+
+
+@query("contrast_report")
+def contrast_report(spark, d):
+    """The events against themselves, a shuffle within runs, and a coarser state: ensemble and transition terms."""
+    from lagfold.plans.codec import contrast
+
+    ev = frames.events(spark, d).select("run_id", "t", "state")
+    n = ev.groupBy("run_id").agg(F.count("*").alias("n"))
+    pick = ev.join(n, "run_id").select("run_id", "t", ((F.col("t") * 1103515245 + 12345 + F.col("run_id")) % F.col("n")).alias("from"))
+    shuffled = pick.join(ev.withColumnRenamed("t", "from"), ["run_id", "from"]).select("run_id", "t", "state")
+    coarse = ev.withColumn("state", F.when(F.col("state") == 4, 3).otherwise(F.col("state")))
+    rows = contrast(ev, {"stored": ev, "shuffle": shuffled, "merged": coarse}, 5)
+    return rows.select("method", *[r6(F.col(c)).alias(c) for c in ("ensemble", "transition", "two_slice")], "support_ok")
