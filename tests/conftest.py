@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from lagfold.shipping import ship
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -15,5 +17,6 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    ship(s)
     yield s
     s.stop()
