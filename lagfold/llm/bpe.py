@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lagfold.llm.text import Words, buffers
+from lagfold.llm.text import Words, buffers, tidy
 
 
 
@@ -52,7 +52,7 @@ def byte_alphabet() -> list[str]:
 class WordBPE:
     """A word-end BPE tokenizer read from the text of its JSON file."""
 
-    def __init__(self, spec: str, cache_words: int = 1_500_000, group: int = 20_000):
+    def __init__(self, spec: str, cache_words: int = 600_000, group: int = 20_000):
         self.spec = spec
         spec = json.loads(spec)
         model = spec["model"]
@@ -77,7 +77,7 @@ class WordBPE:
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.byte = {c: b for b, c in enumerate(alphabet)}
         self.library = None
-        self.known, self.cached = np.zeros(0, np.uint64), Pieces(np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        self.forget()
         names = [(i, t.encode() + b" ") for i, t in sorted(self.tokens.items())]
         self.row_of = np.zeros(max(self.tokens) + 1, np.int64)
         self.row_of[[i for i, _ in names]] = np.arange(len(names))
@@ -173,6 +173,10 @@ class WordBPE:
         found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(raw))
         return [bytes(map(self.byte.__getitem__, p)) for p, _ in found]
 
+    def forget(self) -> None:
+        """Drop the known words."""
+        self.known, self.cached = np.zeros(0, np.uint64), Pieces(np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
     def learn(self, raw: list[bytes]) -> "Pieces":
         """The ids of stretches of text without ASCII white space."""
         parts = []
@@ -294,5 +298,7 @@ def encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "
                     cols.append(batch.column(f"_k{n}"))
                     names.append(c)
                 yield pa.RecordBatch.from_arrays(cols, names)
+        bpe.forget()
+        tidy()
 
     return frame.mapInArrow(run, schema)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lagfold.llm.spark import components, cut, sized
-from lagfold.llm.text import Words, buffers, mix64, shingles
+from lagfold.llm.text import Words, buffers, mix64, shingles, tidy
 
 U = np.uint64
 #: Cells of the histograms that bound overlaps.
@@ -139,6 +139,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: in
                     b.column("_id").slice(at, end - at), pa.array([x.tobytes() for x in content_keys(h, w.of)], pa.binary()),
                     pa.array(np.bincount(text, minlength=end - at)), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel().view(np.int64)), bands).cast(pa.list_(pa.int64())),
                 ], ["id", "k", "n", "bands"])
+        tidy()
 
     return docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text")).mapInArrow(run, schema)
 

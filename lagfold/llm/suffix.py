@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from lagfold.llm.neardup import _chunks, content_keys
 from lagfold.llm.spark import cut, sized
-from lagfold.llm.text import Words, buffers, rolling
+from lagfold.llm.text import Words, buffers, rolling, tidy
 
 U = np.uint64
 
@@ -94,6 +94,7 @@ def _suffixes(docs: DataFrame, id_col: str, text_col: str, least: int, anchor: i
                 if len(key):
                     d = content_keys(h, w.of)[:, 0].view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(d[text]), pa.array(place.astype(np.int32))], ["key", "d", "pos"])
+        tidy()
 
     return docs.select(docs[text_col].cast("string").alias("_text")).mapInArrow(run, "key long, d long, pos int")
 

@@ -126,6 +126,19 @@ def shingles(h: np.ndarray, of: np.ndarray, size: int = 5) -> tuple[np.ndarray,
     return out, text
 
 
+def tidy() -> None:
+    """Give what a task has freed back to the system; Python workers live on for the next task."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def crc_rest(column: str, modulus: int):
     """crc32 of a column as text, modulo ``modulus`` (a native expression)."""
     from pyspark.sql import functions as F
