@@ -3,15 +3,15 @@
 Suffixes are kept where the hash of the next ``anchor`` words is the smallest of
 ``least - anchor + 1`` neighbouring ones (minimisers), so every passage of ``least`` words
 holds at least one kept suffix, chosen by its content alone: both copies of a passage keep
-the same ones.  Suffixes whose anchor occurs once are dropped.  The others are sorted by
-(anchor, following words) in range partitions, neighbours are compared, and matches are
-extended left and right by up to ``least - anchor`` words; ``least`` words in all make a
-repeated passage.  Each is also compared with the first occurrence in its run, so that one
-occurrence stays and the later ones are removable.  Runs that cross partitions are settled
-by their partitions' first occurrences.
-
-Anchors are compared by 64-bit hashes, the words around them by 32 bits each (an extension
-is too long by a word with a chance of 2^-32).  Documents with equal word sequences count
+the same ones.  Suffixes whose anchor occurs once are dropped.  Every start of
+a window of ``least`` words belongs to the window's minimiser; where that is left, the
+window is kept under the hash of all its words, so equal windows have equal keys whatever
+surrounds a frequent line.  Windows are sorted by (hash, id, text, place) in range
+partitions: the first of a hash stays and the later ones are removable.  Hashes that cross
+partitions are settled by the first row that each partition has of them.
+
+Anchors and windows are compared by 64-bit hashes (n windows have a wrong match with a
+chance of n^2 / 2^65).  Documents with equal word sequences count
 as one text; every copy but the first is removable as a whole if it has ``least`` words.
 
 Defined cases: texts of fewer than ``least`` words, null and empty ones have no passage;
@@ -22,11 +22,11 @@ twice; other columns are carried untouched; an empty table gives no rows.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from lagfold.llm.neardup import _chunks, content_keys
 from lagfold.llm.spark import cut, sized
@@ -52,7 +52,12 @@ def _minimisers_of_texts(h: np.ndarray, of: np.ndarray, anchor: int, window: int
 
 
 def minimisers(x: np.ndarray, window: int) -> np.ndarray:
-    """Positions that are the smallest (the last of equals) of some ``window`` consecutive values: sliding minima by doubling."""
+    """Positions that are the smallest (the last of equals) of some ``window`` consecutive values."""
+    return np.unique(_smallest(x, window))
+
+
+def _smallest(x: np.ndarray, window: int) -> np.ndarray:
+    """The position of the smallest (the last of equals) of each ``window`` consecutive values: sliding minima by doubling."""
     n = len(x)
     if n < window:
         return np.zeros(0, np.int64)
@@ -65,7 +70,7 @@ def minimisers(x: np.ndarray, window: int) -> np.ndarray:
     if span < window:
         a, b = best[: n - window + 1], best[window - span : n - span + 1]
         best = np.where(x[b] <= x[a], b, a)
-    return np.unique(best[: n - window + 1])
+    return best[: n - window + 1]
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -99,78 +104,64 @@ def _suffixes(docs: DataFrame, id_col: str, text_col: str, least: int, anchor: i
     return docs.select(docs[text_col].cast("string").alias("_text")).mapInArrow(run, "key long, d long, pos int")
 
 
-def _contexts(texts: DataFrame, least: int, anchor: int) -> DataFrame:
-    """``(key, right, left, id, d, pos)`` of ``(id, d, _text, places)``: 32-bit hashes of the words around each anchor."""
-    reach = least - anchor
+def _windows(texts: DataFrame, least: int, anchor: int) -> DataFrame:
+    """``(w, id, d, pos)`` of ``(id, d, _text, places)``: hash and start of each window of ``least`` words whose minimiser is at one of the places."""
 
     def run(batches):
         for b in batches:
             for row in range(b.num_rows):
                 data, offsets = buffers(b.column("_text").slice(row, 1))
-                w = Words(data, offsets)
-                h = w.hashes()
-                small = (h >> U(32)).astype(np.uint32)
-                small[small == 0] = 1  # 0 stands for no word
-                padded = np.concatenate([np.zeros(reach, np.uint32), small, np.zeros(reach, np.uint32)])
-                places = np.unique(np.array(b.column("places")[row].as_py(), np.int64))
-                keys = rolling(h, anchor)[places].view(np.int64)
-                right = padded[(places + reach + anchor)[:, None] + np.arange(reach)]
-                left = padded[(places + reach - 1)[:, None] - np.arange(reach)]
-                n = len(places)
-                fixed = lambda a: pa.array([x.tobytes() for x in a.astype(">u4")], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(keys), fixed(right), fixed(left), pa.array(np.full(n, b.column("id")[row].as_py())), pa.array(np.full(n, b.column("d")[row].as_py())), pa.array(places.astype(np.int32))], ["key", "right", "left", "id", "d", "pos"])
-
-    return texts.mapInArrow(run, "key long, right binary, left binary, id long, d long, pos int")
-
-
-def _matched(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How far the contexts of the rows i and j agree, to the left and to the right."""
-    run = lambda a: np.cumprod((a[i] == a[j]) & (a[i] != 0), 1).sum(1)
-    return run(left), run(right)
-
-
-def _compare(pdf: pd.DataFrame, least: int, anchor: int, near: int = 4) -> pd.DataFrame:
-    """Spans of the rows of sorted suffixes: against neighbours, and against the first occurrence of the run."""
-    n, reach = len(pdf), least - anchor
-    left, right = (np.frombuffer(b"".join(pdf[c]), ">u4").reshape(n, reach) for c in ("left", "right"))
-    key, ident, pos, d = (pdf[c].to_numpy() for c in ("key", "id", "pos", "d"))
-    run = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) if n else np.zeros(0, np.int64)
-    pairs = [(np.arange(n - s), np.arange(s, n)) for s in range(1, min(near, n - 1) + 1)]
-    first = np.lexsort((pos, d, ident, run))
-    head = first[np.searchsorted(run[first], np.arange(run[-1] + 1))] if n else first
-    pairs.append((head[run] if n else first, np.arange(n)))
-    out = []
-    for i, j in pairs:
-        ok = (run[i] == run[j]) & ((d[i] != d[j]) | (pos[i] != pos[j]))
-        i, j = i[ok], j[ok]
-        lo, hi = _matched(left, right, i, j)
-        ok = lo + anchor + hi >= least
-        i, j, lo, hi = i[ok], j[ok], lo[ok], hi[ok]
-        later = (ident[i] < ident[j]) | ((ident[i] == ident[j]) & ((d[i] < d[j]) | ((d[i] == d[j]) & (pos[i] < pos[j]))))
-        for own, other, dup in ((i, j, ~later), (j, i, later)):
-            start, end = pos[own] - lo, pos[own] + anchor + hi
-            out.append(pd.DataFrame({"d": d[own], "start": start, "end": end, "dup": False}))
-            # where a text overlaps itself, the earlier occurrence stays whole
-            start = np.where(d[own] == d[other], np.maximum(start, pos[other] + anchor + hi), start)
-            cut_out = dup & (start < end)
-            out.append(pd.DataFrame({"d": d[own], "start": start, "end": end, "dup": True})[cut_out])
-    spans = pd.concat(out) if out else pd.DataFrame({"d": [], "start": [], "end": [], "dup": []})
-    return spans.astype({"d": "int64", "start": "int32", "end": "int32", "dup": bool}).drop_duplicates()
-
-
-def merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
-    """The union of intervals."""
-    order = np.argsort(start, kind="stable")
-    start, end = start[order], np.maximum.accumulate(end[order])
-    new = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]])) if len(start) else np.zeros(0, np.int64)
-    stop = end[np.concatenate([new[1:] - 1, [len(end) - 1]])] if len(new) else end
-    return list(zip(start[new].tolist(), stop.tolist()))
+                h = Words(data, offsets).hashes()
+                places = np.array(b.column("places")[row].as_py(), np.int64)
+                pos = np.flatnonzero(np.isin(_smallest(rolling(h, anchor), least - anchor + 1), places))
+                n = len(pos)
+                same = lambda c: pa.array([b.column(c)[row].as_py()] * n, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(rolling(h, least)[pos].view(np.int64)), same("id"), same("d"), pa.array(pos.astype(np.int32))], ["w", "id", "d", "pos"])
+
+    return texts.mapInArrow(run, "w long, id long, d long, pos int")
+
+
+def _settled(w: np.ndarray, d: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of windows sorted by (w, id, d, pos): the settled rows, where the first of each one's hash is, and the first rows of both edges' hashes with their counts.
+
+    The first is told by its place if it is in the same text, else by -1.
+    """
+    own = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (d[1:] != d[:-1]) | (pos[1:] != pos[:-1])]))  # rows equal in id and text
+    new = np.flatnonzero(np.concatenate([[True], w[own][1:] != w[own][:-1]]))
+    count = np.diff(np.append(new, len(own)))
+    head = own[np.repeat(new, count)]
+    edge = np.unique([0, len(new) - 1])
+    inside = np.repeat(count > 1, count)
+    inside[new[edge]] = False
+    first = np.where(d[own] == d[head], pos[head], -1)
+    return own[inside], first[inside], own[new[edge]], count[edge]
+
+
+def _covered(starts: np.ndarray, length: int, size: int) -> np.ndarray:
+    """Which of ``size`` words are within ``length`` words of one of the starts."""
+    return np.cumsum(np.bincount(starts, minlength=size + 1) - np.bincount(starts + length, minlength=size + 1))[:size] > 0
+
+
+def _intervals(mask: np.ndarray) -> list[dict]:
+    at = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))).tolist()
+    return [{"start": a, "end": e} for a, e in zip(at[::2], at[1::2])]
+
+
+def _spans_of(pos: np.ndarray, first: np.ndarray, least: int) -> tuple[list[dict], list[dict]]:
+    """Repeated and removable spans of a text, of its repeated windows in order and the places of their firsts (-1: in another text)."""
+    at = np.minimum(np.searchsorted(pos, first), len(pos) - 1)
+    first = np.where((first >= 0) & (pos[at] == first), first[at], first)  # the first of a partition may be a later one itself
+    size = int(pos[-1]) + least
+    run = lambda x: _covered(x, least, size)
+    again = (first >= 0) & (first != pos)
+    # where a text overlaps itself, the earlier occurrence stays whole
+    return _intervals(run(pos)), _intervals(run(pos[first < 0]) | (run(pos[again]) & ~run(np.unique(first[again]))))
 
 
 _SPANS = "array<struct<start:int,end:int>>"
 
 
-def repeated_spans(docs: DataFrame, keyed: DataFrame, id_col: str, text_col: str, least: int, anchor: int, rows: int = 60_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, keyed: DataFrame, id_col: str, text_col: str, least: int, anchor: int, rows: int = 200_000) -> DataFrame:
     """``(d, spans, removable)`` of each text that shares a passage with another place; spans in words."""
     suffixes = cut(_suffixes(docs, id_col, text_col, least, anchor))
     place = F.xxhash64("d", "pos")
@@ -191,40 +182,42 @@ def repeated_spans(docs: DataFrame, keyed: DataFrame, id_col: str, text_col: str
 
     # null ids are kept apart by eqNullSafe
     picked = source.join(wanted.withColumnRenamed("id", "_w"), F.expr("id <=> _w"), "left_semi").mapInArrow(tag, "id long, _text string, d long")
-    texts = picked.join(places.select("d", "places"), "d").select("id", "d", "_text", "places")
-    contexts = cut(_contexts(texts, least, anchor))
-    parts = max(1, -(-contexts.count() // rows))
+    texts = picked.join(places.select("d", F.col("id").alias("_i"), "places"), "d").where(F.expr("id <=> _i")).select("id", "d", "_text", "places")
+    windows = cut(_windows(texts, least, anchor))
+    parts = max(1, -(-windows.count() // rows))
 
     def scan(batches):
-        whole = [p for p in batches if len(p)]
+        whole = [b for b in batches if b.num_rows]
         if whole:
-            pdf = pd.concat(whole, ignore_index=True)
-            spans = _compare(pdf, least, anchor)
-            keys = pdf["key"].to_numpy()
-            edge = pdf[(keys == keys[0]) | (keys == keys[-1])].sort_values(["key", "id", "d", "pos"]).groupby("key").head(1)
-            spans = spans.assign(key=0, right=b"", left=b"", id=0, pos=-1)
-            edge = edge.assign(start=0, end=0, dup=False)
-            cols = ["d", "start", "end", "dup", "key", "right", "left", "id", "pos"]
-            yield pd.concat([spans[cols], edge[cols]])
-
-    order = ["key", "right", "left", "id", "d", "pos"]
-    ranged = contexts.repartitionByRange(parts, *order) if parts > 1 else contexts.coalesce(1)
-    found = cut(ranged.sortWithinPartitions(*order).mapInPandas(scan, "d long, start int, end int, dup boolean, key long, right binary, left binary, id long, pos int"))
-    edges = found.where("pos >= 0").select("key", "right", "left", "id", "d", "pos")  # two rows a partition at most
-    across = edges.groupBy("key").applyInPandas(lambda pdf: _compare(pdf.sort_values(["right", "left", "id", "d", "pos"]).reset_index(drop=True), least, anchor), "d long, start int, end int, dup boolean")
-    spans = found.where("pos < 0").select("d", "start", "end", "dup").union(across)
-
-    def unite(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"d": pdf["d"], "spans": [_as_rows(x, False) for x in pdf["s"]], "removable": [_as_rows(x, True) for x in pdf["s"]]})
-
-    each = spans.distinct().groupBy("d").agg(F.collect_list(F.struct("start", "end", "dup")).alias("s"))
-    return each.mapInPandas(unite, f"d long, spans {_SPANS}, removable {_SPANS}")
+            t = pa.Table.from_batches(whole)
+            rows, first, edge, count = _settled(*(t.column(c).to_numpy() for c in ("w", "d", "pos")))
+            for at, f, c in ((rows, first, np.zeros(len(rows))), (edge, np.full(len(edge), -1), count)):
+                for b in t.take(pa.array(at)).append_column("first", pa.array(f.astype(np.int32))).append_column("c", pa.array(c.astype(np.int64))).combine_chunks().to_batches():
+                    yield b
+        tidy()
 
+    order = ["w", "id", "d", "pos"]
+    ranged = windows.repartitionByRange(parts, *order) if parts > 1 else windows.coalesce(1)
+    found = cut(ranged.sortWithinPartitions(*order).mapInArrow(scan, "w long, id long, d long, pos int, first int, c long"))
+    of_w = W.partitionBy("w")
+    firsts = of_w.orderBy("id", "d", "pos")
+    edges = found.where("c > 0").withColumns({"all": F.sum("c").over(of_w), "_d": F.first("d").over(firsts), "_pos": F.first("pos").over(firsts)})  # two rows a partition at most
+    across = edges.where("all > 1").select("d", "pos", F.when(F.col("d") == F.col("_d"), F.col("_pos")).otherwise(-1).alias("first"))
 
-def _as_rows(spans, only_dup: bool) -> list[dict]:
-    use = [s for s in spans if s["dup"] or not only_dup]
-    return [{"start": a, "end": b} for a, b in merged(np.array([s["start"] for s in use], np.int64), np.array([s["end"] for s in use], np.int64))]
+    def unite(batches):
+        for b in batches:
+            s = b.column("s")
+            offsets, values = s.offsets.to_numpy(), s.values.to_numpy()
+            got = []
+            for a, e in zip(offsets, offsets[1:]):
+                x = np.sort(values[a:e])
+                got.append(_spans_of(x >> 32, (x & 0xFFFFFFFF) - 1, least))
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([b.column("d"), pa.array([g[0] for g in got], kind), pa.array([g[1] for g in got], kind)], ["d", "spans", "removable"])
+
+    packed = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("first").cast("long") + 1)
+    each = found.where("c = 0").select("d", "pos", "first").union(across).groupBy("d").agg(F.collect_list(packed).alias("s"))
+    return each.mapInArrow(unite, f"d long, spans {_SPANS}, removable {_SPANS}")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, anchor: int = 25) -> DataFrame:

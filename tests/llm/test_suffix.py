@@ -83,6 +83,30 @@ def test_spans_by_brute_force(spark, monkeypatch, rows_in_task):
     assert not (lost & unique)
 
 
+def check_groups(spark, shared):
+    """Documents of groups that share ``shared`` words (before, after) one frequent line of 40: spans and what is removable, by brute force."""
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"w{k}" for k in rng.integers(0, 50_000, n)]
+    line, rows = word(40), []
+    for before, after in shared:
+        a, b = word(before), word(after)
+        rows += [" ".join(word(30) + a + line + b + word(30)) for _ in range(2)]
+    rows = [(i, rows[k]) for i, k in enumerate(rng.permutation(len(rows)).tolist())]
+    got = {r.id: r for r in suffix.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts, cover = coverage(rows)
+    words = lambda spans: {k for s in spans for k in range(s.start, s.end)}
+    seen = set()
+    for ws, ids in texts.items():
+        runs = [ws[k : k + 50] for k in range(len(ws) - 49)]
+        assert words(got[ids[0]].spans) == cover[ws]
+        assert words(got[ids[0]].removable) == {j for k, run in enumerate(runs) if run in seen for j in range(k, k + 50)}
+        seen.update(runs)
+
+
+def test_groups_behind_one_line(spark):
+    check_groups(spark, [(15, 0)] * 60 + [(0, 15)] * 30 + [(6, 6)] * 60)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert suffix.repeats(df).count() == 0 and suffix.without_repeats(df).count() == 0
