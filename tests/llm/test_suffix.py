@@ -107,6 +107,11 @@ def test_groups_behind_one_line(spark):
     check_groups(spark, [(15, 0)] * 60 + [(0, 15)] * 30 + [(6, 6)] * 60)
 
 
+def test_groups_across_partitions(spark, monkeypatch):
+    monkeypatch.setattr(suffix.repeated_spans, "__defaults__", (5,))
+    check_groups(spark, [(0, 10)] * 60)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert suffix.repeats(df).count() == 0 and suffix.without_repeats(df).count() == 0
