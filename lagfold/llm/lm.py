@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from lagfold.llm.eliasfano import ABSENT, MappedTrie, Trie
 from lagfold.llm.spark import cut
-from lagfold.llm.text import Words, buffers, mix64
+from lagfold.llm.text import Words, buffers, mix64, tidy
 
 U = np.uint64
 END, START = (int(mix64(np.array([x], U))[0] >> U(1)) for x in (0x656E64, 0x7374617274))
@@ -122,14 +122,16 @@ def _answer(rows: list[tuple[int, bytes]], shard: int, order: int, discount: flo
     c = np.bincount(inv, np.concatenate([p[1] for p in sent])).astype(np.int64)
     w40 = [np.concatenate([p[3 + 4 * k].astype(U) | p[4 + 4 * k].astype(U) << U(32) for p in sent]) for k in range(order - 1)]
     ranks = np.unique(np.concatenate(w40), return_inverse=True)
-    vocab, ranks = ranks[0], np.split(ranks[1], np.cumsum([len(w) for w in w40])[:-1])
+    vocab, ranks = ranks[0], np.split(ranks[1].astype(np.int32), np.cumsum([len(w) for w in w40])[:-1])
+    del w40
     merged, levels, keep = [], [], np.arange(len(words))
     parent_inv = inv
     for k in range(order - 1):
-        parent = np.repeat(parent_inv, np.concatenate([p[2 + 4 * k] for p in sent]))
+        parent = np.repeat(parent_inv.astype(np.int64), np.concatenate([p[2 + 4 * k] for p in sent]))
         key, back = np.unique(parent * max(1, len(vocab)) + ranks[k], return_inverse=True)
         count = np.bincount(back, np.concatenate([p[5 + 4 * k] for p in sent])).astype(np.int64)
-        merged.append((key // max(1, len(vocab)), key % max(1, len(vocab)), back))
+        back = back.astype(np.int32)
+        merged.append(((key // max(1, len(vocab))).astype(np.int32), (key % max(1, len(vocab))).astype(np.int32), back))
         seen = count > 0  # only what training texts hold is in the trie
         levels.append((keep[key // max(1, len(vocab))][seen], (key % max(1, len(vocab)))[seen], count[seen]))
         keep = np.where(seen, np.cumsum(seen) - 1, -1)
@@ -198,10 +200,10 @@ def _finish(answers: list[bytes], plan: bytes, order: int, total: int, kinds: in
 def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", order: int = 2, discount: float = 0.75, block_tokens: int = 2_500_000, shards: int | None = None) -> DataFrame:
     """``(id, n_tokens, n_known, train_tokens, base_score, score)`` of each row; ``train``: a boolean column of ``docs``.
 
-    ``id_col`` must be an integer column.  ``shards`` is twice the shuffle partitions unless given.
+    ``id_col`` must be an integer column.  ``shards`` is four times the shuffle partitions for each length above one unless given.
     """
     spark = docs.sparkSession
-    shards = shards or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or 4 * max(1, order - 1) * int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), F.coalesce(train, F.lit(True)).alias("_train"), F.spark_partition_id().cast("long").alias("_part"))
     low = np.iinfo(np.int64).min
 
@@ -234,6 +236,7 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
                     size, turn = 0, turn + 1
         if size:
             yield flush()
+        tidy()
 
     sent = source.mapInArrow(split, "shard long, block long, blob binary")
 
@@ -243,7 +246,9 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
         if s < 0:  # a block's own sequence
             return pd.DataFrame({"shard": pdf["shard"], "block": pdf["block"], "v": 0, "n": 0, "blob": pdf["blob"]})[cols]
         pdf = pdf.sort_values("block")
-        return pd.DataFrame(list(_answer(list(zip(pdf["block"], pdf["blob"])), s, order, discount)), columns=cols)
+        out = pd.DataFrame(list(_answer(list(zip(pdf["block"], pdf["blob"])), s, order, discount)), columns=cols)
+        tidy()
+        return out
 
     met = cut(sent.groupBy("shard").applyInPandas(merge, "shard long, block long, v long, n long, blob binary"))
     sums = met.agg(F.sum("v").alias("v"), F.sum("n").alias("n")).first()

@@ -89,7 +89,7 @@ def op1_trie_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lagfold.llm.text import crc_rest
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = lm.score(docs, crc_rest("doc_id", 5) != 1)
+    scored = lm.score(docs, crc_rest("doc_id", 5) != 1, order=3)
     return scored.select("doc_id", (crc_rest("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -87,3 +87,16 @@ def test_scores_by_brute_force(spark, order, block):
     assert np.allclose([g[4] for g in got], [w[4] for w in want])
     assert np.allclose([g[5] for g in got], [w[5] for w in want], rtol=0.01)
     assert lm.score(df.limit(0), F.col("learn")).count() == 0
+
+
+def test_query_scores_by_trigrams(spark, tmp_path):
+    from lagfold.llm.queries import op1_trie_lm
+
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{k}" for k in (rng.zipf(1.4, rng.integers(0, 60)) % 20))) for i in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(op1_trie_lm(spark, str(tmp_path)).collect(), key=lambda r: str(r.doc_id))
+    learn = {r.doc_id: not r.held_out for r in got}
+    want = brute([(i, t, learn[i]) for i, t in rows], 3, 0.75)
+    assert [r.doc_id for r in got] == [w[0] for w in want] and 0 < sum(learn.values()) < 120
+    assert np.allclose([r.score for r in got], [w[5] for w in want], rtol=0.01)
