@@ -35,9 +35,10 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    found = cut(decontaminate.contained(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_hit")).distinct())
-    return docs.join(sized(found), docs["doc_id"] == found["_hit"], "left_anti")
+    """Documents that contain no benchmark item; told by the hash of their text, as ids may be null or repeated."""
+    keyed = docs.select(F.xxhash64("text").alias("_k"), "text")
+    found = cut(decontaminate.contained(keyed, table(spark, sf_dir, "benchmark"), id_col="_k").select(F.col("_k").alias("_hit")).distinct())
+    return docs.join(sized(found), F.xxhash64(docs["text"]) == found["_hit"], "left_anti")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

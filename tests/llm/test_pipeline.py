@@ -44,3 +44,11 @@ def test_stages_by_brute_force(spark, tmp_path):
     tok = Tokenizer.from_str(word_bpe_spec())
     got = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, d).collect()}
     assert got == {i: len(tok.encode(t, add_special_tokens=False).ids) for i, t in left["decontamination"]}
+
+
+def test_decontamination_without_ids(spark, tmp_path):
+    item = " ".join(f"b{k}" for k in range(30))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"some words {item} and more"), (None, "clean words"), (None, None), (5, f"before {item}"), (5, "clean with the same id"), (6, "clean")]
+    left = corpus_pipeline.decontamination(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
+    assert sorted(map(tuple, left), key=str) == sorted((r for r in rows if item not in (r[1] or "")), key=str)
