@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lagfold.llm.spark import BROADCAST_ROWS, cut
+from lagfold.llm.spark import BROADCAST_BYTES, cut, sized
 
 #: Words are separated by these characters; fixed, the same in Spark's and in DuckDB's regular expressions.
 SEPARATORS = "[\\x09-\\x0D\\x20]+"
@@ -51,17 +51,16 @@ def item_sketches(items: DataFrame, item_col: str, text_col: str, threshold: flo
     return every.select("item", "q", F.explode("g").alias("s")), sketch
 
 
-def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 5, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 5, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``(doc_id, item_id, common, item_shingles, containment)`` of every document and item at or above the threshold.
 
-    The items' shingles are broadcast only if they are at most ``broadcast_rows``; else
+    The items' shingles are broadcast only if they take at most ``broadcast_bytes``; else
     the documents' shingles are joined to them by a shuffle.
     """
     every, sketch = (cut(x) for x in item_sketches(items, item_col, item_text, threshold, size))
     n_words = items.select(F.size(words(F.col(item_text))).alias("n")).where(f"n > 0 and n < {size}").distinct().collect()  # at most size - 1 rows
     lengths = [*sorted(r.n for r in n_words), size]
-    small = lambda x: F.broadcast(x) if x.limit(broadcast_rows + 1).count() <= broadcast_rows else x
-    sketch_side, every_side = small(sketch), small(every)
+    sketch_side, every_side = sized(sketch, broadcast_bytes), sized(every, broadcast_bytes)
 
     def shingled(part: DataFrame) -> DataFrame:
         w = part.select("doc", words(F.col("_t")).alias("w"))
@@ -71,6 +70,6 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_col:
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("_t"))
     # candidates: a shingle of the sketch met in a document that has words enough
     candidates = cut(shingled(texts).join(sketch_side, "s").where(F.col("_n") >= threshold * F.col("q")).select("doc", "item").distinct())
-    found = shingled(texts.join(small(candidates.select("doc").distinct()), "doc", "left_semi")).join(every_side, "s").select("doc", "item", "q", "s")
-    common = found.join(small(candidates), ["doc", "item"]).groupBy("doc", "item", "q").agg(F.count_distinct("s").alias("common"))
+    found = shingled(texts.join(sized(candidates.select("doc").distinct(), broadcast_bytes), "doc", "left_semi")).join(every_side, "s").select("doc", "item", "q", "s")
+    common = found.join(sized(candidates, broadcast_bytes), ["doc", "item"]).groupBy("doc", "item", "q").agg(F.count_distinct("s").alias("common"))
     return common.where(F.col("common") >= threshold * F.col("q") - 1e-9).select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "common", F.col("q").cast("long").alias("item_shingles"), (F.col("common") / F.col("q")).alias("containment"))

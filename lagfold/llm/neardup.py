@@ -7,14 +7,20 @@ texts with different counts of a shingle share the points of their common weight
 point falls to one of ``m`` components and the first of each is the signature; two
 components are equal with the probability of the weighted Jaccard similarity.
 
-Signatures are banded; in each bucket the members are verified (exact multiset overlap)
-against a leader, those that fail against the next leader, and what the triangle
-inequality can't exclude across components is verified too.  Verified links make
-classes.  Texts with equal word sequences are one from the start.
-
-Defined cases: a text without words (null, empty, blank) is a class of its own;
-repeated rows are copies of each other; a text of 1 to 4 words is one shingle; columns
-other than the two named ones are not looked at.
+Signatures are banded.  In each bucket the members are verified (exact multiset overlap)
+against a leader, the member with the least share of shingles that no other text has.
+Verified links make classes.  In a bucket that still holds several classes, two members of
+different classes are a candidate pair unless an upper bound of their overlap (shingles
+of their own, counts of the others in hash cells) excludes it; members meet in blocks, and
+only such pairs leave a block.  Candidates are verified a few for each class at a time,
+those with the highest bound first, and go where their classes have met: so no link
+between different classes is lost and few within one are looked at.  Texts with equal
+word sequences are one from the start.
+
+Defined cases: a text without words (null, empty, blank) is a class of its own, under its
+own id; repeated rows are copies of each other; a text of 1 to 4 words is one shingle; a
+null id is no smallest id unless all ids of the class are null; columns other than the two
+named ones are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,12 +32,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lagfold.llm.spark import components, cut, sized
+from lagfold.llm.spark import components, cut, fresh, release, sized
 from lagfold.llm.text import Words, buffers, mix64, shingles, tidy
 
 U = np.uint64
-#: Cells of the histograms that bound overlaps.
-CELLS = 128
+#: Cells of the histograms that bound overlaps, and members of a bucket that meet as one block.
+CELLS, BLOCK = 64, 2048
 _TWO_64 = float(1 << 64)
 
 
@@ -145,146 +151,205 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: in
 
 
 def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
-    """``(k, codes, cells)`` of ``(k, _text)``: a 32-bit code of each shingle and its occurrence number, and how many codes fall into each of CELLS cells."""
-    schema = T.StructType([T.StructField("k", T.BinaryType()), T.StructField("codes", T.ArrayType(T.IntegerType())), T.StructField("cells", T.ArrayType(T.IntegerType()))])
+    """``(k, codes)`` of the column ``_text``: the content key and a 64-bit code of each shingle and its occurrence number."""
 
     def run(batches):
         for b in batches:
             data, offsets = buffers(b.column("_text"))
             for at, end in _chunks(offsets, 4 << 20):
                 w = Words(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
-                s, text = shingles(w.hashes(), w.of, size)
+                h = w.hashes()
+                s, text = shingles(h, w.of, size)
                 order = np.lexsort((s, text))
                 s, text = s[order], text[order]
                 new = np.concatenate([[True], (s[1:] != s[:-1]) | (text[1:] != text[:-1])]) if len(s) else np.zeros(0, bool)
                 start = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
-                codes = (mix64(s + (np.arange(len(s)) - start).astype(U)) >> U(32)).astype(np.uint32).view(np.int32)
+                codes = mix64(s + (np.arange(len(s)) - start).astype(U) * U(0xD1B54A32D192ED03)).view(np.int64)
                 of = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=end - at))]).astype(np.int32)
-                cells = np.bincount(text * CELLS + (codes & (CELLS - 1)), minlength=(end - at) * CELLS).astype(np.int32)
-                steps = np.arange(0, (end - at + 1) * CELLS, CELLS, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([b.column("k").slice(at, end - at), pa.ListArray.from_arrays(pa.array(of), pa.array(codes)), pa.ListArray.from_arrays(pa.array(steps), pa.array(cells))], ["k", "codes", "cells"])
+                keys = pa.array([x.tobytes() for x in content_keys(h, w.of)], pa.binary())
+                yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(of), pa.array(codes))], ["k", "codes"])
+        tidy()
 
-    return texts.select("k", "_text").mapInArrow(run, schema)
+    return texts.select("_text").mapInArrow(run, "k binary, codes array<bigint>")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(a, b, sim)``: the multisets' Jaccard similarity of each pair."""
-    x, y = sets.select(F.col("k").alias("a"), F.col("codes").alias("ca")), sets.select(F.col("k").alias("b"), F.col("codes").alias("cb"))
-    common = F.size(F.array_intersect("ca", "cb"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", (common / (F.size("ca") + F.size("cb") - common)).alias("sim"))
+def _profiles(sets: DataFrame) -> DataFrame:
+    """``(t, n, x, codes, cells)`` of ``(t, codes, own)``: shingles in all, those that other texts have too, and how many of these fall into each cell."""
 
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, min(1024, b.num_rows - at))
+                codes, own = part.column("codes"), part.column("own")
+                n = np.diff(codes.offsets.to_numpy())
+                row, value = np.repeat(np.arange(part.num_rows), n), codes.flatten().to_numpy()
+                alone = np.sort(own.flatten().to_numpy())  # each is in one text only, so the value decides
+                shared = np.ones(len(value), bool)
+                if len(alone):
+                    shared = alone[np.minimum(np.searchsorted(alone, value), len(alone) - 1)] != value
+                x = np.bincount(row[shared], minlength=part.num_rows)
+                cell = (value[shared].view(U) & U(CELLS - 1)).astype(np.int64)
+                cells = np.bincount(row[shared] * CELLS + cell, minlength=part.num_rows * CELLS).astype("<i4").reshape(-1, CELLS)
+                of = np.concatenate([[0], np.cumsum(np.bincount(row[shared], minlength=part.num_rows))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([
+                    part.column("t"), pa.array(n.astype(np.int64)), pa.array(x.astype(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(of), pa.array(value[shared])), pa.array([c.tobytes() for c in cells], pa.binary()),
+                ], ["t", "n", "x", "codes", "cells"])
 
-def _private(sets: DataFrame) -> DataFrame:
-    """``(k, n, r)``: the number of shingles, and of those that no other text of ``sets`` has."""
-    own = F.xxhash64("k").alias("kk")
-    codes = sets.select(own, F.explode("codes").alias("code"))
-    alone = codes.groupBy("code").agg(F.count("*").alias("c"), F.min("kk").alias("kk")).where("c = 1").groupBy("kk").agg(F.count("*").alias("r"))
-    return sets.select("k", own, F.size("codes").alias("n")).join(alone, "kk", "left").select("k", F.col("n").cast("long").alias("n"), F.coalesce("r", F.lit(0)).alias("r"))
+    return sets.mapInArrow(run, "t long, n long, x long, codes array<bigint>, cells binary")
 
 
-def _cells_allow(x: str, y: str, n: str, m: str, threshold: float):
-    """Whether the cells' common counts, which no overlap exceeds, leave room for ``threshold``."""
-    common = F.aggregate(F.zip_with(x, y, lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
-    return common >= (F.col(n) + F.col(m)) * (threshold / (1 + threshold)) - 1e-6
+def _verify(pairs: DataFrame, profiles: DataFrame, threshold: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose multisets' Jaccard similarity is at least ``threshold``."""
+    x, y = (profiles.select(F.col("t").alias(c), F.col("codes").alias(f"c{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
+    common = F.size(F.array_intersect("ca", "cb"))
+    return pairs.join(x, "a").join(y, "b").where(common / (F.col("na") + F.col("nb") - common) >= threshold).select("a", "b")
 
 
-def _most(n: str, r: str, m: str, q: str):
-    """The largest similarity of texts with n and m shingles of which r and q are private."""
-    x, y = F.col(n) - F.col(r), F.col(m) - F.col(q)
-    return F.least(x, y) / (F.col(r) + F.col(q) + F.greatest(x, y))
+def _most(n, x, m, y):
+    """The largest similarity of texts with n and m shingles of which x and y are others' too."""
+    return F.least(x, y) / (n - x + m - y + F.greatest(x, y))
 
 
-def _rooted(df: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return df.withColumn("root", F.col("k"))
-    return df.drop("root").join(roots.select(F.col("node").alias("k"), "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+def _candidates(active: DataFrame, profiles: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b, bound)``: pairs of different roots in a bucket that no bound excludes, of ``(bucket, t, n, x, root, main)``.
 
+    Members outside the bucket's main class meet all others, block by block.
+    """
+    side = F.col("root") == F.col("main")
+    many = active.groupBy("bucket", side.alias("side")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = active.withColumn("side", side).join(sized(cut(many)), ["bucket", "side"])
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(profiles.select("t", "cells"), "t")
+    packed = cut(dealt.groupBy("bucket", "side", "block").agg(*[F.collect_list(c).alias(c) for c in ("t", "n", "x", "root", "cells")]))
+    rest = many.where("not side").select("bucket", F.col("blocks").alias("rest"))
+    left = packed.where("not side").select("bucket", F.col("block").alias("i"), *[F.col(c).alias(f"a_{c}") for c in ("t", "n", "x", "root", "cells")])
+    met = packed.join(sized(cut(rest)), "bucket").withColumn("i", F.explode(F.sequence(F.lit(0), F.when(F.col("side"), F.col("rest") - 1).otherwise(F.col("block")))))
+    met = met.join(left, ["bucket", "i"]).select("t", "n", "x", "root", "cells", *[c for c in left.columns if c.startswith("a_")])
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 24, rows: int = 4, size: int = 5, leaders: int = 32) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            cols = {c: b.column(c) for c in b.schema.names}
+            for k in range(b.num_rows):
+                u, v = ({c: cols[p + c][k].values for c in ("t", "n", "x", "root", "cells")} for p in ("a_", ""))
+                a, c, bound = _pairs(*({c: _cells(w[c]) if c == "cells" else w[c].to_numpy() for c in w} for w in (u, v)), threshold)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, c)), pa.array(np.minimum(a, c)), pa.array(bound)], ["a", "b", "bound"])
+
+    return met.mapInArrow(run, "a long, b long, bound double").groupBy("a", "b").agg(F.max("bound").alias("bound"))
+
+
+def _cells(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<i4").reshape(-1, CELLS)
+
+
+def _pairs(u: dict, v: dict, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(t of u, t of v, bound) of the pairs of different roots that may reach the threshold."""
+    out = []
+    step = max(1, (1 << 20) // len(v["t"]))
+    for at in range(0, len(u["t"]), step):
+        own = slice(at, at + step)
+        n, x = u["n"][own, None], u["x"][own, None]
+        most = np.minimum(x, v["x"]) / (n - x + v["n"] - v["x"] + np.maximum(x, v["x"]))
+        i, j = np.nonzero((most >= threshold - 1e-9) & (u["root"][own, None] != v["root"]))
+        i += at
+        for p in range(0, len(i), 1 << 16):
+            a, b = i[p : p + (1 << 16)], j[p : p + (1 << 16)]
+            common = np.minimum(u["cells"][a], v["cells"][b]).sum(1)
+            bound = common / (u["n"][a] + v["n"][b] - common)
+            ok = bound >= threshold - 1e-9
+            out.append((u["t"][a[ok]], v["t"][b[ok]], bound[ok]))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+
+
+def _settle(candidates: DataFrame, roots: DataFrame, profiles: DataFrame, threshold: float, first: int = 4) -> DataFrame:
+    """``roots`` with the classes joined that verified candidates link.
+
+    Each turn verifies, for every class, the ``first`` (then 4 times as many) candidates of the highest bound.
+    """
+    many = first
+    while True:
+        of = lambda c: roots.select(F.col("t").alias(c), F.col("root").alias(f"r{c}"))
+        open_ = cut(candidates.join(of("a"), "a").join(of("b"), "b").where("ra != rb").select("a", "b", "bound", "ra", "rb"))
+        release(candidates)
+        if not open_.limit(1).count():
+            release(open_)
+            return roots
+        both = open_.select("a", "b", "bound", F.explode(F.array("ra", "rb")).alias("r"))
+        place = F.row_number().over(W.partitionBy("r").orderBy(F.desc("bound"), "a", "b"))
+        taken = cut(both.withColumn("place", place).where(F.col("place") <= many).select("a", "b").distinct())
+        links = cut(_verify(taken, profiles, threshold).join(open_.select("a", "b", "ra", "rb"), ["a", "b"]).select("ra", "rb"))
+        met = components(links, "ra", "rb")
+        later = cut(roots.join(sized(cut(met)).select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("t", F.coalesce("to", "root").alias("root")))
+        release(roots)
+        candidates, roots = cut(open_.join(taken, ["a", "b"], "left_anti").select("a", "b", "bound")), later
+        release(open_, taken, links)
+        many *= 4
+
+
+def _classified(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, rows: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """``(id, k, n)`` of each row, and ``(k, class_id, leads)`` of each text with words; one text of each class leads."""
+    base = cut(signatures(docs, id_col, text_col, bands, rows, size))
+    number = F.monotonically_increasing_id()
+    texts = cut(base.where("n > 0").groupBy("k").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")).withColumn("t", number))
+    placed = texts.select("t", F.explode("bands").alias("bucket"))
+    several = cut(placed.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"))
+    placed = cut(placed.join(sized(several), "bucket"))
+    wanted = cut(texts.join(sized(cut(placed.select("t").distinct())), "t", "left_semi").select("t", "k", "rep"))
+
+    # the texts themselves, by an id that they have and then by content
+    source = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"))
+    reps = cut(wanted.select(F.col("rep").alias("_rep")).distinct())
+    found = shingle_sets(source.join(sized(reps), F.expr("_id <=> _rep"), "left_semi"), size)
+    sets = cut(found.join(sized(cut(wanted.select("k", "t"))), "k").select("t", "codes").dropDuplicates(["t"]))
+    codes = sets.select("t", F.explode("codes").alias("code"))
+    own = codes.groupBy("code").agg(F.count("*").alias("c"), F.min("t").alias("t")).where("c = 1").groupBy("t").agg(F.collect_list("code").alias("own"))
+    profiles = cut(_profiles(sets.join(own, "t", "left")))
+    release(several, reps, sets)
+
+    # of a text with fewer than threshold * n shared shingles no other is near
+    small = profiles.select("t", "n", "x").where(F.col("x") >= F.col("n") * (threshold - 1e-9))
+    members = cut(placed.join(sized(cut(small)), "t"))
+    mine = F.struct(((F.col("n") - F.col("x")) / F.col("n")).alias("share"), "t", "n", "x")
+    heads = cut(members.groupBy("bucket").agg(F.min(mine).alias("h"), F.count("*").alias("c")).where("c > 1").select("bucket", F.col("h.t").alias("ht"), F.col("h.n").alias("hn"), F.col("h.x").alias("hx")))
+    led = members.join(sized(heads), "bucket").where("t != ht")
+    asked = led.where(_most(F.col("n"), F.col("x"), F.col("hn"), F.col("hx")) >= threshold - 1e-9)
+    links = cut(_verify(cut(asked.select(F.col("t").alias("a"), F.col("ht").alias("b")).distinct()), profiles, threshold))
+    found = components(links).select(F.col("node").alias("t"), "root")
+    roots = cut(small.select("t").join(sized(cut(found)), "t", "left").select("t", F.coalesce("root", "t").alias("root")))
+
+    rooted = members.join(sized(roots), "t")
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket")
+    main = mixed.join(heads.select("bucket", F.col("ht").alias("t")), "bucket").join(roots, "t").select("bucket", F.col("root").alias("main"))
+    active = rooted.join(sized(cut(main)), "bucket")
+    roots = _settle(cut(_candidates(active, profiles, threshold)), roots, profiles, threshold)
+    release(placed, members, heads, links, profiles)
+
+    named = texts.select("t", "k", "rep").join(sized(roots), "t", "left").withColumn("root", F.coalesce("root", "t"))
+    first = F.min(F.struct(F.col("rep").isNull(), "rep", "k"))
+    least = named.groupBy("root").agg(F.min("rep").alias("class_id"), first.alias("first"))
+    of_k = cut(named.join(least, "root").select("k", "class_id", (F.col("k") == F.col("first.k")).alias("leads")))
+    release(texts, wanted, roots)
+    return base, of_k
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 24, rows: int = 4, size: int = 5) -> DataFrame:
     """``(id, k, n, class_id)`` of each row: the smallest id of its class.
 
     The chance that a pair at 0.8 shares no band is (1 - 0.8^4)^24 = 3e-6 with the defaults.
-    What the first leader leaves over in a bucket takes ``leaders`` at a time, until none is left.
     """
-    base = cut(signatures(docs, id_col, text_col, bands, rows, size))
-    texts = base.where("n > 0").groupBy("k").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
-    placed = texts.select("k", F.posexplode("bands").alias("band", "bucket"))
-    several = placed.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    placed = cut(placed.join(several, "bucket"))
+    base, of_k = _classified(docs, id_col, text_col, threshold, bands, rows, size)
+    return base.select("id", "k", "n").join(sized(of_k), "k", "left").select("id", "k", "n", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"))
 
-    needed = placed.select("k").distinct()
-    reps = cut(texts.select("k", "rep").join(needed, "k"))
-    source = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"))
-    found = source.join(sized(reps.select(F.col("rep").alias("_id"), "k")), "_id")
-    sets = cut(shingle_sets(found, size).join(needed, "k", "left_semi").dropDuplicates(["k"])) if _repeated_ids(base) else cut(shingle_sets(found, size))
-    members = cut(placed.join(_private(sets), "k"))
-
-    edges, near, roots = None, [], None
-    for lo, hi in ((0, 4), (4, bands)):  # what the first bands link needs no second look
-        active = members.where((F.col("band") >= lo) & (F.col("band") < hi)).drop("band")
-        active = _rooted(active, roots)
-        mixed = active.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
-        active = cut(active.join(mixed, "bucket"))
-        turn = 0
-        while active.limit(1).count():
-            turn += 1
-            many = 1 if turn == 1 else leaders
-            mine = F.struct("k", "n", "r", "root")
-            if many == 1:
-                heads = active.groupBy("bucket").agg(F.min(mine).alias("h"))
-            else:
-                place = F.row_number().over(W.partitionBy("bucket").orderBy("k"))
-                heads = active.withColumn("place", place).where(F.col("place") <= many).select("bucket", mine.alias("h"))
-            tagged = active.join(heads.select("bucket", *[F.col(f"h.{c}").alias(f"h{c}") for c in ("k", "n", "r", "root")]), "bucket").where("k > hk")
-            tagged = tagged.withColumn("most", _most("n", "r", "hn", "hr"))
-            same = tagged.where("root = hroot").select("bucket", "k")
-            apart = tagged.where("root != hroot")
-            asked = apart.where(F.col("most") >= threshold).select(F.col("k").alias("a"), F.col("hk").alias("b")).distinct()
-            sims = cut(_verify(asked, sets))
-            linked = sims.where(F.col("sim") >= threshold).select("a", "b")
-            edges = linked if edges is None else edges.union(linked)
-            # of pairs that weren't looked at, the bound stands for the similarity
-            seen = apart.join(sims, (F.col("k") == F.col("a")) & (F.col("hk") == F.col("b")), "left")
-            seen = cut(seen.select("bucket", "k", "n", "r", "root", "hk", F.coalesce("sim", "most").alias("sim")))
-            near.append(seen)
-            if many == 1:
-                active = cut(seen.where(F.col("sim") < threshold).select("bucket", "k", "n", "r", "root"))
-            else:
-                done = seen.where(F.col("sim") >= threshold).select("bucket", "k").union(same).union(heads.select("bucket", "h.k")).distinct()
-                active = cut(seen.select("bucket", "k", "n", "r", "root").distinct().join(done, ["bucket", "k"], "left_anti"))
-        if edges is not None:
-            roots = components(edges)
-
-    # A text that a bucket's leader didn't link may still be linked to one that it did.  With sim(u, leader) known,
-    # the triangle inequality leaves texts up to 1 - threshold nearer; different roots and private shingles leave few.
-    cross, cells = None, sets.select("k", "cells")
-    for part in near:
-        u = part.where((F.col("sim") < threshold) & (F.col("sim") >= 2 * threshold - 1)).select("bucket", "k", "n", "r").distinct()
-        u = _rooted(u, roots).join(cells, "k").select("bucket", F.col("k").alias("a"), F.col("n").alias("an"), F.col("r").alias("ar"), F.col("root").alias("ru"), F.col("cells").alias("ca"))
-        v = _rooted(members.join(u.select("bucket").distinct(), "bucket", "left_semi").drop("band"), roots).join(cells, "k")
-        v = v.select("bucket", F.col("k").alias("b"), F.col("n").alias("bn"), F.col("r").alias("br"), F.col("root").alias("rv"), F.col("cells").alias("cb"))
-        near_enough = (F.col("ru") != F.col("rv")) & (_most("an", "ar", "bn", "br") >= threshold) & _cells_allow("ca", "cb", "an", "bn", threshold)
-        pairs = u.join(v, (u["bucket"] == v["bucket"]) & near_enough).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        cross = pairs if cross is None else cross.union(pairs)
-    if cross is not None:
-        more = cut(_verify(cut(cross.distinct()), sets).where(F.col("sim") >= threshold).select("a", "b"))
-        if more.limit(1).count():
-            roots = components(edges.union(more))
-    if roots is None:
-        roots = texts.select(F.col("k").alias("node"), F.col("k").alias("root")).limit(0)
-
-    ids = texts.select("k", "rep").join(roots.select(F.col("node").alias("k"), "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    least = ids.groupBy("root").agg(F.min("rep").alias("class_id"))
-    of_k = cut(ids.join(least, "root").select("k", "class_id"))
-    return base.select("id", "k", "n").join(of_k, "k", "left").select("id", "k", "n", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 24, rows: int = 4, size: int = 5) -> DataFrame:
     """``docs`` with one row of each class (that with the smallest id); rows without words all stay."""
-    found = cut(classes(docs, id_col, text_col, **parameters).where("n > 0"))
-    own = F.col("id").eqNullSafe(F.col("class_id"))
-    drops = cut(found.where(~own).select(F.col("id").alias("_id"), F.col("k").alias("_drop")).distinct())
-    again = cut(found.where(own).groupBy("class_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("class_id").alias("_id")))
+    base, of_k = _classified(docs, id_col, text_col, threshold, bands, rows, size)
+    found = base.where("n > 0").select("id", "k").join(sized(of_k), "k")
+    own = F.col("leads") & F.col("id").eqNullSafe(F.col("class_id"))
+    tag_col, drop_id, drop_tag = fresh(docs.columns, "_k", "_id", "_drop")
+    drops = cut(found.where(~own).select(F.col("id").alias(drop_id), F.col("k").alias(drop_tag)).distinct())
+    again = cut(found.where(own).groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select(F.col("k").alias(drop_tag)))
     at = docs.columns.index(text_col)
 
     def tag(batches):
@@ -292,16 +357,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
             data, offsets = buffers(b.column(at))
             for i, e in _chunks(offsets, 2 << 20):
                 w = Words(data[offsets[i] : offsets[e]], offsets[i : e + 1] - offsets[i])
-                yield pa.RecordBatch.from_arrays([*[c.slice(i, e - i) for c in b.columns], pa.array([x.tobytes() for x in content_keys(w.hashes(), w.of)], pa.binary())], [*b.schema.names, "_k"])
-
-    tagged = docs.mapInArrow(tag, T.StructType([*docs.schema.fields, T.StructField("_k", T.BinaryType())]))
-    left = tagged.join(sized(drops), (F.col("_k") == F.col("_drop")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
-    if again.limit(1).count():  # rows equal in id within a class: one of them
-        hit, empty = sized(again), F.col("_k") == F.lit(bytes(16))
-        once = left.where(~empty).join(hit, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi").dropDuplicates([id_col])
-        left = left.where(empty).union(left.where(~empty).join(hit, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")).union(once)
-    return left.drop("_k")
-
+                yield pa.RecordBatch.from_arrays([*[c.slice(i, e - i) for c in b.columns], pa.array([x.tobytes() for x in content_keys(w.hashes(), w.of)], pa.binary())], [*b.schema.names, tag_col])
+        tidy()
 
-def _repeated_ids(base: DataFrame) -> bool:
-    return bool(base.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count())
+    tagged = docs.mapInArrow(tag, T.StructType([*docs.schema.fields, T.StructField(tag_col, T.BinaryType())]))
+    left = tagged.join(sized(drops), (F.col(tag_col) == F.col(drop_tag)) & F.col(id_col).eqNullSafe(F.col(drop_id)), "left_anti")
+    if again.limit(1).count():  # rows equal in id and words that lead a class: one of them
+        hit = sized(again)
+        once = left.join(hit, F.col(tag_col) == F.col(drop_tag), "left_semi").dropDuplicates([tag_col])
+        left = left.join(hit, F.col(tag_col) == F.col(drop_tag), "left_anti").union(once)
+    return left.drop(tag_col)

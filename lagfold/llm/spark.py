@@ -1,15 +1,18 @@
-"""Shared Spark helpers: checkpoints in the cluster's folder, joins by checked size, gapless ranks, components."""
+"""Shared Spark helpers: written tables in the cluster's folder, joins by checked size, free names, components."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
-#: Rows of narrow keys (16 bytes or so) that a broadcast may hold; beyond it a join shuffles.
-BROADCAST_ROWS = 1_000_000
+from lagfold.shipping import ship
+
+#: Bytes of values that a broadcast side may hold; beyond it a join shuffles.
+BROADCAST_BYTES = 32 << 20
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -18,18 +21,31 @@ def cut(df: DataFrame) -> DataFrame:
     A written table outlives lost executors and, unlike a checkpointed plan, carries no
     inferred constraints from round to round of a loop.
     """
+    ship(df.sparkSession)
     path = shared_folder(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut = path
+    return out
 
 
-def shared_folder(spark, name: str) -> str:
-    """A new folder below the shared checkpoint folder."""
-    import uuid
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` has written and that no result still reads."""
+    for df in tables:
+        if path := getattr(df, "_cut", None):
+            remove(df.sparkSession, path)
+
 
+def shared_folder(spark, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``; in local mode without that setting, below a temporary folder."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints")
+        sc.setCheckpointDir(folder)
     return f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
@@ -38,22 +54,35 @@ def remove(spark, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def sized(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``small`` with a broadcast hint if it has at most ``rows`` rows; else as it is, so that the join shuffles."""
-    return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
+def _width(field: T.StructField) -> Column:
+    """Bytes of a value, about."""
+    c, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, T.StringType):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.BinaryType):
+        return F.coalesce(F.length(c), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        inner = 8 * (1 + len(kind.elementType.fields)) if isinstance(kind.elementType, T.StructType) else 8
+        return F.greatest(F.size(c), F.lit(0)) * inner + 16
+    return F.lit(8)
 
 
-def gapless(df: DataFrame, key: list[str], order: list, out: str, spread: int = 64) -> DataFrame:
-    """``out``: a gapless rank from 0 within ``key``, by a hash bucket and then ``order``; no task sorts a whole key.
+def sized(small: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``small`` (a written table) with a broadcast hint if its values are at most ``most`` bytes; else as it is, so that the join shuffles."""
+    width = sum((_width(f).cast("long") for f in small.schema.fields), F.lit(8).cast("long"))
+    held = small.agg(F.sum(width).alias("b")).first().b or 0
+    return F.broadcast(small) if held <= most else small
 
-    ``order`` must tell the rows of a key apart, or ties fall anyhow.
-    """
-    b = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(spread)).cast("int"))
-    counts = b.groupBy(*key, "_b").count()
-    before = F.coalesce(F.sum("count").over(W.partitionBy(*key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select(*key, "_b", before.alias("_before"))
-    inner = b.withColumn("_r", F.row_number().over(W.partitionBy(*key, "_b").orderBy(*order)) - 1)
-    return inner.join(offsets, [*key, "_b"]).withColumn(out, F.col("_before") + F.col("_r")).drop("_b", "_r", "_before")
+
+def fresh(columns: list[str], *names: str) -> tuple[str, ...]:
+    """The names, each lengthened until no column has it (names differ by more than case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return tuple(out)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -68,6 +97,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         met = labels.join(near, labels.node == near.x, "left").select("node", F.col("root").alias("_old"), F.least("root", "_m").alias("_new"))
         up = labels.select(F.col("node").alias("_p"), F.col("root").alias("_pr"))
         new = cut(met.join(up, met["_new"] == up["_p"], "left").select("node", "_old", F.least("_new", "_pr").alias("root")))
+        release(labels)
         if not new.where("root != _old").limit(1).count():
+            release(both)
             return new.select("node", "root")
         labels = new.select("node", "root")
+        labels._cut = new._cut

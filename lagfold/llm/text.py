@@ -2,7 +2,9 @@
 
 Words are maximal runs of bytes outside space and ``\\x09-\\x0D``; ASCII letters
 count as lower case.  Every helper works on the raw UTF-8 buffer of a batch, so no
-Python object is made per word.  Word identity is a 64-bit hash of its bytes.
+Python object is made per word.  A word's hash mixes its lower-cased bytes eight at a
+time (a bijection for words of up to eight bytes), so that equal hashes of different words
+are left to chance: n different words have one with a chance of n^2 / 2^65.
 """
 
 from __future__ import annotations
@@ -15,20 +17,9 @@ WHITE = np.zeros(256, bool)
 WHITE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_VALUE = LOWER.astype(np.uint64) + np.uint64(1)
-_VALUE[WHITE] = 0
-_BASE = 0x9E3779B97F4A7C15
-_CHUNK = 1 << 20
-_LONG_WORD = 1 << 16
-
-
-def _powers(base: int) -> np.ndarray:
-    steps = np.full(_CHUNK + 2 * _LONG_WORD, base, np.uint64)
-    steps[0] = 1
-    return np.multiply.accumulate(steps)
-
-
-_POWERS: list[np.ndarray] = []
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words beyond so many bytes are hashed one by one.
+_LONG_WORD = 256
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -57,7 +48,7 @@ class Words:
     """The words of a batch: byte ``starts`` and ``ends``, and ``of`` (word offsets by text)."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.data, self.offsets = data, offsets
+        self.data, self.offsets, self._aligned = data, offsets, None
         white = WHITE[data]
         inside = ~white
         first, last = inside.copy(), inside.copy()
@@ -71,29 +62,59 @@ class Words:
         self.ends = np.flatnonzero(last) + 1
         self.of = np.searchsorted(self.starts, offsets)
 
+    @classmethod
+    def laid(cls, data: np.ndarray, offsets: np.ndarray) -> "Words":
+        """The words that the offsets cut ``data`` into, whatever their bytes."""
+        self = cls.__new__(cls)
+        self.data, self.offsets, self._aligned = data, offsets, None
+        self.starts, self.ends, self.of = offsets[:-1], offsets[1:], np.arange(len(offsets))
+        return self
+
     def counts(self) -> np.ndarray:
         return np.diff(self.of)
 
+    def lanes(self, rows: np.ndarray, at: int) -> np.ndarray:
+        """The lower-cased bytes ``at`` to ``at + 8`` of the given words as integers, zero beyond their ends."""
+        if self._aligned is None:
+            low = np.zeros((len(self.data) + 23) // 8 * 8, np.uint8)
+            np.take(LOWER, self.data, out=low[: len(self.data)])
+            self._aligned = low.view("<u8")
+        begin = self.starts[rows] + at
+        word, shift = begin >> 3, (begin & 7).astype(np.uint64) << np.uint64(3)
+        x = self._aligned[word] >> shift
+        # a shift by 64 isn't defined, so the next word is shifted twice
+        x |= self._aligned[word + 1] << np.uint64(1) << (np.uint64(63) - shift)
+        return x & _BYTES[np.minimum(self.ends[rows] - begin, 8)]
+
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word, equal for words that differ only in the case of ASCII letters."""
-        if not _POWERS:
-            _POWERS.extend((_powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))))
-        up, down = _POWERS
-        starts, ends, data = self.starts, self.ends, self.data
-        out = np.zeros(len(starts), np.uint64)
-        long = np.flatnonzero(ends - starts > _LONG_WORD)
-        cuts = [0]
-        while cuts[-1] < len(starts):
-            cuts.append(max(int(np.searchsorted(starts, starts[cuts[-1]] + _CHUNK)), cuts[-1] + 1))
-        for a, b in zip(cuts, cuts[1:]):
-            lo = starts[a]
-            hi = min(ends[b - 1], lo + len(up))
-            own = starts[a:b] - lo
-            part = _VALUE[data[lo:hi]] * up[: hi - lo]
-            out[a:b] = np.add.reduceat(part, own) * down[own]
-        for k in long:
-            out[k] = xxhash.xxh64_intdigest(LOWER[data[starts[k] : ends[k]]].tobytes())
-        return mix64(out)
+        size = self.ends - self.starts
+        out = mix64(self.lanes(np.arange(len(size)), 0) ^ mix64(size.astype(np.uint64)))
+        more, at = np.flatnonzero((size > 8) & (size <= _LONG_WORD)), 8
+        while len(more):
+            out[more] = mix64(out[more] * np.uint64(0x9E3779B97F4A7C15) + self.lanes(more, at))
+            at += 8
+            more = more[size[more] > at]
+        for k in np.flatnonzero(size > _LONG_WORD):
+            out[k] = xxhash.xxh3_64_intdigest(LOWER[self.data[self.starts[k] : self.ends[k]]].tobytes())
+        return out
+
+    def equal(self, rows: np.ndarray, other: "Words", of: np.ndarray) -> np.ndarray:
+        """Whether the words ``rows`` have the lower-cased bytes of the words ``of`` of ``other``."""
+        size = self.ends[rows] - self.starts[rows]
+        same = size == other.ends[of] - other.starts[of]
+        more, at = np.flatnonzero(same), 0
+        while len(more):
+            ok = self.lanes(rows[more], at) == other.lanes(of[more], at)
+            same[more[~ok]] = False
+            at += 8
+            more = more[ok & (size[more] > at)]
+            if at >= _LONG_WORD:
+                for k in more:
+                    a, b = rows[k], of[k]
+                    same[k] = bool((LOWER[self.data[self.starts[a] : self.ends[a]]] == LOWER[other.data[other.starts[b] : other.ends[b]]]).all())
+                break
+        return same
 
 
 def rolling(h: np.ndarray, size: int) -> np.ndarray:

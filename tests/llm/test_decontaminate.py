@@ -38,7 +38,7 @@ def test_by_brute_force(spark):
     docs, items = corpus()
     d = spark.createDataFrame([(a, b, 0) for a, b in docs], "doc_id long, text string, item_id long")
     i = spark.createDataFrame([(a, b, 0) for a, b in items], "item_id long, text string, doc_id long")
-    for rows in (1_000_000, 0):  # with and without broadcasts
-        got = contained(d, i, broadcast_rows=rows).collect()
+    for size in (1 << 20, 0):  # with and without broadcasts
+        got = contained(d, i, broadcast_bytes=size).collect()
         assert {(r.doc_id, r.item_id, r.common) for r in got} == brute(docs, items) and len(got) == len(brute(docs, items))
     assert contained(d.limit(0), i).count() == 0 and contained(d, i.limit(0)).count() == 0
