@@ -4,16 +4,19 @@ Writing is native: one WARC/1.1 record per row (a response with its HTTP block,
 revisit of the record with the same payload), written by Spark's text sink as a plain
 ``.warc`` stream of bytes, so any file system that Spark reaches will do.
 
-Reading: tasks look for the record magic anywhere in their archive files and emit, for
-every candidate, its offset and the offset at which its successor would start.  Pointer
-jumping from the start of each file (doubling the chain's step each round) keeps only the
-candidates that the chain reaches; a magic inside a payload is never reached.  A chain
-that breaks off (a truncated file) keeps the whole records before the break.
+Reading: tasks take byte ranges of the archive files and look for the record magic
+anywhere in them; for every magic they emit the bytes up to the next one and, if a header
+follows it, where its successor would start.  Sums of the bytes turn these into a graph of
+offsets.  Pointer jumping (doubling the chain's step each round) follows the chains within
+each range and then, over the places where chains enter ranges, from the start of each
+file; only candidates that it reaches are records, and a magic inside a payload never is.
+Records that hold one are put together from their pieces.  A chain that breaks off (a
+truncated file) keeps the whole records before the break.
 
 Defined cases: a null payload is empty; rows with equal ids and payloads are each
-written as the first of them is; a null id is written as an empty id and read as null;
+written as the first of them is; a null id is written as an empty id and read as null, and revisits a record with an id;
 white space and control characters of an URL are written as ``%20``; an empty table
-gives no records.
+gives no records; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,10 +28,14 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
-from lagfold.llm.spark import sized
+from lagfold.llm.spark import cut, sized
+from lagfold.shipping import ship
 
 #: Fixed values of the format.
 MAGIC = b"WARC/1.1\r\n"
@@ -49,8 +56,8 @@ def plan(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", payloa
     rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(uri_col).cast("string"), F.lit("")).alias("uri"), payload.alias("payload"))
     rows = rows.withColumns({"digest": base32_sha1(F.col("payload").cast("binary")), "bytes": F.octet_length("payload").cast("long")})
     keys = rows.where(F.col("bytes") >= least_bytes).select("id", "digest", "bytes")
-    first = keys.groupBy("digest", "bytes").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "bytes", "first")
-    return rows.join(sized(first), ["digest", "bytes"], "left").select("id", "uri", "payload", "digest", "bytes", F.when(F.col("id") != F.col("first"), F.col("first")).alias("refers_to"))
+    first = cut(keys.groupBy("digest", "bytes").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "bytes", "first"))
+    return rows.join(sized(first), ["digest", "bytes"], "left").select("id", "uri", "payload", "digest", "bytes", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
 def record_text(date: str) -> Column:
@@ -74,84 +81,158 @@ def write(planned: DataFrame, folder: str, date: str = "2000-01-01T00:00:00Z", r
 
 
 _FIELD = re.compile(rb"([A-Za-z-]+):[ \t]*([^\r\n]*)\r\n")
-_SCHEMA = "file string, offset long, next long, size long, type string, record_id string, refers_to string, uri string, payload_bytes long, payload_digest string, intact boolean"
+_RECORD = "ends long, whole boolean, type string, record_id string, refers_to string, uri string, payload_bytes long, payload_digest string, intact boolean"
+_OUT = ("file", "offset", "next", "size", "type", "record_id", "refers_to", "uri", "payload_bytes", "payload_digest", "intact")
+
+
+def pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """``(file, size, block, nth, value)``: what lies between two magics, by byte ranges of the files; ``nth`` rises within a range."""
+    rows = spark.read.option("lineSep", MAGIC.decode()).option("recursiveFileLookup", "true").text(folder)
+    meta = {"file": "file_path", "size": "file_size", "block": "file_block_start"}
+    return rows.select(*[F.col(f"_metadata.{m}").alias(c) for c, m in meta.items()], F.monotonically_increasing_id().alias("nth"), F.col("value").cast("binary").alias("value"))
+
+
+def _scan(raw: bytes) -> tuple | None:
+    """The fields of _RECORD and the payload of a record whose header begins the bytes; digest and payload only if it ends in them."""
+    fields, pos = {}, 0
+    while (f := _FIELD.match(raw, pos)) is not None:
+        fields[f[1].lower()] = f[2].decode("utf-8", "replace")
+        pos = f.end()
+    length = fields.get(b"content-length", "")
+    if raw[pos : pos + 2] != b"\r\n" or not (length.isascii() and length.isdigit() and len(length) < 19):
+        return None  # no header, so no record
+    begin = pos + 2
+    end = begin + int(length)
+    kind, digest = fields.get(b"warc-type"), (fields.get(b"warc-payload-digest") or "").removeprefix("sha1:") or None
+    named = (kind, fields.get(b"warc-record-id"), fields.get(b"warc-refers-to"), fields.get(b"warc-target-uri"))
+    if end + 4 > len(raw):  # it goes on behind a magic of its payload, or the file breaks off
+        return (end + 4, False, *named, None, None, None, None)
+    if raw[end : end + 4] != b"\r\n\r\n":
+        return None
+    gap = raw.find(b"\r\n\r\n", begin, end)
+    start = begin if gap < 0 else gap + 4
+    told = re.compile(rb"(?i)\r\nContent-Length:[ \t]*(\d+)").search(raw, begin, start)
+    own = base64.b32encode(hashlib.sha1(memoryview(raw)[start:end]).digest()).decode()
+    n = int(told[1]) if kind == "revisit" and told else end - start
+    return (end + 4, True, *named, n, digest if kind == "revisit" else own, kind == "revisit" or digest in (None, own), raw[start:end])
+
+
+def _scanned(rows: DataFrame, carried: list[str], payloads: bool) -> DataFrame:
+    """The carried columns, ``bytes`` and the fields of the record that begins each ``value``."""
+    names = [c.split()[0] for c in _RECORD.split(", ")] + ["payload"] * payloads
+    schema = T.StructType([*(rows.schema[c] for c in carried), T.StructField("bytes", T.LongType()), *T.StructType.fromDDL(_RECORD).fields, *[T.StructField("payload", T.BinaryType())] * payloads])
+    kinds = [pa.int64(), pa.bool_(), *[pa.string()] * 4, pa.int64(), pa.string(), pa.bool_(), pa.binary()]
 
+    def run(batches):
+        for b in batches:
+            got = [_scan(v.as_buffer().to_pybytes()) or (None,) * 10 for v in b.column("value")]
+            found = [pa.array([g[k] for g in got], kinds[k]) for k in range(len(names))]
+            size = pc.binary_length(b.column("value")).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carried], size, *found], [*carried, "bytes", *names])
 
-def candidates(files: DataFrame, payloads: bool = False) -> DataFrame:
-    """A row for each magic in the files of ``(path, content)``: a record-to-successor edge and the record's fields."""
-    schema = _SCHEMA + (", payload binary" if payloads else "")
+    return rows.mapInArrow(run, schema)
 
-    def run(batches):
-        for batch in batches:
-            for path, content in zip(batch.column("path"), batch.column("content")):
-                raw = memoryview(content.as_buffer())
-                rows = list(_scan(path.as_py(), raw, payloads))
-                names = [c.split()[0] for c in schema.split(", ")]
-                if rows:
-                    yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows)))), schema=_arrow(schema))
-
-    return files.select("path", "content").mapInArrow(run, schema)
-
-
-def _arrow(schema: str) -> pa.Schema:
-    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
-    return pa.schema([(n, kinds[k]) for n, k in (c.split() for c in schema.split(", "))])
-
-
-def _scan(path: str, raw, payloads: bool):
-    size = len(raw)
-    for m in re.finditer(re.escape(MAGIC), raw):
-        at, fields, pos = m.start(), {}, m.end()
-        while (f := _FIELD.match(raw, pos)) is not None:
-            fields[f[1].lower()] = f[2].decode("utf-8", "replace")
-            pos = f.end()
-        length = fields.get(b"content-length", "")
-        if raw[pos : pos + 2] != b"\r\n" or not length.isdigit():
-            continue  # no header, so no record
-        begin = pos + 2
-        end = begin + int(length)
-        if raw[end : end + 4] != b"\r\n\r\n":
-            continue
-        http = re.compile(rb"\r\n\r\n").search(raw, begin, end)
-        start = http.end() if http else begin
-        told = re.compile(rb"(?i)\r\nContent-Length:[ \t]*(\d+)").search(raw, begin, start)
-        kind = fields.get(b"warc-type")
-        digest = (fields.get(b"warc-payload-digest") or "").removeprefix("sha1:") or None
-        own = base64.b32encode(hashlib.sha1(raw[start:end]).digest()).decode()
-        n = int(told[1]) if kind == "revisit" and told else end - start
-        row = (path, at, end + 4, size, kind, fields.get(b"warc-record-id"), fields.get(b"warc-refers-to"), fields.get(b"warc-target-uri"), n, digest if kind == "revisit" else own, kind == "revisit" or digest in (None, own))
-        yield row + ((bytes(raw[start:end]),) if payloads else ())
-
-
-def reachable(offset: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Of candidate offsets (ascending) and their successors', those on the chain from offset 0, by pointer jumping."""
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """``rows`` (file, block, nth, bytes, ...) with ``start``, the place of each piece in its file: sums by range, then within each."""
+    whole = F.col("bytes") + len(MAGIC)
+    before = F.coalesce(F.sum("held").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = rows.groupBy("file", "block").agg(F.sum(whole).alias("held")).select("file", "block", before.alias("before"))  # a row for each byte range
+    inner = F.coalesce(F.sum(whole).over(W.partitionBy("file", "block").orderBy("nth").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("inner", inner).join(ranges, ["file", "block"]).withColumn("start", F.col("before") + F.col("inner")).drop("before", "inner")
+
+
+def _hops(offset: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """The index of each candidate's successor among the candidates (ascending); their number where there is none."""
     n = len(offset)
     hop = np.searchsorted(offset, after)
-    hop = np.where((hop < n) & (offset[np.minimum(hop, n - 1)] == after), hop, n)  # n: no candidate starts there
-    hop = np.append(hop, n)
-    on = np.zeros(n + 1, bool)
-    on[0] = n > 0 and offset[0] == 0
-    for _ in range(max(1, int(n).bit_length())):  # after round r the first 2^r records are marked
+    return np.append(np.where((hop < n) & (offset[np.minimum(hop, max(n - 1, 0))] == after), hop, n) if n else hop, n)
+
+
+def reachable(offset: np.ndarray, after: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+    """Of candidate offsets (ascending) and their successors', those on a chain from offset 0 (or from the marked ones), by pointer jumping."""
+    n = len(offset)
+    hop, on = _hops(offset, after), np.zeros(n + 1, bool)
+    on[:n] = offset == 0 if start is None else start
+    for _ in range(max(1, int(n).bit_length())):  # after round r the first 2^r records of each chain are marked
         on[hop[np.flatnonzero(on)]] = True
         hop = hop[hop]
     return on[:n]
 
 
+def exits(offset: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Where the chain of each candidate leaves the candidates, by pointer jumping."""
+    n = len(offset)
+    hop = _hops(offset, after)
+    last = np.where(hop[:n] < n, hop[:n], np.arange(n))  # itself, if its successor isn't among them
+    for _ in range(max(1, int(n).bit_length())):
+        last = last[last]
+    return after[last]
+
+
 def verified(edges: DataFrame) -> DataFrame:
-    """The candidates that their file's chain reaches.  A group is the record offsets of one file."""
+    """``(file, offset)`` of the candidates ``(file, block, offset, next)`` that the chain from their file's start reaches.
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+    Chains are first followed within each byte range; what is left to a file is one pointer for each place
+    where a chain enters a range, and these are followed from the file's start.
+    """
+    kind = "file string, block long, offset long, next long"
+
+    def leave(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("offset")
+        return pdf.assign(exit=exits(pdf["offset"].to_numpy(), pdf["next"].to_numpy()))
+
+    left = cut(edges.select("file", "block", "offset", "next").groupBy("file", "block").applyInPandas(leave, kind + ", exit long"))
+    doors = left.select("file", F.col("exit").alias("offset")).union(left.select("file", F.lit(0).cast("long"))).distinct()
+    inner = left.join(doors, ["file", "offset"]).select("file", "offset", F.col("exit").alias("next"))
+
+    def enter(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("offset")
+        return pdf[reachable(pdf["offset"].to_numpy(), pdf["next"].to_numpy())][["file", "offset"]]
+
+    entered = inner.groupBy("file").applyInPandas(enter, "file string, offset long").withColumn("on", F.lit(True))
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("offset")
-        return pdf[reachable(pdf["offset"].to_numpy(), pdf["next"].to_numpy())]
+        return pdf[reachable(pdf["offset"].to_numpy(), pdf["next"].to_numpy(), pdf["on"].to_numpy(bool))][["file", "offset"]]
 
-    kept = edges.select("file", "offset", "next").groupBy("file").applyInPandas(chain, "file string, offset long, next long")
-    return edges.join(kept.select("file", "offset"), ["file", "offset"], "left_semi")
+    marked = left.drop("exit").join(entered, ["file", "offset"], "left").withColumn("on", F.coalesce("on", F.lit(False)))
+    return marked.groupBy("file", "block").applyInPandas(follow, "file string, offset long")
 
 
 def read(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
     """The verified records of all archive files in a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return verified(candidates(files, payloads))
+    ship(spark)
+    names = [*_OUT, *["payload"] * payloads]
+    seen = cut(_scanned(pieces(spark, folder), ["file", "size", "block", "nth"], payloads))
+    at = _placed(seen)
+    edges = cut(at.where(F.col("ends").isNotNull() & (F.col("start") > 0)).withColumns({"offset": F.col("start") - len(MAGIC), "next": F.col("start") + F.col("ends")}).where("next <= size"))
+    kept = cut(edges.join(verified(edges), ["file", "offset"], "left_semi"))
+    whole = kept.where("whole").select(*names)
+    broken = kept.where("not whole").select("file", "offset", "next")
+    if not broken.limit(1).count():
+        return whole
+    # records with a magic in their payload: their pieces are read again, placed and joined
+    files = sized(cut(broken.select("file").distinct()))
+    again = cut(pieces(spark, folder).join(files, "file", "left_semi").withColumn("bytes", F.octet_length("value").cast("long")))
+    narrow = _placed(again.drop("value"))
+    run = W.partitionBy("file").orderBy("start")
+    heads = broken.select("file", (F.col("offset") + len(MAGIC)).alias("start"), "offset", "next")
+    owned = narrow.join(heads, ["file", "start"], "left").select("file", "size", "block", "nth", "start", *[F.last(c, True).over(run).alias(c) for c in ("offset", "next")]).where("start < next")
+    parts = owned.join(again.select("file", "block", "nth", "value"), ["file", "block", "nth"]).groupBy("file", "size", "offset", "next")
+    rows = parts.agg(F.array_sort(F.collect_list(F.struct("start", "value"))).alias("p")).select("file", "size", "offset", "next", F.col("p.value").alias("parts"))
+    return whole.union(_scanned(_joined(rows), ["file", "size", "offset", "next"], payloads).where("whole").select(*names))
+
+
+def _joined(rows: DataFrame) -> DataFrame:
+    """``value``: the parts with the magic between them."""
+
+    def run(batches):
+        for b in batches:
+            value = [MAGIC.join(p) for p in b.column("parts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(value, pa.binary())], [*b.schema.names[:-1], "value"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("value", T.BinaryType())]))
 
 
 def id_of(urn: Column) -> Column:
