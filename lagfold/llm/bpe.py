@@ -6,7 +6,8 @@ in ascending order, each to its whole list, and the lists that a merge touches a
 updated.  Results equal those of the tokenizer file's own library.
 
 Defined cases: a null text is an empty text and has no ids; equal texts have equal
-rows; special tokens written out in a text become their ids.
+rows; special tokens written out in a text become their ids; a null id stays null; an
+empty table gives no rows; other columns are not looked at unless ``keep`` names them.
 """
 
 from __future__ import annotations
@@ -19,24 +20,30 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from lagfold.llm.text import Words, buffers, tidy
 
 
 
-def _latin_split() -> re.Pattern:
-    """The tokenizer's split of texts below U+0250, where all Unicode versions have the same letters and numbers."""
-    of = {k: "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
-    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{of['L']}]+|[{of['N']}]|[^\s{of['L']}{of['N']}]+")
-
-
-_SPLIT = _latin_split()
-_BEYOND = re.compile("[^\x00-\u024f]")
+#: The tokenizer's split of lower-case text: fixed pattern; the first is the same on ASCII alone.
+_ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: White space to the tokenizer: fixed values, the Unicode property White_Space.
 _WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-#: Python's str.split() also splits at these, which are no white space to the tokenizer.
-_NOT_WHITE = re.compile("[\x1c-\x1f]")
+#: Marks that Unicode has added since the tables by which the tokenizer normalises; it neither moves nor composes them.
+_UNMOVED = re.compile(
+    "([\u07fd\u0898-\u089f\u08ca-\u08d3\u09fe\u0c3c\u0d3b\u0d3c\u0eba\u1715\u1abf-\u1ace\u1df6-\u1dfa\ua82c"
+    "\U00010d24-\U00010d27\U00010eab\U00010eac\U00010efd-\U00010eff\U00010f46-\U00010f50\U00010f82-\U00010f85\U00011070\U0001133b\U0001145e"
+    "\U00011839\U0001183a\U00011930\U0001193d\U0001193e\U00011943\U000119e0\U00011a34\U00011a47\U00011a99\U00011d42\U00011d44\U00011d45\U00011d97"
+    "\U00011f41\U00011f42\U00016ff0\U00016ff1\U0001e08f\U0001e130-\U0001e136\U0001e2ae\U0001e2ec-\U0001e2ef\U0001e4ec-\U0001e4ef])"
+)
+
+
+def normalised(raw: str) -> str:
+    """The composed, lower-case form: character by character, so that a last sigma is one like others."""
+    return "".join(unicodedata.normalize("NFC", x) for x in _UNMOVED.split(raw)).replace("\u03a3", "\u03c3").lower()
 
 
 def byte_alphabet() -> list[str]:
@@ -76,7 +83,7 @@ class WordBPE:
         self.pair_ranks = np.array([self.rank[int(p)] for p in self.pairs], np.int64)
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.byte = {c: b for b, c in enumerate(alphabet)}
-        self.library = None
+        self.library, self.assigned = None, set()
         self.forget()
         names = [(i, t.encode() + b" ") for i, t in sorted(self.tokens.items())]
         self.row_of = np.zeros(max(self.tokens) + 1, np.int64)
@@ -155,17 +162,17 @@ class WordBPE:
         return done[alive].astype(np.uint32), np.bincount(np.repeat(np.arange(len(words)), size)[alive], minlength=len(words))
 
     def pieces(self, raw: str) -> list[bytes]:
-        """The pre-tokens of a stretch without white space."""
-        if not raw.isascii():
-            if _BEYOND.search(raw) or _NOT_WHITE.search(raw):
+        """The pre-tokens of a stretch of text."""
+        if raw.isascii():
+            return [p.encode() for p in _ASCII_SPLIT.findall(raw.lower())]
+        for c in {*raw} - self.assigned:
+            if unicodedata.category(c) == "Cn":  # newer than Python's tables
                 return self._other_pieces(raw)
-            raw = unicodedata.normalize("NFC", raw)
-        elif _NOT_WHITE.search(raw):
-            return self._other_pieces(raw)
-        return [p.encode() for p in _SPLIT.findall(raw.lower())]
+            self.assigned.add(c)
+        return [p.encode() for p in _SPLIT.findall(normalised(raw))]
 
     def _other_pieces(self, raw: str) -> list[bytes]:
-        """Beyond Latin letters the library's own Unicode tables decide where a stretch is split."""
+        """With characters that Python's Unicode version doesn't know yet, the library's own tables decide."""
         if self.library is None:
             from tokenizers import Tokenizer
 
@@ -175,7 +182,7 @@ class WordBPE:
 
     def forget(self) -> None:
         """Drop the known words."""
-        self.known, self.cached = np.zeros(0, np.uint64), Pieces(np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        self.known, self.cached, self.spelling = np.zeros(0, np.uint64), Pieces(np.zeros(0, np.uint32), np.zeros(0, np.int64)), Pieces(np.zeros(0, np.uint8), np.zeros(0, np.int64))
 
     def learn(self, raw: list[bytes]) -> "Pieces":
         """The ids of stretches of text without ASCII white space."""
@@ -191,34 +198,46 @@ class WordBPE:
         return Pieces.joined(parts)
 
     def slow(self, text: str) -> list[int]:
-        """The ids of a text that may hold special tokens."""
+        """The ids of a text that may hold special tokens, without the known words."""
         out: list[int] = []
-        for k, part in enumerate(self.specials.split(text)):
+        for k, part in enumerate(self.specials.split(text) if self.specials else [text]):
             out += [self.special[part]] if k % 2 else self.learn([x.encode() for x in _WHITE.split(part) if x]).values.tolist()
         return out
 
     def encode(self, column) -> tuple["Pieces", "Pieces"]:
-        """The ids of each text of a string column, and the bytes of each decoded text."""
+        """The ids of each text of a string column, and the bytes of each decoded text.
+
+        Words are looked up by their hashes and compared by their bytes; a text with a word whose hash is another's is encoded by itself.
+        """
         data, offsets = buffers(column)
         words = Words(data, offsets)
         own, first, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        strange = ~words.equal(np.arange(len(back)), words, first[back])
         at = np.minimum(np.searchsorted(self.known, own), max(len(self.known) - 1, 0))
         new = np.flatnonzero(self.known[at] != own) if len(self.known) else np.arange(len(own))
+        old = np.delete(np.arange(len(own)), new)
+        if len(old):
+            other = np.zeros(len(own), bool)
+            other[old] = ~words.equal(first[old], Words.laid(self.spelling.values, self.spelling.offsets), at[old])
+            strange |= other[back]
         if len(new):
             whole = data.tobytes()
-            got = self.learn([whole[words.starts[i] : words.ends[i]] for i in first[new]])
+            raw = [whole[words.starts[i] : words.ends[i]] for i in first[new]]
+            got, spelt = self.learn(raw), Pieces(np.frombuffer(b"".join(raw), np.uint8), np.array([len(w) for w in raw], np.int64))
             if len(self.known) + len(new) > self.cache_words:
-                kept = np.delete(np.arange(len(own)), new)
-                self.known, self.cached = own[kept], self.cached.take(at[kept])
-            known, cached = np.concatenate([self.known, own[new]]), Pieces.joined([self.cached, got])
+                self.known, self.cached, self.spelling = own[old], self.cached.take(at[old]), self.spelling.take(at[old])
+            known, cached, spelling = np.concatenate([self.known, own[new]]), Pieces.joined([self.cached, got]), Pieces.joined([self.spelling, spelt])
             order = np.argsort(known)
-            self.known, self.cached = known[order], cached.take(order)
+            self.known, self.cached, self.spelling = known[order], cached.take(order), spelling.take(order)
             at = np.searchsorted(self.known, own)
         each = self.cached.take(at[back])
         ids = Pieces(each.values, np.diff(each.offsets[words.of]))
-        if self.specials is not None and len(mark := np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))):
+        alone = np.searchsorted(words.of, np.flatnonzero(strange), "right") - 1
+        if self.specials is not None:
+            alone = np.concatenate([alone, np.searchsorted(offsets, np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C)), "right") - 1])
+        if len(alone):
             rows = np.split(ids.values, ids.offsets[1:-1])
-            for k in np.unique(np.searchsorted(offsets, mark, "right") - 1):
+            for k in np.unique(alone):
                 rows[k] = np.array(self.slow(data[offsets[k] : offsets[k + 1]].tobytes().decode()), np.uint32)
             ids = Pieces(np.concatenate(rows), np.array([len(r) for r in rows]))
         text = self.spelt.take(self.row_of[ids.values])

@@ -1,4 +1,5 @@
 import hashlib
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -7,6 +8,7 @@ from tokenizers import Tokenizer
 
 from lagfold.llm.bpe import WordBPE, encode
 from lagfold.llm.queries import word_bpe_spec
+from lagfold.llm.text import Words
 
 SPEC = word_bpe_spec()
 OWN, THEIRS = WordBPE(SPEC), Tokenizer.from_str(SPEC)
@@ -54,3 +56,28 @@ def test_frame(spark):
     assert [r.doc_id for r in rows] == [1, 1, 2, 3] and rows[2].n_tokens == 0 and rows[2].decoded == ""
     assert rows[0].ids_sha256 == hashlib.sha256(np.array(THEIRS.encode("Ab cd", add_special_tokens=False).ids, "<u4").tobytes()).hexdigest()
     assert encode(df.limit(0), SPEC).count() == 0
+
+
+def test_words_in_the_thue_morse_order():
+    for n in (64, 256, 1024, 4096):
+        a = "a"
+        while len(a) < n:
+            a += a.translate(str.maketrans("ab", "ba"))
+        same(f"{a} {a.translate(str.maketrans('ab', 'ba'))} {a.upper()}")
+
+
+def test_marks_of_all_ages():
+    marks = [chr(c) for c in range(0x300, 0x1E950) if unicodedata.combining(chr(c))]
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        same("".join(str(x) for x in rng.choice(marks, 3)) + "aΣ\U00011935\U00011930" + "".join(str(x) for x in rng.choice(marks, 3)))
+
+
+def test_words_with_equal_hashes(monkeypatch):
+    """Words are told apart by their bytes, within a batch and against known words."""
+    monkeypatch.setattr(Words, "hashes", lambda self: (self.ends - self.starts).astype(np.uint64))
+    own = WordBPE(SPEC)
+    for part in (["one two six", "red", None, "two"], ["fox one", "longer", "six shorter"]):
+        got, _ = own.encode(pa.array(part, pa.string()))
+        for k, t in enumerate(part):
+            assert got.values[got.offsets[k] : got.offsets[k + 1]].tolist() == THEIRS.encode(t or "", add_special_tokens=False).ids
