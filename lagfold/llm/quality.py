@@ -80,10 +80,11 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     three, _ = distinct(rolling(h, 3)[inside], text[:-2][inside]) if inside.any() else (np.zeros(n), None)
     triples = np.maximum(count - 2, 0)
     bytes_in = np.maximum(size, 1)
-    return np.stack([
+    some_words = (count > 0)[:, None]
+    return some_words * np.stack([
         np.log1p(count), kinds[:, 1] / some, kinds[:, 2] / some, kinds[:, 3] / letters, kinds[:, 4] / some, kinds[:, 5] / some, kinds[:, 8] / bytes_in,
         _by_text(words.ends - words.starts, words.of) / some, one / some, np.bincount(text[1:][same], minlength=n) / some,
-        np.where(triples > 0, three / np.maximum(triples, 1), 1.0) * (count > 0), kinds[:, 6] / some, kinds[:, 7] / some, top / some,
+        np.where(triples > 0, three / np.maximum(triples, 1), 1.0), kinds[:, 6] / some, kinds[:, 7] / some, top / some,
     ], axis=1)
 
 
@@ -188,11 +189,12 @@ def fit_gam(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.2,
 
 
 def labelled(docs: DataFrame, labels: DataFrame, target: str, modulus: int, held: int, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(_id, _text, _y)`` of at most ``rows`` labelled documents outside the held-out part, chosen by a hash of the id."""
+    """``(_id, _text, _y)`` of at most ``rows`` labelled documents outside the held-out part, chosen by a hash of the id; one row for each id (the smallest text)."""
     picked = labels.select(labels[id_col].alias("_id"), labels[target].cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & (crc_rest("_id", modulus) != held))
     picked = picked.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
     texts = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"))
-    return texts.join(F.broadcast(picked), "_id")  # at most ``rows`` ids
+    met = texts.join(F.broadcast(picked), "_id")  # at most ``rows`` ids
+    return met.groupBy("_id").agg(F.min("_text").alias("_text"), F.first("_y").alias("_y"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", modulus: int = 4, held: int = 2, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Gam:
@@ -211,21 +213,24 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", modulus: in
     return fit_gam(x[order], y[order])
 
 
-def score(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, keep: bool = False) -> DataFrame:
-    """``id_col``, ``score`` and ``predicted`` of each row; with ``keep`` all columns of ``docs`` and ``_score``."""
-    if keep:
-        source, schema = docs, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
-    else:
-        source = docs.select(docs[id_col], docs[text_col].cast("string").alias("_text"))
-        schema = T.StructType([docs.schema[id_col], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    at = docs.columns.index(text_col) if keep else 1
+def score(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """``id_col``, ``score`` and ``predicted`` of each row."""
+    schema = T.StructType([docs.schema[id_col], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches):
         for b in batches:
-            s = model.score(features(b.column(at)))
-            if keep:
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], schema=pa.schema([*b.schema, pa.field("_score", pa.float64())]))
-            else:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], [id_col, "score", "predicted"])
+            s = model.score(features(b.column("_text")))
+            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], [id_col, "score", "predicted"])
 
-    return source.mapInArrow(run, schema)
+    return docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text")).mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, model: Gam, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``threshold``."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(model.score(features(b.column(at))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

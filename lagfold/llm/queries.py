@@ -29,9 +29,9 @@ CONTAINMENT_SQL = """
 OP2_SQL = "WITH" + CONTAINMENT_SQL.format(documents="documents") + "SELECT * FROM contained"
 
 OP4_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-  s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
-  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+WITH v AS (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT q.n, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
@@ -50,6 +50,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(modulus: int, rest: int):
+    """Whether crc32(doc_id as text) leaves the rest; rows without an id aren't held out."""
+    from lagfold.llm.text import crc_rest
+
+    return F.coalesce(crc_rest("doc_id", modulus) == rest, F.lit(False)).alias("held_out")
+
+
 def word_bpe_spec() -> str:
     """The text of word_bpe_49k.json, read by the driver."""
     try:
@@ -68,20 +75,18 @@ def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lagfold.llm import quality
-    from lagfold.llm.text import crc_rest
 
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).select("doc_id", (crc_rest("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+    return quality.score(docs, model).select("doc_id", held_out(4, 2), "score", "predicted")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lagfold.llm import toxicity
-    from lagfold.llm.text import crc_rest
 
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).select("doc_id", (crc_rest("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+    return toxicity.score(docs, model).select("doc_id", held_out(3, 1), "score", "predicted")
 
 
 def op1_trie_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +95,7 @@ def op1_trie_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = lm.score(docs, crc_rest("doc_id", 5) != 1, order=3)
-    return scored.select("doc_id", (crc_rest("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", held_out(5, 1), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op2_containment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lagfold.llm.spark import cut
+from lagfold.llm.spark import cut, release, sized
 
 
 def _grants(sizes: list[int], wishes: dict[tuple[int, int], int], quota: int, shards: int) -> dict[tuple[int, int], float]:
@@ -72,9 +72,11 @@ def propagate(moving: DataFrame, total: int, shards: int, rounds: int) -> DataFr
                 break
             continue
         table = spark.createDataFrame([(i, j, float(s)) for (i, j), s in sorted(grants.items())], "label int, to int, share double")
-        granted = wish.join(F.broadcast(table), ["label", "to"]).select("g", "label", "to", "share")  # shards^2 rows at most
+        granted = cut(wish.join(F.broadcast(table), ["label", "to"]).select("g", "label", "to", "share"))  # the broadcast has shards^2 rows at most
         draw = F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        state = cut(state.join(granted, ["g", "label"], "left").select("g", "row", F.when(draw < F.col("share"), F.col("to")).otherwise(F.col("label")).alias("label")))
+        moved = cut(state.join(sized(granted), ["g", "label"], "left").select("g", "row", F.when(draw < F.col("share"), F.col("to")).otherwise(F.col("label")).alias("label")))
+        release(state, tally, wish, granted)
+        state = moved
     return state
 
 
@@ -86,8 +88,8 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = 8, id_col: str = "doc_
     )
     base = cut(base)  # a stable number tells repeated rows apart
     how_many = base.groupBy("g", "size", "crc").agg(F.count("*").alias("c"))
-    linked = how_many.where("c > 1").select("g", "size", "crc", F.lit(True).alias("linked"))
-    marked = base.join(linked, ["g", "size", "crc"], "left")
+    linked = cut(how_many.where("c > 1").select("g", "size", "crc", F.lit(True).alias("linked")))
+    marked = base.join(sized(linked), ["g", "size", "crc"], "left")
     start = marked.select("doc", "size", "crc", "nth", F.xxhash64("g", "size", "crc").alias("g"), F.xxhash64("doc", "nth").alias("row"), F.col("linked").isNull().alias("single"))
     start = cut(start.withColumn("label", F.pmod("row", F.lit(shards)).cast("int")))
 

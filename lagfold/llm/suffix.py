@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from lagfold.llm.neardup import _chunks, content_keys
-from lagfold.llm.spark import cut, sized
+from lagfold.llm.spark import cut, fresh, release, sized
 from lagfold.llm.text import Words, buffers, rolling, tidy
 
 U = np.uint64
@@ -184,6 +184,7 @@ def repeated_spans(docs: DataFrame, keyed: DataFrame, id_col: str, text_col: str
     picked = source.join(wanted.withColumnRenamed("id", "_w"), F.expr("id <=> _w"), "left_semi").mapInArrow(tag, "id long, _text string, d long")
     texts = picked.join(places.select("d", F.col("id").alias("_i"), "places"), "d").where(F.expr("id <=> _i")).select("id", "d", "_text", "places")
     windows = cut(_windows(texts, least, anchor))
+    release(suffixes, places)
     parts = max(1, -(-windows.count() // rows))
 
     def scan(batches):
@@ -228,9 +229,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     keyed = cut(_keyed(docs, id_col, text_col))
     spans = cut(repeated_spans(docs, keyed, id_col, text_col, least, anchor))
     groups = keyed.where(F.col("n") >= least).groupBy("d").agg(F.min("id").alias("first"), F.count("*").alias("c"))
-    many = groups.where("c > 1")
+    many = cut(groups.where("c > 1"))
     whole = lambda: F.array(F.struct(F.lit(0).alias("start"), F.col("n").cast("int").alias("end"))).cast(_SPANS)
-    rows = keyed.where(F.col("n") >= least).join(many, "d", "left").join(spans, "d", "left")
+    rows = keyed.where(F.col("n") >= least).join(sized(many), "d", "left").join(sized(spans), "d", "left")
     copy = F.col("c").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     rows = rows.select("id", "d", "n", F.coalesce(copy, F.lit(False)).alias("copy"), F.when(F.col("c").isNotNull(), whole()).otherwise(F.col("spans")).alias("spans"), F.when(copy, whole()).otherwise(F.coalesce("removable", F.array().cast(_SPANS))).alias("removable"))
     return rows.where(F.col("spans").isNotNull())
@@ -242,18 +243,21 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``length_col``: a column to set to the new number of characters where the text changes.
     """
     found = repeats(docs, id_col, text_col, least, anchor).where(F.size("removable") > 0)
-    cuts = cut(found.select(F.col("id").alias("_id"), F.col("d").alias("_d"), "removable").dropDuplicates(["_id", "_d"]))
+    tag_col, cut_id, cut_tag, cut_spans = fresh(docs.columns, "_tag", "_id", "_d", "removable")
+    cuts = cut(found.select(F.col("id").alias(cut_id), F.col("d").alias(cut_tag), F.col("removable").alias(cut_spans)).dropDuplicates([cut_id, cut_tag]))
     at = docs.columns.index(text_col)
-    tagged_schema = T.StructType([*docs.schema.fields, T.StructField("_tag", T.LongType())])
+    tagged_schema = T.StructType([*docs.schema.fields, T.StructField(tag_col, T.LongType())])
 
     def tag(batches):
         for b in batches:
             data, offsets = buffers(b.column(at))
             for a, e in _chunks(offsets, 2 << 20):
                 w = Words(data[offsets[a] : offsets[e]], offsets[a : e + 1] - offsets[a])
-                yield pa.RecordBatch.from_arrays([*[c.slice(a, e - a) for c in b.columns], pa.array(content_keys(w.hashes(), w.of)[:, 0].view(np.int64))], [*b.schema.names, "_tag"])
+                yield pa.RecordBatch.from_arrays([*[c.slice(a, e - a) for c in b.columns], pa.array(content_keys(w.hashes(), w.of)[:, 0].view(np.int64))], [*b.schema.names, tag_col])
+        tidy()
 
-    joined = docs.mapInArrow(tag, tagged_schema).join(sized(cuts, 300_000), (F.col("_tag") == F.col("_d")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left").drop("_tag", "_d", "_id")
+    tagged = docs.mapInArrow(tag, tagged_schema)
+    joined = tagged.join(sized(cuts), (F.col(tag_col) == F.col(cut_tag)) & F.col(id_col).cast("long").eqNullSafe(F.col(cut_id)), "left").drop(tag_col, cut_tag, cut_id)
     size_at = docs.columns.index(length_col) if length_col else None
 
     def trim(batches):

@@ -3,7 +3,9 @@
 The lexicon is learnt from labelled texts: whole words and word stems that occur
 almost only in toxic texts.  One automaton reads a word's bytes and follows, in the
 lexicon's trie, every node within one edit; its states are built when first met and
-kept, so most words end after a few table look-ups.  Each hit is weighed in a window of
+kept, so most words end after a few table look-ups.  Words of a stem's family are in the
+trie for their misspellings only; terms of fewer than five letters are matched exactly, as
+one edit of them is too often another word.  Each hit is weighed in a window of
 words: quotation marks and reporting words near it turn it into a quoted hit.  A
 logistic model over the hit counts gives the score.
 
@@ -14,15 +16,16 @@ share of label 1 (0.0 without labels).  Names are never inputs but for the text.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lagfold.llm.quality import labelled
+from lagfold.llm.spark import cut, release
 from lagfold.llm.text import Words, buffers
 
 FIT_ROWS = 20_000
@@ -36,13 +39,12 @@ INPUTS = ("exact", "stem", "near", "quoted", "density", "context")
 
 
 class Lexicon:
-    """A trie of terms (whole words) and stems, and the automaton of words within one edit of a term."""
+    """A trie of terms (whole words) and stems, and the automaton of words within one edit of a term or of ``near``."""
 
-    def __init__(self, words: list[bytes], stems: list[bytes], fuzzy_from: int = 5):
-        self.words, self.stems, self.fuzzy_from = words, stems, fuzzy_from
+    def __init__(self, words: list[bytes], stems: list[bytes], near: list[bytes] = (), fuzzy_from: int = 5):
         self.next: list[dict[int, int]] = [{}]
         self.ends: list[int] = [0]  # 1: a term ends here; 2: a stem does; 4: a term long enough for an edit does
-        for term, mark in [*((w, 1 | 4 * (len(w) >= fuzzy_from)) for w in words), *((s, 2) for s in stems)]:
+        for term, mark in [*((w, 1 | 4 * (len(w) >= fuzzy_from)) for w in words), *((s, 2) for s in stems), *((w, 4 * (len(w) >= fuzzy_from)) for w in near)]:
             node = 0
             for b in term:
                 if b not in self.next[node]:
@@ -194,49 +196,72 @@ class Scanner:
         return out
 
 
-def learn_lexicon(texts: list[str | None], y: np.ndarray, least: int = 3, share: float = 0.9, most_stems: int = 200, most_words: int = 2000) -> tuple[list[bytes], list[bytes]]:
-    """Words and stems in at least ``least`` toxic texts, of whose texts at least ``share`` are toxic.
+def _terms(sample: DataFrame) -> DataFrame:
+    """``(term, stem, bad, good)``: in how many texts of either label each word, and each beginning of a word, occurs."""
 
-    A stem replaces its words where it is as pure and occurs in more toxic texts than any of them.
+    def run(batches):
+        seen: dict[tuple[bytes, bool], list[int]] = {}
+
+        def flush():
+            keys = list(seen)
+            counts = np.array(list(seen.values()), np.int64).reshape(-1, 2)
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.binary()), pa.array([k[1] for k in keys], pa.bool_()), pa.array(counts[:, 1]), pa.array(counts[:, 0])], ["term", "stem", "bad", "good"])
+
+        for b in batches:
+            for t, y in zip(b.column("_text"), b.column("_y").to_pylist()):
+                own = {w for w in map(bare, {*(t.as_py() or "").encode().split()}) if len(w) > 2}
+                stems = set()
+                for w in own:
+                    u = w.decode("utf-8", "ignore")
+                    stems.update(u[:k].encode() for k in STEMS if len(u) > k)
+                for terms, stem in ((own, False), (stems, True)):
+                    for w in terms:
+                        seen.setdefault((w, stem), [0, 0])[y] += 1
+                if len(seen) > 500_000:
+                    yield flush()
+        yield flush()
+
+    counted = sample.select("_text", "_y").mapInArrow(run, "term binary, stem boolean, bad long, good long")
+    return counted.groupBy("term", "stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+
+
+def learn_lexicon(sample: DataFrame, toxic: int, total: int, share: float = 0.9, most_stems: int = 200, most_words: int = 2000) -> tuple[list[bytes], list[bytes], list[bytes]]:
+    """(words, stems, words under a stem) of whose texts at least ``share`` are toxic; counted by Spark, only the chosen ones come here.
+
+    A word must be in so many toxic texts that chance alone would give less than 0.01 such words in all.  A stem
+    replaces its words where it is as pure and occurs in more toxic texts than any of them.
     """
-    bad: dict[bytes, int] = {}
-    good: dict[bytes, int] = {}
-    stem_bad: dict[bytes, int] = {}
-    stem_good: dict[bytes, int] = {}
-    for t, label in zip(texts, y):
-        own = {w for w in map(bare, {*(t or "").encode().split()}) if len(w) > 2}
-        into, into_stem = (bad, stem_bad) if label else (good, stem_good)
-        for w in own:
-            into[w] = into.get(w, 0) + 1
-        stems = set()
-        for w in own:
-            u = w.decode("utf-8", "ignore")
-            stems.update(u[:k].encode() for k in STEMS if len(u) > k)
-        for s in stems:
-            into_stem[s] = into_stem.get(s, 0) + 1
-    pure = lambda b, g: b / (b + g) >= share
-    words = sorted((w for w, n in bad.items() if n >= least and pure(n, good.get(w, 0)) and math.log(n) > 0.4 * math.log1p(good.get(w, 0))), key=lambda w: (-bad[w], w))[:most_words]
-    many = max(5 * least, int(0.01 * float(np.sum(y))))
-    stems = []
-    for s in sorted((s for s, n in stem_bad.items() if n >= many and pure(n, stem_good.get(s, 0)) and stem_good.get(s, 0) <= 0.02 * n), key=lambda s: (len(s), s)):
-        under = [bad[w] for w in words if w.startswith(s)]
-        if len(under) >= 3 and stem_bad[s] > 1.3 * max(under) and not any(s.startswith(o) for o in stems):
+    terms = cut(_terms(sample))
+    kinds = terms.where("not stem").count()
+    least = max(3, int(np.ceil(np.log(100.0 * max(kinds, 1)) / np.log(total / toxic))))
+    pure = F.col("bad") >= share * (F.col("bad") + F.col("good"))
+    strong = terms.where(~F.col("stem") & (F.col("bad") >= least) & pure & (F.ln("bad") > 0.4 * F.log1p("good")))
+    bad = {bytes(r.term): int(r.bad) for r in strong.orderBy(F.desc("bad"), "term").limit(most_words).collect()}
+    many = max(15, int(0.01 * toxic))
+    whole = terms.where(F.col("stem") & (F.col("bad") >= many) & pure & (F.col("good") <= 0.02 * F.col("bad")))
+    found = sorted(((bytes(r.term), int(r.bad)) for r in whole.orderBy(F.desc("bad"), "term").limit(20 * most_stems).collect()), key=lambda x: (len(x[0]), x[0]))
+    release(terms)
+    stems: list[bytes] = []
+    for s, n in found:
+        under = [c for w, c in bad.items() if w.startswith(s)]
+        if len(under) >= 3 and n > 1.3 * max(under) and not any(s.startswith(o) for o in stems):
             stems.append(s)
     stems = stems[:most_stems]
-    top = max((bad[w] for w in words), default=0)
-    strong = [w for w in words if bad[w] >= max(least, 0.02 * top, 0.004 * float(np.sum(y))) and not any(w.startswith(s) for s in stems)]
-    return strong, stems
+    near = [w for w in bad if any(w.startswith(s) for s in stems)]
+    return [w for w in bad if w not in set(near)], stems, near
 
 
 @dataclass
 class ToxicityModel:
     words: list[bytes]
     stems: list[bytes]
+    near: list[bytes]
     weights: np.ndarray
     base: float
 
     def scanner(self) -> Scanner:
-        return Scanner(Lexicon(self.words, self.stems))
+        return Scanner(Lexicon(self.words, self.stems, self.near))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.base, -40, 40)))
@@ -258,29 +283,37 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, steps: int
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", modulus: int = 3, held: int = 1, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """Learn from at most ``rows`` labelled rows whose crc32(id) mod ``modulus`` is not ``held``."""
-    sample = labelled(docs, labels, target, modulus, held, rows, id_col, text_col)
-    got = sample.select("_text", "_y").toArrow()
-    texts, y = got["_text"].to_pylist(), got["_y"].to_numpy().astype(np.float64)
-    if not len(y) or y.min() == y.max():
-        share = float(y.mean()) if len(y) else 0.0
-        return ToxicityModel([], [], np.zeros(len(INPUTS)), float(np.clip(np.log(max(share, 1e-9) / max(1 - share, 1e-9)), -20, 20)))
-    words, stems = learn_lexicon(texts, y)
-    model = ToxicityModel(words, stems, np.zeros(len(INPUTS)), 0.0)
-    x = model.scanner().inputs(got["_text"])
-    order = np.lexsort([*x.T, y])
+    sample = cut(labelled(docs, labels, target, modulus, held, rows, id_col, text_col))
+    count = {r._y: int(r["count"]) for r in sample.groupBy("_y").count().collect()}
+    toxic, total = count.get(1, 0), sum(count.values())
+    if toxic in (0, total):
+        share = toxic / total if total else 0.0
+        return ToxicityModel([], [], [], np.zeros(len(INPUTS)), float(np.clip(np.log(max(share, 1e-9) / max(1 - share, 1e-9)), -20, 20)))
+    model = ToxicityModel(*learn_lexicon(sample, toxic, total), np.zeros(len(INPUTS)), 0.0)
+
+    def run(batches):
+        scanner = model.scanner()
+        for b in batches:
+            x = scanner.inputs(b.column("_text"))
+            yield pa.RecordBatch.from_arrays([b.column("_y"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], ["y", "x"])
+
+    got = sample.select("_text", "_y").mapInArrow(run, "y int, x array<double>").toArrow()  # a few numbers for each of at most ``rows`` rows
+    release(sample)
+    x, y = np.array(got["x"].to_pylist()).reshape(-1, len(INPUTS)), got["y"].to_numpy().astype(np.float64)
+    order = np.lexsort([*x.T, y])  # the same model however the rows came
     model.weights, model.base = fit_logistic(x[order], y[order])
     return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """``id_col``, ``score``, ``predicted`` and the hit counts (whole, stem, near, quoted; as log(1+n)) of each row."""
-    source = docs.select(docs[id_col], docs[text_col].cast("string").alias("_text"))
+    """``id_col``, ``score`` and ``predicted`` of each row."""
+    source = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"))
     schema = T.StructType([docs.schema[id_col], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches):
         scanner = model.scanner()
         for b in batches:
             s = model.score(scanner.inputs(b.column("_text")))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], [id_col, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], [id_col, "score", "predicted"])
 
     return source.mapInArrow(run, schema)
