@@ -3,9 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept;
 all but the last return the columns of ``documents``.
 
-Defined cases are those of the operators: null, empty and blank texts pass the filters
-that look at words; rows equal in id and text are one class; an empty table passes
-through; columns beside doc_id, text and n_chars are carried untouched.
+Defined cases are those of the operators: null, empty and blank texts have the score of
+features that are all zero and go or stay by it, and pass the later filters, which look at
+words; rows equal in id and text are one class; rows without an id are documents like
+others; an empty table passes through; columns beside doc_id, text and n_chars are carried
+untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,13 +17,13 @@ from pyspark.sql import functions as F
 
 from lagfold.llm import bpe, decontaminate, neardup, quality, suffix
 from lagfold.llm.queries import table, word_bpe_spec
-from lagfold.llm.spark import cut, sized
+from lagfold.llm.spark import cut, fresh, sized
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores 0.7 or more."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, keep=True).where(F.col("_score") >= 0.7).drop("_score")
+    return quality.accepted(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +37,12 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item; told by the hash of their text, as ids may be null or repeated."""
-    keyed = docs.select(F.xxhash64("text").alias("_k"), "text")
-    found = cut(decontaminate.contained(keyed, table(spark, sf_dir, "benchmark"), id_col="_k").select(F.col("_k").alias("_hit")).distinct())
-    return docs.join(sized(found), F.xxhash64(docs["text"]) == found["_hit"], "left_anti")
+    """Documents that contain no benchmark item; documents and items are told by the hashes of their texts, as ids may be null or repeated."""
+    keyed = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    items = table(spark, sf_dir, "benchmark").select(F.xxhash64("text").alias("item_id"), "text")
+    (hit,) = fresh(docs.columns, "_hit")
+    found = cut(decontaminate.contained(keyed, items).select(F.col("doc_id").alias(hit)).distinct())
+    return docs.join(sized(found), F.xxhash64(docs["text"]) == F.col(hit), "left_anti")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
