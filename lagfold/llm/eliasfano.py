@@ -145,13 +145,15 @@ class Trie:
 
     @staticmethod
     def arrays(words: np.ndarray, counts: np.ndarray, vocab: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], discount: float) -> list[np.ndarray]:
-        """``words``: sorted 63-bit hashes with ``counts``; each level: (parent, word rank in ``vocab``, count), sorted."""
+        """``words``: sorted 63-bit hashes with ``counts`` as contexts; each level: (parent, word rank in ``vocab``, count), sorted."""
         out = [*EliasFano.build(words, 1 << 63).parts(), counts.astype(np.uint32), *EliasFano.build(vocab, 1 << 40).parts(), np.array([len(vocab)])]
-        parents = len(words)
+        parents = None
         for parent, rank, c in [*levels, (np.zeros(0, np.int64),) * 3]:
-            mass, kinds = np.bincount(parent, c, parents), np.bincount(parent, minlength=parents)
+            # every training occurrence of a word but the end is followed, here or in another shard
+            mass, kinds = (np.asarray(counts, float) if parents is None else np.bincount(parent, c, parents)), np.bincount(parent, minlength=parents or len(words))
+            parents = len(mass)
             code = np.full(parents, ABSENT, np.uint8)
-            some = mass > 0
+            some = (mass > 0) & (kinds > 0)
             code[some], book = quantise(np.log10(discount * kinds[some] / mass[some]))
             out += [code, book]
             if not len(parent):

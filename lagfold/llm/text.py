@@ -147,6 +147,19 @@ def shingles(h: np.ndarray, of: np.ndarray, size: int = 5) -> tuple[np.ndarray,
     return out, text
 
 
+def _steady() -> None:
+    """Have the C library give arrays of 4 MB and more back as soon as they are freed; else it holds on to ever larger ones."""
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+_steady()
+
+
 def tidy() -> None:
     """Give what a task has freed back to the system; Python workers live on for the next task."""
     import ctypes

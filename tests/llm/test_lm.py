@@ -39,7 +39,7 @@ def test_trie_children():
     vocab = np.unique(rng.integers(0, 1 << 40, 80, dtype=np.uint64))
     pair = np.unique(rng.integers(0, len(words) * len(vocab), 300))
     parent, rank = pair // len(vocab), pair % len(vocab)
-    t = MappedTrie(Trie.arrays(words, np.ones(len(words)), vocab, [(parent, rank, np.ones(len(pair), np.int64))], 0.5))
+    t = MappedTrie(Trie.arrays(words, np.full(len(words), 99), vocab, [(parent, rank, np.ones(len(pair), np.int64))], 0.5))
     every = np.arange(len(words) * len(vocab))
     got = t.child(0, every // len(vocab), every % len(vocab))
     assert (got >= 0).sum() == len(pair) and (got[pair] == np.arange(len(pair))).all()
@@ -75,13 +75,14 @@ def brute(rows, order, d):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("order,block", [(2, 10**6), (3, 300)])
-def test_scores_by_brute_force(spark, order, block):
+@pytest.mark.parametrize("order,block,shards", [(2, 10**6, 5), (3, 300, 5), (3, 200, 40), (4, 500, None)])
+def test_scores_by_brute_force(spark, order, block, shards):
+    """With 40 shards most words' n-grams lie in several."""
     rng = np.random.default_rng(4)
     rows = [(i, " ".join(f"W{k}" for k in (rng.zipf(1.4, rng.integers(0, 60)) % 90)), i % 4 != 1) for i in range(120)]
-    rows += [(500, None, True), (501, "", False), (502, " \n", True), (3, rows[3][1], True), (503, "unheard words", False)]
+    rows += [(None, "w1 w2 w1", True), (-(2**63), "w1 w3", True), (500, None, True), (501, "", False), (502, " \n", True), (3, rows[3][1], True), (503, "unheard words", False)]
     df = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, learn boolean, score int").repartition(3)
-    got = sorted((tuple(r) for r in lm.score(df, F.col("learn"), order=order, block_tokens=block, shards=5).collect()), key=str)
+    got = sorted((tuple(r) for r in lm.score(df, F.col("learn"), order=order, block_tokens=block, shards=shards).collect()), key=str)
     want = brute(rows, order, 0.75)
     assert [g[:4] for g in got] == [w[:4] for w in want]
     assert np.allclose([g[4] for g in got], [w[4] for w in want])
@@ -89,6 +90,16 @@ def test_scores_by_brute_force(spark, order, block):
     assert lm.score(df.limit(0), F.col("learn")).count() == 0
 
 
+def test_layout_cuts_frequent_words():
+    layout = lm.Layout(4, [(1 << 60, 0.5), (5, 0.01)])
+    assert len(layout) == 4 + 4 + 1 and layout.first[0] == 0 and (layout.first == 1 << 60).sum() == 4
+    words = np.array([7, 1 << 60, 1 << 62], U)
+    parent, word = np.array([0, 1, 1, 2]), np.array([1, 0, 2, 0])
+    at, pair, within = layout.cuts(words, parent, word)
+    assert at.tolist()[:6] == [0, 1, 1, 1, 1, 2] and within.tolist()[:6] == [False, False, True, True, True, False]
+    assert pair.tolist()[:6] == [0, 1, 2, 2, 3, 3]
+
+
 def test_query_scores_by_trigrams(spark, tmp_path):
     from lagfold.llm.queries import op1_trie_lm
 
