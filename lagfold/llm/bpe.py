@@ -59,7 +59,7 @@ def byte_alphabet() -> list[str]:
 class WordBPE:
     """A word-end BPE tokenizer read from the text of its JSON file."""
 
-    def __init__(self, spec: str, cache_words: int = 600_000, group: int = 20_000):
+    def __init__(self, spec: str, cache_words: int = 400_000, group: int = 20_000):
         self.spec = spec
         spec = json.loads(spec)
         model = spec["model"]
@@ -256,7 +256,11 @@ class Pieces:
     def take(self, rows: np.ndarray) -> "Pieces":
         count = np.diff(self.offsets)[rows]
         end = np.cumsum(count)
-        return Pieces(self.values[np.repeat(self.offsets[rows] - end + count, count) + np.arange(end[-1] if len(end) else 0)], count)
+        total = int(end[-1]) if len(end) else 0
+        kind = np.int32 if max(total, len(self.values)) < 1 << 31 else np.int64
+        place = np.repeat((self.offsets[rows] - end + count).astype(kind), count)
+        place += np.arange(total, dtype=kind)
+        return Pieces(self.values[place], count)
 
     @staticmethod
     def joined(parts: list["Pieces"]) -> "Pieces":
@@ -298,8 +302,8 @@ def encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "
         for whole in batches:
             at = 0
             sizes = pa.compute.binary_length(whole.column("_text")).fill_null(0).to_numpy(zero_copy_only=False).cumsum()
-            while at < whole.num_rows:  # about 4 MB of text at a time
-                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + 4_000_000)))
+            while at < whole.num_rows:  # about 2 MB of text at a time
+                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + 2_000_000)))
                 batch = whole.slice(at, end - at)
                 at = end
                 got, text = bpe.encode(batch.column("_text"))
