@@ -59,7 +59,7 @@ def byte_alphabet() -> list[str]:
 class WordBPE:
     """A word-end BPE tokenizer read from the text of its JSON file."""
 
-    def __init__(self, spec: str, cache_words: int = 400_000, group: int = 20_000):
+    def __init__(self, spec: str, cache_words: int = 250_000, group: int = 5_000):
         self.spec = spec
         spec = json.loads(spec)
         model = spec["model"]
@@ -302,8 +302,8 @@ def encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "
         for whole in batches:
             at = 0
             sizes = pa.compute.binary_length(whole.column("_text")).fill_null(0).to_numpy(zero_copy_only=False).cumsum()
-            while at < whole.num_rows:  # about 2 MB of text at a time
-                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + 2_000_000)))
+            while at < whole.num_rows:  # about 1 MB of text at a time
+                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + 1_000_000)))
                 batch = whole.slice(at, end - at)
                 at = end
                 got, text = bpe.encode(batch.column("_text"))

@@ -38,7 +38,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of whole texts by bytes, not by 10,000 rows; a smaller bound of the session stays."""
-    key, most = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+    key, most = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
     now = spark.conf.get(key, None)
     if now is None or not now.isdigit() or not 0 < int(now) <= most:
         spark.conf.set(key, str(most))
