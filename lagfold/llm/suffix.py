@@ -3,7 +3,7 @@
 Suffixes are kept where the hash of the next ``anchor`` words is the smallest of
 ``least - anchor + 1`` neighbouring ones (minimisers), so every passage of ``least`` words
 holds at least one kept suffix, chosen by its content alone: both copies of a passage keep
-the same ones.  Suffixes whose anchor occurs once are dropped.  Every start of
+the same ones.  Suffixes whose anchor occurs in one text only are dropped.  Every start of
 a window of ``least`` words belongs to the window's minimiser; where that is left, the
 window is kept under the hash of all its words, so equal windows have equal keys whatever
 surrounds a frequent line.  Windows are sorted by (hash, id, text, place) in range
@@ -14,6 +14,9 @@ Anchors and windows are compared by 64-bit hashes (n windows have a wrong match
 chance of n^2 / 2^65).  Documents with equal word sequences count
 as one text; every copy but the first is removable as a whole if it has ``least`` words.
 
+A passage is repeated if it occurs in two different texts; what only one text says again and
+again is its own affair and is left alone.
+
 Defined cases: texts of fewer than ``least`` words, null and empty ones have no passage;
 rows equal in text are copies, but for rows equal in id too, which count as the same row
 twice; other columns are carried untouched; an empty table gives no rows.
@@ -121,20 +124,28 @@ def _windows(texts: DataFrame, least: int, anchor: int) -> DataFrame:
     return texts.mapInArrow(run, "w long, id long, d long, pos int")
 
 
-def _settled(w: np.ndarray, d: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of windows sorted by (w, id, d, pos): the settled rows, where the first of each one's hash is, and the first rows of both edges' hashes with their counts.
+def _settled(w: np.ndarray, d: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of windows sorted by (w, id, d, pos): the settled rows, where the first of each one's hash is, and the open rows with their counts and the last text of each one's hash.
 
-    The first is told by its place if it is in the same text, else by -1.
+    The first is told by its place if it is in the same text, else by -1.  Open are, of the first and the last hash,
+    the first row, and every row if there is one text only.
     """
     own = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (d[1:] != d[:-1]) | (pos[1:] != pos[:-1])]))  # rows equal in id and text
     new = np.flatnonzero(np.concatenate([[True], w[own][1:] != w[own][:-1]]))
     count = np.diff(np.append(new, len(own)))
+    last = d[own[new + count - 1]]
+    several = d[own[new]] != last  # texts
+    edge = np.zeros(len(new), bool)
+    edge[[0, -1]] = True
     head = own[np.repeat(new, count)]
-    edge = np.unique([0, len(new) - 1])
-    inside = np.repeat(count > 1, count)
-    inside[new[edge]] = False
+    inside = np.repeat(several, count)
+    open_ = np.repeat(edge & ~several, count)
+    open_[new[edge]] = True
+    inside &= ~open_
     first = np.where(d[own] == d[head], pos[head], -1)
-    return own[inside], first[inside], own[new[edge]], count[edge]
+    held = np.ones(len(own), np.int64)
+    held[new[several]] = count[several]
+    return own[inside], first[inside], own[open_], held[open_], np.repeat(last, count)[open_]
 
 
 def _covered(starts: np.ndarray, length: int, size: int) -> np.ndarray:
@@ -164,8 +175,7 @@ _SPANS = "array<struct<start:int,end:int>>"
 def repeated_spans(docs: DataFrame, keyed: DataFrame, id_col: str, text_col: str, least: int, anchor: int, rows: int = 200_000) -> DataFrame:
     """``(d, spans, removable)`` of each text that shares a passage with another place; spans in words."""
     suffixes = cut(_suffixes(docs, id_col, text_col, least, anchor))
-    place = F.xxhash64("d", "pos")
-    often = suffixes.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo != hi").select("key")
+    often = suffixes.groupBy("key").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo != hi").select("key")
     kept = suffixes.join(sized(cut(often)), "key", "left_semi").select("d", "pos").distinct()
     first = keyed.where(F.col("n") >= least).groupBy("d").agg(F.min("id").alias("id"))
     places = cut(kept.groupBy("d").agg(F.collect_set("pos").alias("places")).join(first, "d"))
@@ -191,19 +201,21 @@ def repeated_spans(docs: DataFrame, keyed: DataFrame, id_col: str, text_col: str
         whole = [b for b in batches if b.num_rows]
         if whole:
             t = pa.Table.from_batches(whole)
-            rows, first, edge, count = _settled(*(t.column(c).to_numpy() for c in ("w", "d", "pos")))
-            for at, f, c in ((rows, first, np.zeros(len(rows))), (edge, np.full(len(edge), -1), count)):
-                for b in t.take(pa.array(at)).append_column("first", pa.array(f.astype(np.int32))).append_column("c", pa.array(c.astype(np.int64))).combine_chunks().to_batches():
-                    yield b
+            rows, first, open_, count, last = _settled(*(t.column(c).to_numpy() for c in ("w", "d", "pos")))
+            z = np.zeros(len(rows), np.int64)
+            for at, f, c, e in ((rows, first, z, z), (open_, np.full(len(open_), -1), count, last)):
+                out = t.take(pa.array(at)).append_column("first", pa.array(f.astype(np.int32))).append_column("c", pa.array(c)).append_column("e", pa.array(e))
+                yield from out.combine_chunks().to_batches()
         tidy()
 
     order = ["w", "id", "d", "pos"]
     ranged = windows.repartitionByRange(parts, *order) if parts > 1 else windows.coalesce(1)
-    found = cut(ranged.sortWithinPartitions(*order).mapInArrow(scan, "w long, id long, d long, pos int, first int, c long"))
+    found = cut(ranged.sortWithinPartitions(*order).mapInArrow(scan, "w long, id long, d long, pos int, first int, c long, e long"))
     of_w = W.partitionBy("w")
     firsts = of_w.orderBy("id", "d", "pos")
-    edges = found.where("c > 0").withColumns({"all": F.sum("c").over(of_w), "_d": F.first("d").over(firsts), "_pos": F.first("pos").over(firsts)})  # two rows a partition at most
-    across = edges.where("all > 1").select("d", "pos", F.when(F.col("d") == F.col("_d"), F.col("_pos")).otherwise(-1).alias("first"))
+    texts_of = {"lo": F.min(F.least("d", "e")).over(of_w), "hi": F.max(F.greatest("d", "e")).over(of_w)}
+    edges = found.where("c > 0").withColumns({**texts_of, "_d": F.first("d").over(firsts), "_pos": F.first("pos").over(firsts)})  # two rows a partition, but for what one text repeats
+    across = edges.where("lo != hi").select("d", "pos", F.when(F.col("d") == F.col("_d"), F.col("_pos")).otherwise(-1).alias("first"))
 
     def unite(batches):
         for b in batches:
@@ -222,7 +234,7 @@ def repeated_spans(docs: DataFrame, keyed: DataFrame, id_col: str, text_col: str
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, anchor: int = 25) -> DataFrame:
-    """``(id, d, n, copy, spans, removable)`` of each row with a repeated passage of at least ``least`` words.
+    """``(id, d, n, copy, spans, removable)`` of each row with a passage of at least ``least`` words that another text has too.
 
     ``copy``: an equal text has a smaller id, so the whole row is removable.
     """

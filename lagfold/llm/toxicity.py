@@ -229,12 +229,14 @@ def _terms(sample: DataFrame) -> DataFrame:
 def learn_lexicon(sample: DataFrame, toxic: int, total: int, share: float = 0.9, most_stems: int = 200, most_words: int = 2000) -> tuple[list[bytes], list[bytes], list[bytes]]:
     """(words, stems, words under a stem) of whose texts at least ``share`` are toxic; counted by Spark, only the chosen ones come here.
 
-    A word must be in so many toxic texts that chance alone would give less than 0.01 such words in all.  A stem
+    A word must be in so many toxic texts (three at least) that chance alone would give ten such words at most.  A stem
     replaces its words where it is as pure and occurs in more toxic texts than any of them.
     """
     terms = cut(_terms(sample))
-    kinds = terms.where("not stem").count()
-    least = max(3, int(np.ceil(np.log(100.0 * max(kinds, 1)) / np.log(total / toxic))))
+    texts = F.col("bad") + F.col("good")
+    words_in = {int(r.n): int(r["count"]) for r in terms.where(~F.col("stem") & (texts <= 20)).groupBy(texts.alias("n")).count().collect()}
+    by_chance = lambda n: sum(words_in.get(m, 0) * (toxic / total) ** m for m in range(n, 21))  # noqa: E731  words in n or more texts, all toxic
+    least = next((n for n in range(3, 20) if by_chance(n) <= 10), 20)
     pure = F.col("bad") >= share * (F.col("bad") + F.col("good"))
     strong = terms.where(~F.col("stem") & (F.col("bad") >= least) & pure & (F.ln("bad") > 0.4 * F.log1p("good")))
     bad = {bytes(r.term): int(r.bad) for r in strong.orderBy(F.desc("bad"), "term").limit(most_words).collect()}

@@ -31,7 +31,7 @@ def corpus():
 
 
 def coverage(rows, least=50):
-    """Word places under a run of ``least`` words that occurs at more than one place of the different texts."""
+    """Word places under a run of ``least`` words that occurs in several different texts."""
     texts = {}
     for i, t in rows:
         texts.setdefault(tuple((t or "").lower().split()), []).append(i)
@@ -41,7 +41,7 @@ def coverage(rows, least=50):
             where[ws[k : k + least]].add((ws, k))
     cover = defaultdict(set)
     for places in where.values():
-        if len(places) > 1:
+        if len({ws for ws, _ in places}) > 1:
             for ws, k in places:
                 cover[ws].update(range(k, k + least))
     return texts, cover
@@ -112,6 +112,15 @@ def test_groups_across_partitions(spark, monkeypatch):
     check_groups(spark, [(0, 10)] * 60)
 
 
+@pytest.mark.parametrize("rows_in_task", [60_000, 7])
+def test_what_one_text_repeats_is_left_alone(spark, monkeypatch, rows_in_task):
+    monkeypatch.setattr(suffix.repeated_spans, "__defaults__", (rows_in_task,))
+    line = [f"l{k}" for k in range(60)]
+    rows = [(1, " ".join(line * 3)), (2, " ".join(["q"] * 200)), (3, " ".join([*(f"a{k}" for k in range(60))] * 2)), (4, "x " + " ".join(f"a{k}" for k in range(60)))]
+    got = {r.id: r for r in suffix.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sorted(got) == [3, 4] and [tuple(x) for x in got[4].removable] == [(1, 61)] and [tuple(x) for x in got[3].removable] == [(60, 120)]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert suffix.repeats(df).count() == 0 and suffix.without_repeats(df).count() == 0
