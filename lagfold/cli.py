@@ -1,4 +1,4 @@
-"""Command line: ``python -m lagfold.cli {compress,decompress,analyze,bound} ...``
+"""Command line: ``python -m lagfold.cli {compress,decompress,analyze,bound,inspect,benchmark} ...``
 
 Frames are Parquet tables ``(run_id, t, xyz)`` or DCD files with a PDB topology.
 """
@@ -59,31 +59,64 @@ def decompress(args) -> None:
 
 def analyze(args) -> None:
     from lagfold.functions import kinetics
-    from lagfold.operators import counts
+    from lagfold.operators import analysis, counts
     from lagfold.sources import artifact
 
     spark = session()
     art = artifact.load(spark, args.artifact, only=("dtraj", "counts"))
     n, lag = art.config["n_states"], args.lag or art.config["lag"]
-    lags = sorted({lag, *map(int, args.lags.split(","))} if args.lags else {lag})
-    got = counts.counts_by_lag(art.tables["dtraj"], lags).collect()
-    for tau in lags:
-        c = kinetics.dense_counts([(r.i, r.j, r.c) for r in got if r.lag == tau], n)
-        try:
-            its = kinetics.implied_timescales(kinetics.reversible_mle(c)[0], tau, args.k)
-            print(f"lag {tau}: timescales " + " ".join(f"{v:.4g}" for v in its))
-        except ValueError as e:
-            print(f"lag {tau}: {e}")
-    c = kinetics.dense_counts([(r.i, r.j, r.c) for r in got if r.lag == lag], n)
+    runs = art.tables["dtraj"]
+    frames = runs.count()
+    dt = art.config["dt_ps"] * art.config["stride"] / 1000  # ns
+    show = lambda x: " ".join("-" if np.isnan(v) else f"{v:.4g}" for v in x)
+    c = kinetics.dense_counts(counts.transition_counts(runs, lag).collect(), n)
+    try:
+        print(f"lag {lag}: timescales " + show(kinetics.implied_timescales(kinetics.reversible_mle(c)[0], lag, args.k)))
+    except ValueError as e:
+        print(f"lag {lag}: {e}")
+    if args.lags or args.lag_scan:
+        lags = sorted({int(x) for x in args.lags.split(",")}) if args.lags else analysis.usual_lags(lag)
+        for tau, its in analysis.lag_scan(runs, lags, args.k, n):
+            print(f"scan, lag {tau}: timescales {show(its)}" + (" (no estimate)" if np.isnan(its).all() else ""))
+    samples = kinetics.posterior_timescales(c, lag, args.k, args.n_samples) if args.bayes or args.resolution else None
+    if args.bayes:
+        each = kinetics.kinetic_resolution(samples, frames)
+        print(f"posterior: means {show([r.timescale for r in each])}; deviations {show([r.std for r in each])}")
+    if args.bootstrap:
+        got = analysis.bootstrap_timescales(runs, lag, args.k, n, args.bootstrap)
+        print("bootstrap: no replicate has an estimate" if got is None else "bootstrap: means {}; low {}; high {}".format(*map(show, got)))
+    if args.cktest:
+        print("staying probabilities, largest difference by factor: " + " ".join(f"{f}: {v:.4g}" for f, v in analysis.ck_test(runs, lag, n, args.cktest).items()))
     if args.resolution:
-        for r in kinetics.kinetic_resolution(kinetics.posterior_timescales(c, lag, args.k, args.n_samples), float(c.sum())):
-            print(f"timescale {r.timescale:.4g} [{r.low:.4g}, {r.high:.4g}], {r.events:.3g} events: " + ("resolved" if r.resolved else "not resolved"))
+        for r in kinetics.kinetic_resolution(samples, frames, dt):
+            print(f"timescale {r.timescale:.4g} ns [{r.low:.4g}, {r.high:.4g}], {r.events:.3g} events: " + ("resolved" if r.resolved else "not resolved"))
     if args.mfpt:
         act = kinetics.largest_connected_set(c)
         t, pi = kinetics.transition_matrix(c[np.ix_(act, act)])
-        _, pops, m = kinetics.metastable_mfpt(t, pi, args.mfpt)
-        print("populations " + " ".join(f"{p:.4g}" for p in pops))
-        print("\n".join(" ".join("-" if np.isnan(v) else f"{v:.4g}" for v in row) for row in m))
+        _, pops, m = kinetics.metastable_mfpt(t, pi, args.mfpt, dt * lag)
+        print("populations " + show(pops))
+        print("passage times in ns\n" + "\n".join(map(show, m)))
+
+
+def inspect(args) -> None:
+    from lagfold.operators.inspect import inspect as look
+    from lagfold.sources import trajectory
+
+    spark = session()
+    frames = trajectory.read_dcd(spark, args.frames.split(",")) if ".dcd" in args.frames else spark.read.parquet(args.frames)
+    for k, v in look(trajectory.read_pdb(spark, args.top), frames, args.dt_ps).items():
+        print(f"{k}: {v}")
+
+
+def benchmark(args) -> None:
+    from lagfold.plans import benchmark as bench
+
+    spark = session()
+    rows = bench.run_benchmark(load_frames(spark, args), args.methods.split(","), lag_frames(args.lag_ns, args.stride, args.dt_ps), args.nstates, args.cv_dim, args.dt_ps * args.stride / 1000, args.seed)
+    for r in rows:
+        print(" ".join(f"{k}={v:.4g}" if isinstance(v, float) else f"{k}={v}" for k, v in r.items()))
+    if args.csv:
+        bench.write_csv(spark, rows, args.csv)
 
 
 def bound(args) -> None:
@@ -125,7 +158,10 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("artifact")
     for name, kind, default in (("lag", int, None), ("lags", str, None), ("k", int, 4), ("n-samples", int, 100), ("mfpt", int, None)):
         a.add_argument(f"--{name}", type=kind, default=default)
-    a.add_argument("--resolution", action="store_true")
+    for name, kind in (("bootstrap", int), ("cktest", int)):
+        a.add_argument(f"--{name}", type=kind, default=0)
+    for name in ("resolution", "bayes", "lag-scan"):
+        a.add_argument(f"--{name}", action="store_true")
     a.set_defaults(func=analyze)
     b = sub.add_parser("bound")
     b.add_argument("artifact")
@@ -133,6 +169,19 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--lag", type=int)
     b.add_argument("-L", "--length", type=int)
     b.set_defaults(func=bound)
+    i = sub.add_parser("inspect")
+    i.add_argument("top")
+    i.add_argument("frames")
+    i.add_argument("--dt-ps", type=float)
+    i.set_defaults(func=inspect)
+    m = sub.add_parser("benchmark")
+    m.add_argument("frames")
+    m.add_argument("--top")
+    m.add_argument("--methods", default="stored,shuffle,quantize")
+    m.add_argument("--csv")
+    for name, kind, default in (("stride", int, 10), ("cv-dim", int, 2), ("nstates", int, 50), ("lag-ns", float, 10.0), ("dt-ps", float, 100.0), ("seed", int, 0)):
+        m.add_argument(f"--{name}", type=kind, default=default)
+    m.set_defaults(func=benchmark)
     return top
 
 

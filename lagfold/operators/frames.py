@@ -32,6 +32,23 @@ def numbered(df: DataFrame, run: str | Column, *order: str | Column) -> DataFram
     return keyed.withColumn("t", (F.row_number().over(W.partitionBy("run_id").orderBy(*order)) - 1).cast("long"))
 
 
+def ranged(df: DataFrame, key: str, parts: int = 64) -> Column:
+    """The range, 0 to ``parts`` - 1, that a numeric key falls into; ranges of about as many rows each."""
+    edges = sorted({*df.approxQuantile(key, [k / parts for k in range(1, parts)], 0.25 / parts)})
+    return F.size(F.filter(F.array(*[F.lit(e) for e in edges]).cast("array<double>"), lambda e: e <= F.col(key))).alias("range")
+
+
+def numbered_whole(df: DataFrame, key: str, parts: int = 64) -> DataFrame:
+    """Add ``run_id`` 0 and ``t``, the row's number by ``key`` in the whole table: within ranges of the key, and offsets of these."""
+    placed = df.withColumn("_range", ranged(df, key, parts))
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(sizes.select("_range", before.alias("_before")))  # ``parts`` rows
+    inner = F.row_number().over(W.partitionBy("_range").orderBy(key)) - 1
+    rows = placed.withColumn("_inner", inner).join(offsets, "_range")
+    return rows.withColumns({"run_id": F.lit(0).cast("long"), "t": (F.col("_before") + F.col("_inner")).cast("long")}).drop("_range", "_inner", "_before")
+
+
 def state_of(name: Column, names: tuple[str, ...]) -> Column:
     """Index of a name in a fixed list; null for others."""
     at = F.array_position(F.array(*map(F.lit, names)), name)
@@ -74,7 +91,7 @@ def coordinates(spark: SparkSession, sf_dir: str, atoms: int = 21) -> DataFrame:
     """Embeddings as one run of frames: the first 3 * atoms numbers are coordinates, the label is the state."""
     em = table(spark, sf_dir, "embeddings")
     xyz = F.slice(F.col("embedding").cast("array<double>"), 1, 3 * atoms)
-    return numbered(em, F.lit(0).cast("long"), "vec_id").select("run_id", "t", "vec_id", F.col("label").alias("state"), xyz.alias("xyz"))
+    return numbered_whole(em, "vec_id").select("run_id", "t", "vec_id", F.col("label").alias("state"), xyz.alias("xyz"))
 
 
 def atoms(frames: DataFrame, first: int | None = None) -> DataFrame:

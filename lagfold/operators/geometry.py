@@ -127,6 +127,22 @@ class Whitening:
         return z @ self.back + self.mean
 
 
+class Standard:
+    """Features less their means, over their deviations (1 where a feature doesn't move)."""
+
+    def __init__(self, mean: np.ndarray, std: np.ndarray):
+        self.mean, self.std = mean, np.where(std > 1e-12, std, 1.0)
+
+    @staticmethod
+    def fit(frames: DataFrame, x: str = "x") -> "Standard":
+        n, s, _, c, _, _ = moments(frames, x)
+        mean = s / n
+        return Standard(mean, np.sqrt(np.maximum(np.diag(c) / n - mean**2, 0)))
+
+    def transform(self, frames: DataFrame, x: str = "x", out: str = "z") -> DataFrame:
+        return project(frames, lambda y: (y - self.mean) / self.std, x, out)
+
+
 class Tica:
     """Slow modes from instantaneous and lagged moments; partial moments add up, so batches may come one by one."""
 

@@ -7,6 +7,34 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+from lagfold.operators.frames import ranged
+
+
+def percentiles(df: DataFrame, x: str, shares: list[float]) -> list[float | None]:
+    """Exact percentiles with linear interpolation: only the rows of the ranges that hold the wanted ranks are sorted."""
+    rows = df.select(F.col(x).cast("double").alias("x")).where("x is not null")
+    placed = rows.withColumn("r", ranged(rows, "x"))
+    sizes = {r.r: int(r.n) for r in placed.groupBy("r").agg(F.count("*").alias("n")).collect()}  # a row for each range
+    total = sum(sizes.values())
+    if not total:
+        return [None] * len(shares)
+    ranks = [p * (total - 1) for p in shares]
+    where, before = {}, 0
+    for r in sorted(sizes):
+        for k in {int(q) for q in ranks} | {min(int(q) + 1, total - 1) for q in ranks}:
+            if before <= k < before + sizes[r]:
+                where[k] = (r, k - before)
+        before += sizes[r]
+    inner = F.row_number().over(W.partitionBy("r").orderBy("x")) - 1
+    some = placed.where(F.col("r").isin(sorted({r for r, _ in where.values()}))).withColumn("k", inner)
+    wanted = F.struct("r", "k").isin([F.struct(F.lit(r), F.lit(k)) for r, k in where.values()])
+    value = {(v.r, v.k): v.x for v in some.where(wanted).collect()}  # two rows for each share at most
+    out = []
+    for q in ranks:
+        low, high = value[where[int(q)]], value[where[min(int(q) + 1, total - 1)]]
+        out.append(low + (high - low) * (q - int(q)))
+    return out
+
 
 def everything():
     """One window over all rows; only over tables with a fixed number of rows (bins, states, symbols)."""

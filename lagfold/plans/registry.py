@@ -337,7 +337,8 @@ def bounded_observable(spark, d):
 @query("percentile_range", f"WITH {EV} SELECT " + ", ".join(f"round(quantile_cont(value, {p}), 6) AS p{str(p).replace('.', '_')}" for p in (0.005, 0.01, 0.025, 0.5, 0.975, 0.995)) + " FROM ev")
 def percentile_range(spark, d):
     ps = (0.005, 0.01, 0.025, 0.5, 0.975, 0.995)
-    return frames.events(spark, d).agg(*[r6(F.percentile("value", p)).alias(f"p{str(p).replace('.', '_')}") for p in ps])
+    got = stats.percentiles(frames.events(spark, d), "value", list(ps))
+    return spark.range(1).select(*[r6(F.lit(v)).alias(f"p{str(p).replace('.', '_')}") for p, v in zip(ps, got)])
 
 
 Z = "(value - 50) / 25"
@@ -413,9 +414,13 @@ def quantize_contrast(spark, d):
     return one(1).union(one(2))
 
 
-@query("xtc_entropy_rate", f"WITH {EM}, q AS (SELECT atom, CAST(round_even(x * 100, 0) AS BIGINT) AS q FROM atm), c AS (SELECT q, count(*) AS c FROM q GROUP BY 1) SELECT CAST(sum(c) AS BIGINT) AS n, round(-sum(p * log2(p)), 6) AS bits FROM (SELECT c, c / sum(c) OVER () AS p FROM c)")
+@query("xtc_entropy_rate", f"""WITH {EM}, ct AS (SELECT t, [x - avg(x) OVER (PARTITION BY t), y - avg(y) OVER (PARTITION BY t), z - avg(z) OVER (PARTITION BY t)] AS v FROM atm),
+q AS (SELECT CAST(round_even(v * 100, 0) AS BIGINT) AS q FROM (SELECT unnest(v) AS v FROM ct)), c AS (SELECT q, count(*) AS c FROM q GROUP BY 1) SELECT CAST(sum(c) AS BIGINT) AS n, round(-sum(p * log2(p)), 6) AS bits FROM (SELECT c, c / sum(c) OVER () AS p FROM c)""")
 def xtc_entropy_rate(spark, d):
-    q = frames.atoms(frames.coordinates(spark, d)).select(F.bround(F.col("x") * 100, 0).cast("long").alias("q"))
+    """Entropy of all coordinates of frames centred on their centroids, on a grid of 1/100."""
+    from lagfold.plans.benchmark import centred
+
+    q = centred(frames.coordinates(spark, d)).select(F.explode("centred").alias("v")).select(F.bround(F.col("v") * 100, 0).cast("long").alias("q"))
     return stats.entropy(q, "q").select("n", r6(F.col("bits")).alias("bits"))
 
 
@@ -594,7 +599,7 @@ def predictive_roundtrip(spark, d):
 
     ship(spark)
     z = frames.events(spark, d).select("run_id", "t", F.expr(Z).alias("z"))
-    back = coding.predictive_levels(z, 0.1, 8.0, 13)
+    back = coding.predictive_back(coding.predictive_levels(z, 0.1, 8.0, 13), 0.1, 8.0, 13)
     ok = F.abs(F.col("back") - F.col("z")) <= 8 * 16.0 / 8192
     return z.join(back, ["run_id", "t"]).groupBy("run_id").agg(F.count("*").alias("n"), F.bool_and(ok).alias("ok"))
 
@@ -615,8 +620,9 @@ def kmeans_msm(spark, d):
     from lagfold.shipping import ship
 
     ship(spark)
-    x = geometry.contacts(frames.coordinates(spark, d), 12)
-    cv = geometry.Tica(1, 2).fit(x).transform(x).select("run_id", "t", "cv")
+    raw = geometry.contacts(frames.coordinates(spark, d), 12)
+    x = geometry.Standard.fit(raw).transform(raw)
+    cv = geometry.Tica(1, 2).fit(x, "z").transform(x, "z").select("run_id", "t", "cv")
     cells, _ = geometry.discretise(cv, 8)
     return counts.transition_counts(cells)
 
@@ -672,11 +678,16 @@ def kinetic_resolution(spark, d):
     from lagfold.functions import kinetics
 
     c = event_counts(spark, d)
-    out = kinetics.kinetic_resolution(kinetics.posterior_timescales(c, 1, 3, 50), float(c.sum()))
+    out = kinetics.kinetic_resolution(kinetics.posterior_timescales(c, 1, 3, 50), frames.table(spark, d, "events").count())
     return spark.createDataFrame([(k + 1, *(round(float(x), 6) for x in (r.timescale, r.std, r.low, r.high, r.relative, r.events)), r.resolved) for k, r in enumerate(out)], "k int, timescale double, std double, low double, high double, relative double, events double, resolved boolean")
 
 
-@query("connected_set")
+@query("connected_set", "WITH RECURSIVE " + COUNTS + """,
+  e AS (SELECT i, j, c FROM c), st AS (SELECT i FROM e UNION SELECT j FROM e),
+  r(i, j) AS (SELECT i, i FROM st UNION SELECT r.i, e.j FROM r JOIN e ON r.j = e.i),
+  k AS (SELECT a.i, min(a.j) AS root FROM r a JOIN r b ON a.i = b.j AND a.j = b.i GROUP BY a.i),
+  m AS (SELECT x.root, sum(c) AS mass FROM e JOIN k x ON e.i = x.i JOIN k y ON e.j = y.i WHERE x.root = y.root GROUP BY 1)
+SELECT CAST(i AS INTEGER) AS state FROM k WHERE root = (SELECT root FROM m ORDER BY mass DESC, root LIMIT 1)""")
 def connected_set(spark, d):
     from lagfold.functions import kinetics
 
@@ -696,6 +707,24 @@ def ideal_gaussian_rate(spark, d):
     return q.join(F.broadcast(table), "level").agg(r6(F.avg("bits")).alias("bits_per_value"))
 
 
+@query("bootstrap_timescales")
+def bootstrap_timescales(spark, d):
+    """Means and 95% intervals of the timescales over resampled runs."""
+    from lagfold.operators import analysis
+
+    got = analysis.bootstrap_timescales(frames.events(spark, d), 1, 3, 5, replicates=50)
+    return spark.createDataFrame([(k + 1, *(round(float(v), 6) for v in row)) for k, row in enumerate(zip(*got))], "k int, mean double, low double, high double")
+
+
+@query("benchmark_report")
+def benchmark_report(spark, d):
+    """Stored, shuffled and quantised coordinates and one tool that isn't there, against the bound."""
+    from lagfold.plans import benchmark
+
+    rows = benchmark.run_benchmark(frames.coordinates(spark, d).select("run_id", "t", "xyz"), ["stored", "shuffle", "quantize", "nosuchtool"], lag=1, states=8)
+    return benchmark.table(spark, rows)
+
+
 @query("stream_counts", f"WITH {COUNTS} SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, c FROM c")
 def stream_counts(spark, d):
     """Counts from a stream of the events, run to the end of what is there."""
@@ -757,7 +786,23 @@ def conditional_nll(spark, d):
     return m.select(r6(0.5 * F.ln(2 * math.pi * left) + 0.5).alias("nats"), r6(F.col("b") / F.col("a")).alias("slope"))
 
 
-@query("contrast_report")
+CONTRAST = EV + """,
+  n AS (SELECT run_id, count(*) AS n FROM ev GROUP BY 1),
+  x AS (SELECT 'stored' AS method, run_id, t, state FROM ev UNION ALL SELECT 'merged', run_id, t, CASE WHEN state = 4 THEN 3 ELSE state END FROM ev
+    UNION ALL SELECT 'shuffle', e.run_id, e.t, f.state FROM ev e JOIN n USING (run_id) JOIN ev f ON f.run_id = e.run_id AND f.t = (e.t * 1103515245 + 12345 + e.run_id) % n),
+  pr AS (SELECT method, state AS i, lead(state) OVER (PARTITION BY method, run_id ORDER BY t) AS j FROM x),
+  co AS (SELECT method, i, j, count(*) AS c FROM pr WHERE j IS NOT NULL GROUP BY ALL),
+  sy AS (SELECT method, i, j, sum(c) / 2 AS c FROM (SELECT * FROM co UNION ALL SELECT method, j, i, c FROM co) GROUP BY ALL),
+  gr AS (SELECT method, i, j, coalesce(c, 0) AS c FROM (SELECT DISTINCT method FROM x) m CROSS JOIN (SELECT unnest(range(5)) AS i) a CROSS JOIN (SELECT unnest(range(5)) AS j) b LEFT JOIN sy USING (method, i, j)),
+  tm AS (SELECT method, i, j, CASE WHEN sum(c) OVER (PARTITION BY method, i) > 0 THEN c / sum(c) OVER (PARTITION BY method, i) ELSE 0 END AS p FROM gr),
+  pi AS (SELECT method, i, sum(c) / sum(sum(c)) OVER (PARTITION BY method) AS pi FROM gr GROUP BY method, i),
+  pc AS (SELECT method, i, greatest(pi, 1e-12) / sum(greatest(pi, 1e-12)) OVER (PARTITION BY method) AS w FROM pi),
+  en AS (SELECT b.method, sum(a.w * ln(a.w / b.w)) AS ensemble FROM pc a JOIN pc b USING (i) WHERE a.method = 'stored' GROUP BY 1),
+  tr AS (SELECT b.method, sum(pi.pi * greatest(a.p, 1e-12) * ln(greatest(a.p, 1e-12) / greatest(b.p, 1e-12))) AS transition, bool_and(NOT (a.p > 1e-12 AND NOT b.p > 1e-12)) AS support_ok
+    FROM tm a JOIN tm b USING (i, j) JOIN pi ON pi.i = a.i AND pi.method = 'stored' WHERE a.method = 'stored' GROUP BY 1)"""
+
+
+@query("contrast_report", f"WITH {CONTRAST} SELECT method, round(ensemble, 6) + 0.0 AS ensemble, round(transition, 6) + 0.0 AS transition, round(ensemble + transition, 6) + 0.0 AS two_slice, support_ok FROM en JOIN tr USING (method)")
 def contrast_report(spark, d):
     """The events against themselves, a shuffle within runs, and a coarser state: ensemble and transition terms."""
     from lagfold.plans.codec import contrast

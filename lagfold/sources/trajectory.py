@@ -6,6 +6,9 @@ keeps only the strided frames and the chosen atoms.
 
 from __future__ import annotations
 
+import glob
+import io
+import json
 import struct
 from collections.abc import Iterator
 
@@ -45,6 +48,29 @@ class DcdHeader:
         return np.ascontiguousarray(raw).view(f"{self.order}f4").T.astype(float)
 
 
+class RawHeader:
+    """Frames of float32 coordinates and nothing else."""
+
+    def __init__(self, f, atoms: int):
+        self.atoms, self.frame_bytes = atoms, 12 * atoms
+        f.seek(0, 2)
+        self.frames = f.tell() // self.frame_bytes
+
+    def read(self, f, n: int) -> np.ndarray:
+        f.seek(n * self.frame_bytes)
+        return np.frombuffer(f.read(self.frame_bytes), "<f4").reshape(-1, 3).astype(float)
+
+
+def open_file(path: str):
+    """A file to seek in: by a URI, on the file system that it names; else a local path."""
+    if "://" in path:
+        from pyarrow import fs
+
+        system, inner = fs.FileSystem.from_uri(path)
+        return system.open_input_file(inner)
+    return open(path, "rb")
+
+
 def write_dcd(path: str, frames: np.ndarray) -> None:
     """Write frames (n, atoms, 3) as a little-endian DCD without a cell."""
     n, atoms, _ = frames.shape
@@ -60,36 +86,45 @@ def write_dcd(path: str, frames: np.ndarray) -> None:
 
 
 class FrameRange(InputPartition):
-    def __init__(self, path: str, run: int, begin: int, end: int):
-        self.path, self.run, self.begin, self.end = path, run, begin, end
+    """Frames ``begin`` to ``end`` of a file; ``before``: frames of the run in earlier files."""
+
+    def __init__(self, path: str, run: int, begin: int, end: int, before: int):
+        self.path, self.run, self.begin, self.end, self.before = path, run, begin, end, before
 
 
 class DcdReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.paths = [p for p in options["path"].split(",") if p]
+        self.runs = json.loads(options["runs"]) if options.get("runs") else [[p] for p in options["path"].split(",") if p]
         self.stride = int(options.get("stride", 1))
         self.chunk = int(options.get("chunk", 2000))
-        self.scale = float(options.get("scale", 0.1))  # Angstrom to nm
+        self.raw = int(options["rawatoms"]) if options.get("rawatoms") else None
+        self.scale = float(options.get("scale", 0.1 if self.raw is None else 1.0))  # Angstrom to nm
         self.pick = [int(a) for a in options["atoms"].split(",")] if options.get("atoms") else None
 
+    def head(self, f):
+        return DcdHeader(f) if self.raw is None else RawHeader(f, self.raw)
+
     def partitions(self) -> list[FrameRange]:
         out = []
-        for run, path in enumerate(self.paths):
-            with open(path, "rb") as f:
-                n = DcdHeader(f).frames
-            out += [FrameRange(path, run, a, min(a + self.chunk, n)) for a in range(0, n, self.chunk)]
+        for run, paths in enumerate(self.runs):
+            before = 0
+            for path in paths:
+                with open_file(path) as f:
+                    n = self.head(f).frames
+                out += [FrameRange(path, run, a, min(a + self.chunk, n), before) for a in range(0, n, self.chunk)]
+                before += n
         return out
 
     def read(self, part: FrameRange) -> Iterator[pa.RecordBatch]:
-        with open(part.path, "rb") as f:
-            head = DcdHeader(f)
-            first = part.begin + -part.begin % self.stride
+        with open_file(part.path) as f:
+            head = self.head(f)
+            first = part.begin + -(part.begin + part.before) % self.stride  # strides go on from file to file
             wanted = list(range(first, part.end, self.stride))
             for at in range(0, len(wanted), 500):
                 own = wanted[at : at + 500]
                 x = [head.read(f, n) * self.scale for n in own]
                 x = [v if self.pick is None else v[self.pick] for v in x]
-                yield pa.RecordBatch.from_arrays([pa.array([part.run] * len(own), pa.int64()), pa.array([n // self.stride for n in own], pa.int64()), pa.array([v.ravel().tolist() for v in x], pa.list_(pa.float64()))], ["run_id", "t", "xyz"])
+                yield pa.RecordBatch.from_arrays([pa.array([part.run] * len(own), pa.int64()), pa.array([(n + part.before) // self.stride for n in own], pa.int64()), pa.array([v.ravel().tolist() for v in x], pa.list_(pa.float64()))], ["run_id", "t", "xyz"])
 
 
 class DcdSource(DataSource):
@@ -106,13 +141,19 @@ class DcdSource(DataSource):
         return DcdReader(dict(self.options))
 
 
-def read_dcd(spark: SparkSession, paths: list[str], stride: int = 1, atoms: list[int] | None = None, chunk: int = 2000) -> DataFrame:
+def read_dcd(spark: SparkSession, paths: list[str | list[str]], stride: int = 1, atoms: list[int] | None = None, chunk: int = 2000, raw_atoms: int | None = None) -> DataFrame:
+    """``(run_id, t, xyz)``: a run for each path (``*`` gives one for each file that it matches), or for each list of paths, whose files follow one another.
+
+    ``raw_atoms``: the files hold float32 coordinates of so many atoms instead.
+    """
     from lagfold.shipping import ship
 
     ship(spark)
     spark.dataSource.register(DcdSource)
-    r = spark.read.format("dcd").option("stride", stride).option("chunk", chunk)
-    return (r.option("atoms", ",".join(map(str, atoms))) if atoms else r).load(",".join(paths))
+    runs = [[f] for p in paths if isinstance(p, str) for f in (sorted(glob.glob(p)) if "*" in p else [p])] if all(isinstance(p, str) for p in paths) else [[p] if isinstance(p, str) else list(p) for p in paths]
+    r = spark.read.format("dcd").option("stride", stride).option("chunk", chunk).option("runs", json.dumps(runs))
+    r = r.option("rawatoms", raw_atoms) if raw_atoms else r
+    return (r.option("atoms", ",".join(map(str, atoms))) if atoms else r).load()
 
 
 def read_pdb(spark: SparkSession, path: str) -> DataFrame:
@@ -129,7 +170,8 @@ def read_pdb(spark: SparkSession, path: str) -> DataFrame:
 
 def read_matrix(path: str) -> np.ndarray:
     """A counts or transition matrix from .npy or .npz (counts, C, T_msm or T, else the first array)."""
-    got = np.load(path)
+    with open_file(path) as f:
+        got = np.load(io.BytesIO(f.read()))
     if isinstance(got, np.ndarray):
         return got
     return got[next((k for k in ("counts", "C", "T_msm", "T") if k in got.files), got.files[0])]

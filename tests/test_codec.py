@@ -27,10 +27,10 @@ def test_round_trip_through_files(spark, tmp_path, capsys):
     assert back.select("run_id", "t", "state").exceptAll(got.tables["dtraj"].select("run_id", "t", "state")).count() == 0
     r = codec.report(got)
     assert r["frames"] == 600 and r["ratio"] > 1 and r["timescales"][0] > 5
-    cli.main(["analyze", folder, "--lags", "1,5", "--mfpt", "2", "--resolution", "--n-samples", "5"])
+    cli.main(["analyze", folder, "--lags", "1,5", "--mfpt", "2", "--resolution", "--n-samples", "5", "--bayes", "--bootstrap", "5", "--cktest", "2"])
     cli.main(["bound", folder, folder])
     out = capsys.readouterr().out
-    assert "transition: 0.0" in out and "lag 5: timescales" in out and "populations" in out
+    assert "transition: 0.0" in out and "scan, lag 5: timescales" in out and "populations" in out and "bootstrap: means" in out and "posterior: means" in out and "staying" in out
 
 
 def test_contrast_sees_a_shuffle(spark):

@@ -82,11 +82,11 @@ def test_connected_sets_and_estimates():
     c[2, 3] = c[3, 2] = 9
     c[4, 0] = 100
     assert K.largest_connected_set(c).tolist() == [2, 3]
-    t, tag = K.estimate_reversible(c)
-    assert tag == "mle" and t[4, 4] == 1 and np.allclose(t.sum(1), 1)
-    assert K.estimate_reversible(np.zeros((2, 2)))[1] == "cc"
+    t, kind = K.estimate(c)
+    assert kind == "likelihood" and t[4, 4] == 1 and np.allclose(t.sum(1), 1)
+    assert K.estimate(np.zeros((2, 2)))[1] == "symmetric"
     with pytest.raises(ValueError):
-        K.estimate_reversible(np.zeros((2, 2)), "mle")
+        K.estimate(np.zeros((2, 2)), ("likelihood",))
     s = chain(np.array([[0.9, 0.1, 0], [0.05, 0.9, 0.05], [0, 0.2, 0.8]]), 20_000)
     t, act = K.reversible_mle(count(s, 3))
     pi = K.stationary_distribution(t)
@@ -111,6 +111,27 @@ def test_resolution_gates():
     few = count(chain(two_state(0.02), 60), 2)
     (r,) = K.kinetic_resolution(K.posterior_timescales(few, 1, 1, 60), few.sum())
     assert not r.resolved
+    (r,) = K.kinetic_resolution(np.full((3, 1), np.nan), 10)
+    assert not r.resolved and r.events == 0
+    (r,) = K.kinetic_resolution(np.full((4, 1), 5.0), 100, dt=2.0)
+    assert (r.timescale, r.events, r.resolved) == (10.0, 20.0, True)
+
+
+def test_effective_counts_widen_the_interval():
+    s = chain(two_state(0.02), 20_000)
+    narrow, wide = (K.posterior_timescales(count(s, 2, 20) * f, 20, 1, 80).std() for f in (20, 1))
+    assert wide > 2.5 * narrow
+
+
+def test_stationary_shares():
+    t = np.array([[0.5, 0.5, 0, 0], [0.2, 0.8, 0, 0], [0.1, 0, 0.4, 0.5], [0, 0, 0, 0]])
+    assert K.stationary_distribution(t) == pytest.approx([2 / 7, 5 / 7, 0, 0])
+    assert K.stationary_distribution(np.zeros((2, 2))).tolist() == [0.5, 0.5]
+    rng = np.random.default_rng(0)
+    r = rng.random((30, 30))
+    r /= r.sum(1, keepdims=True)
+    pi = K.stationary_distribution(r)
+    assert np.allclose(pi @ r, pi) and np.allclose(K.spectrum(r)[0], 1)
 
 
 def test_coders_round_trip_and_length():
