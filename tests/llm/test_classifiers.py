@@ -33,6 +33,59 @@ def test_features_by_brute_force():
         assert np.isclose(row[10], (len(set(tri)) / len(tri) if tri else 1.0) * (len(ws) > 0))
 
 
+def test_all_features_by_brute_force():
+    texts = ["Abc def! abc abc 12 #tag |x| Été.\nEnd? ok; no: {a}", "one", "a a a a", "Ü ü\n\nz", " \n ", "", None, "x1 y2 z3 x1 y2 z3"]
+    x = quality.features(pa.array(texts))
+    for t, row in zip(texts, x):
+        raw = (t or "").encode()
+        ws = (t or "").encode().lower().split()
+        if not ws:
+            assert not row.any()
+            continue
+        n = len(ws)
+        share = lambda chars: sum(raw.count(bytes([c])) for c in chars) / n
+        upper, lower, high = (sum(f(b) for b in raw) for f in (lambda b: 65 <= b <= 90, lambda b: 97 <= b <= 122, lambda b: b >= 0xC0))
+        tri = list(zip(ws, ws[1:], ws[2:]))
+        want = [np.log1p(n), share(b"#$%&*+/<=>@[\\]^_`{}~"), share(b"|"), upper / max(upper + lower + high, 1), share(b"!"), share(b"0123456789"), high / len(raw), sum(map(len, ws)) / n, len(set(ws)) / n,
+                sum(a == b for a, b in zip(ws, ws[1:])) / n, len(set(tri)) / len(tri) if tri else 1.0, share(b".?;:"), share(b"\n"), max(map(ws.count, ws)) / n]
+        assert np.allclose(row, want, atol=1e-6), (t, row, want)
+
+
+def test_scores_are_sums_of_bins():
+    rng = np.random.default_rng(5)
+    x = rng.random((500, 4)).astype(np.float32)
+    m = quality.fit_gam(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.8).astype(float), rounds=20, pair_rounds=10)
+    for row, got in zip(x[:50], m.raw(x[:50])):
+        total = m.base + sum(t[sum(v >= e for e in edges)] for v, edges, t in zip(row, m.edges, m.tables))
+        total += sum(t[sum(row[a] >= e for e in m.coarse[a]), sum(row[b] >= e for e in m.coarse[b])] for (a, b), t in zip(m.pairs, m.pair_tables))
+        assert np.isclose(total, got)
+
+
+def test_windows_by_brute_force():
+    lex = toxicity.Lexicon([b"idiot", b"scum"], [b"moro"], [b"moron"])
+    rng = np.random.default_rng(6)
+    pool = ["idiot", "idoit", "scum", "scam", "morons", "mron", '"hm', 'so"', "said", "fine", "«oui»", "day", "“no”", "word"]
+    texts = [" ".join(rng.choice(pool, int(rng.integers(0, 40)))) for _ in range(80)]
+    got = toxicity.Scanner(lex).inputs(pa.array(texts))
+    marks = lambda ws: sum(w.count(c) for w in ws for c in '"«»“”„')
+    for t, row in zip(texts, got):
+        ws = t.split()
+        own = [toxicity.bare(w.encode()) for w in ws]
+        kind = [8 if w.decode() in toxicity.REPORTING else lex.match(w) for w in own]
+        out = np.zeros(6)
+        for i, k in enumerate(kind):
+            if not 0 < k < 8:
+                continue
+            lo, hi = max(0, i - toxicity.WINDOW), min(len(ws), i + toxicity.WINDOW + 1)
+            before, after, told = marks(ws[lo : i + 1]), marks(ws[i:hi]), 8 in kind[lo:hi]
+            quoted = (before > 0 and after > 0) or (told and before + after > 0)
+            out[3 if quoted else {1: 0, 2: 1, 4: 2}[k]] += 1
+            out[4] += (not quoted) / len(ws)
+            out[5] += 0 if quoted else sum(0 < x < 8 for x in kind[lo:hi])
+        out[[0, 1, 2, 3, 5]] = np.log1p(out[[0, 1, 2, 3, 5]])
+        assert np.allclose(row, out), t
+
+
 def test_gam_learns_an_interaction():
     rng = np.random.default_rng(1)
     x = rng.random((3000, 4)).astype(np.float32)
