@@ -38,15 +38,19 @@ def ranged(df: DataFrame, key: str, parts: int = 64) -> Column:
     return F.size(F.filter(F.array(*[F.lit(e) for e in edges]).cast("array<double>"), lambda e: e <= F.col(key))).alias("range")
 
 
-def numbered_whole(df: DataFrame, key: str, parts: int = 64) -> DataFrame:
-    """Add ``run_id`` 0 and ``t``, the row's number by ``key`` in the whole table: within ranges of the key, and offsets of these."""
+def offsets(df: DataFrame, key: str, size: str, out: str, parts: int = 64) -> DataFrame:
+    """``df`` with ``out``, the sum of ``size`` over the rows with smaller keys: sums by range of the key, then within each."""
     placed = df.withColumn("_range", ranged(df, key, parts))
-    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = F.broadcast(sizes.select("_range", before.alias("_before")))  # ``parts`` rows
-    inner = F.row_number().over(W.partitionBy("_range").orderBy(key)) - 1
-    rows = placed.withColumn("_inner", inner).join(offsets, "_range")
-    return rows.withColumns({"run_id": F.lit(0).cast("long"), "t": (F.col("_before") + F.col("_inner")).cast("long")}).drop("_range", "_inner", "_before")
+    sums = placed.groupBy("_range").agg(F.sum(size).alias("_n"))
+    ahead = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    begins = F.broadcast(sums.select("_range", ahead(W.partitionBy(F.lit(0)).orderBy("_range"), "_n").alias("_before")))  # ``parts`` rows
+    rows = placed.withColumn("_inner", ahead(W.partitionBy("_range").orderBy(key), size)).join(begins, "_range")
+    return rows.withColumn(out, (F.col("_before") + F.col("_inner")).cast("long")).drop("_range", "_inner", "_before")
+
+
+def numbered_whole(df: DataFrame, key: str, parts: int = 64) -> DataFrame:
+    """Add ``run_id`` 0 and ``t``, the row's number by ``key`` in the whole table."""
+    return offsets(df.withColumn("_one", F.lit(1).cast("long")), key, "_one", "t", parts).withColumn("run_id", F.lit(0).cast("long")).drop("_one")
 
 
 def state_of(name: Column, names: tuple[str, ...]) -> Column:

@@ -120,17 +120,19 @@ def rmsf(atom_rows: DataFrame) -> DataFrame:
     return atom_rows.groupBy("atom").agg(F.sqrt(F.var_pop("x") + F.var_pop("y") + F.var_pop("z")).alias("rmsf"))
 
 
-def pair_distances(atom_rows: DataFrame, separation: int) -> DataFrame:
-    """``(run_id, t, i, j, d)`` of the atoms of a frame at least ``separation`` apart in index."""
-    a = atom_rows.select("run_id", "t", F.col("atom").alias("i"), *[F.col(c).alias(f"{c}1") for c in "xyz"])
-    b = atom_rows.select("run_id", "t", F.col("atom").alias("j"), *[F.col(c).alias(f"{c}2") for c in "xyz"])
-    d = F.sqrt(sum(((F.col(f"{c}1") - F.col(f"{c}2")) * (F.col(f"{c}1") - F.col(f"{c}2")) for c in "xyz"), F.lit(0.0)))
-    return a.join(b, ["run_id", "t"]).where(F.col("j") - F.col("i") >= separation).select("run_id", "t", "i", "j", d.alias("d"))
-
-
-def min_distances(atom_rows: DataFrame) -> DataFrame:
-    """``(run_id, t, d)``: the smallest distance between different atoms of each frame."""
-    return pair_distances(atom_rows, 1).groupBy("run_id", "t").agg(F.min("d").alias("d"))
+def pair_distances(frames: DataFrame, separation: int) -> DataFrame:
+    """``(run_id, t, i, j, d)`` of the atoms of a frame ``xyz`` at least ``separation`` apart in index; made within each row, no shuffle."""
+    n = (F.size("xyz") / 3).cast("int")
+    first = frames.select("run_id", "t", "xyz", n.alias("n")).where(F.col("n") > separation).select("run_id", "t", "xyz", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1 - separation)).alias("i"))
+    both = first.select("run_id", "t", "xyz", "i", F.explode(F.sequence(F.col("i") + separation, F.col("n") - 1)).alias("j"))
+    at = lambda a, k: F.element_at("xyz", F.col(a) * 3 + k)
+    d = F.sqrt(sum(((at("i", k) - at("j", k)) * (at("i", k) - at("j", k)) for k in (1, 2, 3)), F.lit(0.0)))
+    return both.select("run_id", "t", "i", "j", d.alias("d"))
+
+
+def min_distances(frames: DataFrame) -> DataFrame:
+    """``(run_id, t, d)``: the smallest distance between different atoms of each frame; ``(run_id, t)`` tells frames apart."""
+    return pair_distances(frames, 1).groupBy("run_id", "t").agg(F.min("d").alias("d"))
 
 
 def medoids(frames: DataFrame, centres: DataFrame, dims: list[str]) -> DataFrame:

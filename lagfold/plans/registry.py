@@ -111,8 +111,7 @@ def lag_pairs(spark, d):
 SELECT run_id, length, CAST(coalesce(sum(length) OVER (ORDER BY run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begin FROM n""")
 def run_offsets(spark, d):
     n = frames.events(spark, d).groupBy("run_id").agg(F.count("*").alias("length"))
-    before = F.sum("length").over(W.partitionBy(F.lit(0)).orderBy("run_id").rowsBetween(W.unboundedPreceding, -1))  # a row per run
-    return n.select("run_id", "length", F.coalesce(before, F.lit(0)).alias("begin"))
+    return frames.offsets(n, "run_id", "length", "begin").select("run_id", "length", "begin")
 
 
 @query("block_split", f"""WITH {EV}, b AS (SELECT run_id, ntile(20) OVER (PARTITION BY run_id ORDER BY t) AS block FROM ev)
@@ -223,7 +222,8 @@ def bootstrap_counts(spark, d):
     draw = spark.range(100).select((F.col("id") / 20).cast("int").alias("replicate"), ((F.floor(F.col("id") / 20) * 7919 + F.col("id") % 20 * 104729 + 13) % 20).alias("pick"))
     weights = draw.groupBy("replicate", "pick").agg(F.count("*").alias("w"))
     ev = frames.events(spark, d)
-    nth = ev.select("run_id").distinct().withColumn("pick", (F.dense_rank().over(W.partitionBy(F.lit(0)).orderBy("run_id")) - 1) % 20)
+    ids = ev.select("run_id").distinct()
+    nth = frames.offsets(ids.withColumn("one", F.lit(1).cast("long")), "run_id", "one", "nth").select("run_id", (F.col("nth") % 20).alias("pick"))
     c = counts.lag_pairs(ev, 1).groupBy("run_id", F.col("state").alias("i"), F.col("next_state").alias("j")).agg(F.count("*").alias("c"))
     return c.join(nth, "run_id").join(F.broadcast(weights), "pick").groupBy("replicate", "i", "j").agg(F.sum(F.col("c") * F.col("w")).alias("c"))
 
@@ -499,21 +499,22 @@ def rmsf_per_atom(spark, d):
 
 @query("pair_distances", f"WITH {EM} SELECT CAST(a.atom AS INTEGER) AS i, CAST(b.atom AS INTEGER) AS j, round(avg(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))), 6) AS mean_d FROM atm a JOIN atm b USING (t) WHERE b.atom - a.atom >= 3 GROUP BY ALL")
 def pair_distances(spark, d):
-    p = stats.pair_distances(frames.atoms(frames.coordinates(spark, d)), 3)
+    p = stats.pair_distances(frames.coordinates(spark, d), 3)
     return p.groupBy("i", "j").agg(r6(F.avg("d")).alias("mean_d"))
 
 
 @query("min_interatomic", f"WITH {EM} SELECT a.t, round(min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))), 6) AS d FROM atm a JOIN atm b USING (t) WHERE b.atom > a.atom GROUP BY a.t")
 def min_interatomic(spark, d):
-    return stats.min_distances(frames.atoms(frames.coordinates(spark, d))).select("t", r6(F.col("d")).alias("d"))
+    return stats.min_distances(frames.coordinates(spark, d)).select("t", r6(F.col("d")).alias("d"))
 
 
 @query("steric_check", f"WITH {EM}, q AS (SELECT t, atom, round_even(x, 1) AS x, round_even(y, 1) AS y, round_even(z, 1) AS z FROM atm), o AS (SELECT min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))) AS d FROM atm a JOIN atm b USING (t) WHERE b.atom > a.atom GROUP BY a.t), r AS (SELECT min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))) AS d FROM q a JOIN q b USING (t) WHERE b.atom > a.atom GROUP BY a.t), s AS (SELECT (SELECT quantile_cont(d, 0.01) FROM o) AS original, (SELECT quantile_cont(d, 0.01) FROM r) AS rebuilt) SELECT round(original, 6) AS original, round(rebuilt, 6) AS rebuilt, rebuilt >= 0.9 * original AS ok FROM s")
 def steric_check(spark, d):
-    a = frames.atoms(frames.coordinates(spark, d))
-    rebuilt = a.withColumns({c: F.bround(c, 1) for c in "xyz"})
-    one = [stats.min_distances(x).agg(F.percentile("d", 0.01).alias(n)) for x, n in ((a, "original"), (rebuilt, "rebuilt"))]
-    return one[0].join(F.broadcast(one[1])).select(r6(F.col("original")).alias("original"), r6(F.col("rebuilt")).alias("rebuilt"), (F.col("rebuilt") >= 0.9 * F.col("original")).alias("ok"))
+    a = frames.coordinates(spark, d)
+    rebuilt = a.withColumn("xyz", F.transform("xyz", lambda x: F.bround(x, 1)))
+    got = [stats.percentiles(stats.min_distances(x), "d", [0.01])[0] for x in (a, rebuilt)]
+    one = spark.range(1).select(F.lit(got[0]).alias("original"), F.lit(got[1]).alias("rebuilt"))
+    return one.select(r6(F.col("original")).alias("original"), r6(F.col("rebuilt")).alias("rebuilt"), (F.col("rebuilt") >= 0.9 * F.col("original")).alias("ok"))
 
 
 @query("rmsd_centered", f"WITH {EM}, m AS (SELECT t, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM atm GROUP BY t), c AS (SELECT atm.t, atom, x - mx AS x, y - my AS y, z - mz AS z FROM atm JOIN m USING (t)) SELECT a.t, round(sqrt(avg(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))), 6) AS rmsd FROM c a JOIN c b ON a.atom = b.atom AND b.t = 0 GROUP BY a.t")
@@ -728,15 +729,13 @@ def benchmark_report(spark, d):
 @query("stream_counts", f"WITH {COUNTS} SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, c FROM c")
 def stream_counts(spark, d):
     """Counts from a stream of the events, run to the end of what is there."""
-    import tempfile
     import uuid
 
-    from lagfold.shipping import ship
+    from lagfold.shipping import shared_base, ship
     from lagfold.streaming.counts import stream_counts as increments
 
     ship(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream")
-    folder = f"{base}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_base(spark)}/stream-{uuid.uuid4().hex}"
     schema = frames.table(spark, d, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     keyed = source.select(F.col("user_id").alias("run_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "event_id", frames.state_of(F.col("event_type"), frames.EVENT_STATES).alias("state"))
