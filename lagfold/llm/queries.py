@@ -139,9 +139,24 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), word_bpe_spec())
 
 
+def op11_filtering_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lagfold.llm.kdcodes import compress
+
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lagfold.llm.audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_trie_lm": op1_trie_lm, "op2_containment": op2_containment, "op3_warc": op3_warc, "op4_topk": op4_topk, "op5_bagminhash": op5_bagminhash, "op6_suffix": op6_suffix, "op7_quality": op7_quality, "op8_propagation": op8_propagation, "op10_toxicity": op10_toxicity, "op9_bpe": op9_bpe}
+    return {"op1_trie_lm": op1_trie_lm, "op2_containment": op2_containment, "op3_warc": op3_warc, "op4_topk": op4_topk, "op5_bagminhash": op5_bagminhash, "op6_suffix": op6_suffix, "op7_quality": op7_quality, "op8_propagation": op8_propagation, "op10_toxicity": op10_toxicity, "op9_bpe": op9_bpe, "op11_filtering_lloyd": op11_filtering_lloyd, "op12_filter_audit": op12_filter_audit}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_containment": OP2_SQL, "op4_topk": OP4_SQL}
+    from lagfold.llm.audit import audit_sql
+    from lagfold.llm.kdcodes import compress_sql
+
+    return {"op2_containment": OP2_SQL, "op4_topk": OP4_SQL, "op11_filtering_lloyd": compress_sql(), "op12_filter_audit": audit_sql()}
