@@ -57,14 +57,18 @@ def held_out(modulus: int, rest: int):
     return F.coalesce(crc_rest("doc_id", modulus) == rest, F.lit(False)).alias("held_out")
 
 
-def word_bpe_spec() -> str:
-    """The text of word_bpe_49k.json, read by the driver."""
+def tokenizer_spec(name: str) -> str:
+    """The text of a tokenizer's file, read by the driver."""
     try:
         import public_tokenizers
 
-        return Path(public_tokenizers.path("word_bpe_49k.json")).read_text()
+        return Path(public_tokenizers.path(name)).read_text()
     except ModuleNotFoundError:
-        return Path(TOKENIZERS, "word_bpe_49k.json").read_text()
+        return Path(TOKENIZERS, name).read_text()
+
+
+def word_bpe_spec() -> str:
+    return tokenizer_spec("word_bpe_49k.json")
 
 
 def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,8 +155,17 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lagfold.llm import tokenfile
+    from lagfold.llm.spark import shared_folder
+
+    folder = shared_folder(spark, "tokens")
+    tokenfile.write(table(spark, sf_dir, "documents"), folder, tokenizer_spec("byte_bpe_50k.json"))
+    return tokenfile.read(spark, folder).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_trie_lm": op1_trie_lm, "op2_containment": op2_containment, "op3_warc": op3_warc, "op4_topk": op4_topk, "op5_bagminhash": op5_bagminhash, "op6_suffix": op6_suffix, "op7_quality": op7_quality, "op8_propagation": op8_propagation, "op10_toxicity": op10_toxicity, "op9_bpe": op9_bpe, "op11_filtering_lloyd": op11_filtering_lloyd, "op12_filter_audit": op12_filter_audit}
+    return {"op1_trie_lm": op1_trie_lm, "op2_containment": op2_containment, "op3_warc": op3_warc, "op4_topk": op4_topk, "op5_bagminhash": op5_bagminhash, "op6_suffix": op6_suffix, "op7_quality": op7_quality, "op8_propagation": op8_propagation, "op10_toxicity": op10_toxicity, "op9_bpe": op9_bpe, "op11_filtering_lloyd": op11_filtering_lloyd, "op12_filter_audit": op12_filter_audit, "op13_token_file": op13_token_file}
 
 
 def oracle_sql() -> dict[str, str]:
