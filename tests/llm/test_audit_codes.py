@@ -33,7 +33,7 @@ def test_against_sql(spark, duck, name):
 
 
 def plain_audit(rows, labels):
-    good, bad = {i for i, q, _ in labels if q == 1}, {i for i, _, t in labels if t == 1}
+    good, bad = {i for i, q, _ in labels if q == 1} - {None}, {i for i, _, t in labels if t == 1} - {None}
     docs = []
     for i, text, part in rows:
         t = text or ""
