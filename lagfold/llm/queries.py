@@ -74,7 +74,7 @@ def word_bpe_spec() -> str:
 def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lagfold.llm.suffix import repeats
 
-    return repeats(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), F.col("n").alias("n_words"), "copy", "spans", "removable")
+    return repeats(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), F.col("n").alias("n_words"), "copy", "shared", "spans", "removable")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

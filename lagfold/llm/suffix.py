@@ -3,7 +3,7 @@
 Suffixes are kept where the hash of the next ``anchor`` words is the smallest of
 ``least - anchor + 1`` neighbouring ones (minimisers), so every passage of ``least`` words
 holds at least one kept suffix, chosen by its content alone: both copies of a passage keep
-the same ones.  Suffixes whose anchor occurs in one text only are dropped.  Every start of
+the same ones.  Suffixes whose anchor occurs at one place only are dropped.  Every start of
 a window of ``least`` words belongs to the window's minimiser; where that is left, the
 window is kept under the hash of all its words, so equal windows have equal keys whatever
 surrounds a frequent line.  Windows are sorted by (hash, id, text, place) in range
@@ -14,8 +14,9 @@ Anchors and windows are compared by 64-bit hashes (n windows have a wrong match
 chance of n^2 / 2^65).  Documents with equal word sequences count
 as one text; every copy but the first is removable as a whole if it has ``least`` words.
 
-A passage is repeated if it occurs in two different texts; what only one text says again and
-again is its own affair and is left alone.
+A passage is repeated if it occurs at two places, be it in two different texts or within one; ``shared``
+tells texts that share one with another text.  With ``within`` off, what only one text says again
+and again is its own affair and is left alone.
 
 Defined cases: texts of fewer than ``least`` words, null and empty ones have no passage;
 rows equal in text are copies, but for rows equal in id too, which count as the same row
@@ -124,8 +125,8 @@ def _windows(texts: DataFrame, least: int, anchor: int) -> DataFrame:
     return texts.mapInArrow(run, "w long, id long, d long, pos int")
 
 
-def _settled(w: np.ndarray, d: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of windows sorted by (w, id, d, pos): the settled rows, where the first of each one's hash is, and the open rows with their counts and the last text of each one's hash.
+def _settled(w: np.ndarray, d: np.ndarray, pos: np.ndarray, within: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of windows sorted by (w, id, d, pos): the settled rows, where the first of each one's hash is and whether several texts have it; and the open rows with their counts and the last text of each one's hash.
 
     The first is told by its place if it is in the same text, else by -1.  Open are, of the first and the last hash,
     the first row, and every row if there is one text only.
@@ -138,14 +139,14 @@ def _settled(w: np.ndarray, d: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray,
     edge = np.zeros(len(new), bool)
     edge[[0, -1]] = True
     head = own[np.repeat(new, count)]
-    inside = np.repeat(several, count)
+    inside = np.repeat(several | (within & (count > 1)), count)
     open_ = np.repeat(edge & ~several, count)
     open_[new[edge]] = True
     inside &= ~open_
     first = np.where(d[own] == d[head], pos[head], -1)
     held = np.ones(len(own), np.int64)
     held[new[several]] = count[several]
-    return own[inside], first[inside], own[open_], held[open_], np.repeat(last, count)[open_]
+    return own[inside], first[inside], np.repeat(several, count)[inside], own[open_], held[open_], np.repeat(last, count)[open_]
 
 
 def _covered(starts: np.ndarray, length: int, size: int) -> np.ndarray:
@@ -172,10 +173,11 @@ def _spans_of(pos: np.ndarray, first: np.ndarray, least: int) -> tuple[list[dict
 _SPANS = "array<struct<start:int,end:int>>"
 
 
-def repeated_spans(docs: DataFrame, keyed: DataFrame, id_col: str, text_col: str, least: int, anchor: int, rows: int = 200_000) -> DataFrame:
-    """``(d, spans, removable)`` of each text that shares a passage with another place; spans in words."""
+def repeated_spans(docs: DataFrame, keyed: DataFrame, id_col: str, text_col: str, least: int, anchor: int, within: bool = True, rows: int = 200_000) -> DataFrame:
+    """``(d, spans, removable, shared)`` of each text that shares a passage with another place; spans in words."""
     suffixes = cut(_suffixes(docs, id_col, text_col, least, anchor))
-    often = suffixes.groupBy("key").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo != hi").select("key")
+    where = F.struct("d", "pos") if within else F.struct("d")
+    often = suffixes.groupBy("key").agg(F.min(where).alias("lo"), F.max(where).alias("hi")).where("lo != hi").select("key")
     kept = suffixes.join(sized(cut(often)), "key", "left_semi").select("d", "pos").distinct()
     first = keyed.where(F.col("n") >= least).groupBy("d").agg(F.min("id").alias("id"))
     places = cut(kept.groupBy("d").agg(F.collect_set("pos").alias("places")).join(first, "d"))
@@ -201,21 +203,22 @@ def repeated_spans(docs: DataFrame, keyed: DataFrame, id_col: str, text_col: str
         whole = [b for b in batches if b.num_rows]
         if whole:
             t = pa.Table.from_batches(whole)
-            rows, first, open_, count, last = _settled(*(t.column(c).to_numpy() for c in ("w", "d", "pos")))
+            rows, first, several, open_, count, last = _settled(*(t.column(c).to_numpy() for c in ("w", "d", "pos")), within)
             z = np.zeros(len(rows), np.int64)
-            for at, f, c, e in ((rows, first, z, z), (open_, np.full(len(open_), -1), count, last)):
-                out = t.take(pa.array(at)).append_column("first", pa.array(f.astype(np.int32))).append_column("c", pa.array(c)).append_column("e", pa.array(e))
+            for at, f, c, e, s in ((rows, first, z, z, several), (open_, np.full(len(open_), -1), count, last, np.zeros(len(open_), bool))):
+                out = t.take(pa.array(at)).append_column("first", pa.array(f.astype(np.int32))).append_column("c", pa.array(c)).append_column("e", pa.array(e)).append_column("shared", pa.array(s))
                 yield from out.combine_chunks().to_batches()
         tidy()
 
     order = ["w", "id", "d", "pos"]
     ranged = windows.repartitionByRange(parts, *order) if parts > 1 else windows.coalesce(1)
-    found = cut(ranged.sortWithinPartitions(*order).mapInArrow(scan, "w long, id long, d long, pos int, first int, c long, e long"))
+    found = cut(ranged.sortWithinPartitions(*order).mapInArrow(scan, "w long, id long, d long, pos int, first int, c long, e long, shared boolean"))
     of_w = W.partitionBy("w")
     firsts = of_w.orderBy("id", "d", "pos")
-    texts_of = {"lo": F.min(F.least("d", "e")).over(of_w), "hi": F.max(F.greatest("d", "e")).over(of_w)}
+    texts_of = {"lo": F.min(F.least("d", "e")).over(of_w), "hi": F.max(F.greatest("d", "e")).over(of_w), "n": F.sum("c").over(of_w)}
     edges = found.where("c > 0").withColumns({**texts_of, "_d": F.first("d").over(firsts), "_pos": F.first("pos").over(firsts)})  # two rows a partition, but for what one text repeats
-    across = edges.where("lo != hi").select("d", "pos", F.when(F.col("d") == F.col("_d"), F.col("_pos")).otherwise(-1).alias("first"))
+    again = F.col("n") > 1 if within else F.col("lo") != F.col("hi")
+    across = edges.where(again).select("d", "pos", F.when(F.col("d") == F.col("_d"), F.col("_pos")).otherwise(-1).alias("first"), (F.col("lo") != F.col("hi")).alias("shared"))
 
     def unite(batches):
         for b in batches:
@@ -226,35 +229,35 @@ def repeated_spans(docs: DataFrame, keyed: DataFrame, id_col: str, text_col: str
                 x = np.sort(values[a:e])
                 got.append(_spans_of(x >> 32, (x & 0xFFFFFFFF) - 1, least))
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([b.column("d"), pa.array([g[0] for g in got], kind), pa.array([g[1] for g in got], kind)], ["d", "spans", "removable"])
+            yield pa.RecordBatch.from_arrays([b.column("d"), pa.array([g[0] for g in got], kind), pa.array([g[1] for g in got], kind), b.column("shared")], ["d", "spans", "removable", "shared"])
 
     packed = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("first").cast("long") + 1)
-    each = found.where("c = 0").select("d", "pos", "first").union(across).groupBy("d").agg(F.collect_list(packed).alias("s"))
-    return each.mapInArrow(unite, f"d long, spans {_SPANS}, removable {_SPANS}")
+    each = found.where("c = 0").select("d", "pos", "first", "shared").union(across).groupBy("d").agg(F.collect_list(packed).alias("s"), F.max("shared").alias("shared"))
+    return each.mapInArrow(unite, f"d long, spans {_SPANS}, removable {_SPANS}, shared boolean")
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, anchor: int = 25) -> DataFrame:
-    """``(id, d, n, copy, spans, removable)`` of each row with a passage of at least ``least`` words that another text has too.
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, anchor: int = 25, within: bool = True) -> DataFrame:
+    """``(id, d, n, copy, shared, spans, removable)`` of each row with a passage of at least ``least`` words that occurs again, ``within`` the text or in another.
 
-    ``copy``: an equal text has a smaller id, so the whole row is removable.
+    ``copy``: an equal text has a smaller id, so the whole row is removable; ``shared``: another text or row has a passage of it.
     """
     keyed = cut(_keyed(docs, id_col, text_col))
-    spans = cut(repeated_spans(docs, keyed, id_col, text_col, least, anchor))
+    spans = cut(repeated_spans(docs, keyed, id_col, text_col, least, anchor, within))
     groups = keyed.where(F.col("n") >= least).groupBy("d").agg(F.min("id").alias("first"), F.count("*").alias("c"))
     many = cut(groups.where("c > 1"))
     whole = lambda: F.array(F.struct(F.lit(0).alias("start"), F.col("n").cast("int").alias("end"))).cast(_SPANS)
     rows = keyed.where(F.col("n") >= least).join(sized(many), "d", "left").join(sized(spans), "d", "left")
     copy = F.col("c").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
-    rows = rows.select("id", "d", "n", F.coalesce(copy, F.lit(False)).alias("copy"), F.when(F.col("c").isNotNull(), whole()).otherwise(F.col("spans")).alias("spans"), F.when(copy, whole()).otherwise(F.coalesce("removable", F.array().cast(_SPANS))).alias("removable"))
+    rows = rows.select("id", "d", "n", F.coalesce(copy, F.lit(False)).alias("copy"), (F.col("c").isNotNull() | F.coalesce("shared", F.lit(False))).alias("shared"), F.when(F.col("c").isNotNull(), whole()).otherwise(F.col("spans")).alias("spans"), F.when(copy, whole()).otherwise(F.coalesce("removable", F.array().cast(_SPANS))).alias("removable"))
     return rows.where(F.col("spans").isNotNull())
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, anchor: int = 25, length_col: str | None = None) -> DataFrame:
     """``docs`` with later occurrences of repeated passages cut out; rows of which nothing is left go.
 
-    ``length_col``: a column to set to the new number of characters where the text changes.
+    What only one text repeats stays.  ``length_col``: a column to set to the new number of characters where the text changes.
     """
-    found = repeats(docs, id_col, text_col, least, anchor).where(F.size("removable") > 0)
+    found = repeats(docs, id_col, text_col, least, anchor, within=False).where(F.size("removable") > 0)
     tag_col, cut_id, cut_tag, cut_spans = fresh(docs.columns, "_tag", "_id", "_d", "removable")
     cuts = cut(found.select(F.col("id").alias(cut_id), F.col("d").alias(cut_tag), F.col("removable").alias(cut_spans)).dropDuplicates([cut_id, cut_tag]))
     at = docs.columns.index(text_col)

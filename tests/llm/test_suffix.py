@@ -30,8 +30,8 @@ def corpus():
     return rows
 
 
-def coverage(rows, least=50):
-    """Word places under a run of ``least`` words that occurs in several different texts."""
+def coverage(rows, within, least=50):
+    """Word places under a run of ``least`` words that occurs at several places, or only in several different texts."""
     texts = {}
     for i, t in rows:
         texts.setdefault(tuple((t or "").lower().split()), []).append(i)
@@ -41,19 +41,21 @@ def coverage(rows, least=50):
             where[ws[k : k + least]].add((ws, k))
     cover = defaultdict(set)
     for places in where.values():
-        if len({ws for ws, _ in places}) > 1:
+        if len(places if within else {ws for ws, _ in places}) > 1:
             for ws, k in places:
                 cover[ws].update(range(k, k + least))
     return texts, cover
 
 
+@pytest.mark.parametrize("within", [True, False])
 @pytest.mark.parametrize("rows_in_task", [60_000, 40])
-def test_spans_by_brute_force(spark, monkeypatch, rows_in_task):
-    monkeypatch.setattr(suffix.repeated_spans, "__defaults__", (rows_in_task,))
+def test_spans_by_brute_force(spark, monkeypatch, rows_in_task, within):
+    monkeypatch.setattr(suffix.repeated_spans, "__defaults__", (True, rows_in_task))
     rows = corpus()
     df = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], "doc_id long, text string, d string, n_chars long")
-    got = suffix.repeats(df).collect()
-    texts, cover = coverage(rows)
+    got = suffix.repeats(df, within=within).collect()
+    texts, cover = coverage(rows, within)
+    _, others = coverage(rows, False)
     by_id = defaultdict(list)
     for r in got:
         by_id[r.id].append(r)
@@ -63,9 +65,10 @@ def test_spans_by_brute_force(spark, monkeypatch, rows_in_task):
         elif cover[ws]:
             have = {k for s in by_id[ids[0]][0].spans for k in range(s.start, s.end)}
             assert have == cover[ws], (ids, sorted(have ^ cover[ws])[:5])
+            assert by_id[ids[0]][0].shared == bool(others[ws])
         else:
             assert ids[0] not in by_id
-    if rows_in_task > 40:
+    if rows_in_task > 40 or within:
         return
     left = suffix.without_repeats(df, length_col="n_chars").collect()
     assert all(r.n_chars in (0, len(r.text or '')) for r in left)
@@ -93,7 +96,7 @@ def check_groups(spark, shared):
         rows += [" ".join(word(30) + a + line + b + word(30)) for _ in range(2)]
     rows = [(i, rows[k]) for i, k in enumerate(rng.permutation(len(rows)).tolist())]
     got = {r.id: r for r in suffix.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    texts, cover = coverage(rows)
+    texts, cover = coverage(rows, True)
     words = lambda spans: {k for s in spans for k in range(s.start, s.end)}
     seen = set()
     for ws, ids in texts.items():
@@ -108,16 +111,19 @@ def test_groups_behind_one_line(spark):
 
 
 def test_groups_across_partitions(spark, monkeypatch):
-    monkeypatch.setattr(suffix.repeated_spans, "__defaults__", (5,))
+    monkeypatch.setattr(suffix.repeated_spans, "__defaults__", (True, 5))
     check_groups(spark, [(0, 10)] * 60)
 
 
 @pytest.mark.parametrize("rows_in_task", [60_000, 7])
 def test_what_one_text_repeats_is_left_alone(spark, monkeypatch, rows_in_task):
-    monkeypatch.setattr(suffix.repeated_spans, "__defaults__", (rows_in_task,))
+    monkeypatch.setattr(suffix.repeated_spans, "__defaults__", (True, rows_in_task))
     line = [f"l{k}" for k in range(60)]
     rows = [(1, " ".join(line * 3)), (2, " ".join(["q"] * 200)), (3, " ".join([*(f"a{k}" for k in range(60))] * 2)), (4, "x " + " ".join(f"a{k}" for k in range(60)))]
-    got = {r.id: r for r in suffix.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r.id: (r.shared, [tuple(x) for x in r.spans], [tuple(x) for x in r.removable]) for r in suffix.repeats(df).collect()}
+    assert whole == {1: (False, [(0, 180)], [(109, 180)]), 2: (False, [(0, 200)], [(50, 200)]), 3: (True, [(0, 120)], [(60, 120)]), 4: (True, [(1, 61)], [(1, 61)])}
+    got = {r.id: r for r in suffix.repeats(df, within=False).collect()}
     assert sorted(got) == [3, 4] and [tuple(x) for x in got[4].removable] == [(1, 61)] and [tuple(x) for x in got[3].removable] == [(60, 120)]
 
 
