@@ -1,4 +1,4 @@
-"""Coding of runs: one Arrow group per run, the model broadcast with the task."""
+"""Coding of runs in blocks of frames: one Arrow group a block, the model sent with the task."""
 
 from __future__ import annotations
 
@@ -23,26 +23,47 @@ def markov_model(frames: DataFrame, states: int) -> tuple[np.ndarray, np.ndarray
     return t, pi / max(pi.sum(), 1)
 
 
-def encode_runs(frames: DataFrame, t: np.ndarray, pi: np.ndarray) -> DataFrame:
-    """``(run_id, n, stream)``: each run's states, range coded under the Markov model."""
+#: Frames that are coded together; each block starts anew, so that a run is coded and decoded by many tasks.
+BLOCK = 4096
+_STREAM = "run_id long, block long, n long, t0 long, step long, ts array<long>, stream binary"
+
+
+def _blocks(frames: DataFrame, column: str, block: int):
+    return frames.select("run_id", "t", column, F.floor(F.col("t") / block).cast("long").alias("block")).groupBy("run_id", "block")
+
+
+def _row(pdf: pd.DataFrame, stream: bytes) -> pd.DataFrame:
+    """A coded block; its times are a first one and a step, or a list where they aren't evenly spaced."""
+    t = pdf["t"].to_numpy()
+    step = int(t[1] - t[0]) if len(t) > 1 else 1
+    even = (np.diff(t) == step).all()
+    return pd.DataFrame({"run_id": [pdf["run_id"].iloc[0]], "block": [pdf["block"].iloc[0]], "n": [len(t)], "t0": [int(t[0])], "step": [step], "ts": [None if even else t.tolist()], "stream": [stream]})
+
+
+def _times(r) -> np.ndarray:
+    return r.t0 + r.step * np.arange(r.n) if r.ts is None else np.asarray(r.ts, np.int64)
+
+
+def encode_runs(frames: DataFrame, t: np.ndarray, pi: np.ndarray, block: int = BLOCK) -> DataFrame:
+    """``(run_id, block, n, t0, step, ts, stream)``: states, range coded under the Markov model; ``t`` may have gaps."""
 
     def code(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = pdf.sort_values("t")["state"].tolist()
-        return pd.DataFrame({"run_id": [pdf["run_id"].iloc[0]], "n": [len(s)], "stream": [coders.encode_markov(s, t, pi)]})
+        pdf = pdf.sort_values("t")
+        return _row(pdf, coders.encode_markov(pdf["state"].tolist(), t, pi))
 
-    return frames.select("run_id", "t", "state").groupBy("run_id").applyInPandas(code, "run_id long, n long, stream binary")
+    return _blocks(frames, "state", block).applyInPandas(code, _STREAM)
 
 
 def decode_runs(streams: DataFrame, t: np.ndarray, pi: np.ndarray) -> DataFrame:
-    """``(run_id, t, state)`` of coded runs."""
+    """``(run_id, t, state)`` of coded blocks."""
 
     def decode(batches):
         for pdf in batches:
             for r in pdf.itertuples():
                 s = coders.decode_markov(bytes(r.stream), int(r.n), t, pi)
-                yield pd.DataFrame({"run_id": r.run_id, "t": np.arange(len(s)), "state": np.array(s, np.int32)})
+                yield pd.DataFrame({"run_id": r.run_id, "t": _times(r), "state": np.array(s, np.int32)})
 
-    return streams.mapInPandas(decode, "run_id long, t long, state int")
+    return streams.select("run_id", "n", "t0", "step", "ts", "stream").mapInPandas(decode, "run_id long, t long, state int")
 
 
 def encode_levels(rows: DataFrame, levels: int, zmax: float, block: int = 4096) -> DataFrame:
@@ -115,6 +136,7 @@ class LinearPredictor:
 
     def __init__(self, a: np.ndarray, b: np.ndarray, log_s: np.ndarray):
         self.a, self.b, self.log_s = np.asarray(a, float), np.asarray(b, float), np.asarray(log_s, float)
+        self.dim = len(self.b)
 
     @staticmethod
     def fit(frames: DataFrame, z: str = "z") -> "LinearPredictor":
@@ -129,8 +151,11 @@ class LinearPredictor:
         left = np.diag(yy / n - np.outer(my, my)) - np.einsum("ij,ij->j", a, cxy)
         return LinearPredictor(a, my - mx @ a, 0.5 * np.log(np.maximum(left, 1e-12)))
 
-    def after(self, z: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        return (np.zeros(len(self.b)), np.zeros(len(self.b))) if z is None else (z @ self.a + self.b, self.log_s)
+    def start(self):
+        return None, np.zeros(self.dim), np.zeros(self.dim)
+
+    def after(self, state, z: np.ndarray):
+        return None, z @ self.a + self.b, self.log_s
 
 
 def _noise(seed: int, run: int, t: np.ndarray, dim: int) -> np.ndarray:
@@ -139,44 +164,47 @@ def _noise(seed: int, run: int, t: np.ndarray, dim: int) -> np.ndarray:
     return draws(seed, np.full(len(t), run), t, dim)
 
 
-def encode_predictive(frames: DataFrame, model: LinearPredictor, bits: int, reach: float = 8.0, seed: int = 0) -> DataFrame:
-    """``(run_id, n, stream)`` of ``(run_id, t, z)``: standardised innovations, dithered, quantised and range coded under a normal law.
+def encode_predictive(frames: DataFrame, model, bits: int, reach: float = 8.0, seed: int = 0, block: int = BLOCK) -> DataFrame:
+    """``(run_id, block, n, t0, step, ts, stream)`` of ``(run_id, t, z)``: standardised innovations, dithered, quantised and range coded under a normal law.
 
-    The loop is closed: predictions come from decoded vectors, so the decoder makes the same ones.
+    The loop is closed: predictions come from decoded vectors, so the decoder makes the same ones.  ``model`` has
+    ``start()``, a state, and ``after(state, z)``, the next state, mean and log deviation (see ``LinearPredictor``).
     """
     levels = 1 << bits
-    step, cum, dim = 2 * reach / levels, coders.gaussian_table(levels, reach), len(model.b)
+    step, cum, dim = 2 * reach / levels, coders.gaussian_table(levels, reach), model.dim
 
     def code(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         run, z = int(pdf["run_id"].iloc[0]), np.stack(pdf["z"].to_list()).astype(float)
-        noise, out, last = _noise(seed, run, np.arange(len(z)), dim) * step, coders.Encoder(), None
+        noise, out = _noise(seed, run, pdf["t"].to_numpy(), dim) * step, coders.Encoder()
+        state, mean, log_s = model.start()
         for row, u in zip(z, noise):
-            mean, log_s = model.after(last)
             x = np.clip((row - mean) / np.exp(log_s) + u, -reach, reach)
             q = np.clip(np.floor((x + reach) / step), 0, levels - 1).astype(int)
             for k in q.tolist():
                 out.push(int(cum[k]), int(cum[k + 1]))
             last = mean + np.exp(log_s) * ((q + 0.5) * step - reach - u)
-        return pd.DataFrame({"run_id": [run], "n": [len(z)], "stream": [out.finish()]})
+            state, mean, log_s = model.after(state, last)
+        return _row(pdf, out.finish())
 
-    return frames.select("run_id", "t", "z").groupBy("run_id").applyInPandas(code, "run_id long, n long, stream binary")
+    return _blocks(frames, "z", block).applyInPandas(code, _STREAM)
 
 
-def decode_predictive(streams: DataFrame, model: LinearPredictor, bits: int, reach: float = 8.0, seed: int = 0) -> DataFrame:
+def decode_predictive(streams: DataFrame, model, bits: int, reach: float = 8.0, seed: int = 0) -> DataFrame:
     """``(run_id, t, z)`` of the streams, frame by frame."""
     levels = 1 << bits
-    step, cum, dim = 2 * reach / levels, coders.gaussian_table(levels, reach), len(model.b)
+    step, cum, dim = 2 * reach / levels, coders.gaussian_table(levels, reach), model.dim
 
     def decode(batches):
         for pdf in batches:
             for r in pdf.itertuples():
-                source, last, out = coders.Decoder(bytes(r.stream)), None, []
-                for u in _noise(seed, int(r.run_id), np.arange(int(r.n)), dim) * step:
-                    mean, log_s = model.after(last)
+                source, out, times = coders.Decoder(bytes(r.stream)), [], _times(r)
+                state, mean, log_s = model.start()
+                for u in _noise(seed, int(r.run_id), times, dim) * step:
                     q = np.array([source.pull(cum) for _ in range(dim)])
                     last = mean + np.exp(log_s) * ((q + 0.5) * step - reach - u)
+                    state, mean, log_s = model.after(state, last)
                     out.append(last)
-                yield pd.DataFrame({"run_id": r.run_id, "t": np.arange(len(out)), "z": out})
+                yield pd.DataFrame({"run_id": r.run_id, "t": times, "z": out})
 
-    return streams.mapInPandas(decode, "run_id long, t long, z array<double>")
+    return streams.select("run_id", "n", "t0", "step", "ts", "stream").mapInPandas(decode, "run_id long, t long, z array<double>")

@@ -33,9 +33,13 @@ def numbered(df: DataFrame, run: str | Column, *order: str | Column) -> DataFram
 
 
 def ranged(df: DataFrame, key: str, parts: int = 64) -> Column:
-    """The range, 0 to ``parts`` - 1, that a numeric key falls into; ranges of about as many rows each."""
+    """The range, 0 to ``parts`` - 1, that a key (a number, or a string in byte order) falls into; ranges of about as many rows each."""
+    value = F.col(key)
+    if df.schema[key].dataType.typeName() in ("string", "binary"):  # by its first bytes, which sort as it does
+        value = F.conv(F.hex(F.rpad(F.substring(value.cast("binary"), 1, 6), 6, F.lit(b"\0"))), 16, 10).cast("double")
+        df = df.select(value.alias(key))
     edges = sorted({*df.approxQuantile(key, [k / parts for k in range(1, parts)], 0.25 / parts)})
-    return F.size(F.filter(F.array(*[F.lit(e) for e in edges]).cast("array<double>"), lambda e: e <= F.col(key))).alias("range")
+    return F.size(F.filter(F.array(*[F.lit(e) for e in edges]).cast("array<double>"), lambda e: e <= value)).alias("range")
 
 
 def offsets(df: DataFrame, key: str, size: str, out: str, parts: int = 64) -> DataFrame:
@@ -106,8 +110,21 @@ def atoms(frames: DataFrame, first: int | None = None) -> DataFrame:
     return long.select("run_id", "t", "state", "atom", at(1).alias("x"), at(2).alias("y"), at(3).alias("z"))
 
 
-def stride(frames: DataFrame, n: int) -> DataFrame:
-    return frames.where(F.col("t") % n == 0)
+def stride(frames: DataFrame, n: int, number: bool = True) -> DataFrame:
+    """Every ``n``-th frame of each run, numbered anew; without ``number`` frames keep the ``t`` that they had."""
+    every = frames.where(F.col("t") % n == 0)
+    return every.withColumn("t", F.expr(f"t div {int(n)}")) if number else every
+
+
+def renumbered(frames: DataFrame, span: int = 1 << 16) -> DataFrame:
+    """``t`` without gaps, in the old order of ``t``: ranks within ranges of a run, and the counts of the ranges before."""
+    placed = frames.withColumn("_range", F.floor(F.col("t") / span))
+    counts = placed.groupBy("run_id", "_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("run_id").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    begins = counts.select(F.col("run_id").alias("_run"), F.col("_range").alias("_at"), before.alias("_before"))  # a row for each range
+    ranked = placed.withColumn("_rank", F.row_number().over(W.partitionBy("run_id", "_range").orderBy("t")) - 1)
+    joined = ranked.join(begins, F.col("run_id").eqNullSafe(F.col("_run")) & (F.col("_range") == F.col("_at")))
+    return joined.withColumn("t", (F.col("_before") + F.col("_rank")).cast("long")).select(*frames.columns)
 
 
 def evenly_spaced(n: int, most: int) -> list[int]:

@@ -10,12 +10,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lagfold.functions import kinetics
 from lagfold.operators.counts import lag_pairs
+from lagfold.operators.sums import matrix, vector_sum
 
 
 def reference_frame(frames: DataFrame) -> np.ndarray:
@@ -74,38 +76,65 @@ def contacts(frames: DataFrame, most_atoms: int = 64, separation: int = 2, by_po
         pick = evenly_spaced(xyz.shape[1], most_atoms)
         where = list(range(len(pick))) if by_position else pick
         pairs = [(a, b) for k, a in enumerate(pick) for m, b in enumerate(pick) if m > k and where[m] - where[k] >= separation]
-        i, j = np.array(pairs).T
+        i, j = np.array(pairs, int).reshape(-1, 2).T
         return {"x": list(np.linalg.norm(xyz[:, i] - xyz[:, j], axis=2))}
 
     return _batched(frames, work, [T.StructField("x", T.ArrayType(T.DoubleType()))])
 
 
-def moments(pairs: DataFrame, x: str = "x", y: str | None = None) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(n, sum x, sum y, x'x, x'y, y'y) of an array column (and a second one): one row of sums per task."""
+def moments(pairs: DataFrame, x: str = "x", y: str | None = None, only: tuple[str, ...] = ("xx", "xy", "yy")) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(n, sum x, sum y, x'x, x'y, y'y) of an array column (and a second one): one packed row a task, added up in groups.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Products that aren't asked for are zero; without a second column all are x'x.  Of symmetric
+    products a half is moved.  Rows with a null array are left out.
+    """
+    only = ("xx",) if y is None else only
+    named = [c for c in (x, y) if c]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
         total = None
-        for pdf in batches:
-            if len(pdf):
-                a = np.stack(pdf[x].to_list()).astype(float)
-                b = np.stack(pdf[y].to_list()).astype(float) if y else a
-                part = [np.array([len(a)], float), a.sum(0), b.sum(0), (a.T @ a).ravel(), (a.T @ b).ravel(), (b.T @ b).ravel()]
-                total = part if total is None else [s + p for s, p in zip(total, part)]
+        for batch in batches:
+            if batch.num_rows:
+                a = matrix(batch.column(0))
+                b = matrix(batch.column(1)) if y else a
+                part = [np.array([len(a), a.shape[1], 0.0]), a.sum(0), b.sum(0)]
+                for u, v, name in ((a, a, "xx"), (a, b, "xy"), (b, b, "yy")):
+                    if name in only:
+                        p = u.T @ v
+                        part.append(p.ravel() if name == "xy" else p[np.triu_indices(len(p))])
+                part = np.concatenate(part)
+                if total is None:
+                    total = part
+                else:
+                    total += part
+                total[1] = a.shape[1]
         if total is not None:
-            yield pd.DataFrame({"m": [np.concatenate(total)]})
+            total[2] = 1.0
+        return total
 
-    parts = pairs.select(x, *([y] if y else [])).mapInPandas(run, "m array<double>")
-    size = parts.select(F.size("m").alias("s")).limit(1).first()
-    if size is None:
+    flat = vector_sum(pairs.select(*named).where(" and ".join(f"`{c}` is not null" for c in named)), work)
+    if flat is None:
         z = np.zeros((0, 0))
         return 0, np.zeros(0), np.zeros(0), z, z, z
-    sums = parts.select(F.posexplode("m").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect()  # 1 + 2d + 3d^2 rows
-    flat = np.zeros(size.s)
-    for r in sums:
-        flat[r.k] = r.v
-    d = int(round((-2 + (4 + 12 * (size.s - 1)) ** 0.5) / 6))
-    a, b, c, e, f = np.split(flat[1:], np.cumsum([d, d, d * d, d * d]))
-    return int(flat[0]), a, b, c.reshape(d, d), e.reshape(d, d), f.reshape(d, d)
+    d, at = int(round(flat[1] / flat[2])), 3  # the sizes of all tasks' rows were added up
+
+    def take(n: int) -> np.ndarray:
+        nonlocal at
+        at += n
+        return flat[at - n : at]
+
+    sums, out = [take(d), take(d)], {}
+    for name in ("xx", "xy", "yy"):
+        out[name] = np.zeros((d, d))
+        if name in only and name == "xy":
+            out[name] = take(d * d).reshape(d, d)
+        elif name in only:
+            half = np.zeros((d, d))
+            half[np.triu_indices(d)] = take(d * (d + 1) // 2)
+            out[name] = half + np.triu(half, 1).T
+    if y is None:
+        out["xy"] = out["yy"] = out["xx"]
+    return int(flat[0]), *sums, out["xx"], out["xy"], out["yy"]
 
 
 class Whitening:
@@ -151,15 +180,21 @@ class Tica:
 
     def partial_fit(self, frames: DataFrame, x: str = "x") -> "Tica":
         """Add whole runs."""
-        pairs = lag_pairs(frames, self.lag, columns=(x,))
-        self.parts.append((moments(frames, x), moments(pairs, x, f"next_{x}")))
+        pairs = lag_pairs(frames.select("run_id", "t", x), self.lag, columns=(x,))
+        self.parts.append((moments(frames, x), moments(pairs, x, f"next_{x}", only=("xy",))))
         return self
 
     def finalise(self) -> "Tica":
-        whole, lagged = ([sum(p[k][m] for p in self.parts) for m in range(6)] for k in (0, 1))
+        whole, lagged = ([sum(p[k][m] for p in self.parts if p[k][0]) for m in range(6)] for k in (0, 1))
         n, s, _, c, _, _ = whole
         nt, a, b, _, ct, _ = lagged
+        if not n:
+            raise ValueError("no frames to fit")
         self.mean = m = s / n
+        if not nt:  # no run is longer than the lag: nothing is slow
+            d = min(self.dim, len(m))
+            self.projection, self.timescales = np.eye(len(m))[:, :d], np.full(d, np.nan)
+            return self
         c0 = c / n - np.outer(m, m)
         ct = (ct - np.outer(a, m) - np.outer(m, b)) / nt + np.outer(m, m)
         self.projection, self.timescales = kinetics.tica(m, c0, ct, self.lag, self.dim)
@@ -185,7 +220,7 @@ def project(frames: DataFrame, f: Callable[[np.ndarray], np.ndarray], x: str = "
 
 
 def vamp_score(frames: DataFrame, lag: int, x: str = "x", r: int = 2) -> float:
-    n, a, b, caa, cab, cbb = moments(lag_pairs(frames, lag, columns=(x,)), x, f"next_{x}")
+    n, a, b, caa, cab, cbb = moments(lag_pairs(frames.select("run_id", "t", x), lag, columns=(x,)), x, f"next_{x}")
     a, b = a / n, b / n
     return kinetics.vamp_score(caa / n - np.outer(a, a), cab / n - np.outer(a, b), cbb / n - np.outer(b, b), r)
 

@@ -32,7 +32,8 @@ def percentiles(df: DataFrame, x: str, shares: list[float]) -> list[float | None
     out = []
     for q in ranks:
         low, high = value[where[int(q)]], value[where[min(int(q) + 1, total - 1)]]
-        out.append(low + (high - low) * (q - int(q)))
+        share = q - int(q)
+        out.append(low if share == 0 or low == high else low + (high - low) * share)
     return out
 
 

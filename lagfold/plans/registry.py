@@ -98,7 +98,7 @@ def selection_probes(spark, d):
 
 @query("stride_decimate", f"WITH {EV} SELECT run_id, t, event_id, CAST(state AS INTEGER) AS state, value FROM ev WHERE t % 10 = 0")
 def stride_decimate(spark, d):
-    return frames.stride(frames.events(spark, d), 10).select("run_id", "t", "event_id", "state", "value")
+    return frames.stride(frames.events(spark, d), 10, number=False).select("run_id", "t", "event_id", "state", "value")
 
 
 @query("lag_pairs", f"""WITH {EV}, p AS (SELECT run_id, t, CAST(state AS INTEGER) AS state, CAST(lead(state, 5) OVER (PARTITION BY run_id ORDER BY t) AS INTEGER) AS next_state FROM ev)

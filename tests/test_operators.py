@@ -131,3 +131,51 @@ def test_streams_equal_batch(spark, tmp_path):
 
 def test_names_and_strides():
     assert frames.evenly_spaced(5, 64) == [0, 1, 2, 3, 4] and frames.evenly_spaced(100, 3) == [0, 49, 99] and frames.evenly_spaced(4, 1) == [0]
+
+
+def test_a_long_run_in_ranges_has_the_pairs_of_a_window(spark):
+    rng = np.random.default_rng(2)
+    df = runs(spark, rng.integers(0, 4, 1000), rng.integers(0, 4, 7), rng.integers(0, 4, 30))
+    for lag in (1, 3, 10, 40):
+        for span in (1, 16, 64, 1 << 16):
+            got = sorted((r.i, r.j, r.c) for r in counts.transition_counts(df, lag, span=span).collect())
+            want = {}
+            rows = sorted((r.run_id, r.t, r.state) for r in df.collect())
+            by = {}
+            for r, _, s in rows:
+                by.setdefault(r, []).append(s)
+            for s in by.values():
+                for a, b in zip(s, s[lag:]):
+                    want[a, b] = want.get((a, b), 0) + 1
+            assert got == sorted((*k, c) for k, c in want.items())
+    many = sorted(map(tuple, counts.counts_by_lag(df, [1, 10], span=16).collect()))
+    assert many == sorted((n, *r) for n in (1, 10) for r in map(tuple, counts.transition_counts(df, n).collect()))
+
+
+def test_numbering_without_gaps(spark):
+    df = spark.createDataFrame([(r, t * t, t) for r in (1, None) for t in range(50)], "run_id long, t long, want long")
+    assert frames.renumbered(df, span=100).where("t != want").count() == 0
+    every = frames.stride(spark.createDataFrame([(0, t) for t in range(35)], "run_id long, t long"), 10)
+    assert sorted(r.t for r in every.collect()) == [0, 1, 2, 3]
+    names = spark.createDataFrame([(f"run-{k:03d}", 2) for k in range(40)], "run_id string, n long")
+    assert frames.offsets(names, "run_id", "n", "at", 8).where("at != 2 * cast(substring(run_id, 5) as int)").count() == 0
+
+
+def test_moments_of_hard_tables(spark):
+    rows = [(0, t, [float(t), float(t % 3)]) for t in range(40)] + [(1, 0, None), (1, 1, None)]
+    df = spark.createDataFrame(rows, "run_id long, t long, x array<double>")
+    n, s, _, xx, xy, yy = geometry.moments(df)
+    x = np.array([r[2] for r in rows[:40]])
+    assert n == 40 and np.allclose(s, x.sum(0)) and np.allclose(xx, x.T @ x) and xy is xx and yy is xx
+    n, a, b, xx, xy, yy = geometry.moments(counts.lag_pairs(df, 2, columns=("x",)), "x", "next_x")
+    assert n == 38 and np.allclose(xy, x[:-2].T @ x[2:]) and np.allclose(yy, x[2:].T @ x[2:])
+    assert geometry.moments(df.limit(0))[0] == 0
+    one = geometry.Tica(3, 1).fit(df.where("run_id = 0 and t = 0"))
+    assert one.transform(df.where("t = 0 and run_id = 0")).first().cv == [0.0]
+    two = spark.createDataFrame([(0, 0, [0.0] * 6)], "run_id long, t long, xyz array<double>")
+    assert geometry.contacts(two).first().x == []
+
+
+def test_percentiles_beside_infinity(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (float("inf"),)], "x double")
+    assert stats.percentiles(df, "x", [0.5]) == [2.0]
