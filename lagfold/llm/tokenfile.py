@@ -1,8 +1,9 @@
 """Token ids in Parquet list columns: written in document order, read selectively.
 
-Encoding: a text is cut where white space begins; such a chunk (white space and the word after
-it) has the same ids alone as within its text, so every task keeps the ids of chunks
-it has met in a table and asks the tokenizer's own library for new ones only.
+Encoding: a text is cut where white space begins, and between ASCII letters, digits and other signs; such a
+chunk (white space and what follows it) has the same ids alone as within its text, so every worker
+keeps the ids of chunks it has met in a table and asks the tokenizer's own library for new ones only, many
+in one string with line ends between them.
 
 File format: a row for each document with its id, the file's part number, the place of its first token
 within the part, its number of tokens, and the ids as a list column.  Parts are ranges
@@ -13,7 +14,7 @@ documents' tokens, and columns are read alone, so that places and counts cost no
 page.  The place of a document in the whole is its part's offset, a sum over parts, plus its
 place within.
 
-Bounded by: about ``PIECE`` bytes of text and ``KNOWN`` known chunks in a task; a row a part on the driver.
+Bounded by: about ``PIECE`` bytes of text and ``KNOWN`` known chunks in a worker; a row a part on the driver.
 
 Defined cases: a null text is an empty one and has the end id alone; special tokens written out in a
 text become their ids; documents without an id come last; documents of an equal id are ordered by a
@@ -42,46 +43,61 @@ from lagfold.llm.text import WHITE, Words, mix64, tidy, buffers
 
 #: Bytes of text that are encoded at a time.
 PIECE = 1_000_000
-#: Most chunks whose ids a task keeps.
-KNOWN = 400_000
-#: Longer chunks are encoded anew each time, in bytes.
-LONG = 32
+#: Most chunks whose ids a worker keeps (about 50 bytes each); then it starts anew.
+KNOWN = 800_000
+#: Longer chunks are encoded anew in each piece, in bytes.
+LONG = 16
+
+
+#: Bytes by what a tokenizer sees in them: 1 letters, 2 digits, 3 other signs, 0 what isn't cut (white space, control characters, apostrophes, all outside ASCII).
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = 3
+for _a, _b, _k in ((48, 58, 2), (65, 91, 1), (97, 123, 1), (39, 40, 0)):
+    _KIND[_a:_b] = _k
 
 
 class Chunks(Words):
-    """White space with the word after it; places are bytes of the text, as they are."""
+    """White space with what follows it, cut between kinds of signs; places are bytes of the text, as they are."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, whole: list[bytes] = []):
         self.data, self.offsets = data, offsets
         padded = np.zeros((len(data) + 23) // 8 * 8, np.uint8)
         padded[: len(data)] = data
         self._aligned = padded.view("<u8")
-        white = WHITE[data]
+        white, kind = WHITE[data], _KIND[data]
         begins = white.copy()
         begins[1:] &= ~white[:-1]
+        self.odd = _other_space(data)
+        begins[1:] &= ~self.odd[:-1]  # white space of all sorts is one run
+        begins[1:] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+        if whole:  # texts of special tokens aren't cut
+            raw = data.tobytes()
+            for token in whole:
+                at = raw.find(token)
+                while at >= 0:
+                    begins[at + 1 : at + len(token)] = False
+                    at = raw.find(token, at + 1)
         begins[offsets[:-1][offsets[:-1] < len(data)]] = True
-        at = np.flatnonzero(begins)
-        self.starts = at[~_after_other_space(data, offsets, at)]
+        self.starts = np.flatnonzero(begins)
         self.ends = np.append(self.starts[1:], len(data))
         self.of = np.searchsorted(self.starts, offsets)
 
 
-def _after_other_space(data: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Whether white space outside ASCII (or a separator, 1C to 1F) ends right before the place, in the same text: such white space and what follows is one run."""
-    if len(at) and at[0] == 0:
-        out = np.zeros(len(at), bool)
-        out[1:] = _after_other_space(data, offsets, at[1:])
+def _other_space(data: np.ndarray) -> np.ndarray:
+    """The last bytes of white space outside ASCII, and separators (1C to 1F)."""
+    out = (data >= 0x1C) & (data <= 0x1F)
+    if len(data) < 2:
         return out
-    a, b, c = data[at - 1], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
-    two = (b == 0xC2) & ((a == 0x85) | (a == 0xA0))
-    three = (c == 0xE1) & (b == 0x9A) & (a == 0x80)
-    three |= (c == 0xE2) & (b == 0x80) & (((a >= 0x80) & (a <= 0x8A)) | (a == 0xA8) | (a == 0xA9) | (a == 0xAF))
-    three |= (c == 0xE2) & (b == 0x81) & (a == 0x9F)
-    three |= (c == 0xE3) & (b == 0x80) & (a == 0x80)
-    found = two | three | ((a >= 0x1C) & (a <= 0x1F))
-    if found.any():
-        found &= ~np.isin(at, offsets)
-    return found
+    a, b = data[1:], data[:-1]
+    out[1:] |= (b == 0xC2) & ((a == 0x85) | (a == 0xA0))
+    lead = np.flatnonzero((data[:-2] >= 0xE1) & (data[:-2] <= 0xE3)) if len(data) > 2 else np.zeros(0, np.int64)
+    c, b, a = data[lead], data[lead + 1], data[lead + 2]
+    found = (c == 0xE1) & (b == 0x9A) & (a == 0x80)
+    found |= (c == 0xE2) & (b == 0x80) & (((a >= 0x80) & (a <= 0x8A)) | (a == 0xA8) | (a == 0xA9) | (a == 0xAF))
+    found |= (c == 0xE2) & (b == 0x81) & (a == 0x9F)
+    found |= (c == 0xE3) & (b == 0x80) & (a == 0x80)
+    out[lead[found] + 2] = True
+    return out
 
 
 class Known:
@@ -90,17 +106,14 @@ class Known:
     def __init__(self, bits: int = 20):
         self.mask = np.uint64((1 << bits) - 1)
         self.row = np.full(1 << bits, -1, np.int32)
-        self.lanes, self.size, self.n = np.zeros((4, 0), np.uint64), np.zeros(0, np.int64), 0
+        self.lanes, self.size, self.n = np.zeros((2, 0), np.uint64), np.zeros(0, np.uint8), 0
         self.ids = Pieces(np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
     @staticmethod
     def hash(lanes: np.ndarray, size: np.ndarray) -> np.ndarray:
         h = mix64(lanes[0] ^ mix64(size.astype(np.uint64)))
         more = np.flatnonzero(size > 8)
-        x = h[more]
-        for lane in lanes[1:]:
-            x = mix64(x * np.uint64(0x9E3779B97F4A7C15) + lane[more])
-        h[more] = x
+        h[more] = mix64(h[more] * np.uint64(0x9E3779B97F4A7C15) + lanes[1][more])
         return h
 
     def find(self, lanes: np.ndarray, size: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -123,13 +136,13 @@ class Known:
         more = np.flatnonzero((size[at] > 8) & ~wrong & (row >= 0))
         if len(more):
             r, k = row[more], at[more]
-            wrong[more] = (self.lanes[1][r] != lanes[1][k]) | (self.lanes[2][r] != lanes[2][k]) | (self.lanes[3][r] != lanes[3][k])
+            wrong[more] = self.lanes[1][r] != lanes[1][k]
         return at[wrong & (row >= 0)]
 
     def add(self, lanes: np.ndarray, size: np.ndarray, h: np.ndarray, ids: Pieces) -> None:
         """Different chunks that aren't known."""
         row = np.arange(self.n, self.n + len(size), dtype=np.int32)
-        self.lanes, self.size = np.concatenate([self.lanes, lanes], 1), np.concatenate([self.size, size])
+        self.lanes, self.size = np.concatenate([self.lanes, lanes], 1), np.concatenate([self.size, size.astype(np.uint8)])
         self.ids, self.n = Pieces.joined([self.ids, ids]), self.n + len(size)
         slot = h & self.mask
         while len(row):
@@ -150,27 +163,55 @@ class Encoder:
         self.library.no_padding()
         self.library.no_truncation()
         self.end, self.most = end, most
+        self.whole = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.line = self.library.encode("\n", add_special_tokens=False).ids
         self.forget()
 
     def forget(self) -> None:
         self.known = Known(max(4, (4 * self.most).bit_length()))
 
     def _ask(self, raw: list[bytes]) -> Pieces:
-        got = [e.ids for e in self.library.encode_batch([x.decode() for x in raw], add_special_tokens=False)]
-        return Pieces(np.array([i for g in got for i in g], np.uint32), np.array([len(g) for g in got], np.int64))
+        got = [np.array(e.ids, np.uint32) for e in self.library.encode_batch([x.decode() for x in raw], add_special_tokens=False)]
+        return Pieces(np.concatenate([np.zeros(0, np.uint32), *got]), np.array([len(g) for g in got], np.int64))
+
+    def _ask_together(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray, group: int = 200) -> Pieces:
+        """The ids of chunks without white space but for a space in front: each follows a line end, which is a token of its own."""
+        end = np.cumsum(size + 1)
+        laid = data[np.repeat(starts - (end - size), size + 1) + np.arange(end[-1])]
+        laid[end - size - 1] = 10
+        cuts = [0, *end[group - 1 : -1 : group].tolist(), int(end[-1])]
+        raw = laid.tobytes()
+        ids = self._ask([raw[a:b] for a, b in zip(cuts, cuts[1:])]).values
+        line = np.flatnonzero(ids == self.line[0])
+        return Pieces(np.delete(ids, line), np.diff(np.append(line, len(ids))) - 1)
+
+    def _new(self, data: np.ndarray, chunks: Chunks, rows: np.ndarray) -> Pieces:
+        """The ids of different chunks."""
+        starts, size = chunks.starts[rows], chunks.ends[rows] - chunks.starts[rows]
+        strange = np.concatenate([[0], np.cumsum(chunks.odd | (WHITE[data] & (data != 32)) | (data == 60))])  # 60 opens special tokens
+        spaces = np.concatenate([[0], np.cumsum(data == 32)])
+        plain = (strange[starts + size] == strange[starts]) & (spaces[starts + size] - spaces[starts] == (data[starts] == 32)) & ((size > 1) | (data[starts] != 32)) & (len(self.line) == 1)
+        ids = [Pieces(np.zeros(0, np.uint32), np.zeros(0, np.int64))] * 2
+        some, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
+        if len(some):
+            ids[0] = self._ask_together(data, starts[some], size[some])
+        if len(rest):
+            ids[1] = self._ask([data[a : a + n].tobytes() for a, n in zip(starts[rest], size[rest])])
+        order = np.empty(len(rows), np.int64)
+        order[np.concatenate([some, rest])] = np.arange(len(rows))
+        return Pieces.joined(ids).take(order)
 
     def encode(self, column) -> Pieces:
         """The ids of each text of a string column, each followed by the end id."""
         data, offsets = buffers(column)
-        chunks = Chunks(data, offsets)
+        chunks = Chunks(data, offsets, self.whole)
         n = len(chunks.starts)
         size = chunks.ends - chunks.starts
-        lanes = np.zeros((4, n), np.uint64)
+        lanes = np.zeros((2, n), np.uint64)
         every = np.arange(n)
         lanes[0] = chunks.lanes(every, 0)
-        for k in range(1, 4):
-            every = every[size[every] > 8 * k]
-            lanes[k][every] = chunks.lanes(every, 8 * k)
+        every = np.flatnonzero(size > 8)
+        lanes[1][every] = chunks.lanes(every, 8)
         h = Known.hash(lanes, size)
         if self.known.n > self.most:
             self.forget()
@@ -182,13 +223,15 @@ class Encoder:
         if len(new):
             _, first = np.unique(h[new], return_index=True)
             fresh = new[first]
-            self.known.add(lanes[:, fresh], size[fresh], h[fresh], self._ask([spelt(k) for k in fresh]))
+            self.known.add(lanes[:, fresh], size[fresh], h[fresh], self._new(data, chunks, fresh))
             row[new] = self.known.find(lanes[:, new], size[new], h[new])
         # long chunks, and those whose hash is another's, are this batch's own
         alone = np.flatnonzero(row < 0)
         extra: dict[bytes, int] = {}
         row[alone] = [self.known.n + 1 + extra.setdefault(spelt(k), len(extra)) for k in alone]
-        table = Pieces.joined([self.known.ids, Pieces(np.array([self.end], np.uint32), np.array([1])), self._ask([*extra])]) if len(alone) else Pieces.joined([self.known.ids, Pieces(np.array([self.end], np.uint32), np.array([1]))])
+        _, first = np.unique(row[alone], return_index=True)
+        own = [self._new(data, chunks, alone[first])] if len(alone) else []
+        table = Pieces.joined([self.known.ids, Pieces(np.array([self.end], np.uint32), np.array([1])), *own])
         row = np.insert(row, chunks.of[1:], self.known.n)
         each = table.take(row)
         return Pieces(each.values, np.diff(each.offsets[chunks.of + np.arange(len(offsets))]))
@@ -236,7 +279,6 @@ def write(docs: DataFrame, folder: str, spec: str, end: int = 0, coding: str = "
             ids = pa.ListArray.from_arrays(pa.array(got.offsets.astype(np.int32)), pa.array(got.values.view(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(before + got.offsets[:-1]), pa.array(np.diff(got.offsets)), ids], schema.names)
             before += int(got.offsets[-1])
-        own.forget()
         tidy()
 
     options = {"parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.writer.version": "v2", "parquet.enable.dictionary": "false", "parquet.enable.dictionary#ids.list.element": str(coding == "dictionary").lower(), "parquet.dictionary.page.size": 4 << 20}
