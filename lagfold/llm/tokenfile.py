@@ -44,7 +44,7 @@ from lagfold.llm.text import WHITE, Words, mix64, tidy, buffers
 #: Bytes of text that are encoded at a time.
 PIECE = 1_000_000
 #: Most chunks whose ids a worker keeps (about 50 bytes each); then it starts anew.
-KNOWN = 800_000
+KNOWN = 1_500_000
 #: Longer chunks are encoded anew in each piece, in bytes.
 LONG = 16
 
@@ -100,14 +100,43 @@ def _other_space(data: np.ndarray) -> np.ndarray:
     return out
 
 
+class Growing:
+    """Many short arrays laid out as one, in room that doubles as it fills."""
+
+    def __init__(self):
+        self.values, self.offsets, self.n = np.zeros(1 << 12, np.uint32), np.zeros(1 << 10, np.int64), 0
+
+    def put(self, ids: Pieces) -> int:
+        """Lay the arrays behind the others; the first one's number.  They stay if ``n`` is raised."""
+        begin, more = int(self.offsets[self.n]), len(ids.offsets) - 1
+        self.values = room(self.values, begin + len(ids.values))
+        self.offsets = room(self.offsets, self.n + more + 1)
+        self.values[begin : begin + len(ids.values)] = ids.values
+        self.offsets[self.n : self.n + more + 1] = begin + ids.offsets
+        return self.n
+
+    def take(self, rows: np.ndarray) -> Pieces:
+        count = self.offsets[rows + 1] - self.offsets[rows]
+        end = np.cumsum(count)
+        place = np.repeat(self.offsets[rows] - end + count, count) + np.arange(int(end[-1]) if len(end) else 0)
+        return Pieces(self.values[place], count)
+
+
+def room(x: np.ndarray, size: int) -> np.ndarray:
+    """``x`` with room for ``size`` along its last axis."""
+    while x.shape[-1] < size:
+        x = np.concatenate([x, np.zeros_like(x)], -1)
+    return x
+
+
 class Known:
     """Ids of chunks, found by open addressing over all chunks at once; a chunk is told by its length and bytes."""
 
     def __init__(self, bits: int = 20):
         self.mask = np.uint64((1 << bits) - 1)
         self.row = np.full(1 << bits, -1, np.int32)
-        self.lanes, self.size, self.n = np.zeros((2, 0), np.uint64), np.zeros(0, np.uint8), 0
-        self.ids = Pieces(np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        self.lanes, self.size, self.n = np.zeros((2, 1 << 10), np.uint64), np.zeros(1 << 10, np.uint8), 0
+        self.ids = Growing()
 
     @staticmethod
     def hash(lanes: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -142,8 +171,11 @@ class Known:
     def add(self, lanes: np.ndarray, size: np.ndarray, h: np.ndarray, ids: Pieces) -> None:
         """Different chunks that aren't known."""
         row = np.arange(self.n, self.n + len(size), dtype=np.int32)
-        self.lanes, self.size = np.concatenate([self.lanes, lanes], 1), np.concatenate([self.size, size.astype(np.uint8)])
-        self.ids, self.n = Pieces.joined([self.ids, ids]), self.n + len(size)
+        upto = self.n + len(size)
+        self.lanes, self.size = room(self.lanes, upto), room(self.size, upto)
+        self.lanes[:, self.n : upto], self.size[self.n : upto] = lanes, size
+        self.ids.put(ids)
+        self.n = self.ids.n = upto
         slot = h & self.mask
         while len(row):
             free = self.row[slot] < 0
@@ -231,9 +263,9 @@ class Encoder:
         row[alone] = [self.known.n + 1 + extra.setdefault(spelt(k), len(extra)) for k in alone]
         _, first = np.unique(row[alone], return_index=True)
         own = [self._new(data, chunks, alone[first])] if len(alone) else []
-        table = Pieces.joined([self.known.ids, Pieces(np.array([self.end], np.uint32), np.array([1])), *own])
+        self.known.ids.put(Pieces.joined([Pieces(np.array([self.end], np.uint32), np.array([1])), *own]))
         row = np.insert(row, chunks.of[1:], self.known.n)
-        each = table.take(row)
+        each = self.known.ids.take(row)
         return Pieces(each.values, np.diff(each.offsets[chunks.of + np.arange(len(offsets))]))
 
 
