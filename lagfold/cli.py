@@ -34,27 +34,33 @@ def lag_frames(lag_ns: float, stride: int, dt_ps: float) -> int:
 
 
 def compress(args) -> None:
-    from lagfold.plans import codec
+    from lagfold.plans import codec, flowcodec
     from lagfold.shipping import ship
     from lagfold.sources import artifact
 
     spark = session()
     ship(spark)
-    art = codec.fit_encode(load_frames(spark, args), lag_frames(args.lag_ns, args.stride, args.dt_ps), args.cv_dim, args.nstates, args.n_bits, args.seed)
+    frames, lag = load_frames(spark, args), lag_frames(args.lag_ns, args.stride, args.dt_ps)
+    if args.classical:
+        art, report = codec.fit_encode(frames, lag, args.cv_dim, args.nstates, args.n_bits, args.seed), None
+    else:
+        art, report = flowcodec.fit_encode(frames, lag, args.cv_dim, args.nstates, args.keep_frac, args.lat_bits, args.n_bits, args.features, args.flow, args.steps, seed=args.seed, flow_decoder=args.flow_decoder)
     art.config |= {"stride": args.stride, "dt_ps": args.dt_ps}
     artifact.save(spark, art, args.out)
-    for k, v in codec.report(artifact.load(spark, args.out)).items():
+    for k, v in (report or codec.report(artifact.load(spark, args.out))).items():
         print(f"{k}: {v}")
 
 
 def decompress(args) -> None:
-    from lagfold.plans import codec
+    from lagfold.plans import codec, flowcodec
     from lagfold.shipping import ship
     from lagfold.sources import artifact
 
     spark = session()
     ship(spark)
-    codec.decode(artifact.load(spark, args.artifact)).write.mode("overwrite").parquet(args.out)
+    art = artifact.load(spark, args.artifact)
+    frames = flowcodec.decode(art, args.full_atom or args.smooth, args.smooth) if "latents" in art.tables else codec.decode(art)
+    frames.write.mode("overwrite").parquet(args.out)
 
 
 def analyze(args) -> None:
@@ -147,12 +153,18 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("frames")
     c.add_argument("-o", "--out", required=True)
     c.add_argument("--top")
-    for name, kind, default in (("stride", int, 10), ("cv-dim", int, 6), ("nstates", int, 200), ("lag-ns", float, 5.0), ("dt-ps", float, 100.0), ("n-bits", int, 4), ("seed", int, 0)):
+    for name, kind, default in (("stride", int, 10), ("cv-dim", int, 6), ("nstates", int, 200), ("lag-ns", float, 5.0), ("dt-ps", float, 100.0), ("n-bits", int, 4), ("seed", int, 0), ("keep-frac", float, 0.1), ("lat-bits", int, 14), ("steps", int, 200)):
         c.add_argument(f"--{name}", type=kind, default=default)
+    c.add_argument("--features", choices=("cartesian", "contacts"), default="cartesian")
+    c.add_argument("--flow", choices=("coupling", "spline"), default="coupling")
+    c.add_argument("--flow-decoder", action="store_true", help="also a flow of what the linear decoder leaves")
+    c.add_argument("--classical", action="store_true", help="every frame: coded states and residuals, no flow")
     c.set_defaults(func=compress)
     d = sub.add_parser("decompress")
     d.add_argument("artifact")
     d.add_argument("-o", "--out", required=True)
+    d.add_argument("--full-atom", action="store_true", help="coordinates of the kept frames, with their residuals")
+    d.add_argument("--smooth", action="store_true", help="coordinates by the flow decoder's modes")
     d.set_defaults(func=decompress)
     a = sub.add_parser("analyze")
     a.add_argument("artifact")

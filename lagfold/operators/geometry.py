@@ -97,7 +97,7 @@ def moments(pairs: DataFrame, x: str = "x", y: str | None = None, only: tuple[st
             if batch.num_rows:
                 a = matrix(batch.column(0))
                 b = matrix(batch.column(1)) if y else a
-                part = [np.array([len(a), a.shape[1], 0.0]), a.sum(0), b.sum(0)]
+                part = [np.array([len(a), a.shape[1], b.shape[1], 0.0]), a.sum(0), b.sum(0)]
                 for u, v, name in ((a, a, "xx"), (a, b, "xy"), (b, b, "yy")):
                     if name in only:
                         p = u.T @ v
@@ -107,30 +107,30 @@ def moments(pairs: DataFrame, x: str = "x", y: str | None = None, only: tuple[st
                     total = part
                 else:
                     total += part
-                total[1] = a.shape[1]
+                total[1:3] = a.shape[1], b.shape[1]
         if total is not None:
-            total[2] = 1.0
+            total[3] = 1.0
         return total
 
     flat = vector_sum(pairs.select(*named).where(" and ".join(f"`{c}` is not null" for c in named)), work)
     if flat is None:
         z = np.zeros((0, 0))
         return 0, np.zeros(0), np.zeros(0), z, z, z
-    d, at = int(round(flat[1] / flat[2])), 3  # the sizes of all tasks' rows were added up
+    (d, e), at = np.rint(flat[1:3] / flat[3]).astype(int).tolist(), 4  # the sizes of all tasks' rows were added up
 
     def take(n: int) -> np.ndarray:
         nonlocal at
         at += n
         return flat[at - n : at]
 
-    sums, out = [take(d), take(d)], {}
-    for name in ("xx", "xy", "yy"):
-        out[name] = np.zeros((d, d))
+    sums, out = [take(d), take(e)], {}
+    for name, size in (("xx", (d, d)), ("xy", (d, e)), ("yy", (e, e))):
+        out[name] = np.zeros(size)
         if name in only and name == "xy":
-            out[name] = take(d * d).reshape(d, d)
+            out[name] = take(d * e).reshape(size)
         elif name in only:
-            half = np.zeros((d, d))
-            half[np.triu_indices(d)] = take(d * (d + 1) // 2)
+            half = np.zeros(size)
+            half[np.triu_indices(size[0])] = take(size[0] * (size[0] + 1) // 2)
             out[name] = half + np.triu(half, 1).T
     if y is None:
         out["xy"] = out["yy"] = out["xx"]
