@@ -8,11 +8,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lagfold.functions import kinetics
 from lagfold.operators import counts
+from lagfold.operators.frames import offsets
+from lagfold.operators.tables import written
 from lagfold.shipping import ship
 
 
@@ -43,31 +44,26 @@ def lag_scan(frames: DataFrame, lags: list[int], k: int, states: int) -> list[tu
     return out
 
 
-def bootstrap_timescales(frames: DataFrame, lag: int, k: int, states: int, replicates: int = 100, blocks: int = 20, seed: int = 0, most_groups: int = 1000) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+def bootstrap_timescales(frames: DataFrame, lag: int, k: int, states: int, replicates: int = 100, blocks: int = 20, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """(mean, low, high) of the timescales: means and 95% percentile intervals over resampled runs; None without a replicate.
 
-    Runs are drawn with replacement (beyond ``most_groups`` runs, groups of them by a hash); a single run is cut into
-    ``blocks`` first.  Each run is counted once, a draw is a weight on its counts.
+    Each replicate draws as many runs as there are, with replacement; a single run is cut into ``blocks`` first.  The draws are a
+    table of replicates x runs hashed ranks; each run is counted once, a draw is a weight on its counts.
     """
     ship(frames.sparkSession)
     spark = frames.sparkSession
     if frames.select("run_id").distinct().limit(2).count() == 1:
         size = -(-frames.count() // blocks)
         frames = frames.withColumn("run_id", F.floor(F.col("t") / size).cast("long"))
-    runs = frames.groupBy("run_id").agg(F.count("*").alias("n")).where(F.col("n") > lag).select("run_id")
+    runs = written(frames.groupBy("run_id").agg(F.count("*").alias("n")).where(F.col("n") > lag).select("run_id", F.lit(1).cast("long").alias("one")))
     n = runs.count()
-    if n > most_groups:
-        grouped, n = runs.withColumn("g", F.pmod(F.xxhash64("run_id"), F.lit(most_groups)).cast("int")), most_groups
-    else:
-        grouped = runs.withColumn("g", (F.row_number().over(W.partitionBy(F.lit(0)).orderBy("run_id")) - 1).cast("int"))  # most_groups rows at most
     if not n:
         return None
-    draws = np.random.default_rng(seed).multinomial(n, np.full(n, 1 / n), replicates)
-    r, g = np.nonzero(draws)
-    weights = spark.createDataFrame(pd.DataFrame({"replicate": r.astype(np.int32), "g": g.astype(np.int32), "w": draws[r, g]}))
-    own = counts.lag_pairs(frames, lag).groupBy("run_id", F.col("state").alias("i"), F.col("next_state").alias("j")).agg(F.count("*").alias("c"))
-    by_group = own.join(grouped, "run_id").groupBy("g", "i", "j").agg(F.sum("c").alias("c"))
-    drawn = by_group.join(F.broadcast(weights), "g").groupBy("replicate", "i", "j").agg(F.sum(F.col("c") * F.col("w")).alias("c"))  # replicates x most_groups weights at most
+    numbered = offsets(runs, "run_id", "one", "nth").select("run_id", "nth")
+    drawn = spark.range(replicates * n).select(F.expr(f"cast(id div {n} as int)").alias("replicate"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).alias("nth"))
+    weights = drawn.groupBy("replicate", "nth").agg(F.count("*").alias("w"))
+    own = counts.lag_pairs(frames.select("run_id", "t", "state"), lag).groupBy("run_id", F.col("state").alias("i"), F.col("next_state").alias("j")).agg(F.count("*").alias("c"))
+    drawn = own.join(numbered, "run_id").join(weights, "nth").groupBy("replicate", "i", "j").agg(F.sum(F.col("c") * F.col("w")).alias("c"))
 
     def scales(pdf: pd.DataFrame) -> pd.DataFrame:
         c = kinetics.dense_counts(pdf[["i", "j", "c"]].itertuples(index=False), states)

@@ -40,16 +40,38 @@ def path_kl(ensemble: Column, transition: Column, length: Column) -> Column:
     return ensemble + F.greatest(length - 1, F.lit(0)) * transition
 
 
-def fidelity_report(p: DataFrame, q: DataFrame, pi_p: DataFrame, pi_q: DataFrame, length: DataFrame) -> DataFrame:
-    """One row: the terms, the two-slice and path divergence, the Pinsker bounds and whether they hold.
+def fidelity_terms(counts: DataFrame, model: str, p, q, states: int, eps: float = EPS) -> DataFrame:
+    """One row ``(ensemble, transition, support_ok)`` of two models in one table ``(model, i, j, c)`` of sliding counts.
 
-    Without full support the pair bound is infinite; the path divergence stays as computed.
+    The counts are symmetrised and laid side by side by pair; all terms follow from that table of at most states^2 rows.
     """
-    ens, tra = ensemble_kl(pi_p, pi_q), transition_kl(p, q, pi_p)
-    ok = support_violations(p, q).agg((F.count("*") == 0).alias("support_ok"))
-    one = ens.join(F.broadcast(tra)).join(F.broadcast(ok)).join(F.broadcast(length.select("length")))  # one row each
-    total = F.col("ensemble") + F.col("transition")
+    own = lambda v: F.sum(F.when(F.col(model) == v, F.col("c")).otherwise(0))
+    turned = F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("p")
+    pairs = counts.select(model, "c", turned).groupBy("p.i", "p.j").agg(own(p).alias("a"), own(q).alias("b"))
+    row = W.partitionBy("i")
+    share = lambda c: F.when(F.sum(c).over(row) > 0, F.col(c) / F.sum(c).over(row)).otherwise(0.0)
+    clip = lambda c: F.greatest(c, F.lit(eps))
+    each = pairs.select("i", "a", "b", share("a").alias("pa"), share("b").alias("pb"))
+    term = F.sum(clip(F.col("pa")) * F.ln(clip(F.col("pa")) / clip(F.col("pb"))))
+    by_state = each.groupBy("i").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), term.alias("term"), F.bool_or((F.col("pa") > eps) & ~(F.col("pb") > eps)).alias("lacks"))
+    everything = W.partitionBy(F.lit(0))  # a row a state
+    pi = by_state.select("term", "lacks", *[(F.col(c) / F.sum(c).over(everything)).alias(c) for c in "ab"])
+    unseen = (F.lit(states) - F.count("*").over(everything)) * eps  # states without counts are clipped too
+    norm = lambda c: clip(F.col(c)) / (F.sum(clip(F.col(c))).over(everything) + unseen)
+    return pi.select(F.col("a").alias("pi"), "term", "lacks", norm("a").alias("wa"), norm("b").alias("wb")).agg(
+        F.sum(F.col("wa") * F.ln(F.col("wa") / F.col("wb"))).alias("ensemble"), F.sum(F.col("pi") * F.col("term")).alias("transition"), (~F.bool_or("lacks")).alias("support_ok")
+    )
+
+
+def fidelity_report(terms: DataFrame, length: DataFrame) -> DataFrame:
+    """One row: the terms, the two-slice and path divergence, their Pinsker bounds, and whether the path's is a lower one only.
+
+    Without full support the bounds of pairs and paths are infinite; the path divergence stays as computed.
+    """
+    one = terms.join(F.broadcast(length.select("length")))  # one row each
+    total, path = F.col("ensemble") + F.col("transition"), path_kl(F.col("ensemble"), F.col("transition"), F.col("length"))
+    full = lambda kl: F.when(F.col("support_ok"), pinsker(kl)).otherwise(float("inf"))
     return one.select(
-        "ensemble", "transition", total.alias("two_slice"), path_kl(F.col("ensemble"), F.col("transition"), F.col("length")).alias("path_kl"),
-        F.when(F.col("support_ok"), pinsker(total)).otherwise(float("inf")).alias("pair_bound"), pinsker(F.col("ensemble")).alias("ensemble_bound"), "support_ok",
+        "ensemble", "transition", total.alias("two_slice"), path.alias("path_kl"), full(total).alias("pair_bound"), pinsker(F.col("ensemble")).alias("ensemble_bound"),
+        F.least(full(path), F.lit(1.0)).alias("path_bound"), "support_ok", (~F.col("support_ok")).alias("lower_bound"),
     )

@@ -193,11 +193,13 @@ class Tica:
         self.mean = m = s / n
         if not nt:  # no run is longer than the lag: nothing is slow
             d = min(self.dim, len(m))
-            self.projection, self.timescales = np.eye(len(m))[:, :d], np.full(d, np.nan)
+            self.projection, self.timescales, self.values = np.eye(len(m))[:, :d], np.full(d, np.nan), np.full(d, np.nan)
             return self
         c0 = c / n - np.outer(m, m)
         ct = (ct - np.outer(a, m) - np.outer(m, b)) / nt + np.outer(m, m)
         self.projection, self.timescales = kinetics.tica(m, c0, ct, self.lag, self.dim)
+        p = self.projection
+        self.values = np.einsum("ij,ik,kj->j", p, ct, p) / np.einsum("ij,ik,kj->j", p, c0 + 1e-9 * np.eye(len(m)), p)
         return self
 
     def fit(self, frames: DataFrame, x: str = "x") -> "Tica":

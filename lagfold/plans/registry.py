@@ -59,10 +59,14 @@ def r6(c, digits: int = 6):
 
 
 def queries() -> dict[str, Query]:
+    from lagfold.plans import learned  # noqa: F401  (registers its queries)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from lagfold.plans import learned  # noqa: F401
+
     return dict(SQL)
 
 
@@ -150,7 +154,7 @@ def counts_multi_lag(spark, d):
 @query("counts_union", f"WITH {HALVES} SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(sum(c) AS BIGINT) AS c FROM hc GROUP BY ALL")
 def counts_union(spark, d):
     c = counts.transition_counts(frames.halves(spark, d), keys=("half",))
-    return c.where("half = 0").union(c.where("half = 1")).groupBy("i", "j").agg(F.sum("c").alias("c"))
+    return c.groupBy("i", "j").agg(F.sum("c").alias("c"))
 
 
 @query("symmetrized_tmatrix", f"WITH {COUNTS} SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(c / sum(c) OVER (PARTITION BY i), 9) AS p FROM s")
@@ -239,13 +243,14 @@ def models(spark, d):
 
 @query("kinetic_fidelity_report", f"""WITH {HALVES} SELECT round(ensemble, 9) AS ensemble, round(transition, 9) AS transition, round(ensemble + transition, 9) AS two_slice,
 round(ensemble + greatest(length - 1, 0) * transition, 6) AS path_kl, CASE WHEN support_ok THEN round(sqrt(greatest(ensemble + transition, 0) / 2), 9) ELSE CAST('inf' AS DOUBLE) END AS pair_bound,
-round(sqrt(greatest(ensemble, 0) / 2), 9) AS ensemble_bound, support_ok FROM ens, tra, sup, len""")
+round(sqrt(greatest(ensemble, 0) / 2), 9) AS ensemble_bound, CASE WHEN support_ok THEN round(least(sqrt(greatest(ensemble + greatest(length - 1, 0) * transition, 0) / 2), 1), 9) ELSE 1.0::DOUBLE END AS path_bound,
+support_ok, NOT support_ok AS lower_bound FROM ens, tra, sup, len""")
 def kinetic_fidelity_report(spark, d):
-    p, q, pi_p, pi_q = models(spark, d)
+    """Both halves' counts in one pass over the events, all terms from their one table."""
     length = frames.table(spark, d, "events").agg(F.count("*").alias("length"))
-    digits = {"path_kl": 6}
-    r = bound.fidelity_report(p, q, pi_p, pi_q, length)
-    return r.select(*["support_ok" if c == "support_ok" else r6(F.col(c), digits.get(c, 9)).alias(c) for c in r.columns])
+    c = counts.transition_counts(frames.halves(spark, d), keys=("half",))
+    r = bound.fidelity_report(bound.fidelity_terms(c, "half", 0, 1, 5), length)
+    return r.select(*[c if c in ("support_ok", "lower_bound") else r6(F.col(c), 6 if c == "path_kl" else 9).alias(c) for c in r.columns])
 
 
 @query("ensemble_kl", f"WITH {HALVES} SELECT round(ensemble, 9) AS ensemble FROM ens")
@@ -275,12 +280,13 @@ def pinsker_bounds(spark, d):
     return one.select(r6(bound.pinsker(F.col("ensemble")), 9).alias("ensemble_bound"), r6(bound.pinsker(F.col("ensemble") + F.col("transition")), 9).alias("pair_bound"))
 
 
-@query("support_violations", """WITH cv AS (SELECT conv_id AS run_id, turn, CASE role WHEN 'assistant' THEN 0 WHEN 'system' THEN 1 WHEN 'user' THEN 2 END AS state, conv_id % 2 AS half FROM conversations),
-p AS (SELECT half, state AS i, lead(state) OVER (PARTITION BY run_id ORDER BY turn) AS j FROM cv), c AS (SELECT DISTINCT half, i, j FROM p WHERE i IS NOT NULL AND j IS NOT NULL)
+@query("support_violations", f"""WITH {EV}, f AS (SELECT run_id, t, state * 20 + k // 5 AS state FROM ev), p AS (SELECT run_id % 2 AS half, state AS i, lead(state) OVER (PARTITION BY run_id ORDER BY t) AS j FROM f),
+c AS (SELECT DISTINCT half, i, j FROM p WHERE i IS NOT NULL AND j IS NOT NULL)
 SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j FROM c a WHERE half = 0 AND NOT EXISTS (SELECT 1 FROM c b WHERE b.half = 1 AND a.i = b.i AND a.j = b.j)""")
 def support_violations(spark, d):
-    cv = frames.conversations(spark, d).select("run_id", "t", frames.state_of(F.col("role"), ("assistant", "system", "user")).alias("state"), (F.col("run_id") % 2).alias("half"))
-    t = counts.transition_matrix(counts.transition_counts(cv, keys=("half",)).where("i IS NOT NULL AND j IS NOT NULL"), ("half",))
+    """Transitions between 100 fine states that even runs have and odd ones lack."""
+    fine = frames.events(spark, d).select("run_id", "t", (F.col("state") * 20 + F.expr("k div 5")).cast("int").alias("state"), (F.col("run_id") % 2).alias("half"))
+    t = counts.transition_matrix(counts.transition_counts(fine, keys=("half",)).where("i IS NOT NULL AND j IS NOT NULL"), ("half",))
     return bound.support_violations(t.where("half = 0"), t.where("half = 1"))
 
 
@@ -407,11 +413,12 @@ def footprint(spark, d):
     return frames.coordinates(spark, d).agg(F.count("*").alias("frames"), (F.count("*") * 12 * 21).alias("raw_bytes"), F.lit(63 * 63 * 8).cast("long").alias("whitening_bytes"), F.lit(63 > 6000).alias("warn"))
 
 
-@query("quantize_contrast", f"WITH {EM} SELECT CAST(g AS INTEGER) AS decimals, round(avg(pow(x - round_even(x, g::INT), 2)), 9) AS mse FROM atm, (SELECT unnest([1, 2]) AS g) GROUP BY g")
+@query("quantize_contrast", f"WITH {EM} SELECT CAST(g AS INTEGER) AS decimals, round(avg(pow(v - round_even(v, g::INT), 2)), 9) AS mse FROM (SELECT unnest([x, y, z]) AS v FROM atm), (SELECT unnest([1, 2]) AS g) GROUP BY g")
 def quantize_contrast(spark, d):
-    a = frames.atoms(frames.coordinates(spark, d))
-    one = lambda g: a.agg(F.lit(g).alias("decimals"), r6(F.avg(F.pow(F.col("x") - F.bround("x", g), 2)), 9).alias("mse"))
-    return one(1).union(one(2))
+    v = frames.coordinates(spark, d).select(F.explode("xyz").alias("v"))
+    error = lambda g: r6(F.avg(F.pow(F.col("v") - F.bround("v", g), 2)), 9)
+    both = v.agg(F.array(*[F.struct(F.lit(g).alias("decimals"), error(g).alias("mse")) for g in (1, 2)]).alias("e"))
+    return both.select(F.explode("e").alias("e")).select("e.decimals", "e.mse")
 
 
 @query("xtc_entropy_rate", f"""WITH {EM}, ct AS (SELECT t, [x - avg(x) OVER (PARTITION BY t), y - avg(y) OVER (PARTITION BY t), z - avg(z) OVER (PARTITION BY t)] AS v FROM atm),
@@ -471,10 +478,11 @@ def kept_override(spark, d):
     return rep.join(kept, ["run_id", "t"], "left").select("run_id", "t", r6(F.coalesce("own", "value")).alias("value"))
 
 
-@query("empty_state_fallback", f"WITH {CENTRES}, r AS (SELECT e.state, o.state AS used, row_number() OVER (PARTITION BY e.state ORDER BY pow(e.value - o.value, 2) + pow(e.k - o.k, 2), o.state) AS n FROM ce e, ce o WHERE o.state NOT IN (1, 3)) SELECT state, used FROM r WHERE n = 1")
+@query("empty_state_fallback", f"WITH {NEAR}, oc AS (SELECT ce.* FROM ce WHERE state IN (SELECT state FROM nr WHERE k < 30)), fb AS (SELECT e.state, o.state AS used, row_number() OVER (PARTITION BY e.state ORDER BY pow(e.value - o.value, 2) + pow(e.k - o.k, 2), o.state) AS n FROM ce e, oc o) SELECT state, used FROM fb WHERE n = 1")
 def empty_state_fallback(spark, d):
-    """States 1 and 3 have no frames: each state uses the nearest occupied one."""
-    occupied = centres(spark).where(~F.col("state").isin(1, 3))
+    """Only frames with k below 30 are kept, so some states have none: each state uses the nearest that has."""
+    there = assigned(spark, d).where("k < 30").select("state").distinct()
+    occupied = centres(spark).join(there, "state", "left_semi")
     return stats.nearest(centres(spark).withColumnRenamed("state", "own"), occupied, ["value", "k"]).select(F.col("own").alias("state"), F.col("state").alias("used"))
 
 
@@ -530,33 +538,42 @@ def rmsd_centered(spark, d):
 
 @query("covariance_lagged", f"WITH {EV}, m AS (SELECT avg(value) AS mv, avg(k) AS mk FROM ev), p AS (SELECT value, k, lead(value) OVER w AS nv, lead(k) OVER w AS nk FROM ev WINDOW w AS (PARTITION BY run_id ORDER BY t)) SELECT round(avg((value - mv) * (nv - mv)), 6) AS vv, round(avg((value - mv) * (nk - mk)), 6) AS vk, round(avg((k - mk) * (nv - mv)), 6) AS kv, round(avg((k - mk) * (nk - mk)), 6) AS kk, count(*) AS n FROM p, m WHERE nv IS NOT NULL")
 def covariance_lagged(spark, d):
-    ev = frames.events(spark, d)
-    m = ev.agg(F.avg("value").alias("mvalue"), F.avg("k").alias("mk"))
-    p = counts.lag_pairs(ev, 1, columns=("value", "k")).join(F.broadcast(m))
-    term = lambda a, b: r6(F.avg((F.col(a) - F.col(f"m{a}")) * (F.col(f"next_{b}") - F.col(f"m{b}"))))
-    return p.agg(term("value", "value").alias("vv"), term("value", "k").alias("vk"), term("k", "value").alias("kv"), term("k", "k").alias("kk"), F.count("*").alias("n"))
+    """By the operator's moments of the arrays (value, k)."""
+    import numpy as np
+
+    from lagfold.operators import geometry
+
+    ev = pairs_of(spark, d)
+    whole, lagged = geometry.moments(ev), geometry.moments(counts.lag_pairs(ev, 1, columns=("x",)), "x", "next_x", only=("xy",))
+    m, n = whole[1] / whole[0], lagged[0]
+    c = lagged[4] / n - np.outer(lagged[1] / n, m) - np.outer(m, lagged[2] / n) + np.outer(m, m)
+    return spark.createDataFrame([(*(round(float(v), 6) + 0.0 for v in c.ravel()), n)], "vv double, vk double, kv double, kk double, n long")
+
+
+def pairs_of(spark, d):
+    """Events as frames of the array (value, k)."""
+    from lagfold.shipping import ship
+
+    ship(spark)
+    return frames.events(spark, d).select("run_id", "t", F.array(F.col("value"), F.col("k").cast("double")).alias("x"))
 
 
 @query("tica_2d", f"WITH {EV}, m AS (SELECT avg(value) AS mv, avg(k) AS mk FROM ev), z AS (SELECT avg(pow(value - mv, 2)) + 1e-9 AS a, avg((value - mv) * (k - mk)) AS b, avg(pow(k - mk, 2)) + 1e-9 AS c FROM ev, m), p AS (SELECT value - mv AS v, k - mk AS k, lead(value) OVER w - mv AS nv, lead(k) OVER w - mk AS nk FROM ev, m WINDOW w AS (PARTITION BY run_id ORDER BY t)), l AS (SELECT avg(v * nv) AS d, (avg(v * nk) + avg(k * nv)) / 2 AS e, avg(k * nk) AS f FROM p WHERE nv IS NOT NULL), t AS (SELECT (c * d - 2 * b * e + a * f) / (a * c - b * b) AS tr, (d * f - e * e) / (a * c - b * b) AS det FROM z, l) SELECT round(tr / 2 + sqrt(tr * tr / 4 - det), 6) AS first, round(tr / 2 - sqrt(tr * tr / 4 - det), 6) AS second FROM t")
 def tica_2d(spark, d):
-    """The two TICA eigenvalues of (value, k) at lag 1, by trace and determinant of C0^-1 Ct."""
-    ev = frames.events(spark, d)
-    m = F.broadcast(ev.agg(F.avg("value").alias("mv"), F.avg("k").alias("mk")))
-    x = ev.join(m).select("run_id", "t", (F.col("value") - F.col("mv")).alias("v"), (F.col("k") - F.col("mk")).alias("k"))
-    z = x.agg((F.avg(F.col("v") * F.col("v")) + 1e-9).alias("a"), F.avg(F.col("v") * F.col("k")).alias("b"), (F.avg(F.col("k") * F.col("k")) + 1e-9).alias("c"))
-    p = counts.lag_pairs(x, 1, columns=("v", "k"))
-    lagged = p.agg(F.avg(F.expr("v * next_v")).alias("d"), ((F.avg(F.expr("v * next_k")) + F.avg(F.expr("k * next_v"))) / 2).alias("e"), F.avg(F.expr("k * next_k")).alias("f"))
-    t = z.join(F.broadcast(lagged)).select(F.expr("(c*d - 2*b*e + a*f) / (a*c - b*b)").alias("tr"), F.expr("(d*f - e*e) / (a*c - b*b)").alias("det"))
-    root = F.sqrt(F.expr("tr*tr/4 - det"))
-    return t.select(r6(F.col("tr") / 2 + root).alias("first"), r6(F.col("tr") / 2 - root).alias("second"))
+    """The two eigenvalues of the model fitted to (value, k) at lag 1."""
+    from lagfold.operators import geometry
+
+    values = geometry.Tica(1, 2).fit(pairs_of(spark, d)).values
+    return spark.createDataFrame([tuple(round(float(v), 6) + 0.0 for v in values)], "first double, second double")
 
 
 @query("whitening_2d", f"WITH {EV} SELECT round((var_samp(value) + var_samp(k)) / 2 + sqrt(pow((var_samp(value) - var_samp(k)) / 2, 2) + pow(covar_samp(value, k), 2)), 6) AS first, round((var_samp(value) + var_samp(k)) / 2 - sqrt(pow((var_samp(value) - var_samp(k)) / 2, 2) + pow(covar_samp(value, k), 2)), 6) AS second FROM ev")
 def whitening_2d(spark, d):
-    """The eigenvalues of the covariance of (value, k), whose roots are the whitening scales."""
-    c = frames.events(spark, d).agg(F.var_samp("value").alias("a"), F.covar_samp("value", "k").alias("b"), F.var_samp("k").alias("c"))
-    root = F.sqrt(F.pow((F.col("a") - F.col("c")) / 2, 2) + F.pow("b", 2))
-    return c.select(r6((F.col("a") + F.col("c")) / 2 + root).alias("first"), r6((F.col("a") + F.col("c")) / 2 - root).alias("second"))
+    """The variances along the axes of the whitening fitted to (value, k)."""
+    from lagfold.operators import geometry
+
+    w = geometry.Whitening.fit(pairs_of(spark, d)).w
+    return spark.createDataFrame([tuple(round(float(1 / (c @ c) - 1e-9), 6) for c in w.T)], "first double, second double")
 
 
 # --- kernels on the driver, Arrow groups, learned cells ----------------------------------------------------------
@@ -639,17 +656,9 @@ def reversible_mle(spark, d):
 @query("lag_scan")
 def lag_scan(spark, d):
     """Timescales by lag from one pass over the runs; a lag that fails has nulls."""
-    from lagfold.functions import kinetics
+    from lagfold.operators import analysis
 
-    lags, rows = [1, 2, 5, 10], []
-    got = counts.counts_by_lag(frames.events(spark, d), lags).collect()  # 25 rows a lag
-    for lag in lags:
-        c = kinetics.dense_counts([(r.i, r.j, r.c) for r in got if r.lag == lag], 5)
-        try:
-            its = kinetics.implied_timescales(kinetics.reversible_mle(c)[0], lag, 3)
-            rows += [(lag, k + 1, round(float(v), 6)) for k, v in enumerate(its)]
-        except ValueError:
-            rows += [(lag, k + 1, None) for k in range(3)]
+    rows = [(lag, k + 1, None if v != v else round(float(v), 6)) for lag, its in analysis.lag_scan(frames.events(spark, d), [1, 2, 5, 10], 3, 5) for k, v in enumerate(its)]
     return spark.createDataFrame(rows, "lag int, k int, timescale double")
 
 
@@ -664,14 +673,9 @@ def mfpt_two_state(spark, d):
 
 @query("ck_deviation")
 def ck_deviation(spark, d):
-    from lagfold.functions import kinetics
+    from lagfold.operators import analysis
 
-    factors = (1, 2, 3, 4, 6)
-    got = counts.counts_by_lag(frames.events(spark, d), list(factors)).collect()
-    t = {k: kinetics.transition_matrix(kinetics.dense_counts([(r.i, r.j, r.c) for r in got if r.lag == k], 5)) for k in factors}
-    sets = kinetics.metastable_sets(t[1][0], t[1][1], 2)
-    dev = kinetics.ck_deviation({k: v[0] for k, v in t.items()}, sets, t[1][1], factors)
-    return spark.createDataFrame([(k, round(v, 6)) for k, v in dev.items()], "factor int, deviation double")
+    return spark.createDataFrame([(k, round(v, 6)) for k, v in analysis.ck_test(frames.events(spark, d), 1, 5, 2).items()], "factor int, deviation double")
 
 
 @query("kinetic_resolution")
@@ -778,11 +782,12 @@ a AS (SELECT regr_slope(y, z) AS s, regr_intercept(y, z) AS i FROM f), v AS (SEL
 SELECT round(0.5 * ln(2 * pi() * v) + 0.5, 6) AS nats, round(s, 6) AS slope FROM v, a""")
 def conditional_nll(spark, d):
     """Mean negative log likelihood of the next value under the fitted linear predictor with normal errors."""
-    z = frames.events(spark, d).select("run_id", "t", F.expr(Z).alias("z"))
-    p = counts.lag_pairs(z, 1, columns=("z",))
-    m = p.agg(F.var_pop("z").alias("a"), F.covar_pop("z", "next_z").alias("b"), F.var_pop("next_z").alias("c"))
-    left = F.col("c") - F.col("b") * F.col("b") / F.col("a")
-    return m.select(r6(0.5 * F.ln(2 * math.pi * left) + 0.5).alias("nats"), r6(F.col("b") / F.col("a")).alias("slope"))
+    from lagfold.operators import coding
+    from lagfold.shipping import ship
+
+    ship(spark)
+    model = coding.LinearPredictor.fit(frames.events(spark, d).select("run_id", "t", F.array(F.expr(Z)).alias("z")))
+    return spark.createDataFrame([(round(0.5 * math.log(2 * math.pi) + float(model.log_s[0]) + 0.5, 6), round(float(model.a[0, 0]), 6) + 0.0)], "nats double, slope double")
 
 
 CONTRAST = EV + """,
