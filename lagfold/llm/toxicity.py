@@ -226,7 +226,7 @@ def _terms(sample: DataFrame) -> DataFrame:
     return counted.groupBy("term", "stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
-def learn_lexicon(sample: DataFrame, toxic: int, total: int, share: float = 0.9, most_stems: int = 200, most_words: int = 2000) -> tuple[list[bytes], list[bytes], list[bytes]]:
+def learn_lexicon(sample: DataFrame, toxic: int, total: int, share: float = 0.9) -> tuple[list[bytes], list[bytes], list[bytes]]:
     """(words, stems, words under a stem) of whose texts at least ``share`` are toxic; counted by Spark, only the chosen ones come here.
 
     A word must be in so many toxic texts (three at least) that chance alone would give ten such words at most.  A stem
@@ -239,17 +239,16 @@ def learn_lexicon(sample: DataFrame, toxic: int, total: int, share: float = 0.9,
     least = next((n for n in range(3, 20) if by_chance(n) <= 10), 20)
     pure = F.col("bad") >= share * (F.col("bad") + F.col("good"))
     strong = terms.where(~F.col("stem") & (F.col("bad") >= least) & pure & (F.ln("bad") > 0.4 * F.log1p("good")))
-    bad = {bytes(r.term): int(r.bad) for r in strong.orderBy(F.desc("bad"), "term").limit(most_words).collect()}
+    bad = {bytes(r.term): int(r.bad) for r in strong.orderBy(F.desc("bad"), "term").collect()}  # bounded by the labelled rows, as each is in ``least`` of them or more
     many = max(15, int(0.01 * toxic))
     whole = terms.where(F.col("stem") & (F.col("bad") >= many) & pure & (F.col("good") <= 0.02 * F.col("bad")))
-    found = sorted(((bytes(r.term), int(r.bad)) for r in whole.orderBy(F.desc("bad"), "term").limit(20 * most_stems).collect()), key=lambda x: (len(x[0]), x[0]))
+    found = sorted(((bytes(r.term), int(r.bad)) for r in whole.orderBy(F.desc("bad"), "term").collect()), key=lambda x: (len(x[0]), x[0]))
     release(terms)
     stems: list[bytes] = []
     for s, n in found:
         under = [c for w, c in bad.items() if w.startswith(s)]
         if len(under) >= 3 and n > 1.3 * max(under) and not any(s.startswith(o) for o in stems):
             stems.append(s)
-    stems = stems[:most_stems]
     near = [w for w in bad if any(w.startswith(s) for s in stems)]
     return [w for w in bad if w not in set(near)], stems, near
 
