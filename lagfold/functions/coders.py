@@ -79,8 +79,25 @@ class Decoder:
         width = self.high - self.low + 1
         value = ((self.code - self.low + 1) * total - 1) // width
         s = int(np.searchsorted(cum, value, "right")) - 1
-        self.high = self.low + width * int(cum[s + 1]) // total - 1
-        self.low = self.low + width * int(cum[s]) // total
+        self._narrow(int(cum[s]), int(cum[s + 1]), total)
+        return s
+
+
+    def pull_by(self, below, levels: int, total: int) -> int:
+        """A symbol whose cumulative frequencies are a function, found by halving."""
+        width = self.high - self.low + 1
+        value = ((self.code - self.low + 1) * total - 1) // width
+        lo, hi = 0, levels
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            lo, hi = (mid, hi) if below(mid) <= value else (lo, mid)
+        self._narrow(below(lo), below(lo + 1), total)
+        return lo
+
+    def _narrow(self, begin: int, end: int, total: int):
+        width = self.high - self.low + 1
+        self.high = self.low + width * end // total - 1
+        self.low = self.low + width * begin // total
         while True:
             if self.high < 2 * _QUARTER:
                 off = 0
@@ -89,10 +106,26 @@ class Decoder:
             elif self.low >= _QUARTER and self.high < 3 * _QUARTER:
                 off = _QUARTER
             else:
-                return s
+                return
             self.low, self.high, self.code = 2 * (self.low - off), 2 * (self.high - off) + 1, 2 * (self.code - off) + self._bit()
 
 
+#: Frequencies of conditional tables add up to this.
+FINE = 1 << 24
+
+
+def normal_below(levels: int, zmax: float, mean: float, std: float, total: int = FINE):
+    """Cumulative frequencies of equal bins on [-zmax, zmax] under a normal law, as a function of the bin: every bin has 1 at least, the outer ones the tails."""
+    width, scale = 2 * zmax / levels, 1 / (max(std, 1e-6) * math.sqrt(2))
+
+    def below(k: int) -> int:
+        if k <= 0 or k >= levels:
+            return 0 if k <= 0 else total
+        return k + int(0.5 * (1 + math.erf((k * width - zmax - mean) * scale)) * (total - levels))
+
+    return below
+
+
 def encode_iid(symbols, cum: np.ndarray) -> bytes:
     e = Encoder()
     for s in symbols:

@@ -261,3 +261,179 @@ class Splines:
         np.put_along_axis(gd, k[..., None] + 1, gd1[..., None], 2)
         return np.where(inside, gx, outside), gw, gh, gd  # outside its reach a spline is the identity
 
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+
+
+class _Predictor:
+    """What predictors of the next vector share: mean and log deviation from an output of twice the width, and the loss of sequences."""
+
+    reach = 3.0
+
+    def _told(self, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return out[..., : self.dim], np.tanh(out[..., self.dim :]) * self.reach
+
+    def loss(self, theta: np.ndarray, z: np.ndarray, live: np.ndarray | None = None) -> tuple[float, np.ndarray, int]:
+        """(negative log likelihood of each next vector, its gradient, predicted numbers) of sequences (batch, time, dim); ``live`` tells real frames from padding."""
+        out, tape = self.run(theta, z)
+        mean, log_s = self._told(out[:, :-1])
+        real = np.ones(z.shape[:2], bool) if live is None else live
+        w = (real[:, 1:] & real[:, :-1])[..., None].astype(float)
+        r = (z[:, 1:] - mean) * np.exp(-log_s)
+        value = (w * (0.5 * r * r + log_s + 0.5 * np.log(2 * np.pi))).sum()
+        d = np.zeros_like(out)
+        d[:, :-1, : self.dim] = -w * r * np.exp(-log_s)
+        d[:, :-1, self.dim :] = w * (1 - r * r) * (self.reach - log_s**2 / self.reach)
+        return value, self.back(theta, tape, d), int(w.sum()) * self.dim
+
+
+class Recurrent(_Predictor):
+    """A gated recurrent cell and a linear read-out, with gradients through time."""
+
+    def __init__(self, dim: int, hidden: int = 32):
+        self.dim, self.hidden = dim, hidden
+        self.shapes = [(dim, 3 * hidden), (hidden, 2 * hidden), (hidden, hidden), (3 * hidden,), (hidden, 2 * dim), (2 * dim,)]
+        self.size = sum(int(np.prod(s)) for s in self.shapes)
+
+    def start(self, seed: int = 0) -> np.ndarray:
+        rng = np.random.default_rng(seed)
+        scale = [self.dim**-0.5, self.hidden**-0.5, self.hidden**-0.5, 0, 0, 0]
+        return np.concatenate([(rng.normal(size=s) * k).ravel() for s, k in zip(self.shapes, scale)])
+
+    def _parts(self, theta: np.ndarray) -> list[np.ndarray]:
+        out, at = [], 0
+        for s in self.shapes:
+            n = int(np.prod(s))
+            out.append(theta[at : at + n].reshape(s))
+            at += n
+        return out
+
+    def begin(self) -> np.ndarray:
+        return np.zeros((1, self.hidden))
+
+    def _cell(self, parts, x, h):
+        wx, wg, wc, b = parts[:4]
+        n = self.hidden
+        pre = x @ wx + b
+        gates = _sigmoid(pre[:, : 2 * n] + h @ wg)
+        u, r = gates[:, :n], gates[:, n:]
+        c = np.tanh(pre[:, 2 * n :] + (r * h) @ wc)
+        return u * h + (1 - u) * c, u, r, c
+
+    def advance(self, theta: np.ndarray, state: np.ndarray, z: np.ndarray):
+        parts = self._parts(theta)
+        h = self._cell(parts, z[None], state)[0]
+        mean, log_s = self._told(h @ parts[4] + parts[5])
+        return h, mean[0], log_s[0]
+
+    def run(self, theta: np.ndarray, z: np.ndarray):
+        parts, h, steps, hs = self._parts(theta), np.zeros((len(z), self.hidden)), [], []
+        for t in range(z.shape[1]):
+            new, u, r, c = self._cell(parts, z[:, t], h)
+            steps.append((z[:, t], h, u, r, c))
+            h = new
+            hs.append(h)
+        hs = np.stack(hs, 1)
+        return hs @ parts[4] + parts[5], (steps, hs)
+
+    def back(self, theta: np.ndarray, tape, d: np.ndarray) -> np.ndarray:
+        steps, hs = tape
+        wx, wg, wc, _, wo, _ = self._parts(theta)
+        g = [np.zeros(s) for s in self.shapes]
+        g[4] = np.einsum("bth,bto->ho", hs, d)
+        g[5] = d.sum((0, 1))
+        from_out, dh, n = d @ wo.T, np.zeros((len(d), self.hidden)), self.hidden
+        for t in range(len(steps) - 1, -1, -1):
+            x, h, u, r, c = steps[t]
+            dh = dh + from_out[:, t]
+            dc = dh * (1 - u) * (1 - c * c)
+            drh = dc @ wc.T
+            dgates = np.concatenate([dh * (h - c) * u * (1 - u), drh * h * r * (1 - r)], 1)
+            dpre = np.concatenate([dgates, dc], 1)
+            g[0] += x.T @ dpre
+            g[1] += h.T @ dgates
+            g[2] += (r * h).T @ dc
+            g[3] += dpre.sum(0)
+            dh = dh * u + drh * r + dgates @ wg.T
+        return np.concatenate([v.ravel() for v in g])
+
+
+class Dilated(_Predictor):
+    """Causal convolutions whose taps lie 1, 2, 4, ... frames apart, and a linear read-out; a mean depends on the last ``seen`` frames."""
+
+    def __init__(self, dim: int, hidden: int = 32, layers: int = 3, taps: int = 3):
+        self.dim, self.hidden, self.taps = dim, hidden, taps
+        self.widths = [dim, *[hidden] * layers]
+        self.seen = 1 + (taps - 1) * (2**layers - 1)
+        self.shapes = [s for a, b in zip(self.widths, self.widths[1:]) for s in ((taps, a, b), (b,))] + [(hidden, 2 * dim), (2 * dim,)]
+        self.size = sum(int(np.prod(s)) for s in self.shapes)
+
+    _parts = Recurrent._parts
+
+    def start(self, seed: int = 0) -> np.ndarray:
+        rng = np.random.default_rng(seed)
+        return np.concatenate([(rng.normal(size=s) * ((2 / (s[0] * s[1])) ** 0.5 if len(s) == 3 else 0)).ravel() for s in self.shapes])
+
+    def begin(self) -> np.ndarray:
+        return np.zeros((0, self.dim))
+
+    def advance(self, theta: np.ndarray, state: np.ndarray, z: np.ndarray):
+        state = np.concatenate([state, z[None]])[-self.seen :]
+        mean, log_s = self._told(self.run(theta, state[None])[0][0, -1])
+        return state, mean, log_s
+
+    def _shifted(self, x: np.ndarray, by: int) -> np.ndarray:
+        out = np.zeros_like(x)
+        if by < x.shape[1]:
+            out[:, by:] = x[:, : x.shape[1] - by]
+        return out
+
+    def run(self, theta: np.ndarray, z: np.ndarray):
+        parts, x, inputs = self._parts(theta), z, []
+        for k in range(len(self.widths) - 1):
+            inputs.append(x)
+            y = sum(self._shifted(x, j * 2**k) @ parts[2 * k][j] for j in range(self.taps)) + parts[2 * k + 1]
+            x = np.maximum(y, 0)
+        return x @ parts[-2] + parts[-1], (inputs, x)
+
+    def back(self, theta: np.ndarray, tape, d: np.ndarray) -> np.ndarray:
+        inputs, last = tape
+        parts = self._parts(theta)
+        g = [np.zeros(s) for s in self.shapes]
+        g[-2], g[-1] = np.einsum("bth,bto->ho", last, d), d.sum((0, 1))
+        dx, after = d @ parts[-2].T, last
+        for k in range(len(inputs) - 1, -1, -1):
+            dy, x = dx * (after > 0), inputs[k]
+            g[2 * k + 1] = dy.sum((0, 1))
+            dx = np.zeros_like(x)
+            for j in range(self.taps):
+                by = j * 2**k
+                g[2 * k][j] = np.einsum("bti,bto->io", self._shifted(x, by), dy)
+                if by < x.shape[1]:
+                    dx[:, : x.shape[1] - by] += dy[:, by:] @ parts[2 * k][j].T
+            after = x
+        return np.concatenate([v.ravel() for v in g])
+
+
+class SoftStates:
+    """A network whose softmax assigns a row to states softly."""
+
+    def __init__(self, dim: int, states: int, hidden: int = 32):
+        self.dim, self.states = dim, states
+        self.net = Mlp((dim, hidden, hidden, states), "tanh")
+        self.size = self.net.size
+
+    def start(self, seed: int = 0) -> np.ndarray:
+        return self.net.start(np.random.default_rng(seed))
+
+    def forward(self, theta: np.ndarray, x: np.ndarray):
+        out, tape = self.net.forward(theta, x)
+        e = np.exp(out - out.max(1, keepdims=True))
+        chi = e / e.sum(1, keepdims=True)
+        return chi, (tape, chi)
+
+    def back(self, theta: np.ndarray, tape, d: np.ndarray) -> np.ndarray:
+        tape, chi = tape
+        return self.net.backward(theta, tape, chi * (d - (d * chi).sum(1, keepdims=True)))[1]

@@ -208,3 +208,40 @@ def decode_predictive(streams: DataFrame, model, bits: int, reach: float = 8.0,
                 yield pd.DataFrame({"run_id": r.run_id, "t": times, "z": out})
 
     return streams.select("run_id", "n", "t0", "step", "ts", "stream").mapInPandas(decode, "run_id long, t long, z array<double>")
+
+
+def encode_sequence(frames: DataFrame, model, bits: int, zmax: float, block: int = BLOCK) -> DataFrame:
+    """``(run_id, block, n, t0, step, ts, stream)`` of ``(run_id, t, z)``: levels on [-zmax, zmax], each coded under the normal law that ``model`` expects after the levels before."""
+    levels = 1 << bits
+
+    def code(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        z, out = np.stack(pdf["z"].to_list()).astype(float), coders.Encoder()
+        q = np.clip(np.floor((z + zmax) / (2 * zmax) * levels), 0, levels - 1).astype(int)
+        state, mean, log_s = model.start()
+        for row in q:
+            for k, m, s in zip(row.tolist(), mean.tolist(), np.exp(log_s).tolist()):
+                below = coders.normal_below(levels, zmax, m, s)
+                out.push(below(k), below(k + 1), coders.FINE)
+            state, mean, log_s = model.after(state, (row + 0.5) * (2 * zmax / levels) - zmax)
+        return _row(pdf, out.finish())
+
+    return _blocks(frames, "z", block).applyInPandas(code, _STREAM)
+
+
+def decode_sequence(streams: DataFrame, model, bits: int, zmax: float) -> DataFrame:
+    """``(run_id, t, q, z)``: the levels, and their bins' middles."""
+    levels, dim = 1 << bits, model.dim
+
+    def decode(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                source, rows = coders.Decoder(bytes(r.stream)), []
+                state, mean, log_s = model.start()
+                for _ in range(int(r.n)):
+                    rows.append([source.pull_by(coders.normal_below(levels, zmax, m, s), levels, coders.FINE) for m, s in zip(mean.tolist(), np.exp(log_s).tolist())])
+                    state, mean, log_s = model.after(state, (np.array(rows[-1]) + 0.5) * (2 * zmax / levels) - zmax)
+                q = np.array(rows, np.int32).reshape(-1, dim)
+                yield pd.DataFrame({"run_id": r.run_id, "t": _times(r), "q": list(q), "z": list((q + 0.5) * (2 * zmax / levels) - zmax)})
+
+    return streams.select("run_id", "n", "t0", "step", "ts", "stream").mapInPandas(decode, "run_id long, t long, q array<int>, z array<double>")

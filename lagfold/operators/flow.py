@@ -53,12 +53,11 @@ def unpacked(batch: pa.RecordBatch, row: int, column: str) -> np.ndarray:
     return np.frombuffer(batch.column(column)[row].as_buffer(), "<f8").reshape(n, -1)
 
 
-def descend(table: DataFrame, theta: np.ndarray, loss: Callable[[np.ndarray, pa.RecordBatch, int, slice], tuple[float, np.ndarray, int]], steps: int, rate: float, share: float = 1.0, tasks: int | None = None) -> tuple[np.ndarray, list[float]]:
-    """(parameters, mean loss by step) after Adam steps; a step takes every ``1 / share``-th row of each block in turn.
+def descend(table: DataFrame, theta: np.ndarray, loss: Callable[[np.ndarray, pa.RecordBatch, int], tuple[float, np.ndarray, int]], steps: int, rate: float, tasks: int | None = None) -> tuple[np.ndarray, list[float]]:
+    """(parameters, mean loss by step) after Adam steps.
 
-    ``loss(theta, batch, row, rows)`` gives (sum, gradient of the sum, rows) of some rows of a packed block.
+    ``loss(theta, batch, step)`` gives (sum, gradient of the sum, terms) of a batch of packed blocks.
     """
-    turns = max(1, round(1 / share))
     tasks = table.rdd.getNumPartitions() if tasks is None else tasks
     adam, history = Adam(rate), []
     for step in range(steps):
@@ -66,8 +65,8 @@ def descend(table: DataFrame, theta: np.ndarray, loss: Callable[[np.ndarray, pa.
         def work(batches: Iterator[pa.RecordBatch], theta=theta, step=step) -> np.ndarray | None:
             total = None
             for b in batches:
-                for row in range(b.num_rows):
-                    value, g, n = loss(theta, b, row, slice(step % turns, None, turns))
+                if b.num_rows:
+                    value, g, n = loss(theta, b, step)
                     part = np.concatenate([[value, n], g])
                     total = part if total is None else total + part
             return total
@@ -99,12 +98,17 @@ class Flow:
             shape["condition"] = len(frames.select(condition).where(f"`{condition}` is not null").first()[0])
         model = KINDS[kind](len(mean), **shape)
 
-        def loss(theta, batch, row, rows):
-            y = (unpacked(batch, row, x)[rows] - mean) / std
-            value, g = model.loss(theta, y, unpacked(batch, row, condition)[rows] if condition else None)
-            return value + len(y) * np.log(std).sum(), g, len(y)
+        turns = max(1, round(1 / share))  # a step takes every ``1 / share``-th row of each block in turn
 
-        theta, history = descend(packed, model.start(seed), loss, steps, rate, share)
+        def loss(theta, batch, step):
+            rows, total = slice(step % turns, None, turns), [0.0, np.zeros(model.size), 0]
+            for row in range(batch.num_rows):
+                y = (unpacked(batch, row, x)[rows] - mean) / std
+                value, g = model.loss(theta, y, unpacked(batch, row, condition)[rows] if condition else None)
+                total = [total[0] + value + len(y) * np.log(std).sum(), total[1] + g, total[2] + len(y)]
+            return tuple(total)
+
+        theta, history = descend(packed, model.start(seed), loss, steps, rate)
         dropped(packed)
         out = Flow(model, theta, mean, std, kind)
         out.history = history
