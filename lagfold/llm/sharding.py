@@ -102,6 +102,7 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = 8, id_col: str = "doc_
     order = sorted(range(shards), key=lambda k: (-sizes.get(k, 0), k))
     quota = {k: total // shards + (n < total % shards) for n, k in enumerate(order)}
     # rows leave in the order (no neighbours first, hash); ranks are two-level, so no task holds a shard
+    spread = max(spread, total // 50_000)  # rows that one task ranks stay bounded
     cell = F.pmod(F.col("row"), F.lit(spread)).cast("int")
     ranked = _rank(placed.withColumn("cell", F.when(F.col("single"), cell).otherwise(cell + spread)), "label", "cell", "row", "at")
     over = [(k, max(0, sizes.get(k, 0) - quota[k])) for k in range(shards)]
