@@ -41,16 +41,32 @@ def compress(args) -> None:
     spark = session()
     ship(spark)
     frames, lag = load_frames(spark, args), lag_frames(args.lag_ns, args.stride, args.dt_ps)
-    if args.classical:
+    if args.streaming:
+        art, report = streamed(spark, args, lag)
+    elif args.classical:
         art, report = codec.fit_encode(frames, lag, args.cv_dim, args.nstates, args.n_bits, args.seed), None
     else:
-        art, report = flowcodec.fit_encode(frames, lag, args.cv_dim, args.nstates, args.keep_frac, args.lat_bits, args.n_bits, args.features, args.flow, args.steps, seed=args.seed, flow_decoder=args.flow_decoder)
+        art, report = flowcodec.fit_encode(frames, lag, args.cv_dim, args.nstates, args.keep_frac, args.lat_bits, args.n_bits, args.features, args.flow, args.steps, seed=args.seed, flow_decoder=args.flow_decoder, cv=args.cv, entropy=args.entropy, predictor=args.predictor)
     art.config |= {"stride": args.stride, "dt_ps": args.dt_ps}
     artifact.save(spark, art, args.out)
     for k, v in (report or codec.report(artifact.load(spark, args.out))).items():
         print(f"{k}: {v}")
 
 
+def streamed(spark, args, lag: int):
+    """Frames from a folder of Parquet files that is read as a stream, pass by pass; the passes' state lies beside the artifact."""
+    from lagfold.operators.frames import stride
+    from lagfold.operators.geometry import reference_frame
+    from lagfold.streaming import compress as streaming
+
+    table = stride(spark.read.parquet(args.frames), args.stride)
+    schema = spark.read.parquet(args.frames).schema
+    source = lambda: stride(spark.readStream.schema(schema).option("maxFilesPerTrigger", args.chunk_files).parquet(args.frames), args.stride)
+    return streaming.compress(
+        spark, source, reference_frame(table), f"{args.out}-passes", lag, args.cv_dim, states=args.nstates, keep=args.keep_frac, lat_bits=args.lat_bits, n_bits=args.n_bits, flow=args.flow, steps=args.steps, seed=args.seed, entropy=args.entropy, predictor=args.predictor
+    )
+
+
 def decompress(args) -> None:
     from lagfold.plans import codec, flowcodec
     from lagfold.shipping import ship
@@ -65,7 +81,7 @@ def decompress(args) -> None:
 
 def analyze(args) -> None:
     from lagfold.functions import kinetics
-    from lagfold.operators import analysis, counts
+    from lagfold.operators import analysis, counts, posterior
     from lagfold.sources import artifact
 
     spark = session()
@@ -84,7 +100,7 @@ def analyze(args) -> None:
         lags = sorted({int(x) for x in args.lags.split(",")}) if args.lags else analysis.usual_lags(lag)
         for tau, its in analysis.lag_scan(runs, lags, args.k, n):
             print(f"scan, lag {tau}: timescales {show(its)}" + (" (no estimate)" if np.isnan(its).all() else ""))
-    samples = kinetics.posterior_timescales(c, lag, args.k, args.n_samples) if args.bayes or args.resolution else None
+    samples = posterior.timescales(spark, c, lag, args.k, args.n_samples) if args.bayes or args.resolution else None
     if args.bayes:
         each = kinetics.kinetic_resolution(samples, frames)
         print(f"posterior: means {show([r.timescale for r in each])}; deviations {show([r.std for r in each])}")
@@ -157,7 +173,12 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument(f"--{name}", type=kind, default=default)
     c.add_argument("--features", choices=("cartesian", "contacts"), default="cartesian")
     c.add_argument("--flow", choices=("coupling", "spline"), default="coupling")
+    c.add_argument("--cv", choices=("tica", "soft"), default="tica")
+    c.add_argument("--entropy", choices=("gaussian", "temporal", "predictive"), default="gaussian")
+    c.add_argument("--predictor", choices=("recurrent", "dilated"), default="recurrent")
     c.add_argument("--flow-decoder", action="store_true", help="also a flow of what the linear decoder leaves")
+    c.add_argument("--streaming", action="store_true", help="read the frames' files as a stream; passes can be resumed")
+    c.add_argument("--chunk-files", type=int, default=100, help="files of a micro-batch")
     c.add_argument("--classical", action="store_true", help="every frame: coded states and residuals, no flow")
     c.set_defaults(func=compress)
     d = sub.add_parser("decompress")

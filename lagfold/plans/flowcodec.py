@@ -78,18 +78,33 @@ def decode_kept(streams: DataFrame, zmax: float, bits: int, dim: int) -> DataFra
     return streams.mapInPandas(decode, "k long, z array<double>")
 
 
-def fit_encode(frames: DataFrame, lag: int = 10, dim: int = 6, states: int = 200, keep: float = 0.1, lat_bits: int = 14, n_bits: int = 4, features: str = "cartesian", flow: str = "coupling", steps: int = 200, rate: float = 5e-3, share: float = 1.0, seed: int = 0, flow_decoder: bool = False, cvs: DataFrame | None = None, ref: np.ndarray | None = None, **shape) -> tuple[Artifact, dict]:
+def soft_modes(frames: DataFrame, ref: np.ndarray, lag: int, dim: int, steps: int, seed: int) -> DataFrame:
+    """``(run_id, t, cv)``: soft states of the aligned coordinates, fitted by the VAMP-2 score (all but the last, as they sum to one)."""
+    from lagfold.operators.softstates import SoftModel
+
+    raw = written(geometry.kabsch(frames.select("run_id", "t", "xyz"), ref).select("run_id", "t", F.col("aligned").alias("f")))
+    chi = SoftModel.fit(raw, lag, dim + 1, "f", steps=steps, seed=seed).assign(raw, "f", "chi")
+    cv = written(chi.select("run_id", "t", F.slice("chi", 1, dim).alias("cv")))
+    dropped(raw)
+    return cv
+
+
+def fit_encode(frames: DataFrame | None, lag: int = 10, dim: int = 6, states: int = 200, keep: float = 0.1, lat_bits: int = 14, n_bits: int = 4, features: str = "cartesian", flow: str = "coupling", steps: int = 200, rate: float = 5e-3, share: float = 1.0, seed: int = 0, flow_decoder: bool = False, cv: str = "tica", entropy: str = "gaussian", predictor: str = "recurrent", cvs: DataFrame | None = None, ref: np.ndarray | None = None, fetch=None, model: geometry.Tica | None = None, **shape) -> tuple[Artifact, dict]:
     """(artifact, report) of ``(run_id, t, xyz)``.
 
-    ``cvs`` (``run_id, t, cv``) replaces the slow modes by others.  ``flow_decoder`` adds a flow of what the linear decoder
+    ``cv``: slow modes (``tica``) or soft states (``soft``); ``cvs`` (``run_id, t, cv``) replaces them by others.  ``entropy``:
+    ``temporal`` and ``predictive`` also fit a causal predictor of the latents, and report its rate beside the static one.
+    ``fetch`` gives the coordinates of kept frames where ``frames`` isn't a table.  ``flow_decoder`` adds a flow of what the linear decoder
     leaves, under the slow modes, whose mode gives a smoother frame.
     """
-    spark = frames.sparkSession
+    spark = (cvs if frames is None else frames).sparkSession
     ship(spark)
-    frames = frames.where("xyz is not null")
-    ref = geometry.reference_frame(frames) if ref is None else ref
-    model = None
-    if cvs is None:
+    if frames is not None:
+        frames = frames.where("xyz is not null")
+        ref = geometry.reference_frame(frames) if ref is None else ref
+    if cvs is None and cv == "soft":
+        cvs = soft_modes(frames, ref, lag, dim, steps, seed)
+    elif cvs is None:
         cvs, model = modes(frames, ref, features, lag, dim)
     total = cvs.count()
     if total < 2:
@@ -110,7 +125,8 @@ def fit_encode(frames: DataFrame, lag: int = 10, dim: int = 6, states: int = 200
     streams = written(encode_kept(kept, zmax, lat_bits))
     decoded = written(density.restored(decode_kept(streams, zmax, lat_bits, dim), "z", "rec").select("k", "rec"))
 
-    coordinates = geometry.kabsch(frames.join(kept.select("run_id", "t", "k", "state"), ["run_id", "t"]).select("run_id", "t", "xyz", "k", "state"), ref)
+    own = fetch(kept) if fetch else frames.join(kept.select("run_id", "t", "k", "state"), ["run_id", "t"]).select("run_id", "t", "xyz", "k", "state")
+    coordinates = geometry.kabsch(own, ref)
     whole = written(coordinates.select("k", "run_id", "t", "state", "aligned").join(decoded, "k"))
     n, sc, sx, cc, cx, _ = geometry.moments(whole, "rec", "aligned", only=("xx", "xy"))
     cmean, xmean = sc / n, sx / n
@@ -152,7 +168,7 @@ def fit_encode(frames: DataFrame, lag: int = 10, dim: int = 6, states: int = 200
     rows = lambda x: [(k, v.tolist()) for k, v in enumerate(x)]
     config = {
         "lag": lag, "n_states": states, "n_bits": n_bits, "lat_bits": lat_bits, "seed": seed, "step": step, "width": width, "dim": dim, "zmax": zmax, "n_keep": len(picks), "frames": total, "features": features,
-        "cv": "tica" if model else "given", "flow": density.config(), "reference": ref.ravel().tolist(), "flow_decoder": None,
+        "cv": "tica" if model else cv if cv == "soft" else "given", "entropy": entropy, "flow": density.config(), "reference": ref.ravel().tolist(), "flow_decoder": None,
     }
     tables = {
         "dtraj": cells.select("run_id", "t", "state"), "counts": c, "latents": streams, "kept": kept.select("k", "run_id", "t", "state", "weight"), "residual": residual,
@@ -166,8 +182,18 @@ def fit_encode(frames: DataFrame, lag: int = 10, dim: int = 6, states: int = 200
         rest = with_column(whole, "left", _ARRAY, lambda batch: rows_of(left(batch)))
         smooth = Flow.fit(rest, "left", "rec", steps=max(10, steps // 4), rate=rate, seed=seed, hidden=32, layers=4)
         tables["flow_decoder"], config["flow_decoder"] = smooth.table(spark), smooth.config()
+    rates = {}
+    if entropy != "gaussian":
+        from lagfold.operators.predict import Predictor, conditional_nll
+
+        expects = Predictor.fit(latent, "z", "dilated" if entropy == "temporal" else predictor, steps=max(20, steps // 2), seed=seed, hidden=32)
+        own, static = conditional_nll(latent, expects)
+        bins = np.log2((1 << lat_bits) / (2 * zmax))  # bits of a bin's width
+        rates = {"conditional_nll": own, "static_nll": static, "rate_conditional": own / np.log(2) + bins, "rate_static": static / np.log(2) + bins}
+        tables["predictor"] = spark.createDataFrame([("theta", expects.theta.tolist()), ("mean", expects.mean.tolist()), ("std", expects.std.tolist())], "name string, v array<double>")
+        config["predictor"] = {"kind": expects.kind, "hidden": 32, "dim": dim}
     art = Artifact(config, tables)
-    report = described(art, cvs, density, whole, latent)
+    report = described(art, cvs, density, whole, latent) | {k: float(v) for k, v in rates.items()}
     return art, report
 
 
@@ -202,6 +228,31 @@ def _gap(name: str, i):
     return F.sqrt(sum(((at(i, k) - at(i - 1, k)) * (at(i, k) - at(i - 1, k)) for k in (1, 2, 3)), F.lit(0.0)))
 
 
+def flow_of(art: Artifact) -> Flow:
+    """The density of the slow modes, from its stored parameters."""
+    if not art.config.get("flow") or "flow" not in art.tables:
+        raise ValueError("the artifact has no flow")
+    return Flow.load(art.config["flow"], art.tables["flow"])
+
+
+def decoder_of(art: Artifact) -> Flow:
+    """The flow of what the linear decoder leaves."""
+    if not art.config.get("flow_decoder") or "flow_decoder" not in art.tables:
+        raise ValueError("the artifact has no flow decoder")
+    return Flow.load(art.config["flow_decoder"], art.tables["flow_decoder"])
+
+
+def predictor_of(art: Artifact):
+    """The causal predictor of the latents, or None where the artifact was coded without one."""
+    own = art.config.get("predictor")
+    if not own or "predictor" not in art.tables:
+        return None
+    from lagfold.operators.predict import KINDS, Predictor
+
+    v = {r.name: np.array(r.v) for r in art.tables["predictor"].collect()}  # three rows
+    return Predictor(KINDS[own["kind"]](own["dim"], own["hidden"]), v["theta"], v["mean"], v["std"], own["kind"])
+
+
 def decode(art: Artifact, full_atom: bool = False, smooth: bool = False) -> DataFrame:
     """Kept frames ``(k, run_id, t, state, weight, cv)``, or with ``xyz``: the linear decoder's frame and its coded residual.
 
@@ -209,7 +260,7 @@ def decode(art: Artifact, full_atom: bool = False, smooth: bool = False) -> Data
     """
     cfg, spark = art.config, art.tables["kept"].sparkSession
     ship(spark)
-    flow = Flow.load(cfg["flow"], art.tables["flow"])
+    flow = flow_of(art)
     cv = flow.restored(decode_kept(art.tables["latents"], cfg["zmax"], cfg["lat_bits"], cfg["dim"]), "z", "cv").select("k", "cv")
     kept = art.tables["kept"].select("k", "run_id", "t", "state", "weight").join(cv, "k")
     if not full_atom:
@@ -218,9 +269,7 @@ def decode(art: Artifact, full_atom: bool = False, smooth: bool = False) -> Data
     b, seed, step, width = np.stack([v[f"b{k}"] for k in range(cfg["dim"])]), cfg["seed"], cfg["step"], cfg["width"]
     linear = lambda batch: (matrix(batch.column("cv")) - v["cmean"]) @ b + v["xmean"]
     if smooth:
-        if not cfg["flow_decoder"]:
-            raise ValueError("the artifact has no flow decoder")
-        decoder = Flow.load(cfg["flow_decoder"], art.tables["flow_decoder"])
+        decoder = decoder_of(art)
         return with_column(decoder.modes(kept, "cv", "m"), "xyz", _ARRAY, lambda batch: rows_of(linear(batch) + matrix(batch.column("m")))).drop("m")
     means = np.zeros((cfg["n_states"], width))
     for r in art.tables["state_mean"].collect():  # states rows

@@ -683,7 +683,9 @@ def kinetic_resolution(spark, d):
     from lagfold.functions import kinetics
 
     c = event_counts(spark, d)
-    out = kinetics.kinetic_resolution(kinetics.posterior_timescales(c, 1, 3, 50), frames.table(spark, d, "events").count())
+    from lagfold.operators import posterior
+
+    out = kinetics.kinetic_resolution(posterior.timescales(spark, c, 1, 3, 48), frames.table(spark, d, "events").count())
     return spark.createDataFrame([(k + 1, *(round(float(x), 6) for x in (r.timescale, r.std, r.low, r.high, r.relative, r.events)), r.resolved) for k, r in enumerate(out)], "k int, timescale double, std double, low double, high double, relative double, events double, resolved boolean")
 
 

@@ -68,3 +68,48 @@ def test_one_frame_and_no_pairs(spark):
     with pytest.raises(ValueError):
         flowcodec.fit_encode(one)
     assert fr.stride(one, 10).count() == 1
+
+
+def test_soft_modes_and_rates(spark, moving):
+    art, report = flowcodec.fit_encode(moving, lag=5, dim=2, states=8, keep=0.05, steps=12, hidden=8, layers=2, cv="soft", entropy="temporal", n_bits=8)
+    expects = flowcodec.predictor_of(art)
+    assert expects.kind == "dilated" and len(expects.start()[1]) == 2
+    with pytest.raises(ValueError):
+        flowcodec.decoder_of(art)
+    assert art.config["cv"] == "soft" and report["rate_conditional"] < report["rate_static"] and report["fullatom_rmsd"] < 0.05
+
+
+class Stopped(Exception):
+    pass
+
+
+def test_a_stopped_stream_goes_on(spark, moving, tmp_path, monkeypatch):
+    from lagfold.streaming import compress as streaming
+
+    for k in range(4):
+        moving.where(f"t >= {175 * k} and t < {175 * k + 175}").coalesce(1).write.parquet(f"file://{tmp_path}/in/{k}")
+    source = lambda: spark.readStream.schema(moving.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    ref = geometry.reference_frame(moving)
+    args = dict(lag=5, dim=2, states=8, keep=0.05, steps=5, hidden=8, layers=2, n_bits=8)
+    batches, seen = streaming._batches, []
+
+    def stopping(frames, folder, name, work):
+        def once(b):
+            if name == "cvs":
+                seen.append(1)
+                if len(seen) == 3:
+                    raise Stopped
+            return work(b)
+
+        return batches(frames, folder, name, once)
+
+    monkeypatch.setattr(streaming, "_batches", stopping)
+    with pytest.raises(Exception, match="Stopped"):
+        streaming.compress(spark, source, ref, f"file://{tmp_path}/work", **args)
+    art, report = streaming.compress(spark, source, ref, f"file://{tmp_path}/work", **args)
+    assert len(seen) == 5  # two batches before the stop, the stopped one again, and the last
+    plain, model = flowcodec.modes(moving, ref, "cartesian", 5, 2)
+    cvs = spark.read.parquet(f"file://{tmp_path}/work/cvs")
+    both = plain.join(cvs.select("run_id", "t", F.col("cv").alias("own")), ["run_id", "t"])
+    assert both.count() == 1400 and both.agg(F.max(F.array_max(F.zip_with("cv", "own", lambda a, b: F.abs(F.abs(a) - F.abs(b)))))).first()[0] < 1e-6
+    assert report["n_keep"] == 70 and report["fullatom_rmsd"] < 0.05 and art.tables["dtraj"].count() == 1400

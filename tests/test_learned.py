@@ -134,3 +134,17 @@ def test_soft_states_and_bits(spark):
     assert points["kinetic"][2] < points["mse"][2] or points["kinetic"][1] < points["mse"][1]
     got = softstates.Allocation(flow, soft, 5).timescale_error(df, 12)
     assert got["bits"] > 0 and got["reference"] > 1 and np.isfinite(got["error"])
+
+
+def test_the_posterior_of_two_states_is_a_beta_law(spark):
+    from lagfold.operators import posterior
+
+    c = np.array([[80.0, 20.0], [10.0, 60.0]])
+    t = np.array([r.t for r in posterior.sampled(spark, c, 1, 1, 1200, chains=4).collect()])
+    for p, a, b in ((t[:, 1], 20, 80), (t[:, 2], 10, 60)):
+        assert p.mean() == pytest.approx(a / (a + b), rel=0.05) and p.std() == pytest.approx((a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5, rel=0.12)
+    c3 = np.array([[50.0, 5, 1], [5, 40, 7], [1, 7, 60]])
+    x = np.array([r.t for r in posterior.sampled(spark, c3, 1, 2, 20).collect()]).reshape(-1, 3, 3)
+    loop = x[:, 0, 1] * x[:, 1, 2] * x[:, 2, 0] / (x[:, 1, 0] * x[:, 2, 1] * x[:, 0, 2])
+    assert np.allclose(loop, 1) and np.allclose(x.sum(2), 1)
+    assert posterior.timescales(spark, c3, 1, 2, 20).shape == (20, 2)
