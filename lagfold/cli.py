@@ -135,8 +135,11 @@ def benchmark(args) -> None:
 
     spark = session()
     rows = bench.run_benchmark(load_frames(spark, args), args.methods.split(","), lag_frames(args.lag_ns, args.stride, args.dt_ps), args.nstates, args.cv_dim, args.dt_ps * args.stride / 1000, args.seed)
-    for r in rows:
-        print(" ".join(f"{k}={v:.4g}" if isinstance(v, float) else f"{k}={v}" for k, v in r.items()))
+    print(bench.text(rows))
+    if args.ladders:
+        frames = load_frames(spark, args)
+        lag = lag_frames(args.lag_ns, args.stride, args.dt_ps)
+        print(bench.text(bench.ladders(frames, bench.Ruler(frames, lag, args.nstates, args.dt_ps * args.stride / 1000, seed=args.seed))))
     if args.csv:
         bench.write_csv(spark, rows, args.csv)
 
@@ -212,6 +215,7 @@ def parser() -> argparse.ArgumentParser:
     m.add_argument("--top")
     m.add_argument("--methods", default="stored,shuffle,quantize")
     m.add_argument("--csv")
+    m.add_argument("--ladders", action="store_true", help="also every setting of the built-in rate models, on a fixed ruler")
     for name, kind, default in (("stride", int, 10), ("cv-dim", int, 2), ("nstates", int, 50), ("lag-ns", float, 10.0), ("dt-ps", float, 100.0), ("seed", int, 0)):
         m.add_argument(f"--{name}", type=kind, default=default)
     m.set_defaults(func=benchmark)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lagfold.functions import kinetics
 from lagfold.operators import counts
-from lagfold.operators.frames import offsets
+from lagfold.operators.frames import offsets, stride
 from lagfold.operators.tables import written
 from lagfold.shipping import ship
 
@@ -44,6 +44,22 @@ def lag_scan(frames: DataFrame, lags: list[int], k: int, states: int) -> list[tu
     return out
 
 
+def mlmsm(frames: DataFrame, lag: int, states: int, count_mode: str = "sliding", reversible: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(T, active states, long-run shares) of the largest connected set.
+
+    ``count_mode``: ``sliding`` pairs, every ``lag``-th frame only (``sample``), or sliding counts over the lag (``effective``).
+    """
+    if count_mode not in ("sliding", "sample", "effective"):
+        raise ValueError("count_mode is sliding, sample or effective")
+    rows = stride(frames, lag) if count_mode == "sample" else frames
+    c = kinetics.dense_counts(counts.transition_counts(rows, 1 if count_mode == "sample" else lag).collect(), states)  # states^2 rows
+    c = c / lag if count_mode == "effective" else c
+    act = kinetics.largest_connected_set(c)
+    own = c[np.ix_(act, act)]
+    t = kinetics.estimate(own)[0] if reversible else kinetics.row_normalised(own)
+    return t, act, kinetics.stationary_distribution(t)
+
+
 def bootstrap_timescales(frames: DataFrame, lag: int, k: int, states: int, replicates: int = 100, blocks: int = 20, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """(mean, low, high) of the timescales: means and 95% percentile intervals over resampled runs; None without a replicate.
 

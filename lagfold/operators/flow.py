@@ -16,25 +16,12 @@ from pyspark.sql import types as T
 
 from lagfold.functions.nets import Adam, Couplings, Splines
 from lagfold.operators.geometry import moments
-from lagfold.operators.sums import matrix, rows_of, vector_sum
+from lagfold.operators.sums import matrix, rows_of, vector_sum, with_column
 from lagfold.operators.tables import dropped, written
 
 KINDS = {"coupling": Couplings, "spline": Splines}
 
 
-def with_column(frames: DataFrame, out: str, kind: T.DataType, work: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
-    """``frames`` with a column made from each Arrow batch."""
-    base = frames.drop(out)
-    schema = T.StructType([*base.schema.fields, T.StructField(out, kind)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([*b.columns, work(b)], schema.names)
-
-    return base.mapInArrow(run, schema)
-
-
 def blocks(frames: DataFrame, columns: list[str], rows: int = 4096) -> DataFrame:
     """Packed blocks ``(n, <columns>)`` of array columns, each block a row of matrices; rows with a null array are left out."""
     schema = T.StructType([T.StructField("n", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in columns]])

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +16,7 @@ from pyspark.sql import types as T
 
 from lagfold.functions import kinetics
 from lagfold.operators.counts import lag_pairs
-from lagfold.operators.sums import matrix, vector_sum
+from lagfold.operators.sums import matrix, rows_of, vector_sum, with_column
 
 
 def reference_frame(frames: DataFrame) -> np.ndarray:
@@ -43,15 +42,22 @@ def superpose(x: np.ndarray, ref: np.ndarray, at_reference: bool = False) -> tup
     return aligned + (mean if at_reference else 0), np.sqrt(np.maximum(d2, 0))
 
 
-def _batched(frames: DataFrame, work: Callable[[np.ndarray], dict[str, list]], fields: list[T.StructField]) -> DataFrame:
-    """Add columns made from the coordinates of each batch."""
+def rmsd(a: np.ndarray, b: np.ndarray) -> float:
+    """The distance of two frames (atoms, 3) after the best rotation."""
+    return float(superpose(np.asarray(a, float)[None], np.asarray(b, float))[1][0])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                yield pdf.assign(**work(np.stack(pdf["xyz"].to_list()).astype(float).reshape(len(pdf), -1, 3)))
 
-    return frames.mapInPandas(run, T.StructType([*frames.schema.fields, *fields]))
+def _batched(frames: DataFrame, work: Callable[[np.ndarray], list[pa.Array]], fields: list[T.StructField]) -> DataFrame:
+    """Add columns made from the coordinates of each batch; frames without coordinates are left out."""
+    base = frames.drop(*[f.name for f in fields])
+    schema = T.StructType([*base.schema.fields, *fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([*b.columns, *work(matrix(b.column("xyz")).reshape(b.num_rows, -1, 3))], schema.names)
+
+    return base.where("xyz is not null").mapInArrow(run, schema)
 
 
 def kabsch(frames: DataFrame, ref: np.ndarray | None = None, at_reference: bool = False) -> DataFrame:
@@ -60,13 +66,13 @@ def kabsch(frames: DataFrame, ref: np.ndarray | None = None, at_reference: bool
 
     def work(x):
         aligned, rmsd = superpose(x, ref, at_reference)
-        return {"aligned": list(aligned.reshape(len(x), -1)), "rmsd": rmsd}
+        return [rows_of(aligned.reshape(len(x), -1)), pa.array(rmsd)]
 
     return _batched(frames, work, [T.StructField("aligned", T.ArrayType(T.DoubleType())), T.StructField("rmsd", T.DoubleType())])
 
 
 def contacts(frames: DataFrame, most_atoms: int = 64, separation: int = 2, by_position: bool = False) -> DataFrame:
-    """``frames`` with ``x``: distances of pairs of evenly spaced atoms.
+    """``frames`` with ``x``: distances of pairs of evenly spaced atoms (none if no pair is far enough apart in the chain).
 
     ``separation`` counts atom indices, or with ``by_position`` places among the chosen atoms.
     """
@@ -77,7 +83,7 @@ def contacts(frames: DataFrame, most_atoms: int = 64, separation: int = 2, by_po
         where = list(range(len(pick))) if by_position else pick
         pairs = [(a, b) for k, a in enumerate(pick) for m, b in enumerate(pick) if m > k and where[m] - where[k] >= separation]
         i, j = np.array(pairs, int).reshape(-1, 2).T
-        return {"x": list(np.linalg.norm(xyz[:, i] - xyz[:, j], axis=2))}
+        return [rows_of(np.linalg.norm(xyz[:, i] - xyz[:, j], axis=2))]
 
     return _batched(frames, work, [T.StructField("x", T.ArrayType(T.DoubleType()))])
 
@@ -212,13 +218,7 @@ class Tica:
 
 def project(frames: DataFrame, f: Callable[[np.ndarray], np.ndarray], x: str = "x", out: str = "cv") -> DataFrame:
     """``frames`` with ``out``, a matrix function of the array column ``x``, batch by batch."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                yield pdf.assign(**{out: list(f(np.stack(pdf[x].to_list()).astype(float)))})
-
-    return frames.mapInPandas(run, T.StructType([*frames.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))]))
+    return with_column(frames, out, T.ArrayType(T.DoubleType()), lambda b: rows_of(f(matrix(b.column(x)))))
 
 
 def vamp_score(frames: DataFrame, lag: int, x: str = "x", r: int = 2) -> float:
@@ -240,12 +240,9 @@ def discretise(frames: DataFrame, states: int, seed: int = 0, x: str = "cv") ->
 def assign(frames: DataFrame, centres: np.ndarray, x: str = "cv") -> DataFrame:
     """``frames`` with ``state``: the nearest of the centres."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                y = np.stack(pdf[x].to_list()).astype(float)
-                d2 = ((y[:, None, :] - centres[None]) ** 2).sum(2)
-                yield pdf.assign(state=d2.argmin(1).astype(np.int32))
+    def work(b: pa.RecordBatch) -> pa.Array:
+        y = matrix(b.column(x))
+        step = max(1, (1 << 22) // max(1, centres.size))
+        return pa.array(np.concatenate([((y[a : a + step, None] - centres[None]) ** 2).sum(2).argmin(1) for a in range(0, len(y), step)]).astype(np.int32))
 
-    base = frames.drop("state")
-    return base.mapInPandas(run, T.StructType([*base.schema.fields, T.StructField("state", T.IntegerType())]))
+    return with_column(frames, "state", T.IntegerType(), work)

@@ -18,9 +18,9 @@ from pyspark.sql import types as T
 from lagfold.functions import kinetics
 from lagfold.functions.nets import Adam, SoftStates
 from lagfold.operators import counts, geometry
-from lagfold.operators.flow import Flow, blocks, unpacked, with_column
+from lagfold.operators.flow import Flow, blocks, unpacked
 from lagfold.operators.geometry import moments
-from lagfold.operators.sums import matrix, rows_of, vector_sum
+from lagfold.operators.sums import matrix, rows_of, vector_sum, with_column
 from lagfold.operators.tables import dropped, written
 from lagfold.plans.codec import draws
 
@@ -189,6 +189,41 @@ class Allocation:
         return {"bits": bits, "reference": slowest[0], "decoded": slowest[1], "error": abs(slowest[1] - slowest[0]) / slowest[0]}
 
 
+class Standardised:
+    """What stands in for a flow where bits are shared out among the features themselves: standardising alone."""
+
+    def __init__(self, mean: np.ndarray, std: np.ndarray):
+        self.mean, self.std = mean, std
+
+    def forward(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.mean) / self.std
+
+    def inverse(self, z: np.ndarray) -> np.ndarray:
+        return z * self.std + self.mean
+
+
+def shared_bits(frames: DataFrame, soft: SoftModel, lag: int, bits: float, kind: str = "kinetic", x: str = "cv", steps: int = 40, rate: float = 0.2, reach: float = 0.05, seed: int = 0) -> tuple[np.ndarray, float]:
+    """(bits of each feature, loss) when ``bits`` in all are shared out by a softmax; a feature of b bits has steps of its deviation over 2^b."""
+    which = {"kinetic": 1, "mse": 2}[kind]
+    own = Allocation(Standardised(soft.mean, soft.std), soft, lag)
+    d = len(soft.mean)
+    table, adam, theta = _pairs(frames, x, lag), Adam(rate), np.zeros(d)
+    tasks = table.rdd.getNumPartitions()
+
+    def share(v: np.ndarray) -> np.ndarray:
+        e = np.exp(v - v.max(-1, keepdims=True))
+        return bits * e / e.sum(-1, keepdims=True)
+
+    for turn in range(steps):
+        around = np.concatenate([theta + reach * np.eye(d), theta - reach * np.eye(d)])
+        loss = np.array([s[which] for s in own.scored(table, -share(around) * np.log(2), seed + turn, tasks)])
+        theta = adam.step(theta, (loss[:d] - loss[d:]) / (2 * reach) / max(loss.mean(), 1e-12))
+    out = share(theta)
+    loss = own.scored(table, -out[None] * np.log(2), seed, tasks)[0][which]
+    dropped(table)
+    return out, loss
+
+
 def rate_distortion(frames: DataFrame, flow: Flow, soft: SoftModel, lag: int, weights: list[float], kind: str = "kinetic", x: str = "cv", states: int = 50, **fit) -> list[dict]:
     """An operating point for each weight: bits, distortions and the timescale's error."""
     out, table = [], _pairs(frames, x, lag)

@@ -135,6 +135,51 @@ def run_benchmark(frames: DataFrame, methods: list[str], lag: int = 10, states:
     return out
 
 
+#: Settings of the built-in rungs, finest first.
+LADDERS = {"xtc": (1000, 200, 50, 20, 10, 5, 2), "pca": (16, 8, 4, 2, 1)}
+
+
+def ladders(frames: DataFrame, ruler: Ruler, rungs: dict[str, tuple] = LADDERS) -> list[dict]:
+    """A row for each setting of each rate model: bits a frame, the ratio to 32-bit coordinates, and what the ruler reads."""
+    n, width = frames.count(), frames.select(F.size("xyz").alias("w")).first().w
+    out = []
+    for name, settings in rungs.items():
+        make = {"xtc": xtc, "pca": pca}.get(name)
+        if make is None:
+            out.append({"method": name, "available": False})
+            continue
+        for s in settings:
+            back, bits = make(frames, s)
+            slowest, error = ruler.score(back)
+            out.append({"method": name, "available": True, "setting": float(s), "bits_per_frame": bits / n, "ratio": 32 * width * n / bits if bits else math.inf, "slowest": slowest, "error": error})
+    return out
+
+
+def codec_rows(frames: DataFrame, ruler: Ruler, art, lag: int) -> list[dict]:
+    """Two rows of the flow codec: the model that the artifact keeps, and a trajectory rebuilt from it and measured again."""
+    from lagfold.operators.reconstruct import full_length
+    from lagfold.plans import flowcodec
+
+    c = art.counts()
+    act = kinetics.largest_connected_set(c)
+    stored = float(kinetics.implied_timescales(kinetics.estimate(c[np.ix_(act, act)])[0], lag, 1)[0]) * ruler.dt
+    kept = flowcodec.decode(art, full_atom=True)
+    dims = [f"d{k}" for k in range(art.config["dim"])]
+    spread = lambda df, c: df.select("*", *[F.col(c)[k].alias(d) for k, d in enumerate(dims)])
+    whole = full_length(art.tables["dtraj"], spread(kept, "cv").select("run_id", "t", "state", "xyz", *dims), spread(art.tables["centres"], "c").select("state", *dims), dims)
+    rebuilt, error = ruler.score(whole)
+    return [{"method": "codec, stored model", "slowest": stored, "error": abs(stored - ruler.slowest) / ruler.slowest * 100}, {"method": "codec, round trip", "slowest": rebuilt, "error": error}]
+
+
+def text(rows: list[dict]) -> str:
+    """Rows as an aligned table; what is missing is a dash."""
+    names = list(dict.fromkeys(k for r in rows for k in r))
+    show = lambda v: "-" if v is None or v != v else f"{v:.4g}" if isinstance(v, float) else str(v)
+    cells = [names, *[[show(r.get(n)) for n in names] for r in rows]]
+    wide = [max(len(r[k]) for r in cells) for k in range(len(names))]
+    return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, wide)).rstrip() for r in cells)
+
+
 SCHEMA = "method string, available boolean, note string, ensemble double, transition double, pair_bound double, ensemble_bound double, slowest_reference double, slowest double"
 
 

@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 
 from lagfold.functions import coders, kinetics
 from lagfold.operators import counts, geometry, selection, stats
-from lagfold.operators.flow import Flow, with_column
-from lagfold.operators.sums import matrix, rows_of, vector_sum
+from lagfold.operators.flow import Flow
+from lagfold.operators.sums import matrix, rows_of, vector_sum, with_column
 from lagfold.operators.tables import dropped, written
 from lagfold.plans.codec import draws
 from lagfold.shipping import ship

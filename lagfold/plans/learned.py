@@ -20,6 +20,16 @@ def long_run_counts(spark, d):
     return counts.counts_by_lag(frames.numbered_whole(ev, "event_id"), list(LAGS), span=1 << 12)
 
 
+@query("rate_ladders")
+def rate_ladders(spark, d):
+    """Grid and principal-mode rates of the coordinates by setting, measured on a fixed ruler."""
+    from lagfold.plans import benchmark
+
+    x = frames.coordinates(spark, d).select("run_id", "t", "xyz")
+    rows = benchmark.ladders(x, benchmark.Ruler(x, 1, 8), {"xtc": (50, 5), "pca": (4, 1)})
+    return spark.createDataFrame([(r["method"], r["setting"], round(r["bits_per_frame"], 6), round(r["ratio"], 6), round(r["error"], 6)) for r in rows], "method string, setting double, bits_per_frame double, ratio double, error double")
+
+
 POINTS = "v AS (SELECT vec_id AS t, list_transform(embedding[1:8], lambda x: floor(x::DOUBLE * 4096)) AS z FROM embeddings)"
 
 

@@ -334,10 +334,15 @@ def free_energy_profile(spark, d):
     return stats.free_energy(h, 5.0).select("bin", r6(F.col("free_energy")).alias("free_energy"))
 
 
-@query("bounded_observable", f"WITH {HALVES} SELECT round(abs(avg(CASE WHEN half = 0 THEN (value > 50)::INT END) - avg(CASE WHEN half = 1 THEN (value > 50)::INT END)), 9) AS gap FROM hv")
+@query("bounded_observable", f"""WITH {HIST}, g AS (SELECT abs(avg(CASE WHEN half = 0 THEN (value > 50)::INT END) - avg(CASE WHEN half = 1 THEN (value > 50)::INT END)) AS gap FROM hv), k AS (SELECT sqrt(greatest(sum(a.w * ln(a.w / b.w)), 0) / 2) AS bound FROM hr a JOIN hr b USING (bin) WHERE a.half = 0 AND b.half = 1)
+SELECT round(gap, 9) AS gap, round(bound, 9) AS bound, gap <= bound + 1e-9 AS ok FROM g, k""")
 def bounded_observable(spark, d):
+    """The share of high values in both halves differs by no more than the divergence of their histograms allows."""
+    hv = frames.halves(spark, d)
     part = lambda h: F.avg(F.when(F.col("half") == h, (F.col("value") > 50).cast("double")))
-    return frames.halves(spark, d).agg(r6(F.abs(part(0) - part(1)), 9).alias("gap"))
+    kl = stats.histogram_kl(*[stats.histogram(hv.where(F.col("half") == k), F.col("value"), 0.0, 100.0, 20) for k in (0, 1)])
+    one = hv.agg(F.abs(part(0) - part(1)).alias("gap")).join(F.broadcast(kl.select(bound.pinsker(F.col("kl")).alias("bound"))))  # one row each
+    return one.select(r6(F.col("gap"), 9).alias("gap"), r6(F.col("bound"), 9).alias("bound"), (F.col("gap") <= F.col("bound") + 1e-9).alias("ok"))
 
 
 @query("percentile_range", f"WITH {EV} SELECT " + ", ".join(f"round(quantile_cont(value, {p}), 6) AS p{str(p).replace('.', '_')}" for p in (0.005, 0.01, 0.025, 0.5, 0.975, 0.995)) + " FROM ev")
@@ -638,9 +643,12 @@ def kmeans_msm(spark, d):
     from lagfold.shipping import ship
 
     ship(spark)
-    raw = geometry.contacts(frames.coordinates(spark, d), 12)
-    x = geometry.Standard.fit(raw).transform(raw)
-    cv = geometry.Tica(1, 2).fit(x, "z").transform(x, "z").select("run_id", "t", "cv")
+    from lagfold.operators.tables import dropped, written
+
+    raw = written(geometry.contacts(frames.coordinates(spark, d)).select("run_id", "t", "x"))
+    x = written(geometry.Standard.fit(raw).transform(raw).select("run_id", "t", "z"))
+    cv = written(geometry.Tica(1, 2).fit(x, "z").transform(x, "z").select("run_id", "t", "cv"))
+    dropped(raw, x)
     cells, _ = geometry.discretise(cv, 8)
     return counts.transition_counts(cells)
 

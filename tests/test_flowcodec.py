@@ -113,3 +113,17 @@ def test_a_stopped_stream_goes_on(spark, moving, tmp_path, monkeypatch):
     both = plain.join(cvs.select("run_id", "t", F.col("cv").alias("own")), ["run_id", "t"])
     assert both.count() == 1400 and both.agg(F.max(F.array_max(F.zip_with("cv", "own", lambda a, b: F.abs(F.abs(a) - F.abs(b)))))).first()[0] < 1e-6
     assert report["n_keep"] == 70 and report["fullatom_rmsd"] < 0.05 and art.tables["dtraj"].count() == 1400
+
+
+def test_ladders_and_round_trip_rows(spark, moving):
+    from lagfold.plans import benchmark
+
+    ruler = benchmark.Ruler(moving, 5, 8)
+    rows = benchmark.ladders(moving, ruler, {"xtc": (100, 2), "pca": (6,), "other": (1,)})
+    assert [r["available"] for r in rows] == [True, True, True, False] and rows[0]["bits_per_frame"] > rows[1]["bits_per_frame"] and rows[0]["error"] < 10
+    art, _ = flowcodec.fit_encode(moving, lag=5, dim=2, states=8, keep=0.1, steps=5, hidden=8, layers=2, n_bits=8)
+    both = benchmark.codec_rows(moving, ruler, art, 5)
+    assert [r["method"] for r in both] == ["codec, stored model", "codec, round trip"] and all(np.isfinite(r["error"]) for r in both)
+    shown = benchmark.text(rows).split("\n")
+    assert len(shown) == 5 and shown[-1].split()[:2] == ["other", "False"] and "-" in shown[-1]
+    assert geometry.rmsd(np.eye(3), np.eye(3) + 5) < 1e-7

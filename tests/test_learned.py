@@ -148,3 +148,24 @@ def test_the_posterior_of_two_states_is_a_beta_law(spark):
     loop = x[:, 0, 1] * x[:, 1, 2] * x[:, 2, 0] / (x[:, 1, 0] * x[:, 2, 1] * x[:, 0, 2])
     assert np.allclose(loop, 1) and np.allclose(x.sum(2), 1)
     assert posterior.timescales(spark, c3, 1, 2, 20).shape == (20, 2)
+
+
+def test_bits_shared_out_among_features(spark):
+    x = bistable(1500, 3)
+    df = table(spark, [x], "cv")
+    soft = softstates.SoftModel.fit(df, 5, 2, steps=25, rate=3e-2, hidden=8)
+    bits, loss = softstates.shared_bits(df, soft, 5, 6.0, steps=12, rate=0.3)
+    assert bits.sum() == pytest.approx(6) and bits[0] > 2 and loss >= 0
+
+
+def test_count_modes(spark):
+    from lagfold.operators import analysis
+
+    rng = np.random.default_rng(0)
+    df = spark.createDataFrame([(0, t, int(s)) for t, s in enumerate(rng.integers(0, 3, 600))], "run_id long, t long, state int")
+    for mode in ("sliding", "sample", "effective"):
+        t, act, pi = analysis.mlmsm(df, 3, 3, mode)
+        assert act.tolist() == [0, 1, 2] and np.allclose(t.sum(1), 1) and np.allclose(pi @ t, pi)
+    assert np.allclose(analysis.mlmsm(df, 3, 3, "sliding")[0], analysis.mlmsm(df, 3, 3, "effective")[0], atol=1e-6)
+    with pytest.raises(ValueError):
+        analysis.mlmsm(df, 3, 3, "other")
