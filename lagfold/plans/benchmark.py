@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagfold.functions import kinetics
+from lagfold.operators.tables import written
 from lagfold.operators import counts, geometry, stats
 from lagfold.shipping import ship
 
@@ -66,7 +67,7 @@ def xtc(frames: DataFrame, precision: float) -> tuple[DataFrame, float]:
 def pca(frames: DataFrame, modes: int, bits: int = 12) -> tuple[DataFrame, float]:
     """(frames from their first modes of variance, bits): entropies of the quantised projections, and the model's own size."""
     ship(frames.sparkSession)
-    aligned = geometry.kabsch(frames.select("run_id", "t", "xyz")).select("run_id", "t", "aligned")
+    aligned = written(geometry.kabsch(frames.select("run_id", "t", "xyz")).select("run_id", "t", "aligned"))
     n, s, _, c, _, _ = geometry.moments(aligned, "aligned")
     mean = s / n
     value, vector = np.linalg.eigh((c - n * np.outer(mean, mean)) / max(n - 1, 1))
@@ -87,7 +88,7 @@ class Ruler:
 
     def __init__(self, frames: DataFrame, lag: int, states: int, dt: float = 1.0, atoms: int = 64, separation: int = 3, dim: int = 2, seed: int = 0):
         self.lag, self.dt, self.atoms, self.separation = lag, dt, atoms, separation
-        x = self._features(frames)
+        x = written(self._features(frames))
         self.modes = geometry.Tica(lag, dim).fit(x)
         cells, self.centres = geometry.discretise(self.modes.transform(x).select("run_id", "t", "cv"), states, seed)
         self.slowest = self._slowest(cells)
@@ -100,7 +101,11 @@ class Ruler:
 
     def _slowest(self, cells: DataFrame) -> float:
         c = kinetics.dense_counts(counts.transition_counts(cells, self.lag).collect(), len(self.centres))
-        return float(kinetics.implied_timescales(kinetics.reversible_mle(c)[0], self.lag, 1)[0]) * self.dt
+        try:
+            its = kinetics.implied_timescales(kinetics.reversible_mle(c)[0], self.lag, 1)
+        except ValueError:
+            its = []
+        return float(its[0]) * self.dt if len(its) else math.nan  # frames that all fall into one cell have no timescale
 
     def score(self, frames: DataFrame) -> tuple[float, float]:
         """(slowest timescale, its error against the reference in per cent)."""
