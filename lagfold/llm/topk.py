@@ -29,6 +29,8 @@ from lagfold.llm.spark import cut, sized
 
 _PARTS = ("ids", "rows", "flat")
 _LOW = np.iinfo(np.int64).min
+#: Tasks, at most, over which the query blocks of a dimension are dealt where blocks meet by their metadata.
+SLOTS = 64
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
@@ -141,7 +143,10 @@ def top_k(vectors: DataFrame, k: int = 5, query_divisor: int = 50, scale: float
     head = cut(blocks.groupBy("dim").agg(F.max_by(F.struct("bucket", "block"), place).alias("b")).select("dim", "b.bucket", "b.block"))
     longest = blocks.join(F.broadcast(head), ["dim", "bucket", "block"])  # one block for each dimension
     bounds = cut(queries.join(longest, "dim").mapInPandas(first, "dim int, qb long, bound array<bigint>, need double"))
-    met = cut(blocks.select("dim", "bucket", "block", "length").join(bounds.select("dim", "qb", "need"), "dim").where("length >= need").select("dim", "bucket", "block", "qb"))
+    # a dimension is one key, so query blocks are dealt over slots and the vector blocks' few numbers go to every slot
+    known = blocks.select("dim", "bucket", "block", "length", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("slot"))
+    asking = bounds.select("dim", "qb", "need", F.pmod("qb", F.lit(SLOTS)).cast("int").alias("slot"))
+    met = cut(known.join(asking, ["dim", "slot"]).where("length >= need").select("dim", "bucket", "block", "qb"))
     asked = cut(queries.join(bounds.select("dim", "qb", "bound"), ["dim", "qb"]))
 
     def search(batches):
