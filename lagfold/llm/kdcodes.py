@@ -16,7 +16,7 @@ vectors whose length isn't that of the kept vector with the smallest id or no po
 ``parts``; integers beyond 2^24 count as 2^24 (components beyond 4,096), so that
 distances stay exact.  Seeds are ordered by id, then by the vector; rows without an id come
 last.  Repeated rows each count; with fewer rows than entries there are so many entries;
-null labels are one label; an empty table gives no rows; other columns are not looked at.
+null labels are one label, and so is a table without labels; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -227,7 +227,8 @@ def compress(vectors: DataFrame, parts: int = 8, entries: int = 16, rounds: int
     """
     if not 1 <= entries <= 256:
         raise ValueError("a code has two hex digits for each part")
-    frame = vectors.select(F.col(id_col).alias("vec"), F.col(vector_col).alias("v"), F.col(label_col).alias("label"))
+    label = F.col(label_col) if label_col in vectors.columns else F.lit(None).cast("int")
+    frame = vectors.select(F.col(id_col).alias("vec"), F.col(vector_col).alias("v"), label.alias("label"))
     trees = forest(frame, parts, entries, scale, block)
     schema = T.StructType([T.StructField(id_col, frame.schema["vec"].dataType), T.StructField("_label", frame.schema["label"].dataType), T.StructField("code", T.StringType()), T.StructField("error", T.LongType())])
     out = [id_col, "code", "error", "label_error", "codebooks_sha256"]

@@ -40,7 +40,7 @@ def tables(spark, tmp_path_factory):
     spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({"digest": F.lit("z"), "id": F.lit(0)}).write.parquet(f"{d}/pages.parquet")
     rng = np.random.default_rng(6)
     vectors = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(120)] + [(50, None), (None, [1.0] * 6), (7, [9.0] * 6), (7, [9.0] * 6), (200, []), (300, [float("nan")] * 6)]
-    spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumns({"score": F.lit(1), "row": F.lit(2)}).write.parquet(f"{d}/embeddings.parquet")
+    spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumns({"score": F.lit(1), "row": F.lit(2), "label": F.expr("cast(vec_id % 3 as int)")}).write.parquet(f"{d}/embeddings.parquet")
     return d, rows
 
 
@@ -80,7 +80,7 @@ def test_a_row_for_each_document(spark, tables, name):
 def test_sql_of_the_rows_found(spark, tables):
     d, _ = tables
     c = duckdb.connect()
-    for name in ("documents", "benchmark", "embeddings"):
+    for name in ("documents", "benchmark", "embeddings", "labels"):
         c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{d.removeprefix('file://')}/{name}.parquet/*.parquet'")
     for name, sql in queries.oracle_sql().items():
         df = queries.queries()[name](spark, d)
