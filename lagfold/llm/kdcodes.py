@@ -269,7 +269,8 @@ def compress_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int
     """The same in DuckDB's SQL, rounds written out."""
     apart = "list_sum(list_transform(list_zip(p.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
     sql = f"""
-WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * x::DOUBLE) AS BIGINT)) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+WITH h AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * x::DOUBLE) AS BIGINT)) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  k AS (SELECT * FROM h WHERE len(e) = (SELECT len(e) FROM h WHERE len(e) % {parts} = 0 ORDER BY vec_id NULLS LAST, e LIMIT 1)),
   v AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, e) AS n, * FROM k),
   p AS (SELECT n, part, e[part * (len(e) // {parts}) + 1 : (part + 1) * (len(e) // {parts})] AS e FROM v, (SELECT unnest(range({parts})) AS part)),
   c0 AS (SELECT part, n - 1 AS entry, e FROM p WHERE n <= {entries})"""
