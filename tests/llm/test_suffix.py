@@ -30,7 +30,7 @@ def corpus():
     return rows
 
 
-def coverage(rows, within, least=50):
+def coverage(rows, within=False, least=50):
     """Word places under a run of ``least`` words that occurs at several places, or only in several different texts."""
     texts = {}
     for i, t in rows:
