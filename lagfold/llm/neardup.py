@@ -11,11 +11,12 @@ Signatures are banded.  In each bucket the members are verified (exact multiset
 against a leader, the member with the least share of shingles that no other text has.
 Verified links make classes.  In a bucket that still holds several classes, two members of
 different classes are a candidate pair unless an upper bound of their overlap (shingles
-of their own, counts of the others in hash cells) excludes it; members meet in blocks, and
-only such pairs leave a block.  Candidates are verified a few for each class at a time,
-those with the highest bound first, and go where their classes have met: so no link
-between different classes is lost and few within one are looked at.  Texts with equal
-word sequences are one from the start.
+of their own, counts of the others in hash cells) excludes it or they have met in an
+earlier band.  Members meet in blocks that hold their shingles; there candidates are
+verified a few for each member at a time, those with the highest bound first, and go where
+their classes have met: so no link between different classes is lost, few within one are
+looked at, and only links that join classes leave a block.  Texts with equal word sequences
+are one from the start.
 
 Defined cases: a text without words (null, empty, blank) is a class of its own, under its
 own id; repeated rows are copies of each other; a text of 1 to 4 words is one shingle; a
@@ -36,8 +37,8 @@ from lagfold.llm.spark import components, cut, fresh, release, sized
 from lagfold.llm.text import Words, buffers, mix64, shingles, tidy
 
 U = np.uint64
-#: Cells of the histograms that bound overlaps, and members of a bucket that meet as one block.
-CELLS, BLOCK = 64, 2048
+#: Cells of the histograms that bound overlaps; members of a bucket that meet as one block, and about how many shingles they have.
+CELLS, BLOCK, CODES = 64, 2048, 1 << 19
 _TWO_64 = float(1 << 64)
 
 
@@ -174,7 +175,7 @@ def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
 
 
 def _profiles(sets: DataFrame) -> DataFrame:
-    """``(t, n, x, codes, cells)`` of ``(t, codes, own)``: shingles in all, those that other texts have too, and how many of these fall into each cell."""
+    """``(t, n, x, codes)`` of ``(t, codes, own)``: shingles in all, and those that other texts have too (their number and codes)."""
 
     def run(batches):
         for b in batches:
@@ -188,15 +189,13 @@ def _profiles(sets: DataFrame) -> DataFrame:
                 if len(alone):
                     shared = alone[np.minimum(np.searchsorted(alone, value), len(alone) - 1)] != value
                 x = np.bincount(row[shared], minlength=part.num_rows)
-                cell = (value[shared].view(U) & U(CELLS - 1)).astype(np.int64)
-                cells = np.bincount(row[shared] * CELLS + cell, minlength=part.num_rows * CELLS).astype("<i4").reshape(-1, CELLS)
-                of = np.concatenate([[0], np.cumsum(np.bincount(row[shared], minlength=part.num_rows))]).astype(np.int32)
+                of = np.concatenate([[0], np.cumsum(x)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     part.column("t"), pa.array(n.astype(np.int64)), pa.array(x.astype(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(of), pa.array(value[shared])), pa.array([c.tobytes() for c in cells], pa.binary()),
-                ], ["t", "n", "x", "codes", "cells"])
+                    pa.ListArray.from_arrays(pa.array(of), pa.array(value[shared])),
+                ], ["t", "n", "x", "codes"])
 
-    return sets.mapInArrow(run, "t long, n long, x long, codes array<bigint>, cells binary")
+    return sets.mapInArrow(run, "t long, n long, x long, codes array<bigint>")
 
 
 def _verify(pairs: DataFrame, profiles: DataFrame, threshold: float) -> DataFrame:
@@ -211,80 +210,109 @@ def _most(n, x, m, y):
     return F.least(x, y) / (n - x + m - y + F.greatest(x, y))
 
 
-def _candidates(active: DataFrame, profiles: DataFrame, threshold: float) -> DataFrame:
-    """``(a, b, bound)``: pairs of different roots in a bucket that no bound excludes, of ``(bucket, t, n, x, root, main)``.
+def _links(active: DataFrame, texts: DataFrame, profiles: DataFrame, threshold: float) -> DataFrame:
+    """``(ra, rb)``: roots that pairs of texts in a bucket link, of ``(bucket, band, t, n, x, root, main)``.
 
-    Members outside the bucket's main class meet all others, block by block.
+    Members outside the bucket's main class meet all others, block by block.  A meeting verifies its pairs
+    on the spot and gives a forest of links, so it makes fewer rows than it has members.
     """
+    cols = ("t", "n", "x", "root", "bands", "codes")
     side = F.col("root") == F.col("main")
-    many = active.groupBy("bucket", side.alias("side")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = active.withColumn("side", side).join(sized(cut(many)), ["bucket", "side"])
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("x") / CODES)).cast("int")
+    many = cut(active.groupBy("bucket", side.alias("side")).agg(blocks.alias("blocks")))
+    dealt = active.withColumn("side", side).join(sized(many), ["bucket", "side"])
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(profiles.select("t", "cells"), "t")
-    packed = cut(dealt.groupBy("bucket", "side", "block").agg(*[F.collect_list(c).alias(c) for c in ("t", "n", "x", "root", "cells")]))
+    dealt = dealt.join(texts.select("t", "bands"), "t").join(profiles.select("t", "codes"), "t")
+    packed = cut(dealt.groupBy("bucket", "band", "side", "block").agg(*[F.collect_list(c).alias(c) for c in cols]))
     rest = many.where("not side").select("bucket", F.col("blocks").alias("rest"))
-    left = packed.where("not side").select("bucket", F.col("block").alias("i"), *[F.col(c).alias(f"a_{c}") for c in ("t", "n", "x", "root", "cells")])
+    left = packed.where("not side").select("bucket", F.col("block").alias("i"), *[F.col(c).alias(f"a_{c}") for c in cols])
     met = packed.join(sized(cut(rest)), "bucket").withColumn("i", F.explode(F.sequence(F.lit(0), F.when(F.col("side"), F.col("rest") - 1).otherwise(F.col("block")))))
-    met = met.join(left, ["bucket", "i"]).select("t", "n", "x", "root", "cells", *[c for c in left.columns if c.startswith("a_")])
+    met = met.join(left, ["bucket", "i"]).select("band", *cols, *[f"a_{c}" for c in cols])
 
     def run(batches):
         for b in batches:
-            cols = {c: b.column(c) for c in b.schema.names}
+            columns = {c: b.column(c) for c in b.schema.names}
             for k in range(b.num_rows):
-                u, v = ({c: cols[p + c][k].values for c in ("t", "n", "x", "root", "cells")} for p in ("a_", ""))
-                a, c, bound = _pairs(*({c: _cells(w[c]) if c == "cells" else w[c].to_numpy() for c in w} for w in (u, v)), threshold)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, c)), pa.array(np.minimum(a, c)), pa.array(bound)], ["a", "b", "bound"])
-
-    return met.mapInArrow(run, "a long, b long, bound double").groupBy("a", "b").agg(F.max("bound").alias("bound"))
-
-
-def _cells(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<i4").reshape(-1, CELLS)
-
-
-def _pairs(u: dict, v: dict, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(t of u, t of v, bound) of the pairs of different roots that may reach the threshold."""
+                u, v = (_Block(*(columns[p + c][k].values for c in cols)) for p in ("a_", ""))
+                if len(links := _forest(u, v, columns["band"][k].as_py(), threshold)):
+                    yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["ra", "rb"])
+
+    links = cut(met.mapInArrow(run, "ra long, rb long").distinct())
+    release(many, packed)
+    return links
+
+
+class _Block:
+    """Members of a bucket that meet together, from their Arrow lists."""
+
+    def __init__(self, t, n, x, root, bands, codes):
+        self.t, self.n, self.x, self.root = (c.to_numpy() for c in (t, n, x, root))
+        self.bands = bands.flatten().to_numpy().reshape(len(t), -1)
+        self.codes, self.of = codes.flatten().to_numpy(), np.concatenate([[0], np.cumsum(self.x)])
+        cell = np.repeat(np.arange(len(t)) * CELLS, self.x) + (self.codes.view(U) & U(CELLS - 1)).astype(np.int64)
+        self.cells = np.bincount(cell, minlength=len(t) * CELLS).astype(np.int32).reshape(-1, CELLS)
+
+    def codes_of(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the members' codes, where each member's begin among them)."""
+        size = self.x[some]
+        at = np.cumsum(size) - size
+        return np.arange(size.sum()) + np.repeat(self.of[some] - at, size), at
+
+
+def _open(u: _Block, v: _Block, own: slice, band: int, ru: np.ndarray, rv: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, bound) of the pairs of ``u[own]`` and ``v`` in different classes that may reach the threshold and share no earlier band, those of an ``i`` by falling bound."""
+    n, x = u.n[own, None], u.x[own, None]
+    most = np.minimum(x, v.x) / (n - x + v.n - v.x + np.maximum(x, v.x))
+    i, j = np.nonzero((most >= threshold - 1e-9) & (ru[own, None] != rv))
+    i += own.start
     out = []
-    step = max(1, (1 << 20) // len(v["t"]))
-    for at in range(0, len(u["t"]), step):
-        own = slice(at, at + step)
-        n, x = u["n"][own, None], u["x"][own, None]
-        most = np.minimum(x, v["x"]) / (n - x + v["n"] - v["x"] + np.maximum(x, v["x"]))
-        i, j = np.nonzero((most >= threshold - 1e-9) & (u["root"][own, None] != v["root"]))
-        i += at
-        for p in range(0, len(i), 1 << 16):
-            a, b = i[p : p + (1 << 16)], j[p : p + (1 << 16)]
-            common = np.minimum(u["cells"][a], v["cells"][b]).sum(1)
-            bound = common / (u["n"][a] + v["n"][b] - common)
-            ok = bound >= threshold - 1e-9
-            out.append((u["t"][a[ok]], v["t"][b[ok]], bound[ok]))
-    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
-
-
-def _settle(candidates: DataFrame, roots: DataFrame, profiles: DataFrame, threshold: float, first: int = 4) -> DataFrame:
-    """``roots`` with the classes joined that verified candidates link.
-
-    Each turn verifies, for every class, the ``first`` (then 4 times as many) candidates of the highest bound.
+    for p in range(0, len(i), 1 << 16):
+        a, b = i[p : p + (1 << 16)], j[p : p + (1 << 16)]
+        common = np.minimum(u.cells[a], v.cells[b]).sum(1)
+        bound = common / (u.n[a] + v.n[b] - common)
+        ok = (bound >= threshold - 1e-9) & ~(u.bands[a, :band] == v.bands[b, :band]).any(1)
+        out.append((a[ok], b[ok], bound[ok]))
+    i, j, bound = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+    order = np.lexsort((-bound, i))
+    return i[order], j[order], bound[order]
+
+
+def _forest(u: _Block, v: _Block, band: int, threshold: float, first: int = 4) -> np.ndarray:
+    """(links, 2): roots joined by pairs whose similarity is at least ``threshold``, each link between classes that no link before joins.
+
+    A member's pairs are verified ``first`` (then 4 times as many) at a time, those with the highest bound first,
+    until all that are left lie within its class.
     """
-    many = first
-    while True:
-        of = lambda c: roots.select(F.col("t").alias(c), F.col("root").alias(f"r{c}"))
-        open_ = cut(candidates.join(of("a"), "a").join(of("b"), "b").where("ra != rb").select("a", "b", "bound", "ra", "rb"))
-        release(candidates)
-        if not open_.limit(1).count():
-            release(open_)
-            return roots
-        both = open_.select("a", "b", "bound", F.explode(F.array("ra", "rb")).alias("r"))
-        place = F.row_number().over(W.partitionBy("r").orderBy(F.desc("bound"), "a", "b"))
-        taken = cut(both.withColumn("place", place).where(F.col("place") <= many).select("a", "b").distinct())
-        links = cut(_verify(taken, profiles, threshold).join(open_.select("a", "b", "ra", "rb"), ["a", "b"]).select("ra", "rb"))
-        met = components(links, "ra", "rb")
-        later = cut(roots.join(sized(cut(met)).select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("t", F.coalesce("to", "root").alias("root")))
-        release(roots)
-        candidates, roots = cut(open_.join(taken, ["a", "b"], "left_anti").select("a", "b", "bound")), later
-        release(open_, taken, links)
-        many *= 4
+    names, place = np.unique(np.concatenate([u.root, v.root]), return_inverse=True)
+    pu, pv = place[: len(u.t)], place[len(u.t) :]
+    now = np.arange(len(names))  # the class of each root
+    same, code, links = np.array_equal(u.t, v.t), None, []
+    step = max(1, (1 << 20) // len(v.t))
+    for at in range(0, len(u.t), step):
+        i, j, _ = _open(u, v, slice(at, at + step), band, now[pu], now[pv], threshold)
+        if same:
+            i, j = i[j > i], j[j > i]
+        if not len(i):
+            continue
+        if code is None:  # codes as small numbers
+            code = np.unique(np.concatenate([u.codes, v.codes]), return_inverse=True)[1]
+            mine, theirs, marked = code[: len(u.codes)], code[len(u.codes) :], np.zeros(code.max() + 1, bool)
+        begin = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+        for s, e in zip(begin, [*begin[1:], len(i)]):
+            a, left, many = i[s], j[s:e], first
+            own = mine[u.of[a] : u.of[a + 1]]
+            marked[own] = True
+            while len(left := left[now[pv[left]] != now[pu[a]]]):
+                some, left = left[:many], left[many:]
+                many *= 4
+                codes, starts = v.codes_of(some)
+                common = np.add.reduceat(marked[theirs[codes]].astype(np.int64), starts)
+                for b in some[common / (u.n[a] + v.n[some] - common) >= threshold]:
+                    if (old := now[pv[b]]) != now[pu[a]]:
+                        links.append((u.root[a], v.root[b]))
+                        now[now == old] = now[pu[a]]
+            marked[own] = False
+    return np.array(links, np.int64).reshape(-1, 2)
 
 
 def _classified(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, rows: int, size: int) -> tuple[DataFrame, DataFrame]:
@@ -292,7 +320,7 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, threshold: float, b
     base = cut(signatures(docs, id_col, text_col, bands, rows, size))
     number = F.monotonically_increasing_id()
     texts = cut(base.where("n > 0").groupBy("k").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")).withColumn("t", number))
-    placed = texts.select("t", F.explode("bands").alias("bucket"))
+    placed = texts.select("t", F.posexplode("bands").alias("band", "bucket"))
     several = cut(placed.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"))
     placed = cut(placed.join(sized(several), "bucket"))
     wanted = cut(texts.join(sized(cut(placed.select("t").distinct())), "t", "left_semi").select("t", "k", "rep"))
@@ -311,19 +339,24 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, threshold: float, b
     small = profiles.select("t", "n", "x").where(F.col("x") >= F.col("n") * (threshold - 1e-9))
     members = cut(placed.join(sized(cut(small)), "t"))
     mine = F.struct(((F.col("n") - F.col("x")) / F.col("n")).alias("share"), "t", "n", "x")
-    heads = cut(members.groupBy("bucket").agg(F.min(mine).alias("h"), F.count("*").alias("c")).where("c > 1").select("bucket", F.col("h.t").alias("ht"), F.col("h.n").alias("hn"), F.col("h.x").alias("hx")))
+    heads = cut(members.groupBy("bucket").agg(F.min(mine).alias("h"), F.count("*").alias("c")).where("c > 1").select("bucket", "c", F.col("h.t").alias("ht"), F.col("h.n").alias("hn"), F.col("h.x").alias("hx")))
     led = members.join(sized(heads), "bucket").where("t != ht")
     asked = led.where(_most(F.col("n"), F.col("x"), F.col("hn"), F.col("hx")) >= threshold - 1e-9)
-    links = cut(_verify(cut(asked.select(F.col("t").alias("a"), F.col("ht").alias("b")).distinct()), profiles, threshold))
-    found = components(links).select(F.col("node").alias("t"), "root")
+    first_links = cut(_verify(cut(asked.select(F.col("t").alias("a"), F.col("ht").alias("b")).distinct()), profiles, threshold))
+    found = components(first_links).select(F.col("node").alias("t"), "root")
     roots = cut(small.select("t").join(sized(cut(found)), "t", "left").select("t", F.coalesce("root", "t").alias("root")))
 
+    # the pairs of a leader are settled; of the others, those in buckets of several classes meet
     rooted = members.join(sized(roots), "t")
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket")
-    main = mixed.join(heads.select("bucket", F.col("ht").alias("t")), "bucket").join(roots, "t").select("bucket", F.col("root").alias("main"))
-    active = rooted.join(sized(cut(main)), "bucket")
-    roots = _settle(cut(_candidates(active, profiles, threshold)), roots, profiles, threshold)
-    release(placed, members, heads, links, profiles)
+    open_ = mixed.join(heads.where("c > 2").select("bucket", "ht"), "bucket")
+    main = open_.join(roots.select(F.col("t").alias("ht"), F.col("root").alias("main")), "ht")
+    active = rooted.join(sized(cut(main)), "bucket").where("t != ht")
+    links = _links(active, texts, profiles, threshold)
+    met = components(links, "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("to"))
+    joined = cut(roots.join(sized(cut(met)), "root", "left").select("t", F.coalesce("to", "root").alias("root")))
+    release(placed, members, heads, first_links, links, profiles, roots)
+    roots = joined
 
     named = texts.select("t", "k", "rep").join(sized(roots), "t", "left").withColumn("root", F.coalesce("root", "t"))
     first = F.min(F.struct(F.col("rep").isNull(), "rep", "k"))

@@ -83,3 +83,34 @@ def test_chain_needs_other_leaders(spark):
     rows = [(k, " ".join([f"v{j}" for j in range(6 * k)] + base[6 * k :])) for k in range(12)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.class_id for r in neardup.classes(df).collect()} == set(brute(rows).values())
+
+
+def test_a_meeting_gives_a_forest_of_links(spark, monkeypatch):
+    """Near copies on both sides of 0.8 in one bucket: fewer links than members come out, whatever the number of pairs, and small blocks lose none."""
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for i in range(120):
+        t = list(base)
+        for k in rng.choice(100, rng.integers(1, 5), replace=False):
+            t[k] = f"v{rng.integers(0, 40)}"
+        rows.append((i, " ".join(t)))
+    texts = Words(*buffers(pa.array([t for _, t in rows])))
+    s, of = shingles(texts.hashes(), texts.of)
+    code, text, _ = neardup.multiset(s, of)
+    many = np.bincount(text, minlength=len(rows))
+    lists = lambda x, n: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(x))
+    t = pa.array(np.arange(len(rows)))
+    block = neardup._Block(t, pa.array(many), pa.array(many), t, lists(np.zeros(len(rows), np.int64), np.ones(len(rows), int)), lists(code.view(np.int64), many))
+    pairs = sum(sim(a, b) >= 0.8 for k, (_, a) in enumerate(rows) for _, b in rows[:k])
+    links = neardup._forest(block, block, 0, 0.8)
+    assert len(links) < len(rows) < pairs
+    root = list(range(len(rows)))
+    for a, b in links:
+        root = [root[a] if r == root[b] else r for r in root]
+    want = brute(rows)
+    assert [min(j for j in range(len(rows)) if root[j] == root[i]) for i in range(len(rows))] == [want[r] for r in rows]
+
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    got = {r.id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: want[(i, t)] for i, t in rows}
