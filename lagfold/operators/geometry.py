@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from lagfold.functions import kinetics
 from lagfold.operators.counts import lag_pairs
-from lagfold.operators.sums import matrix, rows_of, vector_sum, with_column
+from lagfold.operators.sums import matrix, pieces, rows_of, vector_sum, with_column
 
 
 def reference_frame(frames: DataFrame) -> np.ndarray:
@@ -53,9 +53,8 @@ def _batched(frames: DataFrame, work: Callable[[np.ndarray], list[pa.Array]], fi
     schema = T.StructType([*base.schema.fields, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([*b.columns, *work(matrix(b.column("xyz")).reshape(b.num_rows, -1, 3))], schema.names)
+        for b in pieces(batches):
+            yield pa.RecordBatch.from_arrays([*b.columns, *work(matrix(b.column("xyz")).reshape(b.num_rows, -1, 3))], schema.names)
 
     return base.where("xyz is not null").mapInArrow(run, schema)
 
@@ -71,21 +70,23 @@ def kabsch(frames: DataFrame, ref: np.ndarray | None = None, at_reference: bool
     return _batched(frames, work, [T.StructField("aligned", T.ArrayType(T.DoubleType())), T.StructField("rmsd", T.DoubleType())])
 
 
+def distances(xyz: np.ndarray, most_atoms: int = 64, separation: int = 2, by_position: bool = False) -> np.ndarray:
+    """Distances of pairs of evenly spaced atoms of frames (n, atoms, 3); see ``contacts``."""
+    from lagfold.operators.frames import evenly_spaced
+
+    pick = evenly_spaced(xyz.shape[1], most_atoms)
+    where = list(range(len(pick))) if by_position else pick
+    pairs = [(a, b) for k, a in enumerate(pick) for m, b in enumerate(pick) if m > k and where[m] - where[k] >= separation]
+    i, j = np.array(pairs, int).reshape(-1, 2).T
+    return np.linalg.norm(xyz[:, i] - xyz[:, j], axis=2)
+
+
 def contacts(frames: DataFrame, most_atoms: int = 64, separation: int = 2, by_position: bool = False) -> DataFrame:
     """``frames`` with ``x``: distances of pairs of evenly spaced atoms (none if no pair is far enough apart in the chain).
 
     ``separation`` counts atom indices, or with ``by_position`` places among the chosen atoms.
     """
-    from lagfold.operators.frames import evenly_spaced
-
-    def work(xyz):
-        pick = evenly_spaced(xyz.shape[1], most_atoms)
-        where = list(range(len(pick))) if by_position else pick
-        pairs = [(a, b) for k, a in enumerate(pick) for m, b in enumerate(pick) if m > k and where[m] - where[k] >= separation]
-        i, j = np.array(pairs, int).reshape(-1, 2).T
-        return [rows_of(np.linalg.norm(xyz[:, i] - xyz[:, j], axis=2))]
-
-    return _batched(frames, work, [T.StructField("x", T.ArrayType(T.DoubleType()))])
+    return _batched(frames, lambda xyz: [rows_of(distances(xyz, most_atoms, separation, by_position))], [T.StructField("x", T.ArrayType(T.DoubleType()))])
 
 
 def moments(pairs: DataFrame, x: str = "x", y: str | None = None, only: tuple[str, ...] = ("xx", "xy", "yy")) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -237,12 +238,17 @@ def discretise(frames: DataFrame, states: int, seed: int = 0, x: str = "cv") ->
     return assign(frames, centres, x), centres
 
 
+def nearest_of(y: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest of the centres to each row; ties go to the smaller."""
+    step = max(1, (1 << 20) // max(1, centres.size))
+    return np.concatenate([((y[a : a + step, None] - centres[None]) ** 2).sum(2).argmin(1) for a in range(0, len(y), step)]).astype(np.int32)
+
+
 def assign(frames: DataFrame, centres: np.ndarray, x: str = "cv") -> DataFrame:
     """``frames`` with ``state``: the nearest of the centres."""
+    return with_column(frames, "state", T.IntegerType(), lambda b: pa.array(nearest_of(matrix(b.column(x)), centres)))
 
-    def work(b: pa.RecordBatch) -> pa.Array:
-        y = matrix(b.column(x))
-        step = max(1, (1 << 22) // max(1, centres.size))
-        return pa.array(np.concatenate([((y[a : a + step, None] - centres[None]) ** 2).sum(2).argmin(1) for a in range(0, len(y), step)]).astype(np.int32))
 
-    return with_column(frames, "state", T.IntegerType(), work)
+def states_of(frames: DataFrame, f: Callable[[np.ndarray], np.ndarray], centres: np.ndarray) -> DataFrame:
+    """``frames`` with ``state``: the centre nearest to what ``f`` makes of the coordinates (n, atoms, 3), by one Python worker a task."""
+    return _batched(frames, lambda xyz: [pa.array(nearest_of(f(xyz), centres))], [T.StructField("state", T.IntegerType())])

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Groups in which the tasks' rows meet.
-FAN = 32
+#: Groups in which the tasks' rows meet; rows of a batch that are worked on together.
+FAN, ROWS = 32, 1024
 
 
 def packed(v: np.ndarray) -> pa.RecordBatch:
@@ -50,15 +50,21 @@ def vector_sum(rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], np.nd
     return total
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of ``ROWS`` rows, so that what is made of a piece stays small whatever a batch holds."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 def with_column(frames: DataFrame, out: str, kind: T.DataType, work: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
     """``frames`` with a column made from each Arrow batch."""
     base = frames.drop(out)
     schema = T.StructType([*base.schema.fields, T.StructField(out, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([*b.columns, work(b)], schema.names)
+        for b in pieces(batches):
+            yield pa.RecordBatch.from_arrays([*b.columns, work(b)], schema.names)
 
     return base.mapInArrow(run, schema)
 

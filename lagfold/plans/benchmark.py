@@ -76,10 +76,11 @@ def pca(frames: DataFrame, modes: int, bits: int = 12) -> tuple[DataFrame, float
     projected = geometry.project(aligned, lambda y: (y - mean) @ v, "aligned", "p").select("run_id", "t", "p")
     ends = projected.select(F.posexplode("p").alias("k", "x")).groupBy("k").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("k").collect()  # a row for each mode
     low, step = np.array([r.lo for r in ends]), np.array([(r.hi - r.lo) / (2**bits - 1) + 1e-12 for r in ends])
-    levels = geometry.project(projected, lambda p: np.rint((p - low) / step), "p", "q").select("run_id", "t", "q")
+    level = lambda y: np.rint(((y - mean) @ v - low) / step)
+    levels = geometry.project(aligned, level, "aligned", "q").select("run_id", "t", "q")
     each = levels.select(F.posexplode("q").alias("k", "q")).groupBy("k", "q").agg(F.count("*").alias("c"))
     total = each.agg((-F.sum(F.col("c") * F.log2(F.col("c") / n))).alias("b")).first().b or 0.0
-    back = geometry.project(levels, lambda q: (q * step + low) @ v.T + mean, "q", "xyz").select("run_id", "t", "xyz")
+    back = geometry.project(aligned, lambda y: (level(y) * step + low) @ v.T + mean, "aligned", "xyz").select("run_id", "t", "xyz")  # one Python worker a task, not one for each step
     return back, float(total + 32 * (v.size + mean.size + 2 * modes))
 
 
@@ -97,7 +98,9 @@ class Ruler:
         return geometry.contacts(frames.select("run_id", "t", "xyz"), self.atoms, self.separation, by_position=True).select("run_id", "t", "x")
 
     def states(self, frames: DataFrame) -> DataFrame:
-        return geometry.assign(self.modes.transform(self._features(frames)).select("run_id", "t", "cv"), self.centres)
+        atoms, separation, mean, projection = self.atoms, self.separation, self.modes.mean, self.modes.projection
+        f = lambda xyz: (geometry.distances(xyz, atoms, separation, by_position=True) - mean) @ projection
+        return geometry.states_of(frames.select("run_id", "t", "xyz"), f, self.centres)
 
     def _slowest(self, cells: DataFrame) -> float:
         c = kinetics.dense_counts(counts.transition_counts(cells, self.lag).collect(), len(self.centres))

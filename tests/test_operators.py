@@ -179,3 +179,24 @@ def test_moments_of_hard_tables(spark):
 def test_percentiles_beside_infinity(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (float("inf"),)], "x double")
     assert stats.percentiles(df, "x", [0.5]) == [2.0]
+
+
+def test_batches_are_worked_on_in_pieces_by_few_workers(spark):
+    """What a Python worker makes of a batch doesn't grow with the batch, and the ruler reads frames by one worker a task."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from lagfold.operators import sums
+    from lagfold.plans import benchmark
+
+    rows = spark.range(0, 5000, 1, 1)
+    got = sums.with_column(rows, "n", T.LongType(), lambda b: pa.array([b.num_rows] * b.num_rows, pa.int64()))
+    assert got.count() == 5000 and got.agg(F.max("n")).first()[0] <= sums.ROWS
+    xyz = F.array(*[F.rand(k) + F.col("id") * 0.001 * k for k in range(21)])
+    frames = rows.where("id < 60").select(F.lit(0).cast("long").alias("run_id"), F.col("id").alias("t"), xyz.alias("xyz")).localCheckpoint()
+    ruler = benchmark.Ruler(frames, 1, 3)
+    back, _ = benchmark.pca(frames, 3)
+    states = ruler.states(back)
+    assert states._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
+    old = geometry.assign(ruler.modes.transform(ruler._features(back)).select("run_id", "t", "cv"), ruler.centres)
+    assert sorted((r.t, r.state) for r in states.collect()) == sorted((r.t, r.state) for r in old.collect())
