@@ -25,6 +25,8 @@ def markov_model(frames: DataFrame, states: int) -> tuple[np.ndarray, np.ndarray
 
 #: Frames that are coded together; each block starts anew, so that a run is coded and decoded by many tasks.
 BLOCK = 4096
+#: Decoded frames of several blocks that leave a task together.
+TOGETHER = 4096
 _STREAM = "run_id long, block long, n long, t0 long, step long, ts array<long>, stream binary"
 
 
@@ -171,7 +173,7 @@ def encode_predictive(frames: DataFrame, model, bits: int, reach: float = 8.0, s
     ``start()``, a state, and ``after(state, z)``, the next state, mean and log deviation (see ``LinearPredictor``).
     """
     levels = 1 << bits
-    step, cum, dim = 2 * reach / levels, coders.gaussian_table(levels, reach), model.dim
+    step, cum, dim = 2 * reach / levels, coders.gaussian_table(levels, reach).tolist(), model.dim
 
     def code(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
@@ -179,11 +181,12 @@ def encode_predictive(frames: DataFrame, model, bits: int, reach: float = 8.0, s
         noise, out = _noise(seed, run, pdf["t"].to_numpy(), dim) * step, coders.Encoder()
         state, mean, log_s = model.start()
         for row, u in zip(z, noise):
-            x = np.clip((row - mean) / np.exp(log_s) + u, -reach, reach)
-            q = np.clip(np.floor((x + reach) / step), 0, levels - 1).astype(int)
-            for k in q.tolist():
-                out.push(int(cum[k]), int(cum[k + 1]))
-            last = mean + np.exp(log_s) * ((q + 0.5) * step - reach - u)
+            s = np.exp(log_s)
+            x = np.minimum(np.maximum((row - mean) / s + u, -reach), reach)
+            q = np.minimum(np.maximum(np.floor((x + reach) / step), 0), levels - 1)
+            for k in q.astype(int).tolist():
+                out.push(cum[k], cum[k + 1])
+            last = mean + s * ((q + 0.5) * step - reach - u)
             state, mean, log_s = model.after(state, last)
         return _row(pdf, out.finish())
 
@@ -193,19 +196,26 @@ def encode_predictive(frames: DataFrame, model, bits: int, reach: float = 8.0, s
 def decode_predictive(streams: DataFrame, model, bits: int, reach: float = 8.0, seed: int = 0) -> DataFrame:
     """``(run_id, t, z)`` of the streams, frame by frame."""
     levels = 1 << bits
-    step, cum, dim = 2 * reach / levels, coders.gaussian_table(levels, reach), model.dim
+    step, cum, dim = 2 * reach / levels, coders.gaussian_table(levels, reach).tolist(), model.dim
 
     def decode(batches):
         for pdf in batches:
+            runs, at, out = [], [], []
             for r in pdf.itertuples():
-                source, out, times = coders.Decoder(bytes(r.stream)), [], _times(r)
+                source, times = coders.Decoder(bytes(r.stream)), _times(r)
                 state, mean, log_s = model.start()
                 for u in _noise(seed, int(r.run_id), times, dim) * step:
-                    q = np.array([source.pull(cum) for _ in range(dim)])
-                    last = mean + np.exp(log_s) * ((q + 0.5) * step - reach - u)
+                    s, q = np.exp(log_s), np.array([source.pull(cum) for _ in range(dim)])
+                    last = mean + s * ((q + 0.5) * step - reach - u)
                     state, mean, log_s = model.after(state, last)
                     out.append(last)
-                yield pd.DataFrame({"run_id": r.run_id, "t": times, "z": out})
+                runs.append(np.full(len(times), r.run_id))
+                at.append(times)
+                if len(out) >= TOGETHER:
+                    yield pd.DataFrame({"run_id": np.concatenate(runs), "t": np.concatenate(at), "z": out})
+                    runs, at, out = [], [], []
+            if out:
+                yield pd.DataFrame({"run_id": np.concatenate(runs), "t": np.concatenate(at), "z": out})
 
     return streams.select("run_id", "n", "t0", "step", "ts", "stream").mapInPandas(decode, "run_id long, t long, z array<double>")
 

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from lagfold.functions import coders, kinetics as K
@@ -171,3 +172,42 @@ def test_tica_finds_the_slow_direction():
     w, back = K.whitening(np.cov(x.T))
     assert np.allclose(np.cov((x @ w).T), np.eye(3), atol=1e-6) and np.allclose(x @ w @ back, x)
     assert K.vamp_score(c0, ct, c0) >= K.vamp_score(c0[:1, :1], ct[:1, :1], c0[:1, :1])
+
+
+def test_settled_bits_leave_at_once_and_blocks_together():
+    """The streams are those of a coder that moves bit by bit; a symbol takes one step for all its bits, and decoded blocks leave in one table."""
+    from types import SimpleNamespace
+
+    from lagfold.operators import coding
+
+    def slow(symbols, cum):
+        low, high, waiting, bits, half, quarter = 0, (1 << 32) - 1, 0, [], 1 << 31, 1 << 30
+        for s in symbols:
+            width = high - low + 1
+            low, high = low + width * int(cum[s]) // coders.TOTAL, low + width * int(cum[s + 1]) // coders.TOTAL - 1
+            while True:
+                if high < half or low >= half:
+                    bits += [int(low >= half)] + [int(low < half)] * waiting
+                    waiting, off = 0, half * (low >= half)
+                elif low >= quarter and high < half + quarter:
+                    waiting, off = waiting + 1, quarter
+                else:
+                    break
+                low, high = 2 * (low - off), 2 * (high - off) + 1
+        bits += [int(low >= quarter)] + [int(low < quarter)] * (waiting + 1)
+        return np.packbits(np.array(bits, np.uint8)).tobytes()
+
+    rng = np.random.default_rng(4)
+    for cum, q in ((coders.gaussian_table(64, 5.0), rng.integers(0, 64, 200)), (np.array([0, 32767, 32769, 65536]), np.ones(50, int)), (coders.frequencies([1]), np.zeros(9, int)), (coders.gaussian_table(8, 3.0), np.zeros(0, int))):
+        assert coders.encode_iid(q.tolist(), cum) == slow(q, cum) and coders.decode_iid(slow(q, cum), len(q), cum) == q.tolist()
+    e = coders.Encoder()
+    e.push(1, 2)
+    assert len(e.bits) <= 1  # 16 bits in one piece
+
+    model = coding.LinearPredictor(np.zeros((1, 1)), np.zeros(1), np.zeros(1))
+    caught = {}
+    plain = SimpleNamespace(select=lambda *c: SimpleNamespace(mapInPandas=lambda f, schema: caught.update(f=f)))
+    coding.decode_predictive(plain, model, 4)
+    rows = pd.DataFrame({"run_id": range(20), "n": 3, "t0": 0, "step": 1, "ts": [None] * 20, "stream": [coders.encode_iid([7] * 3, coders.gaussian_table(16, 8.0))] * 20})
+    tables = list(caught["f"](iter([rows])))
+    assert len(tables) == 1 and tables[0][["run_id", "t"]].values.tolist() == [[r, t] for r in range(20) for t in range(3)]
